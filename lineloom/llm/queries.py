@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, secrets, token_counts, urls
+from . import pii, quality, secrets, token_counts, toxicity, urls
 from .common import read_table
 
 
@@ -35,8 +35,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.selectExpr("doc_id", "held_out", "score", "predicted", "cast(size(sentences) as bigint) as n_offending")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules)
+    f.__name__: f for f in (op1_secret_scan, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules, op9_toxicity)
 }
 ORACLES = {"op3_url_filter": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
 

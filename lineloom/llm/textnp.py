@@ -59,17 +59,18 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def words(raw: np.ndarray, off: np.ndarray, second: bool = False):
+def words(raw: np.ndarray, off: np.ndarray, second: bool = False, space: np.ndarray = _SPACE):
     """Per word of the block: hash (A-Z lower-cased), start, end; and the word offsets of each text.
 
-    With ``second``, an independent second hash comes after the first.
+    With ``second``, an independent second hash comes after the first; ``space``
+    tells which bytes are outside words.
     """
     n = len(raw)
     if n == 0:
         z = np.zeros(0, np.uint64)
         e = np.zeros(0, np.int64)
         return ((z, z) if second else (z,)) + (e, e, np.zeros(len(off), np.int64))
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = solid[:-1]
