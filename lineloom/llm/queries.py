@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, secrets, token_counts, toxicity, urls
+from . import line_dedup, pii, quality, secrets, token_counts, toxicity, urls
 from .common import read_table
 
 
@@ -15,6 +15,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(docs), ["assign", "access", "hex"])
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.selectExpr(
+        "doc_id", "cast(n_lines as bigint) as n_lines", "cast(n_removed as bigint) as n_removed", "sha2(coalesce(text, ''), 256) as kept_sha256"
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.url_filter(pages, urls.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -41,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules, op9_toxicity)
+    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules, op9_toxicity)
 }
-ORACLES = {"op3_url_filter": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_url_filter": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
 

@@ -18,6 +18,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+AS_IS = np.arange(256, dtype=np.uint8)
+NEWLINE = np.zeros(256, bool)
+NEWLINE[0x0A] = True
 _POWERS = {}
 
 
@@ -59,11 +62,11 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def words(raw: np.ndarray, off: np.ndarray, second: bool = False, space: np.ndarray = _SPACE):
+def words(raw: np.ndarray, off: np.ndarray, second: bool = False, space: np.ndarray = _SPACE, fold: np.ndarray = _LOWER):
     """Per word of the block: hash (A-Z lower-cased), start, end; and the word offsets of each text.
 
     With ``second``, an independent second hash comes after the first; ``space``
-    tells which bytes are outside words.
+    tells which bytes are outside words, ``fold`` maps bytes before hashing.
     """
     n = len(raw)
     if n == 0:
@@ -84,7 +87,7 @@ def words(raw: np.ndarray, off: np.ndarray, second: bool = False, space: np.ndar
     end = np.flatnonzero(solid & ~after) + 1
     hashes = []
     if len(start):
-        low = _LOWER[raw].astype(np.uint64)
+        low = fold[raw].astype(np.uint64)
         low += np.uint64(1)
         low *= solid
         first = np.zeros(n, np.int64)
