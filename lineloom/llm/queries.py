@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pii, quality, secrets, token_counts, toxicity, urls
+from . import line_dedup, pii, quality, secrets, subwords, token_counts, toxicity, urls
 from .common import read_table
 
 
@@ -47,8 +47,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "held_out", "score", "predicted", "cast(size(sentences) as bigint) as n_offending")
 
 
+def op10_sampled_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False)
+    return out.selectExpr(
+        "doc_id",
+        "n_pieces",
+        "ids_hash",
+        "round_trip",
+        "transform(samples, s -> s.hash) as sample_hashes",
+        "transform(samples, s -> s.pieces) as sample_pieces",
+        "transform(samples, s -> s.log_inclusion) as log_inclusion",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules, op9_toxicity)
+    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules, op9_toxicity, op10_sampled_subwords)
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_url_filter": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
 
