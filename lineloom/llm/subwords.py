@@ -268,7 +268,7 @@ class Lattice:
 def _path_of(steps, unit: int) -> list[int]:
     out = []
     for who, e in steps:
-        i = int(np.searchsorted(who, unit))
+        i = int(np.searchsorted(who, np.int32(unit)))
         if i == len(who) or who[i] != unit:
             break
         out.append(int(e[i]))
