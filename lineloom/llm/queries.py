@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pii, quality, secrets, subwords, token_counts, toxicity, urls
+from . import line_dedup, near_dup, pii, quality, secrets, subwords, token_counts, toxicity, urls
 from .common import read_table
 
 
@@ -38,6 +38,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(pii.personal_data(docs), pii.BASE_KINDS)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_sampled_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op7_quality_rules, op9_toxicity, op10_sampled_subwords)
+    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op6_jaccard_join, op7_quality_rules, op9_toxicity, op10_sampled_subwords)
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_url_filter": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
 
