@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dup, pii, quality, secrets, subwords, token_counts, toxicity, urls
+from . import decontam, line_dedup, near_dup, pii, quality, secrets, subwords, token_counts, toxicity, urls
 from .common import read_table
 
 
@@ -46,6 +46,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.decontaminate(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    return out.selectExpr("doc_id", "contaminated", "transform(matches, m -> m.item_id) as item_ids", "coalesce(try_element_at(matches, 1).ratio, 0D) as best_ratio")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return out.selectExpr("doc_id", "held_out", "score", "predicted", "cast(size(sentences) as bigint) as n_offending")
@@ -68,7 +73,7 @@ def op10_sampled_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op6_jaccard_join, op7_quality_rules, op9_toxicity, op10_sampled_subwords)
+    f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_url_filter, op4_token_counts, op5_personal_data, op6_jaccard_join, op7_quality_rules, op8_decontamination, op9_toxicity, op10_sampled_subwords)
 }
 ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_url_filter": urls.ORACLE, "op7_quality_rules": quality.ORACLE}
 
