@@ -1,4 +1,198 @@
 """All line-analytics queries, with the SQL each is compared against."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import ADAPTED as T
+from .functions import series as S
+from .operators import detect as D
+from .operators import report as R
+from .plans.oracles import AT, ORACLES
+from .sources import adapters as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _faulty(spark, d):
+    return A.with_faults(A.readings(A.operations(spark, d)), A.injections(spark))
+
+
+def _scored(spark, d):
+    return D.score(_faulty(spark, d), T)
+
+
+def _slowed(spark, d):
+    """Operations with the bottleneck faults: cycle time grows from the start on, without an end."""
+    i = A.injections(spark).where("kind = 'bottleneck'").select(F.col("station").alias("_s"), "start", "size")
+    o = A.operations(spark, d)
+    grown = F.col("cycle_time") + F.coalesce(F.col("size") * (F.col("vehicle") - F.col("start")), F.lit(0.0))
+    return o.join(F.broadcast(i), (F.col("station") == F.col("_s")) & (F.col("vehicle") >= F.col("start")), "left").withColumn("cycle_time", grown).drop("_s", "start", "size")
+
+
+@query
+def operations(spark, d):
+    return A.operations(spark, d).drop("quantity", "extendedprice", "discount", "tax")
+
+
+@query
+def injected_readings(spark, d):
+    return _faulty(spark, d).where("fault is not null").select("station", "vehicle", "parameter", F.round("value", 6).alias("value"), "fault")
+
+
+@query
+def baseline_cells(spark, d):
+    return D.baseline_cells(_faulty(spark, d), T).select("station", "parameter", "variant", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@query
+def scored_readings(spark, d):
+    return _scored(spark, d).select("station", "vehicle", "parameter", "z", "baseline_source", "baseline_n")
+
+
+@query
+def ewma_series(spark, d):
+    return S.ewma(_scored(spark, d), "z", D.KEY, T.lam).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9), 6).alias("ewma"))
+
+
+@query
+def spc_point(spark, d):
+    return D.point_flags(_scored(spark, d), T)
+
+
+@query
+def spc_persistent(spark, d):
+    return D.persistent_flags(_scored(spark, d), T)
+
+
+@query
+def spc_trend(spark, d):
+    return D.trend_flags(_scored(spark, d), T)
+
+
+@query
+def spc_cross(spark, d):
+    return D.cross_flags(_scored(spark, d), T).drop("z")
+
+
+@query
+def flags_union(spark, d):
+    return D.flags(_scored(spark, d), T)
+
+
+@query
+def bottlenecks(spark, d):
+    return D.bottlenecks(_slowed(spark, d), T)
+
+
+@query
+def parameter_correlation(spark, d):
+    return D.correlations(_scored(spark, d)).withColumn("r", F.round("r", 6))
+
+
+@query
+def rolling_median(spark, d):
+    sc = _scored(spark, d).where("parameter <> 'quantity'")
+    return sc.select("station", "parameter", "vehicle", F.round(F.col("z") - S.rolling_median("z", D.KEY, T.detrend), 6).alias("detrended"))
+
+
+@query
+def line_throughput(spark, d):
+    return R.line_throughput(A.operations(spark, d), AT)
+
+
+@query
+def throughput_loss(spark, d):
+    return R.throughput_loss(A.operations(spark, d), AT)
+
+
+@query
+def latest_operations(spark, d):
+    return R.latest_operations(A.operations(spark, d), AT)
+
+
+@query
+def station_series(spark, d):
+    w = S.Window.partitionBy("parameter").orderBy(F.desc("vehicle"))
+    sc = _scored(spark, d).where((F.col("station") == 5) & (F.col("vehicle") <= AT))
+    return sc.withColumn("_k", F.row_number().over(w)).where("_k <= 120").select("parameter", "vehicle", "z")
+
+
+@query
+def flags_since(spark, d):
+    return D.flags(_scored(spark, d), T).where(F.col("vehicle").between(200, AT))
+
+
+@query
+def visible_bottlenecks(spark, d):
+    return D.bottlenecks(_slowed(spark, d), T).where(F.col("detected_at") <= AT).select("station", "detected_at")
+
+
+@query
+def deviation_heatmap(spark, d):
+    f = D.flags(_scored(spark, d), T).where("type <> 'cross_parameter'")
+    return f.groupBy("station").pivot("parameter", A.PARAMETERS).agg(F.max(F.abs("z")))
+
+
+@query
+def area_counts(spark, d):
+    return A.stations(spark, d).groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.count_if("instrumented").alias("instrumented"))
+
+
+@query
+def state_stations(spark, d):
+    sc = _scored(spark, d)
+    return R.state_stations(A.stations(spark, d), A.operations(spark, d), sc, D.flags(sc, T), D.bottlenecks(_slowed(spark, d), T), AT)
+
+
+@query
+def backtest_scenarios(spark, d):
+    return R.backtest_scenarios(A.injections(spark), D.flags(_scored(spark, d), T), D.bottlenecks(_slowed(spark, d), T))
+
+
+@query
+def inspection_failures(spark, d):
+    return R.inspection_failures(A.operations(spark, d), _scored(spark, d), 10, "tax")
+
+
+@query
+def latent_trace(spark, d):
+    return R.latent_trace(A.operations(spark, d), _scored(spark, d), 10, "tax")
+
+
+@query
+def lot_mean_abs_z(spark, d):
+    return _scored(spark, d).groupBy("supplier_lot").agg(F.round(F.avg(F.abs("z")), 6).alias("lot_mean_abs_z"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def economics(spark, d):
+    return R.economics(R.measured(spark))
+
+
+@query
+def station_topology(spark, d):
+    return A.topology(spark)
+
+
+ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}
+ORACLES["economics"] = """
+WITH m AS (SELECT 100.0::DOUBLE AS recall, 17.5::DOUBLE AS lag, 62.1::DOUBLE AS nom, 19.5::DOUBLE AS rec, 4.0::DOUBLE AS ev, 1.88::DOUBLE AS fa, 420.0::DOUBLE AS vr),
+a AS (SELECT *, 0.6 + (lag - 10) * 0.018 AS act, 78000 / vr AS runs FROM m),
+b AS (SELECT *, 78000 * 0.021 * recall / 100 * act AS defects, least(0.5 * rec / nom * lag * ev * runs * act, 0.05 * 78000) AS veh, fa * runs * 310 AS cost FROM a),
+c AS (SELECT *, defects * 640 + defects * 0.06 * 4200 + veh * 1850 - cost AS net FROM b)
+SELECT round(act, 3) AS actionable, round(defects) AS defects_prevented, round(defects * 640) AS rework_usd, round(defects * 0.06 * 4200) AS scrap_usd, round(veh) AS vehicles_recovered,
+       round(veh * 1850) AS throughput_usd, round(cost) AS investigation_usd, round(net) AS net_usd, round(net * 0.7) AS net_low_usd, round(net * 1.3) AS net_high_usd FROM c"""
+ORACLES["station_topology"] = """
+WITH g(g, prefix, area, n, manual, base_cycle) AS (VALUES (0, 'BIW', 'Body', 14, 4, 52.0), (1, 'PNT', 'Paint', 10, 3, 55.0), (2, 'FNL', 'Final', 16, 5, 50.0)),
+s AS (SELECT g.*, unnest(range(1, n + 1)) AS k FROM g),
+i AS (SELECT *, printf('%s-%02d', prefix, k) AS id, row_number() OVER (ORDER BY g, k) AS pos FROM s)
+SELECT pos, id, area, k > manual AS instrumented, CAST(base_cycle AS DOUBLE) AS base_cycle, lag(id) OVER (ORDER BY pos) AS upstream, lead(id) OVER (ORDER BY pos) AS downstream FROM i"""
