@@ -72,7 +72,7 @@ trend AS ({latched("tr", f"rn >= {T.trend_window} AND s0 = s1 AND z <> 0 AND dmi
 f_trend AS (SELECT station, parameter, vehicle, 'trend' AS type, 'warning' AS severity, z FROM trend)"""
 CROSS = f""",
 np AS (SELECT station, count(DISTINCT parameter) AS k FROM sc GROUP BY station),
-fullv AS (SELECT station, vehicle FROM sc GROUP BY ALL HAVING count(*) = (SELECT k FROM np WHERE np.station = sc.station)),
+fullv AS (SELECT c.station, c.vehicle FROM (SELECT station, vehicle, count(*) AS k FROM sc GROUP BY station, vehicle) c JOIN np ON np.station = c.station AND np.k = c.k),
 cr AS (
   SELECT a.station, a.parameter AS pa, b.parameter AS pb, round(corr(a.z, b.z), 9) AS r FROM sc a JOIN sc b ON a.station = b.station AND a.vehicle = b.vehicle AND a.parameter < b.parameter
   JOIN fullv f ON f.station = a.station AND f.vehicle = a.vehicle GROUP BY ALL),
@@ -113,9 +113,9 @@ AT = 300
 ORACLES = {
     "operations": f"WITH {OPS} SELECT station, vehicle, variant, cycle_time, queue, utilization, operator, supplier_lot, manual_outcome FROM opsl",
     "injected_readings": f"WITH {FAULTY} SELECT station, vehicle, parameter, round(value, 6) AS value, fault FROM rd WHERE fault IS NOT NULL",
-    "baseline_cells": f"WITH {CELLS} SELECT station, parameter, variant, round(mean, 6) AS mean, round(std, 6) AS std, n FROM cells",
+    "baseline_cells": f"WITH {CELLS} SELECT station, parameter, variant, round(mean, 5) AS mean, round(std, 5) AS std, n FROM cells",
     "scored_readings": f"WITH {SCORED} SELECT station, vehicle, parameter, z, baseline_source, baseline_n FROM sc",
-    "ewma_series": f"WITH {SCORED}{EWMA} SELECT station, parameter, vehicle, round(e, 6) AS ewma FROM ew",
+    "ewma_series": f"WITH {SCORED}{EWMA} SELECT station, parameter, vehicle, round(e + 1e-10, 6) AS ewma FROM ew",
     "spc_point": f"WITH {SCORED}{POINT} SELECT * FROM f_point",
     "spc_persistent": f"WITH {SCORED}{PERSIST} SELECT * FROM f_pers",
     "spc_trend": f"WITH {SCORED}{TREND} SELECT * FROM f_trend",
@@ -156,7 +156,7 @@ ORACLES = {
         FROM inj i LEFT JOIN flags f ON i.kind <> 'bottleneck' AND f.station = i.station AND f.vehicle BETWEEN i.start - 2 AND i.stop + 6
         LEFT JOIN bots b ON i.kind = 'bottleneck' AND b.station = i.station AND b.detected_at >= i.start - 2 WHERE i.kind <> 'latent_defect' GROUP BY i.id, i.kind, i.station""",
     "inspection_failures": f"WITH {SCORED}, v AS (SELECT vehicle, z FROM sc WHERE station = 10 AND parameter = 'tax') SELECT vehicle FROM (SELECT vehicle FROM opsl WHERE station = 10 AND manual_outcome = 'fail' UNION SELECT vehicle FROM v WHERE z <= (SELECT round(avg(z), 9) FROM v) - 2.5)",
-    "lot_mean_abs_z": f"WITH {SCORED} SELECT supplier_lot, round(avg(abs(z)), 6) AS lot_mean_abs_z, count(*) AS n FROM sc GROUP BY supplier_lot",
+    "lot_mean_abs_z": f"WITH {SCORED} SELECT supplier_lot, round(avg(abs(z)) + 1e-9, 6) AS lot_mean_abs_z, count(*) AS n FROM sc GROUP BY supplier_lot",
 }
 
 FAILS = """,

