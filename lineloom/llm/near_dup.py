@@ -4,7 +4,7 @@ Documents with the same shingle sequence collapse into one class.  Two sets
 that link share one of the first ``n - ceil(0.75 n) + 1`` tokens of a common
 order (corpus-frequent tokens last), so only those prefixes are compared:
 
-1. per prefix token, every class is paired with one of two chosen centres, the
+1. per prefix token, every class is paired with the token's centre, the
    pairs are verified exactly and linked classes merge into components;
 2. tokens that still hold several components are joined by signature trees:
    nodes carry OR- and AND-combined bitmaps, size ranges and the component; a
@@ -34,6 +34,17 @@ _U = np.uint64
 GROUP = 2048  # rows of one token joined in one block; larger tokens are dealt out as pairs of blocks
 
 
+_CODEC = pa.Codec("zstd", 3)
+
+
+def unpack(packed: pa.Array) -> pa.Array:
+    out = []
+    for x in packed:
+        v = x.as_buffer()
+        out.append(_CODEC.decompress(v.slice(8), int.from_bytes(v.slice(0, 8).to_pybytes(), "little"), asbytes=True))
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, class key, sorted distinct shingle hashes) of every text; key 0 and no shingles without words."""
     for i, j, raw, off in textnp.blocks(texts):
@@ -115,10 +126,8 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _centres(token: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per distinct token its centre (of the classes that hold it, least by one of two orders); and pairs class-centre."""
-    with np.errstate(over="ignore"):
-        weight = textnp.mix(k.view(_U) ^ (token & _U(1)) * _U(0x9E3779B97F4A7C15))
-    order = np.lexsort((weight, token))
+    """Per distinct token its centre (the least class that holds it); and pairs class-centre."""
+    order = np.lexsort((k, token))
     token, k = token[order], k[order]
     head = np.ones(len(token), bool)
     head[1:] = token[1:] != token[:-1]
@@ -186,7 +195,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for key, col in ((0, 2), (1, 3)):
                     ids = b.column(key).to_pylist()
                     rows = {k: i for i, k in enumerate(ids) if k not in known}
-                    part = b.column(col).take(pa.array(list(rows.values()), pa.int64()))
+                    part = unpack(b.column(col).take(pa.array(list(rows.values()), pa.int64())))
                     known.update(zip(rows, (s for _, _, s in shingle_sets(part)), strict=True))
                 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     s, t = known[x], known[y]
@@ -282,7 +291,7 @@ def _tree_pairs(texts: DataFrame, labels: DataFrame, hot: np.ndarray, rank: np.n
         for b in batches:
             tokens, roots = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
             root = b.column(1).to_numpy()
-            for row, _, s in shingle_sets(b.column(2)):
+            for row, _, s in shingle_sets(unpack(b.column(2))):
                 p = _prefix(s, hot, rank)
                 tokens.append(p)
                 roots.append(np.full(len(p), root[row]))
@@ -306,7 +315,7 @@ def _tree_pairs(texts: DataFrame, labels: DataFrame, hot: np.ndarray, rank: np.n
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, which, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
-            for row, _, s in shingle_sets(b.column(2)):
+            for row, _, s in shingle_sets(unpack(b.column(2))):
                 p = _prefix(s, hot, rank)
                 tokens.append(p)
                 which.append(np.full(len(p), row))
@@ -316,7 +325,7 @@ def _tree_pairs(texts: DataFrame, labels: DataFrame, hot: np.ndarray, rank: np.n
 
     def sig_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [_signature(s).tobytes() for _, _, s in shingle_sets(b.column(1))]
+            sigs = [_signature(s).tobytes() for _, _, s in shingle_sets(unpack(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], names=["k", "sig"])
 
     rows = stage(src.mapInArrow(rows_of, "token bigint, k bigint, root bigint, n bigint").join(mixed, "token"), "mixed-rows")
@@ -378,16 +387,22 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(ids, "k")
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text is of the class asked for (ids may repeat with other texts)."""
+        """Rows whose text is of the class asked for (ids may repeat with other texts), packed: they are shuffled again."""
+        seen: set[int] = set()
         for b in batches:
             want = b.column(0).to_numpy()
             ok = np.zeros(b.num_rows, bool)
             for row, key, _ in shingle_sets(b.column(1)):
-                ok[row] = key == want[row]
-            yield b.filter(pa.array(ok))
-
-    found = src.join(needed, src["id"].eqNullSafe(needed["id"])).select("k", "text").mapInArrow(own_text, "k bigint, text string")
-    texts = stage(found.dropDuplicates(["k"]), "class-texts")
+                if key == want[row] and key not in seen:
+                    seen.add(key)
+                    ok[row] = True
+            kept = b.filter(pa.array(ok))
+            packed = [_CODEC.compress(x.as_buffer(), asbytes=True) for x in kept.column(1)]
+            size = [len(x.as_buffer()) for x in kept.column(1)]
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([n.to_bytes(8, "little") + p for n, p in zip(size, packed, strict=True)], pa.binary())], names=["k", "text"])
+
+    found = src.join(needed, src["id"].eqNullSafe(needed["id"])).select("k", "text").mapInArrow(own_text, "k bigint, text binary")
+    texts = stage(found, "class-texts")
     links = stage(_linked(pairs, texts), "links")
     labels = stage(components(links), "labels")
     rest = _tree_pairs(texts, labels, hot, rank, buckets)
