@@ -37,6 +37,11 @@ GROUP = 2048  # rows of one token joined in one block; larger tokens are dealt o
 _CODEC = pa.Codec("zstd", 3)
 
 
+def pack(texts: pa.Array) -> pa.Array:
+    """Each text compressed, after its length in 8 bytes."""
+    return pa.array([len(x.as_buffer()).to_bytes(8, "little") + _CODEC.compress(x.as_buffer(), asbytes=True) for x in texts], pa.binary())
+
+
 def unpack(packed: pa.Array) -> pa.Array:
     out = []
     for x in packed:
@@ -397,9 +402,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
                     seen.add(key)
                     ok[row] = True
             kept = b.filter(pa.array(ok))
-            packed = [_CODEC.compress(x.as_buffer(), asbytes=True) for x in kept.column(1)]
-            size = [len(x.as_buffer()) for x in kept.column(1)]
-            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([n.to_bytes(8, "little") + p for n, p in zip(size, packed, strict=True)], pa.binary())], names=["k", "text"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), pack(kept.column(1))], names=["k", "text"])
 
     found = src.join(needed, src["id"].eqNullSafe(needed["id"])).select("k", "text").mapInArrow(own_text, "k bigint, text binary")
     texts = stage(found, "class-texts")
