@@ -16,58 +16,54 @@ MIN_WORDS = 50
 RULES = ("few_words", "repeats", "symbols", "dup_lines")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words lying in a 3-word window that occurs at least twice in the list.
+def _windows(words: Column) -> Column:
+    """64-bit hashes of all 3-word windows, by position; null for fewer than 4 words."""
+    n = F.size(words)
+    return F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+
 
-    Windows are compared by a 64-bit hash.  Only lists with a repeat are sorted:
-    equal hashes become neighbours, the positions of their windows are put in
-    order, and each contributes the words up to the next one, three at most.
+def _covered(ranked: Column) -> Column:
+    """Words lying in a window that has an equal one; ``ranked`` holds (hash, position) in order.
+
+    Equal hashes are neighbours; the positions of their windows are put in order,
+    and each contributes the words up to the next one, three at most.
     """
-    n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    same = lambda i, j: F.coalesce(F.get(ranked, i)["h"] == F.get(ranked, j)["h"], F.lit(False))
+    at = F.array_compact(
+        F.transform(F.sequence(F.lit(0), F.size(ranked) - 1), lambda i: F.when(same(i, i - 1) | same(i, i + 1), F.get(ranked, i)["i"]))
     )
-    keyed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    at = F.array_sort(
-        F.transform(
-            F.filter(
-                F.transform(
-                    F.arrays_zip(
-                        keyed.alias("x"),
-                        F.concat(F.array(F.lit(None).cast("bigint")), F.transform(keyed, lambda x: x["h"])).alias("before"),
-                        F.slice(F.transform(keyed, lambda x: x["h"]), 2, F.size(keyed)).alias("after"),
-                    ),
-                    lambda z: F.struct(
-                        z["x"]["i"].alias("i"),
-                        (F.coalesce(z["x"]["h"] == z["before"], F.lit(False)) | F.coalesce(z["x"]["h"] == z["after"], F.lit(False))).alias("twice"),
-                    ),
-                ),
-                lambda z: z["twice"] & z["i"].isNotNull(),
-            ),
-            lambda z: z["i"],
-        )
-    )
-    covered = F.aggregate(
-        at,
+    return F.aggregate(
+        F.sort_array(at),
         F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-3).alias("last")),
         lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(3), i - acc["last"])).alias("sum"), i.alias("last")),
         lambda acc: acc["sum"],
     )
-    return F.when(n < 4, F.lit(0).cast("bigint")).when(F.size(F.array_distinct(windows)) == n - 2, F.lit(0).cast("bigint")).otherwise(covered)
 
 
 def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all bigint) to ``docs``."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all bigint) to ``docs``.
+
+    Words, windows and ranked windows are columns of their own, each computed
+    once; only texts with a repeated window get theirs ranked.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: x.rlike(WORD))
+    repeats = F.size(F.array_distinct("_win")) < F.size("_win")
     return (
-        docs.withColumn("_w", words_of(text))
+        docs.withColumn("_t", text)
+        .withColumn("_w", words_of(F.col("_t")))
+        .withColumn("_ln", lines)
+        .withColumn("n_symbols", F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("bigint"))
+        .drop("_t")
         .withColumn("n_words", F.size("_w").cast("bigint"))
-        .withColumn("word_chars", F.length(F.regexp_replace(text, SPACES, "")).cast("bigint"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint"))
-        .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"))
-        .withColumn("n_repeat_words", repeated_words(F.col("_w")))
-        .drop("_w")
+        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
+        .withColumn("n_dup_lines", (F.size("_ln") - F.size(F.array_distinct("_ln"))).cast("bigint"))
+        .withColumn("_win", _windows(F.col("_w")))
+        .drop("_w", "_ln")
+        .withColumn("_rank", F.when(repeats, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        .drop("_win")
+        .withColumn("n_repeat_words", F.when(F.col("_rank").isNull(), F.lit(0).cast("bigint")).otherwise(_covered(F.col("_rank"))))
+        .drop("_rank")
     )
 
 
