@@ -53,19 +53,21 @@ def labelled_samples(docs: DataFrame, *, text_col: str = "text", sample_docs: in
     )
     random = r.select(F.substring(body, F.lit(1), (16 + F.col("id") % 25).cast("int")).alias("sample"), F.lit(True).alias("is_random"))
     few = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_docs)
-    w = F.filter(F.split(F.substring("t", 1, 4000), r"[^A-Za-z]+"), lambda x: F.length(x) >= 2)
-    ids = few.select(w.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2))).alias("i")).where(F.size("w") >= 3)
-    a, b, c = (F.get("w", F.col("i") + k) for k in (-1, 0, 1))
-    num = (F.abs(F.hash("w", "i")) % 1000).cast("string")
-    ordinary = ids.select(
-        F.when(F.col("i") % 5 == 0, F.concat_ws("_", a, b, c))
-        .when(F.col("i") % 5 == 1, F.concat_ws("-", a, b, num))
-        .when(F.col("i") % 5 == 2, F.concat_ws("/", a, b, c))
-        .when(F.col("i") % 5 == 3, F.concat(a, F.initcap(b), F.initcap(c), num))
-        .otherwise(F.concat(b, c))
-        .alias("sample"),
-        F.lit(False).alias("is_random"),
-    )
+    w = F.filter(F.split("t", r"[^A-Za-z]+"), lambda x: F.length(x) >= 2)
+
+    def joined(i: Column) -> Column:
+        a, b, c = (F.get("w", i + k) for k in (-1, 0, 1))
+        num = (F.abs(F.hash(a, i)) % 1000).cast("string")
+        return (
+            F.when(i % 5 == 0, F.concat_ws("_", a, b, c))
+            .when(i % 5 == 1, F.concat_ws("-", a, b, num))
+            .when(i % 5 == 2, F.concat_ws("/", a, b, c))
+            .when(i % 5 == 3, F.concat(a, F.initcap(b), F.initcap(c), num))
+            .otherwise(F.concat(b, c))
+        )
+
+    long = few.select(w.alias("w")).where(F.size("w") >= 3)
+    ordinary = long.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), joined)).alias("sample"), F.lit(False).alias("is_random"))
     return random.unionByName(ordinary)
 
 
