@@ -41,11 +41,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def subword_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text and two sampled segmentations' scores."""
-    out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False)
+    """Piece ids of every text and of two sampled segmentations with their scores."""
+    out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
     return out.selectExpr(
-        "doc_id", "n_pieces", "ids_hash", "round_trip", "transform(samples, s -> s.hash) as sample_hashes", "transform(samples, s -> s.log_inclusion) as log_inclusion"
-    )
+        "doc_id", "n_pieces", "ids", "ids_hash", "round_trip",
+        "transform(samples, s -> s.ids) as sample_ids", "transform(samples, s -> s.hash) as sample_hashes", "transform(samples, s -> s.log_inclusion) as log_inclusion",
+    )
 
 
 STAGES = [

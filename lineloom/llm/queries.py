@@ -60,13 +60,15 @@ def op10_sampled_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False)
+    out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
     return out.selectExpr(
         "doc_id",
         "n_pieces",
+        "ids",
         "ids_hash",
         "round_trip",
         "transform(samples, s -> s.hash) as sample_hashes",
+        "transform(samples, s -> s.ids) as sample_ids",
         "transform(samples, s -> s.pieces) as sample_pieces",
         "transform(samples, s -> s.log_inclusion) as log_inclusion",
     )

@@ -14,6 +14,7 @@ law on the rank).
 
 from __future__ import annotations
 
+import copy
 import itertools
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import AS_IS, mix, words
+from .textnp import AS_IS, BLOCK, mix, words
 
 MARK = "▁"
 #: Texts that share one table of distinct units, and occurrences sampled at a time; a longer text is a block of its own.
@@ -59,7 +60,15 @@ class Units:
         data = [t.replace(MARK, " ").encode("utf-8") for t in texts]
         raw = np.frombuffer(b"".join(data), np.uint8)
         off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-        h, start, end, wb = words(raw, off, False, _ONLY_SPACE, AS_IS)
+        found, i = [], 0
+        while i < len(texts):  # some at a time: words() needs many bytes per byte
+            j = min(len(texts), max(i + 1, int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1))
+            found.append((off[i], *words(raw[off[i] : off[j]], off[i : j + 1] - off[i], False, _ONLY_SPACE, AS_IS)))
+            i = j
+        h = np.concatenate([np.zeros(0, _U), *[x[1] for x in found]])
+        start, end = (np.concatenate([np.zeros(0, np.int64), *[x[c] + x[0] for x in found]]) for c in (2, 3))
+        wb = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(x[4]) for x in found]]))])
+        del found
         n = np.diff(wb)
         text_of = np.repeat(np.arange(len(texts)), n)
         opens = np.ones(len(h), bool)
@@ -81,6 +90,14 @@ class Units:
         blob = raw.tobytes()
         self.types = [MARK * m + blob[a:z].decode("utf-8") for m, a, z in zip(marks[first].tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
 
+    def part(self, a: int, z: int) -> Units:
+        """The units of texts ``a`` to ``z``, so that a lattice holds no others."""
+        out = copy.copy(self)
+        edges = np.concatenate([[0], np.cumsum(self.counts)])
+        here, out.kind = np.unique(self.kind[edges[a] : edges[z]], return_inverse=True)
+        out.counts, out.types = self.counts[a:z], [self.types[i] for i in here.tolist()]
+        return out
+
 
 _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[0x20] = True
@@ -96,6 +113,7 @@ class Vocabulary:
         n = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(n)]
         self.byte_of = {i: int(self.piece[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else s.encode() for i, s in enumerate(self.piece)]
         self.byte_id = np.zeros(256, np.int64)
         for i, b in self.byte_of.items():
             self.byte_id[b] = i
@@ -131,8 +149,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """Text of a sequence of piece ids; bytes are joined, unreadable ones replaced."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +160,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattice:
     """All segmentations of a list of distinct units, as one edge table.
 
-    Nodes are character positions; edge arrays are sorted by source.  ``cum``
+    Nodes are character positions; edge arrays are sorted by source.  ``table``
     holds the running probabilities of a node's edges given that it is reached.
     """
 
@@ -167,9 +184,9 @@ class Lattice:
             ok = (code[at] >= 0) & (voc.keys[k] == want)
             here, node, at = here[ok], voc.to[k[ok]], at[ok] + 1
             done = voc.end[node] >= 0
-            src.append(here[done])
-            dst.append(at[done])
-            pid.append(voc.end[node[done]])
+            src.append(here[done].astype(np.int32))
+            dst.append(at[done].astype(np.int32))
+            pid.append(voc.end[node[done]].astype(np.int32))
         single = np.zeros(n_nodes + 1, bool)
         for a, b in zip(src, dst, strict=True):
             single[a[b == a + 1]] = True
@@ -177,21 +194,28 @@ class Lattice:
         src.append(lone)
         dst.append(lone + 1)
         pid.append(-1 - code[lone])
-        src, dst, pid = (np.concatenate(x).astype(np.int32) for x in (src, dst, pid))
-        order = np.argsort(src, kind="stable")  # pieces were found by rising length
-        self.src, self.dst, self.pid = src[order], dst[order], pid[order]
-        nbytes = np.where(code[self.src] < 0x80, 1, np.where(code[self.src] < 0x800, 2, np.where(code[self.src] < 0x10000, 3, 4)))
+        src = np.concatenate(src).astype(np.int32, copy=False)
+        order = np.argsort(src, kind="stable").astype(np.int32)  # pieces were found by rising length
+        self.src = src[order]
+        del src
+        self.dst = np.concatenate(dst).astype(np.int32, copy=False)[order]
+        del dst
+        self.pid = np.concatenate(pid).astype(np.int32, copy=False)[order]
+        del pid, order
+        nbytes = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4))).astype(np.int32)[self.src]
+        del code
         byte_logp = voc.logp[voc.byte_id[0]]
         self.logp = np.where(self.pid >= 0, voc.logp[np.maximum(self.pid, 0)], nbytes * byte_logp)
         self.width = np.where(self.pid >= 0, 1, nbytes).astype(np.int32)
-        self.code = (self.pid + (1 << 22)).astype(_U) | _U(1)
+        del nbytes
         self.first = np.searchsorted(self.src, np.arange(n_nodes + 1)).astype(np.int32)
         # backward sums, nodes at equal distance from their unit's end together
         back = np.zeros(n_nodes + 1)
         unit_of = np.repeat(np.arange(len(units)), size + 1)
         left = self.close[unit_of][self.src] - self.src if len(self.src) else np.zeros(0, np.int64)
         by = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by], np.arange(1, int(size.max(initial=0)) + 2))
+        left = left[by]
+        bounds = np.searchsorted(left, np.arange(1, int(size.max(initial=0)) + 2))
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             e = by[a:z]
             if len(e):
@@ -199,18 +223,25 @@ class Lattice:
                 heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
                 back[s[heads]] = np.logaddexp.reduceat(self.logp[e] + back[self.dst[e]], heads)
         self.back = back
-        p = np.exp(self.logp + back[self.dst] - back[self.src])
-        total = np.cumsum(p)
-        before = np.concatenate([[0.0], total])[self.first[self.src]] if len(p) else p
-        self.cum = total - before
+        del left, by, unit_of
+        p = back[self.dst]
+        p += self.logp
+        p -= back[self.src]
+        np.exp(p, out=p)
+        np.cumsum(p, out=p)
+        if len(p):
+            p -= np.concatenate([[0.0], p])[self.first][self.src]
         degree = np.diff(self.first)
         self.degree = int(degree.max(initial=1))
         self.table = np.full((n_nodes, self.degree), np.inf, np.float32)
         if len(p):
-            self.table[self.src, np.arange(len(p)) - self.first[self.src]] = self.cum
+            self.table[self.src, np.arange(len(p)) - self.first[self.src]] = p
             last = self.first[1:][degree > 0] - 1
             self.table[self.src[last], last - self.first[self.src[last]]] = np.inf
 
+    def code(self, e: np.ndarray) -> np.ndarray:
+        return (self.pid[e] + (1 << 22)).astype(_U) | _U(1)
+
     def draw(self, kind: np.ndarray, key: np.ndarray, unit: np.ndarray, sample: int):
         """One segmentation of each unit (forward filtering was done; this samples): per step (who, edge), and per unit log-probability, pieces, path hash."""
         n = len(kind)
@@ -225,7 +256,7 @@ class Lattice:
             logq[who] += self.logp[e]
             pieces[who] += self.width[e]
             with np.errstate(over="ignore"):
-                path[who] = path[who] * _K1 + self.code[e]
+                path[who] = path[who] * _K1 + self.code(e)
             here = self.dst[e]
             going = here != goal
             who, here, goal = who[going], here[going], goal[going]
@@ -260,19 +291,34 @@ class Lattice:
             node, t = int(self.dst[e]), t + 1
         return path
 
+    def ids_of(self, voc: Vocabulary, edges: np.ndarray, cuts: np.ndarray) -> list[list[int]]:
+        """Piece ids of ``edges``, cut into lists at ``cuts``."""
+        p = self.pid[edges]
+        width = np.where(p >= 0, 1, self.width[edges]).astype(np.int64)
+        to = np.concatenate([[0], np.cumsum(width)])
+        out = np.empty(int(to[-1]), np.int32)
+        out[to[:-1][p >= 0]] = p[p >= 0]
+        for i in np.flatnonzero(p < 0).tolist():
+            out[to[i] : to[i + 1]] = voc.byte_id[np.frombuffer(chr(-1 - int(p[i])).encode("utf-8"), np.uint8)]
+        to = to[cuts]
+        return [out[a:z].tolist() for a, z in zip(to[:-1], to[1:], strict=True)]
+
     def ids(self, voc: Vocabulary, e: int) -> list[int]:
         p = int(self.pid[e])
         return [p] if p >= 0 else [int(voc.byte_id[b]) for b in chr(-1 - p).encode("utf-8")]
 
 
-def _path_of(steps, unit: int) -> list[int]:
-    out = []
-    for who, e in steps:
-        i = int(np.searchsorted(who, np.int32(unit)))
-        if i == len(who) or who[i] != unit:
-            break
-        out.append(int(e[i]))
-    return out
+def _flat(steps, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges unit by unit, and how many each of ``n`` units has."""
+    if not steps:
+        return np.zeros(0, np.int32), np.zeros(n, np.int64)
+    who, edge = np.concatenate([w for w, _ in steps]), np.concatenate([e for _, e in steps])
+    return edge[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
@@ -281,13 +327,10 @@ def _log1mexp(x: np.ndarray) -> np.ndarray:
         return np.where(x > -0.693, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
 
 
-def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_ids: bool, lat: Lattice | None = None, only: slice | None = None) -> list[list[dict]]:
+def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_ids: bool) -> list[list[dict]]:
     """Up to ``k`` distinct segmentations of each text, best perturbed value first."""
     kind, counts = units.kind, units.counts
-    if only is not None:
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        kind, counts = kind[edges[only.start] : edges[only.stop]], counts[only]
-    lat = lat or Lattice(voc, units.types)
+    lat = Lattice(voc, units.types)
     n_texts = len(counts)
     out: list[list[dict]] = [[] for _ in range(n_texts)]
     if not counts.sum():
@@ -315,24 +358,21 @@ def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_i
     steps, logq, pieces, path = lat.draw(kind, key, unit, 0)
     with np.errstate(over="ignore"):
         salt = mix(unit.astype(_U) * _K2 + _U(1))
-    runs = [{"steps": (steps, None), "mother": None, "logq": logq, "pieces": pieces, "path": path, "swap": {}}]
+    edges, long = _flat(steps, len(kind))
+    pools, pooled = [edges], len(edges)
+    runs = [{"begin": np.cumsum(long) - long, "long": long, "logq": logq, "pieces": pieces, "path": path}]
     fronts = [siblings(logq, g, np.ones(len(kind), bool), 0)]
     value = [np.where(counts > 0, g, -np.inf)]
     out_of: dict[tuple[int, int], list[list[int]]] = {}
 
     def path_at(s: int, u: int) -> list[int]:
-        """Edges that sample ``s`` took at unit ``u``: its own, or its mother's where it kept those."""
-        while True:
-            run = runs[s]
-            if u in run["swap"]:
-                return run["swap"][u]
-            taken, chosen = run["steps"]
-            if chosen is None:
-                return _path_of(taken, u)
-            i = int(np.searchsorted(chosen, u))
-            if i < len(chosen) and chosen[i] == u:
-                return _path_of(taken, i)
-            s = int(run["mother"][doc[u]])
+        """Edges that sample ``s`` took at unit ``u``."""
+        at, n = int(runs[s]["begin"][u]), int(runs[s]["long"][u])
+        for pool in pools:
+            if at < len(pool):
+                return pool[at : at + n].tolist()
+            at -= len(pool)
+        return []
 
     cutoff = np.full(n_texts, -np.inf)
     for s in range(1, k + 1):
@@ -342,7 +382,9 @@ def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_i
         if s == k:
             cutoff[full] = top
             break
-        run = {"swap": {}, "logq": np.zeros(len(kind)), "pieces": np.zeros(len(kind), np.int64), "path": np.zeros(len(kind), _U)}
+        run = {"logq": np.zeros(len(kind)), "pieces": np.zeros(len(kind), np.int64), "path": np.zeros(len(kind), _U)}
+        run |= {"begin": np.zeros(len(kind), np.int64), "long": np.zeros(len(kind), np.int64)}
+        swapped: list[int] = []
         fresh = np.zeros(len(kind), bool)
         bound = np.full(n_texts, -np.inf)
         mother = np.full(n_texts, -1, np.int64)
@@ -359,11 +401,13 @@ def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_i
                 continue
             mother[d], bound[d] = m, top[j]
             run["logq"][a:u], run["pieces"][a:u], run["path"][a:u] = runs[m]["logq"][a:u], runs[m]["pieces"][a:u], runs[m]["path"][a:u]
-            run["swap"][u] = other
+            run["begin"][a:u], run["long"][a:u] = runs[m]["begin"][a:u], runs[m]["long"][a:u]
+            run["begin"][u], run["long"][u] = pooled + len(swapped), len(other)
+            swapped += other
             h = np.zeros(1, _U)
             with np.errstate(over="ignore"):
                 for e in other:
-                    h = h * _K1 + lat.code[e]
+                    h = h * _K1 + lat.code(np.array([e]))
             run["logq"][u] = min(0.0, float(lat.logp[other].sum() - lat.back[lat.origin[kind[u]]]))
             run["pieces"][u], run["path"][u] = int(lat.width[other].sum()), h[0]
             fresh[u + 1 : z] = True
@@ -378,14 +422,20 @@ def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_i
         again = np.flatnonzero(fresh)
         st, q, p, h = lat.draw(kind[again], key[again], unit[again], s)
         run["logq"][again], run["pieces"][again], run["path"][again] = q, p, h
-        run["steps"] = (st, again)
-        run["mother"] = mother
+        edges, long = _flat(st, len(again))
+        run["begin"][again], run["long"][again] = pooled + len(swapped) + np.cumsum(long) - long, long
+        pools += [np.array(swapped, np.int32), edges]
+        pooled += len(swapped) + len(edges)
         runs.append(run)
         f = siblings(run["logq"], bound, fresh, s)
         f[mother[doc] < 0] = -np.inf
         fronts.append(f)
         value.append(bound)
+    pool = np.concatenate(pools) if want_ids else None
     for s, run in enumerate(runs):
+        if want_ids:
+            cuts = np.concatenate([[0], np.cumsum(run["long"])])[np.append(heads, len(kind))]
+            ids = lat.ids_of(voc, pool[_spread(run["begin"], run["long"])], cuts)
         with np.errstate(over="ignore"):
             digest = np.add.reduceat(mix(run["path"] + salt), heads)
         logq, pieces = np.add.reduceat(run["logq"], heads), np.add.reduceat(run["pieces"], heads)
@@ -400,7 +450,7 @@ def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_i
                 "hash": int(digest[j].astype(np.int64)),
             }
             if want_ids:
-                row["ids"] = [i for u in range(int(base[d]), int(base[d + 1])) for e in path_at(s, u) for i in lat.ids(voc, e)]
+                row["ids"] = ids[j]
             out[d].append(row)
     return out
 
@@ -412,7 +462,8 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
     """``keep_cols`` (the id by default), n_pieces, ids, ids_hash, round_trip and samples for every row.
 
     ``ids`` equals the library's ``encode``; ``round_trip`` tells whether
-    decoding gives the text back (with its own space marks read as spaces).
+    decoding gives the text back (with its own space marks read as spaces): the
+    ids of the whole document, or unit by unit with ``with_ids`` false.
     ``samples`` holds up to ``k`` distinct segmentations in order of perturbed
     value, fewer where the text has fewer; with ``with_ids`` false the id lists
     stay null.  Equal ids and texts draw equal samples; a null id is a key like
@@ -453,20 +504,26 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
                     sums = np.concatenate([[_U(0)], np.cumsum(mix(ids.astype(_U) + mix(place.astype(_U))), dtype=_U)])
                     hashes = mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
                 wrong = np.concatenate([[0], np.cumsum(~right[units.kind])])[np.concatenate([[0], np.cumsum(units.counts)])]
-                lat, samples, row = Lattice(voc, units.types), [], 0
+                del per_type, right, length, flat, origin, size_of, total, take, place, sums
+                samples, row = [], 0
                 reach = np.cumsum(units.counts)
                 while row < len(part):
                     upto = min(len(part), max(row + 1, int(np.searchsorted(reach, (reach[row - 1] if row else 0) + CHUNK_UNITS))))
-                    samples += sample_block(voc, units, keys[row:upto], k, with_ids, lat, slice(row, upto))
+                    samples.append(pa.array(sample_block(voc, units.part(row, upto), keys[row:upto], k, with_ids), sample_type))
                     row = upto
+                if with_ids:  # whole documents' ids decode to the text
+                    back = (voc.decode(ids[a:z].tolist()) for a, z in zip(cuts[:-1], cuts[1:], strict=True))
+                    whole = np.array([x == (t or "").replace(MARK, " ") for x, t in zip(back, part.column(n - 1).to_pylist(), strict=True)], bool)
+                else:
+                    whole = np.diff(wrong) == 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[: n - 2],
                         pa.array(np.diff(cuts)),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32))) if with_ids else pa.nulls(len(part), pa.list_(pa.int32())),
                         pa.array(hashes),
-                        pa.array(np.diff(wrong) == 0),
-                        pa.array(samples, sample_type),
+                        pa.array(whole),
+                        pa.concat_arrays(samples),
                     ],
                     names=names,
                 )

@@ -87,3 +87,18 @@ def test_encode_table(spark, with_ids):
         back = {r["doc_id"]: r["text"] for r in S.decode(enc, PATH).collect()}
         assert back[3] == texts[3] and back[0] == ""
     assert S.encode_and_sample(docs.limit(0), PATH).count() == 0
+
+
+def test_registered_query_and_last_stage_put_out_ids(spark, tmp_path):
+    import corpus_pipeline
+    from lineloom.llm import queries
+
+    texts = [None, "", "Hello  world\n\n x", "\U0001f600 \u2021 \u00f1\tz ", "plain words " * 50]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    voc = S.vocabulary(PATH)
+    for out in (queries.op10_sampled_subwords(spark, str(tmp_path)), corpus_pipeline.subword_encoding(spark, docs, str(tmp_path))):
+        for r in out.collect():
+            text = texts[r.doc_id] or ""
+            assert r.ids == voc.sp.encode(text) and r.round_trip
+            assert len(r.sample_ids) == len(r.sample_hashes) and all(voc.decode(x) == text for x in r.sample_ids)
