@@ -12,7 +12,8 @@ order (corpus-frequent tokens last), so only those prefixes are compared:
    possible overlap is too small.  Surviving leaf pairs are verified exactly.
 
 A pair inside one component needs no check, so groups of thousands of near
-copies cost no quadratic work, and no link between components is lost.
+copies cost no quadratic work, and no link between components is lost.  That is
+``near_duplicates``; ``near_links`` checks all pairs and counts the links.
 """
 
 from __future__ import annotations
@@ -366,15 +367,8 @@ def _tree_pairs(texts: DataFrame, labels: DataFrame, hot: np.ndarray, rank: np.n
     return dealt.groupBy("part").applyInArrow(lambda t: join_part(t), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id) for every row: component_id is the smallest id reachable by links.
-
-    Words are maximal runs of non-space characters with A-Z lower-cased, sets
-    hold distinct 5-word shingles (a shorter text is one shingle); two texts link
-    when 100 * intersection >= 75 * union.  Null, empty and word-less texts have
-    0 shingles and form their own component.  A null id takes its component's
-    smallest id and never names one; repeated rows each get their row.
-    """
+def _prepared(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray, np.ndarray, int]:
+    """Rows with class and set size, class-centre pairs, texts of the paired classes, frequent tokens, their ranks, buckets."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = stage(_members(src), "members")
     own = members.where(F.col("k").isNotNull()).select("id", "k", "n")
@@ -406,6 +400,39 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
 
     found = src.join(needed, src["id"].eqNullSafe(needed["id"])).select("k", "text").mapInArrow(own_text, "k bigint, text binary")
     texts = stage(found, "class-texts")
+    return own, pairs, texts, hot, rank, buckets
+
+
+def near_links(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, class_id, n_links) for every row: class_id is the smallest id of the rows with the same words, n_links the number of other rows that link to it.
+
+    Rows of one class link to each other.  Links between classes are all
+    verified, those inside one component too, so a group of n near copies costs
+    up to n * n / 2 checks of classes.  Rows without words have their own id and
+    no links; null ids as in ``near_duplicates``.
+    """
+    own, _, texts, hot, rank, buckets = _prepared(docs, text_col, id_col)
+    alone = texts.select("k", F.col("k").alias("root"))  # every class a component of its own: no pair is skipped
+    links = stage(_linked(_tree_pairs(texts, alone, hot, rank, buckets), texts), "all-links")
+    classes = own.where("k <> 0").groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("k").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "k")
+    found = classes.join(others, "k", "left").select("k", "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return own.join(found, "k", "left").select(
+        F.col("id").alias(id_col), F.when(F.col("k") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+    )
+
+
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, n_shingles, component_id) for every row: component_id is the smallest id reachable by links.
+
+    Words are maximal runs of non-space characters with A-Z lower-cased, sets
+    hold distinct 5-word shingles (a shorter text is one shingle); two texts link
+    when 100 * intersection >= 75 * union.  Null, empty and word-less texts have
+    0 shingles and form their own component.  A null id takes its component's
+    smallest id and never names one; repeated rows each get their row.
+    """
+    own, pairs, texts, hot, rank, buckets = _prepared(docs, text_col, id_col)
     links = stage(_linked(pairs, texts), "links")
     labels = stage(components(links), "labels")
     rest = _tree_pairs(texts, labels, hot, rank, buckets)

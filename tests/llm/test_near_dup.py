@@ -84,3 +84,22 @@ def test_chain_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(1, 2)], "a bigint, b bigint")
     got = {r["k"]: r["root"] for r in near_dup.components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 1: 1, 2: 1}
+
+
+def test_links_equal_brute_force(spark):
+    rows = corpus(2)
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rows[20:60])]  # exact copies
+    base = [f"v{i}" for i in range(60)]
+    rows += [(len(rows) + i, " ".join([*base[:i], "new", *base[i + 1 :]])) for i in range(40)]  # one component of many linked pairs
+    sets = [shingles(t) for _, t in rows]
+    want = {}
+    for i, s in enumerate(sets):
+        near = [j for j, t in enumerate(sets) if j != i and s and 100 * len(s & t) >= 75 * len(s | t)]
+        same = [j for j, (_, t) in enumerate(rows) if s and words(t) == words(rows[i][1])]
+        want[i] = (min(same, default=i), len(near))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_links(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def words(text):
+    return (text or "").lower().split()
