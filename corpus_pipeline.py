@@ -7,7 +7,7 @@ each as Parquet in the shared folder and rereads it as the next one's input.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm import decontam, line_dedup, near_dup, quality, subwords
@@ -24,15 +24,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of line runs; documents of which no word is left go."""
+    """Deletes later copies of line runs; documents that lose every line go, those that had none stay."""
     out = line_dedup.line_dedup(docs.select(COLUMNS))
-    return out.where("n_lines > n_removed").withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+    return out.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component."""
-    first = near_dup.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").select(COLUMNS)
+    """Keeps one row of each component: that of smallest id (null last), then of smallest text hash, lang, source and n_chars.
+
+    Rows without words have no copies: all stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(COLUMNS).withColumn("_row", key)
+    found = near_dup.near_duplicates(rows, id_col="_row").where(F.col("_row").eqNullSafe(F.col("component_id")))
+    first = found.groupBy(F.col("_row").alias("_first")).agg((F.max("n_shingles") > 0).alias("_words"))
+    order = Window.partitionBy("_row").orderBy("lang", "source", "n_chars")
+    kept = rows.join(first, F.col("_row").eqNullSafe(F.col("_first"))).withColumn("_n", F.row_number().over(order))
+    return kept.where("_n = 1 or not _words").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
