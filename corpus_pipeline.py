@@ -65,7 +65,7 @@ STAGES = [
     ("subword_encoding", subword_encoding),
 ]
 
-#: Subword merging and latent retrieval have no SQL form; tests compare with brute force.
+#: Subword merging and latent retrieval have no SQL form; single stages and operators have tests, ``run`` has none.
 ORACLE_SQL = None
 
 
