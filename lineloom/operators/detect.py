@@ -113,8 +113,8 @@ def flags(sc: DataFrame, th: Thresholds) -> DataFrame:
     return point_flags(sc, th).unionByName(persistent_flags(sc, th)).unionByName(trend_flags(sc, th)).unionByName(cross_flags(sc, th))
 
 
-def bottlenecks(ops: DataFrame, th: Thresholds) -> DataFrame:
-    """Confirmed constraints: CUSUM of cycle time over its limit with a rising slope or a long queue; latched per station."""
+def constraint_series(ops: DataFrame, th: Thresholds) -> DataFrame:
+    """Every operation of stations with enough of them: CUSUM of cycle time in sigmas, slope's t, queue's z."""
     k = ["station"]
     whole = Window.partitionBy("station")
     d = ops.withColumn("rn", S.seq(k)).withColumn("n", F.count(F.lit(1)).over(whole))
@@ -126,7 +126,13 @@ def bottlenecks(ops: DataFrame, th: Thresholds) -> DataFrame:
     d = S.rolling_t(d, "cycle_time", k, th.slope_window)
     step = F.when(early, F.lit(0.0)).otherwise(F.col("cycle_time") - F.col("mu_c") - th.cusum_k * F.col("sd_c"))
     d = S.cusum(d, step, k)
-    d = d.withColumn("cusum_sigma", F.round(F.col("cusum") / F.col("sd_c"), 6)).withColumn("queue_z", F.round((F.col("queue") - F.col("mu_q")) / F.col("sd_q"), 6)).withColumn("slope_t", F.round("slope_t", 6))
+    return d.withColumn("cusum_sigma", F.round(F.col("cusum") / F.col("sd_c"), 6)).withColumn("queue_z", F.round((F.col("queue") - F.col("mu_q")) / F.col("sd_q"), 6)).withColumn("slope_t", F.round("slope_t", 6))
+
+
+def bottlenecks(ops: DataFrame, th: Thresholds) -> DataFrame:
+    """Confirmed constraints: CUSUM of cycle time over its limit with a rising slope or a long queue; latched per station."""
+    k, early = ["station"], F.col("rn") <= F.col("n_warm")
+    d = constraint_series(ops, th)
     opens = ~early & (F.col("cusum_sigma") > th.cusum_h) & F.col("slope_t").isNotNull() & ((F.col("slope_t") >= th.slope_t) | (F.col("queue_z") >= th.queue_z))
     d = S.latch(d, opens, ~early & (F.col("cusum_sigma") < th.cusum_h * th.release), k)
     return d.where("fires").select(

@@ -88,6 +88,16 @@ def flags_union(spark, d):
     return D.flags(_scored(spark, d), T)
 
 
+@query
+def cusum_series(spark, d):
+    return D.constraint_series(_slowed(spark, d), T).select("station", "vehicle", F.col("cusum_sigma").alias("cusum"))
+
+
+@query
+def rolling_ols(spark, d):
+    return D.constraint_series(_slowed(spark, d), T).where("slope_t is not null").select("station", "vehicle", "slope_t")
+
+
 @query
 def bottlenecks(spark, d):
     return D.bottlenecks(_slowed(spark, d), T)

@@ -57,3 +57,8 @@ def test_matches_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["cusum_series", "rolling_ols"])
+def test_series_match_sql(spark, name):
+    assert compare.compare(spark, compare.duck(FOLDER), name, FOLDER).startswith("ok")
