@@ -14,7 +14,6 @@ law on the rank).
 
 from __future__ import annotations
 
-import copy
 import itertools
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,9 +27,10 @@ from pyspark.sql import functions as F
 from .textnp import AS_IS, BLOCK, mix, words
 
 MARK = "▁"
-#: Texts that share one table of distinct units, and occurrences sampled at a time; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
-CHUNK_UNITS = 600_000
+#: Texts that share one table of distinct units (a longer text is a block of its own), and occurrences that share a lattice.
+BLOCK_BYTES = 4 << 20
+RANGE_UNITS = 800_000
+DENSE = 128  # columns of the trie's table
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
@@ -86,17 +86,19 @@ class Units:
         self.counts = n + (rest > 0)
         with np.errstate(over="ignore"):
             key = mix(h ^ (marks.astype(_U) * _K1))
-        _, first, self.kind = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = order[new]
+        self.kind = np.empty(len(key), np.int32)
+        self.kind[order] = np.cumsum(new) - 1
         blob = raw.tobytes()
         self.types = [MARK * m + blob[a:z].decode("utf-8") for m, a, z in zip(marks[first].tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
 
-    def part(self, a: int, z: int) -> Units:
-        """The units of texts ``a`` to ``z``, so that a lattice holds no others."""
-        out = copy.copy(self)
-        edges = np.concatenate([[0], np.cumsum(self.counts)])
-        here, out.kind = np.unique(self.kind[edges[a] : edges[z]], return_inverse=True)
-        out.counts, out.types = self.counts[a:z], [self.types[i] for i in here.tolist()]
-        return out
+
+def _utf8_size(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
 
 
 _ONLY_SPACE = np.zeros(256, bool)
@@ -135,8 +137,54 @@ class Vocabulary:
             ends[node] = i
         keys = np.array([(a << 21) | c for a, c in edges], np.int64)
         order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(edges.values()), np.int64)[order]
-        self.end = np.array([ends[i] for i in range(count)], np.int64)
+        self.keys, self.to = keys[order], np.array(list(edges.values()), np.int32)[order]
+        self.end = np.array([ends[i] for i in range(count)], np.int32)
+        # transitions by the most frequent characters as a table, the others by search
+        char, often = np.unique(keys & ((1 << 21) - 1), return_counts=True)
+        common = char[np.argsort(-often, kind="stable")[: DENSE - 1]]
+        self.column = np.zeros(1 << 21, np.uint8)
+        self.column[common] = np.arange(1, len(common) + 1)
+        self.table = np.zeros((count, DENSE), np.int32)
+        inner = self.column[self.keys & ((1 << 21) - 1)]
+        self.table[self.keys >> 21, inner] = self.to
+        self.table[:, 0] = 0
+        # by piece id, and for id -1 - code point, which stands for a character's bytes
+        self.chars = np.array([len(x) for x in self.piece], np.int32)
+        self.byte_logp = float(self.logp[self.byte_id[0]])
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Where the trie's ``node`` goes by a character; 0 for nowhere."""
+        column = self.column[code]
+        out = self.table[node, column]
+        rare = np.flatnonzero((column == 0) & (code > 0))
+        if len(rare):
+            want = (node[rare].astype(np.int64) << 21) | code[rare]
+            k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[k] == want, self.to[k], 0)
+        return out
+
+    def logp_of(self, pid: np.ndarray) -> np.ndarray:
+        out = self.logp[np.maximum(pid, 0)]
+        lone = np.flatnonzero(pid < 0)
+        out[lone] = self.byte_logp * _utf8_size(-1 - pid[lone])
+        return out
+
+    def chars_of(self, pid: np.ndarray) -> np.ndarray:
+        return np.where(pid < 0, 1, self.chars[np.maximum(pid, 0)])
+
+    def expand(self, pid: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary ids, characters without a piece as their bytes; and the cuts between lists."""
+        lone = np.flatnonzero(pid < 0)
+        if not len(lone):
+            return pid, cuts
+        size = np.ones(len(pid), np.int64)
+        size[lone] = _utf8_size(-1 - pid[lone])
+        to = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(pid, size)
+        for p in np.unique(pid[lone]).tolist():
+            for i, b in enumerate(chr(-1 - p).encode("utf-8")):
+                out[to[lone[pid[lone] == p]] + i] = self.byte_id[b]
+        return out, to[cuts]
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """The library's ids of each unit; it puts the first mark in front by itself, so a lone mark needs its own."""
@@ -160,164 +208,245 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattice:
     """All segmentations of a list of distinct units, as one edge table.
 
-    Nodes are character positions; edge arrays are sorted by source.  ``table``
-    holds the running probabilities of a node's edges given that it is reached.
+    Nodes are character positions; edges are sorted by source, shorter pieces
+    first.  ``back`` is the log-mass from a node to its unit's end, ``cum`` the
+    running probabilities of a node's edges given that it is reached.
     """
 
     def __init__(self, voc: Vocabulary, units: list[str]):
+        self.voc = voc
         size = np.array([len(u) for u in units], np.int64)
-        self.origin = np.concatenate([[0], np.cumsum(size + 1)])[:-1]  # one closing node per unit
-        self.close = self.origin + size
-        self.origin, self.close = self.origin.astype(np.int32), self.close.astype(np.int32)
+        self.origin = np.concatenate([[0], np.cumsum(size + 1)])[:-1].astype(np.int32)  # one closing node per unit
+        self.close = (self.origin + size).astype(np.int32)
         n_nodes = int(self.close[-1]) + 1 if len(units) else 0
-        code = np.full(n_nodes + 1, -1, np.int64)
+        code = np.zeros(n_nodes + 1, np.int32)  # 0 at closing nodes
         inside = np.ones(n_nodes + 1, bool)
         inside[self.close] = False
         inside[-1] = False
-        code[inside] = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        src, dst, pid = [], [], []
-        here = np.flatnonzero(inside)
-        node, at = np.zeros(len(here), np.int64), here.copy()
+        code[inside] = np.frombuffer("".join(units).encode("utf-32-le"), np.int32)
+        code[inside & (code == 0)] = -1  # no piece holds a zero byte
+        found = []
+        here = np.flatnonzero(inside).astype(np.int32)
+        node, at = np.zeros(len(here), np.int32), here
+        degree = np.zeros(n_nodes + 1, np.int32)
         while len(here):
-            want = (node << 21) | code[at]
-            k = np.minimum(np.searchsorted(voc.keys, want), len(voc.keys) - 1)
-            ok = (code[at] >= 0) & (voc.keys[k] == want)
-            here, node, at = here[ok], voc.to[k[ok]], at[ok] + 1
-            done = voc.end[node] >= 0
-            src.append(here[done].astype(np.int32))
-            dst.append(at[done].astype(np.int32))
-            pid.append(voc.end[node[done]].astype(np.int32))
-        single = np.zeros(n_nodes + 1, bool)
-        for a, b in zip(src, dst, strict=True):
-            single[a[b == a + 1]] = True
-        lone = np.flatnonzero(inside & ~single)  # characters without a piece fall back to bytes: id -1 - code point
-        src.append(lone)
-        dst.append(lone + 1)
-        pid.append(-1 - code[lone])
-        src = np.concatenate(src).astype(np.int32, copy=False)
-        order = np.argsort(src, kind="stable").astype(np.int32)  # pieces were found by rising length
-        self.src = src[order]
-        del src
-        self.dst = np.concatenate(dst).astype(np.int32, copy=False)[order]
-        del dst
-        self.pid = np.concatenate(pid).astype(np.int32, copy=False)[order]
-        del pid, order
-        nbytes = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4))).astype(np.int32)[self.src]
-        del code
-        byte_logp = voc.logp[voc.byte_id[0]]
-        self.logp = np.where(self.pid >= 0, voc.logp[np.maximum(self.pid, 0)], nbytes * byte_logp)
-        self.width = np.where(self.pid >= 0, 1, nbytes).astype(np.int32)
-        del nbytes
-        self.first = np.searchsorted(self.src, np.arange(n_nodes + 1)).astype(np.int32)
+            node = voc.step(node, code[at])
+            ok = node > 0
+            here, node, at = here[ok], node[ok], at[ok] + 1
+            pid = voc.end[node]
+            done = pid >= 0
+            found.append((here[done], at[done], pid[done]))
+            degree[here[done]] += 1
+            if len(found) == 1:  # characters without a piece fall back to bytes: id -1 - code point
+                single = np.zeros(n_nodes + 1, bool)
+                single[here[done]] = True
+                lone = np.flatnonzero(inside & ~single).astype(np.int32)
+                found.append((lone, lone + 1, -1 - np.maximum(code[lone], 0)))
+                degree[lone] += 1
+        self.first = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32)[: n_nodes + 1]
+        self.degree = degree[:n_nodes]
+        total = int(degree.sum())
+        self.dst, self.pid = np.empty(total, np.int32), np.empty(total, np.int32)
+        place = self.first[:n_nodes].copy()
+        for src, dst, pid in found:  # sources are distinct in each part
+            e = place[src]
+            self.dst[e], self.pid[e] = dst, pid
+            place[src] = e + 1
+        del found, place, code, inside
+        self.logp = voc.logp_of(self.pid)
         # backward sums, nodes at equal distance from their unit's end together
-        back = np.zeros(n_nodes + 1)
-        unit_of = np.repeat(np.arange(len(units)), size + 1)
-        left = self.close[unit_of][self.src] - self.src if len(self.src) else np.zeros(0, np.int64)
-        by = np.argsort(left, kind="stable")
-        left = left[by]
-        bounds = np.searchsorted(left, np.arange(1, int(size.max(initial=0)) + 2))
-        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            e = by[a:z]
-            if len(e):
-                s = self.src[e]
-                heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                back[s[heads]] = np.logaddexp.reduceat(self.logp[e] + back[self.dst[e]], heads)
-        self.back = back
-        del left, by, unit_of
-        p = back[self.dst]
-        p += self.logp
-        p -= back[self.src]
-        np.exp(p, out=p)
-        np.cumsum(p, out=p)
-        if len(p):
-            p -= np.concatenate([[0.0], p])[self.first][self.src]
-        degree = np.diff(self.first)
-        self.degree = int(degree.max(initial=1))
-        self.table = np.full((n_nodes, self.degree), np.inf, np.float32)
-        if len(p):
-            self.table[self.src, np.arange(len(p)) - self.first[self.src]] = p
-            last = self.first[1:][degree > 0] - 1
-            self.table[self.src[last], last - self.first[self.src[last]]] = np.inf
-
-    def code(self, e: np.ndarray) -> np.ndarray:
-        return (self.pid[e] + (1 << 22)).astype(_U) | _U(1)
-
-    def draw(self, kind: np.ndarray, key: np.ndarray, unit: np.ndarray, sample: int):
-        """One segmentation of each unit (forward filtering was done; this samples): per step (who, edge), and per unit log-probability, pieces, path hash."""
-        n = len(kind)
-        node, stop = self.origin[kind], self.close[kind]
-        logq, pieces, path = -self.back[node], np.zeros(n, np.int64), np.zeros(n, _U)
-        base = stream(key, unit, sample)
-        who, here, goal, steps, t = np.arange(n, dtype=np.int32), node, stop, [], 0
+        self.back = np.zeros(n_nodes + 1)
+        ends = self.close[np.argsort(-size, kind="stable")]
+        reach = np.searchsorted(np.sort(size), np.arange(int(size.max(initial=0)) + 2), "left")
+        for d in range(1, int(size.max(initial=0)) + 1):
+            s = ends[: len(units) - int(reach[d])] - d
+            e = self.first[s]
+            sums = self.logp[e] + self.back[self.dst[e]]
+            more, left = np.arange(len(s)), self.degree[s]
+            j = 1
+            while True:
+                deep = left > j
+                more, left = more[deep], left[deep]
+                if not len(more):
+                    break
+                e = self.first[s[more]] + j
+                sums[more] = np.logaddexp(sums[more], self.logp[e] + self.back[self.dst[e]])
+                j += 1
+            self.back[s] = sums
+        self.cum = self.back[self.dst]
+        self.cum += self.logp
+        self.cum -= np.repeat(self.back[:n_nodes], self.degree)
+        np.exp(self.cum, out=self.cum)
+        more, j = np.flatnonzero(self.degree > 1), 1
+        while len(more):
+            e = self.first[more] + j
+            self.cum[e] += self.cum[e - 1]
+            j += 1
+            more = more[self.degree[more] > j]
+        last = self.first[1:][self.degree[: len(self.first) - 1] > 0] - 1 if n_nodes else np.zeros(0, np.int32)
+        self.cum[last] = np.inf
+        if n_nodes:
+            self.cum[total - 1 :] = np.inf
+
+    def chance(self, e: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Probability of edges given that their nodes are reached."""
+        return np.exp(self.logp[e] + self.back[self.dst[e]] - self.back[node])
+
+    def draw(self, kind: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """One segmentation of each unit: its pieces in one list, where it begins there, how many pieces, log-probability."""
+        order = np.argsort(kind)  # equal units side by side
+        kinds, base = kind[order], base[order]
+        flat, begin, long = self.walk(self.origin[kinds], self.close[kinds], base, 0)
+        logq = (np.add.reduceat(self.voc.logp_of(flat), begin) if len(kind) else np.zeros(0)) - self.back[self.origin[kinds]]
+        back = np.empty(len(kind), np.int64)
+        back[order] = np.arange(len(kind))
+        return flat, begin[back], long[back], np.minimum(logq, 0.0)[back]
+
+    def walk(self, here: np.ndarray, goal: np.ndarray, base: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces drawn from ``here`` on to ``goal``, where each walk begins, how many pieces; random numbers from ``step`` on."""
+        n, steps = len(here), []
+        who, long = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+        going = np.flatnonzero(here != goal)
+        who, here, goal, base = who[going], here[going], goal[going], base[going]
         while len(who):
-            u = _uniform(base[who], t).astype(np.float32)
-            e = self.first[here] + (u[:, None] >= self.table[here]).sum(axis=1, dtype=np.int32)
-            steps.append((who, e))
-            logq[who] += self.logp[e]
-            pieces[who] += self.width[e]
-            with np.errstate(over="ignore"):
-                path[who] = path[who] * _K1 + self.code(e)
+            u = _uniform(base, step + len(steps))
+            e = self.first[here]
+            up = np.flatnonzero(u >= self.cum[e])
+            while len(up):
+                e[up] += 1
+                up = up[u[up] >= self.cum[e[up]]]
+            steps.append((who, self.pid[e]))
+            long[who] += 1
             here = self.dst[e]
-            going = here != goal
-            who, here, goal = who[going], here[going], goal[going]
-            t += 1
-        return steps, np.minimum(logq, 0.0), pieces, path
-
-    def draw_other(self, kind: int, excluded: list[list[int]], key: int, unit: int, sample: int) -> list[int] | None:
-        """A segmentation (edges) of one unit, none of ``excluded``, from the renormalised rest; None if nothing is left."""
-        node, stop, t, path, log_in = int(self.origin[kind]), int(self.close[kind]), 0, [], 0.0
-        alive = excluded
-        while node != stop:
-            es = range(int(self.first[node]), int(self.first[node + 1]))
-            mass = []
-            for e in es:
-                m = np.exp(log_in + self.logp[e] + self.back[self.dst[e]] - self.back[self.origin[kind]])
-                for x in alive:
-                    if x[t] == e:
-                        m -= np.exp(sum(self.logp[i] for i in x) - self.back[self.origin[kind]])
-                mass.append(max(0.0, float(m)))
-            total = sum(mass)
-            if total <= 1e-15:
-                return None
-            u = float(uniform(np.array([key], _U), np.array([unit]), t, sample)[0]) * total
-            pick = 0
-            while pick < len(mass) - 1 and (u >= mass[pick] or mass[pick] == 0.0):
-                u -= mass[pick]
-                pick += 1
-            e = es[pick]
-            path.append(e)
-            log_in += self.logp[e]
-            alive = [x for x in alive if x[t] == e]
-            node, t = int(self.dst[e]), t + 1
-        return path
-
-    def ids_of(self, voc: Vocabulary, edges: np.ndarray, cuts: np.ndarray) -> list[list[int]]:
-        """Piece ids of ``edges``, cut into lists at ``cuts``."""
-        p = self.pid[edges]
-        width = np.where(p >= 0, 1, self.width[edges]).astype(np.int64)
-        to = np.concatenate([[0], np.cumsum(width)])
-        out = np.empty(int(to[-1]), np.int32)
-        out[to[:-1][p >= 0]] = p[p >= 0]
-        for i in np.flatnonzero(p < 0).tolist():
-            out[to[i] : to[i + 1]] = voc.byte_id[np.frombuffer(chr(-1 - int(p[i])).encode("utf-8"), np.uint8)]
-        to = to[cuts]
-        return [out[a:z].tolist() for a, z in zip(to[:-1], to[1:], strict=True)]
+            going = np.flatnonzero(here != goal)
+            who, here, goal, base = who[going], here[going], goal[going], base[going]
+        begin = np.cumsum(long, dtype=np.int64) - long
+        flat = np.empty(int(long.sum()), np.int32)
+        for t, (who, pid) in enumerate(steps):
+            flat[begin[who] + t] = pid
+        return flat, begin, long
+
+    def beside(self, kind: np.ndarray, pid: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For one segmentation of each unit (``pid`` has them one after another): node, place of the unit's first piece, and per
+        piece the probability of leaving the segmentation just there and the mass of the node's other edges."""
+        unit = np.repeat(np.arange(len(kind)), long)
+        head = np.cumsum(long, dtype=np.int64) - long
+        chars = np.cumsum(self.voc.chars_of(pid)) - self.voc.chars_of(pid)
+        node = (self.origin[kind][unit] + chars - chars[head][unit]).astype(np.int32)
+        other, own, more, j = np.zeros(len(pid)), np.zeros(len(pid)), np.arange(len(pid)), 0
+        while len(more):
+            e = self.first[node[more]] + j
+            p, mine = self.chance(e, node[more]), self.pid[e] == pid[more]
+            own[more] += np.where(mine, p, 0.0)
+            other[more] += np.where(mine, 0.0, p)
+            j += 1
+            more = more[self.degree[node[more]] > j]
+        before = np.log(np.maximum(own, 1e-300))
+        before = np.cumsum(before) - before
+        return node, unit, head, np.exp(before - before[head][unit]) * other, other
+
+    def draw_beside(self, kind: np.ndarray, pid: np.ndarray, long: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Another segmentation of each unit than the given one, drawn from what is left: pieces, begins, how many, and log of what was left."""
+        node, unit, head, leave, other = self.beside(kind, pid, long)
+        rest = np.add.reduceat(leave, head)
+        share = np.cumsum(leave / rest[unit])
+        share -= np.concatenate([[0.0], share])[head][unit]
+        live = leave > 0
+        # the first place whose running share is above the number drawn; the last live one if rounding left none
+        above = live & (share > _uniform(base, 0)[unit])
+        place = np.arange(len(pid))
+        at = np.minimum(np.minimum.reduceat(np.where(above, place, len(pid)), head), np.maximum.reduceat(np.where(live, place, -1), head))
+        u = _uniform(base, 1) * other[at]
+        first, count, own = self.first[node[at]], self.degree[node[at]], pid[at]
+        picked, sums, open_ = np.full(len(at), -1, np.int32), np.zeros(len(at)), np.ones(len(at), bool)
+        for j in range(int(count.max(initial=0))):
+            here = np.flatnonzero((count > j) & open_)
+            e = first[here] + j
+            ok = self.pid[e] != own[here]
+            here, e = here[ok], e[ok]
+            sums[here] += self.chance(e, node[at][here])
+            picked[here] = e
+            open_[here] = sums[here] <= u[here]
+        flat, begin, tail = self.walk(self.dst[picked], self.close[kind], base, 2)
+        kept = (at - head).astype(np.int32)
+        size = kept + 1 + tail
+        start = np.cumsum(size, dtype=np.int64) - size
+        out = np.empty(int(size.sum()), np.int32)
+        out[_spread(start, kept)] = pid[_spread(head, kept)]
+        out[start + kept] = self.pid[picked]
+        out[_spread(start + kept + 1, tail)] = flat[_spread(begin, tail)]
+        return out, start, size, np.log(rest)
+
+    def log_rest(self, kind: np.ndarray, flat: np.ndarray, begin: np.ndarray, long: np.ndarray, logq: np.ndarray) -> np.ndarray:
+        """Log-probability of all other segmentations of each unit than the one given; no digits are lost next to 1."""
+        out = _log1mexp(logq)
+        near = np.flatnonzero(logq > -1e-4)  # no two segmentations of a unit are that likely
+        kinds, which, back = np.unique(kind[near], return_index=True, return_inverse=True)
+        which = near[which]
+        _, _, head, leave, _ = self.beside(kinds, flat[_spread(begin[which], long[which])], long[which])
+        rest = np.add.reduceat(leave, head) if len(head) else np.zeros(0)
+        with np.errstate(divide="ignore"):
+            out[near] = np.log(rest)[back]
+        return out
 
     def ids(self, voc: Vocabulary, e: int) -> list[int]:
-        p = int(self.pid[e])
-        return [p] if p >= 0 else [int(voc.byte_id[b]) for b in chr(-1 - p).encode("utf-8")]
+        return voc.expand(self.pid[e : e + 1], np.array([0, 1]))[0].tolist()
 
 
-def _flat(steps, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges unit by unit, and how many each of ``n`` units has."""
-    if not steps:
-        return np.zeros(0, np.int32), np.zeros(n, np.int64)
-    who, edge = np.concatenate([w for w, _ in steps]), np.concatenate([e for _, e in steps])
-    return edge[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
+class Others:
+    """What is left of one unit's segmentations without the ``gone`` ones: ``mass``, and draws from it.
+
+    States are the places that some gone segmentation passes; masses are sums
+    of positive terms only, so they are zero just if nothing is left.
+    """
+
+    def __init__(self, lat: Lattice, kind: int, gone: list[tuple[int, ...]]):
+        self.lat, self.goal = lat, int(lat.close[kind])
+        self.states: list[tuple[int, list[tuple[int, int, float, int]]]] = []
+        todo = [(int(lat.origin[kind]), gone, 0)]
+        for node, paths, t in todo:  # grows while it runs
+            edges = []
+            e = np.arange(lat.first[node], lat.first[node] + lat.degree[node])
+            for pid, dst, p in zip(lat.pid[e].tolist(), lat.dst[e].tolist(), lat.chance(e, np.full(len(e), node)).tolist(), strict=True):
+                mine = [x for x in paths if x[t] == pid]
+                edges.append((pid, dst, p, (len(todo) if dst != self.goal else -2) if mine else -1))
+                if mine and dst != self.goal:
+                    todo.append((dst, mine, t + 1))
+            self.states.append((node, edges))
+        self.left = [0.0] * len(todo)
+        for i in range(len(todo) - 1, -1, -1):
+            self.left[i] = sum(self.share(x) for x in self.states[i][1])
+        self.mass = self.left[0]
+
+    def share(self, edge: tuple[int, int, float, int]) -> float:
+        _, _, p, state = edge
+        return p if state == -1 else 0.0 if state == -2 else p * self.left[state]
+
+    def draw(self, uniforms: Iterator[float]) -> tuple[int, ...]:
+        out, state, node = [], 0, -1
+        while state >= 0:
+            edges = [(self.share(x), x) for x in self.states[state][1]]
+            edges = [x for x in edges if x[0] > 0]
+            u = next(uniforms) * sum(x[0] for x in edges)
+            for share, edge in edges:
+                u -= share
+                if u < 0:
+                    break
+            out.append(edge[0])
+            node, state = edge[1], edge[3]
+        lat = self.lat
+        while node != self.goal:
+            u, e = next(uniforms), int(lat.first[node])
+            while u >= lat.cum[e]:
+                e += 1
+            out.append(int(lat.pid[e]))
+            node = int(lat.dst[e])
+        return tuple(out)
 
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    size = size.astype(np.int64)
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
@@ -327,53 +456,106 @@ def _log1mexp(x: np.ndarray) -> np.ndarray:
         return np.where(x > -0.693, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
 
 
-def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_ids: bool) -> list[list[dict]]:
-    """Up to ``k`` distinct segmentations of each text, best perturbed value first."""
+def _steps(base: np.uint64) -> Iterator[float]:
+    for t in itertools.count():
+        yield float(_uniform(np.array([base], _U), t)[0])
+
+
+def _hashes(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A hash of each id list."""
+    place = np.arange(len(ids)) - np.repeat(cuts[:-1], np.diff(cuts))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[_U(0)], np.cumsum(mix(ids.astype(_U) + mix(place.astype(_U))), dtype=_U)])
+        return mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
+
+
+_SAMPLE = pa.struct([("pieces", pa.int32()), ("logp", pa.float64()), ("log_inclusion", pa.float64()), ("hash", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def samples(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_ids: bool) -> pa.ListArray:
+    """Up to ``k`` distinct segmentations of each text, best perturbed value first; fewer only where the text has fewer.
+
+    The lattice holds the distinct units of at most RANGE_UNITS occurrences at a
+    time; of the whole block there are a few numbers per occurrence and run.
+    """
     kind, counts = units.kind, units.counts
-    lat = Lattice(voc, units.types)
-    n_texts = len(counts)
-    out: list[list[dict]] = [[] for _ in range(n_texts)]
-    if not counts.sum():
-        return out
-    doc = np.repeat(np.arange(n_texts), counts)
+    n_texts, n = len(counts), len(kind)
+    if not n:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(n_texts + 1, np.int32)), pa.array([], _SAMPLE))
+    doc = np.repeat(np.arange(n_texts, dtype=np.int32), counts)
     base = np.concatenate([[0], np.cumsum(counts)])
-    unit = np.arange(len(kind)) - base[doc]
+    unit = np.arange(n) - base[doc]
     full = np.flatnonzero(counts > 0)
     heads = base[full]
-    key = keys[doc]
+    seat = np.repeat(np.arange(len(full)), counts[full])  # of each unit, its text's place in full
     g = -np.log(-np.log(uniform(keys, np.zeros(n_texts, np.int64), 1 << 20, 0)))  # perturbed mass of each whole text
-
-    def siblings(logq: np.ndarray, bound: np.ndarray, fresh: np.ndarray, sample: int) -> np.ndarray:
-        """Perturbed mass of 'same up to this unit, another segmentation here', below ``bound``; -inf where not fresh."""
-        total = np.cumsum(logq)
-        prefix = total - logq - (total[heads] - logq[heads])[np.searchsorted(full, doc)]
-        noise = -np.log(-np.log(uniform(key, unit, 1 << 21, sample)))
-        v = prefix + _log1mexp(logq) + noise
-        top = bound[doc]
-        with np.errstate(invalid="ignore"):
-            v = np.minimum(top, v) - np.log1p(np.exp(-np.abs(top - v)))
-        v[~fresh] = -np.inf
-        return v
-
-    steps, logq, pieces, path = lat.draw(kind, key, unit, 0)
-    with np.errstate(over="ignore"):
-        salt = mix(unit.astype(_U) * _K2 + _U(1))
-    edges, long = _flat(steps, len(kind))
-    pools, pooled = [edges], len(edges)
-    runs = [{"begin": np.cumsum(long) - long, "long": long, "logq": logq, "pieces": pieces, "path": path}]
-    fronts = [siblings(logq, g, np.ones(len(kind), bool), 0)]
+    ranges = [(a, min(n, a + RANGE_UNITS)) for a in range(0, n, RANGE_UNITS)]
+    held: list[tuple[np.ndarray, Lattice]] = []
+
+    def lattice(a: int, z: int) -> tuple[np.ndarray, Lattice]:
+        """Each kind's number in the lattice of a range, and the lattice; kept if there is one range only."""
+        if held:
+            return held[0]
+        if len(ranges) == 1:
+            held.append((np.arange(len(units.types), dtype=np.int32), Lattice(voc, units.types)))
+            return held[0]
+        here = np.unique(kind[a:z])
+        number = np.zeros(len(units.types), np.int32)
+        number[here] = np.arange(len(here))
+        return number, Lattice(voc, [units.types[i] for i in here.tolist()])
+
+    class Run:
+        """One segmentation of every text: its pieces unit by unit, log-probabilities, what else each unit could be."""
+
+        def __init__(self):
+            self.begin, self.long = np.zeros(n, np.int64), np.zeros(n, np.int32)
+            self.logq, self.rest = np.zeros(n), np.zeros(n)
+            self.flat, self.size = [], 0
+
+        def add(self, at: np.ndarray, flat: np.ndarray, begin: np.ndarray, long: np.ndarray, logq: np.ndarray) -> None:
+            self.begin[at], self.long[at], self.logq[at] = begin + self.size, long, logq
+            self.flat.append(flat)
+            self.size += len(flat)
+
+        def fill(self, fresh: np.ndarray, sample: int) -> None:
+            """Draws the units at ``fresh``."""
+            for a, z in ranges:
+                at = fresh[np.searchsorted(fresh, a) : np.searchsorted(fresh, z)]
+                if len(at):
+                    number, lat = lattice(a, z)
+                    kinds = number[kind[at]]
+                    got = lat.draw(kinds, stream(keys[doc[at]], unit[at], sample))
+                    self.rest[at] = lat.log_rest(kinds, *got)
+                    self.add(at, *got)
+
+        def copy(self, old: Run, at: np.ndarray) -> None:
+            pieces, begin = old.pieces(at), np.cumsum(old.long[at], dtype=np.int64) - old.long[at]
+            self.add(at, pieces, begin, old.long[at], old.logq[at])
+
+        def pieces(self, at: np.ndarray) -> np.ndarray:
+            if len(self.flat) > 1:
+                self.flat = [np.concatenate(self.flat)]
+            return self.flat[0][_spread(self.begin[at], self.long[at])] if self.flat else np.zeros(0, np.int32)
+
+        def siblings(self, bound: np.ndarray, fresh: np.ndarray, sample: int) -> np.ndarray:
+            """Perturbed mass of 'same up to this unit, another segmentation here', below ``bound``; -inf where not fresh."""
+            total = np.cumsum(self.logq)
+            prefix = total - self.logq
+            prefix -= prefix[heads][seat]
+            noise = -np.log(-np.log(_uniform(stream(keys[doc], unit, sample), 1 << 21)))
+            v, top = prefix + self.rest + noise, bound[doc]
+            with np.errstate(invalid="ignore"):
+                v = np.minimum(top, v) - np.log1p(np.exp(-np.abs(top - v)))
+            out = np.full(n, -np.inf)
+            out[fresh] = v[fresh]
+            return out
+
+    every = np.arange(n)
+    runs = [Run()]
+    runs[0].fill(every, 0)
+    fronts = [runs[0].siblings(g, every, 0)]
     value = [np.where(counts > 0, g, -np.inf)]
-    out_of: dict[tuple[int, int], list[list[int]]] = {}
-
-    def path_at(s: int, u: int) -> list[int]:
-        """Edges that sample ``s`` took at unit ``u``."""
-        at, n = int(runs[s]["begin"][u]), int(runs[s]["long"][u])
-        for pool in pools:
-            if at < len(pool):
-                return pool[at : at + n].tolist()
-            at -= len(pool)
-        return []
-
+    out_of: dict[tuple[int, int], list[tuple[int, ...]]] = {}
     cutoff = np.full(n_texts, -np.inf)
     for s in range(1, k + 1):
         best = np.stack([np.maximum.reduceat(f, heads) for f in fronts])
@@ -382,77 +564,99 @@ def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_i
         if s == k:
             cutoff[full] = top
             break
-        run = {"logq": np.zeros(len(kind)), "pieces": np.zeros(len(kind), np.int64), "path": np.zeros(len(kind), _U)}
-        run |= {"begin": np.zeros(len(kind), np.int64), "long": np.zeros(len(kind), np.int64)}
-        swapped: list[int] = []
-        fresh = np.zeros(len(kind), bool)
         bound = np.full(n_texts, -np.inf)
-        mother = np.full(n_texts, -1, np.int64)
-        for j, d in enumerate(full):
-            if not np.isfinite(top[j]):
-                continue
-            a, z, m = base[d], base[d + 1], int(src[j])
-            f = fronts[m][a:z]
-            u = int(a + f.argmax())
-            gone = out_of.setdefault((m, u), [path_at(m, u)])
-            other = lat.draw_other(int(kind[u]), gone, int(keys[d]), int(unit[u]), s)
-            if other is None:
-                fronts[m][u] = -np.inf
-                continue
-            mother[d], bound[d] = m, top[j]
-            run["logq"][a:u], run["pieces"][a:u], run["path"][a:u] = runs[m]["logq"][a:u], runs[m]["pieces"][a:u], runs[m]["path"][a:u]
-            run["begin"][a:u], run["long"][a:u] = runs[m]["begin"][a:u], runs[m]["long"][a:u]
-            run["begin"][u], run["long"][u] = pooled + len(swapped), len(other)
-            swapped += other
-            h = np.zeros(1, _U)
-            with np.errstate(over="ignore"):
-                for e in other:
-                    h = h * _K1 + lat.code(np.array([e]))
-            run["logq"][u] = min(0.0, float(lat.logp[other].sum() - lat.back[lat.origin[kind[u]]]))
-            run["pieces"][u], run["path"][u] = int(lat.width[other].sum()), h[0]
-            fresh[u + 1 : z] = True
-            # what is left at this unit of the mother: its mass without all that came out
-            gone.append(other)
-            left = 1.0 - sum(float(np.exp(lat.logp[x].sum() - lat.back[lat.origin[kind[u]]])) for x in gone)
-            if left > 1e-12:
-                v = runs[m]["logq"][a:u].sum() + np.log(left) - np.log(-np.log(uniform(keys[d : d + 1], unit[u : u + 1], 1 << 22, s)[0]))
-                fronts[m][u] = min(top[j], v) - np.log1p(np.exp(-abs(top[j] - v)))
-            else:
-                fronts[m][u] = -np.inf
-        again = np.flatnonzero(fresh)
-        st, q, p, h = lat.draw(kind[again], key[again], unit[again], s)
-        run["logq"][again], run["pieces"][again], run["path"][again] = q, p, h
-        edges, long = _flat(st, len(again))
-        run["begin"][again], run["long"][again] = pooled + len(swapped) + np.cumsum(long) - long, long
-        pools += [np.array(swapped, np.int32), edges]
-        pooled += len(swapped) + len(edges)
-        runs.append(run)
-        f = siblings(run["logq"], bound, fresh, s)
-        f[mother[doc] < 0] = -np.inf
-        fronts.append(f)
+        picked = np.flatnonzero(np.isfinite(top))
+        bound[full[picked]] = top[picked]
         value.append(bound)
-    pool = np.concatenate(pools) if want_ids else None
+        run = Run()
+        runs.append(run)
+        if not len(picked):
+            fronts.append(np.full(n, -np.inf))
+            continue
+        spot = np.zeros(len(picked), np.int64)  # the unit that changes
+        for j, p in enumerate(picked.tolist()):
+            a = heads[p]
+            spot[j] = a + fronts[src[p]][a : a + counts[full[p]]].argmax()
+        here, which = np.unique(kind[spot], return_inverse=True)
+        lat = Lattice(voc, [units.types[i] for i in here.tolist()])
+        bases = stream(keys[doc[spot]], unit[spot], s)
+        noise = -np.log(-np.log(_uniform(stream(keys[doc[spot]], unit[spot], s), 1 << 22)))
+        same, fresh = [[] for _ in runs], []
+        mother = src[picked]
+        before = np.array([runs[m].logq[a:u].sum() for m, a, u in zip(mother.tolist(), heads[picked].tolist(), spot.tolist(), strict=True)])
+        plain = np.array([(m, u) not in out_of for m, u in zip(mother.tolist(), spot.tolist(), strict=True)])
+        swapped: list[tuple[int, ...]] = [()] * len(picked)
+        left = np.zeros(len(picked))
+        for m in np.unique(mother[plain]).tolist():  # only one segmentation is gone: all texts at once
+            js = np.flatnonzero(plain & (mother == m))
+            old, size = runs[m].pieces(spot[js]), runs[m].long[spot[js]]
+            flat, begin, long, rest = lat.draw_beside(which[js], old, size, bases[js])
+            new = np.add.reduceat(voc.logp_of(flat), begin) - lat.back[lat.origin[which[js]]]
+            left[js] = np.exp(rest + _log1mexp(np.minimum(0.0, new - rest)))
+            tight = new - rest > -1e-6  # hardly anything else is left: exact below
+            cuts, ends = (np.cumsum(x) for x in (size, long))
+            for i, j in enumerate(js.tolist()):
+                swapped[j] = tuple(flat[begin[i] : ends[i]].tolist())
+                gone = out_of[m, int(spot[j])] = [tuple(old[cuts[i] - size[i] : cuts[i]].tolist()), swapped[j]]
+                if tight[i]:
+                    left[j] = Others(lat, int(which[j]), gone).mass
+        for j in np.flatnonzero(~plain).tolist():
+            gone = out_of[int(mother[j]), int(spot[j])]
+            swapped[j] = Others(lat, int(which[j]), gone).draw(_steps(bases[j]))
+            gone.append(swapped[j])
+            left[j] = Others(lat, int(which[j]), gone).mass
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v, bar = before + np.log(left) + noise, top[picked]
+            v = np.where(left > 0, np.minimum(bar, v) - np.log1p(np.exp(-np.abs(bar - v))), -np.inf)
+        for j, m in enumerate(mother.tolist()):
+            fronts[m][spot[j]] = v[j]
+            same[m].append((int(heads[picked[j]]), int(spot[j])))
+            fresh.append((int(spot[j]) + 1, int(heads[picked[j]] + counts[full[picked[j]]])))
+        for m, spans in enumerate(same):
+            if spans:
+                begin = np.array([x[0] for x in spans])
+                run.copy(runs[m], _spread(begin, np.array([x[1] for x in spans]) - begin))
+        flat, long = np.array(list(itertools.chain.from_iterable(swapped)), np.int32), np.array([len(x) for x in swapped], np.int32)
+        begin = np.cumsum(long, dtype=np.int64) - long
+        logq = np.minimum(0.0, np.add.reduceat(voc.logp_of(flat), begin) - lat.back[lat.origin[which]])
+        run.add(spot, flat, begin, long, logq)
+        begin = np.array([x[0] for x in fresh])
+        again = _spread(begin, np.array([x[1] for x in fresh]) - begin)
+        run.fill(again, s)
+        fronts.append(run.siblings(bound, again, s))
+    held.clear()
+    columns = []
     for s, run in enumerate(runs):
-        if want_ids:
-            cuts = np.concatenate([[0], np.cumsum(run["long"])])[np.append(heads, len(kind))]
-            ids = lat.ids_of(voc, pool[_spread(run["begin"], run["long"])], cuts)
-        with np.errstate(over="ignore"):
-            digest = np.add.reduceat(mix(run["path"] + salt), heads)
-        logq, pieces = np.add.reduceat(run["logq"], heads), np.add.reduceat(run["pieces"], heads)
-        for j, d in enumerate(full):
-            if not np.isfinite(value[s][d]):
-                continue
-            x = float(logq[j] - cutoff[d]) if np.isfinite(cutoff[d]) else np.inf
-            row = {
-                "pieces": int(pieces[j]),
-                "logp": float(logq[j]),
-                "log_inclusion": 0.0 if x > 3.6 else (x if x < -30 else float(np.log(-np.expm1(-np.exp(x))))),
-                "hash": int(digest[j].astype(np.int64)),
-            }
-            if want_ids:
-                row["ids"] = ids[j]
-            out[d].append(row)
-    return out
+        here = np.flatnonzero(np.isfinite(value[s][full]))
+        if not len(here):
+            continue
+        texts = full[here]
+        at = _spread(base[texts], counts[texts]) if len(here) < len(full) else every
+        ends = np.cumsum(counts[texts])
+        cuts = np.concatenate([[0], np.cumsum(run.long[at], dtype=np.int64)])[np.concatenate([[0], ends])]
+        ids, cuts = voc.expand(run.pieces(at), cuts)
+        logp = np.add.reduceat(run.logq[at], ends - counts[texts])
+        x = np.where(np.isfinite(cutoff[texts]), logp - cutoff[texts], np.inf)
+        with np.errstate(over="ignore", divide="ignore"):
+            inclusion = np.where(x > 3.6, 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 3.6))))))
+        columns.append((texts, np.diff(cuts), logp, inclusion, _hashes(ids, cuts), ids))
+        run.flat = []
+    order = np.lexsort((np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns]), np.concatenate([c[0] for c in columns])))
+    pieces, logp, inclusion, digest = (np.concatenate([c[i] for c in columns])[order] for i in (1, 2, 3, 4))
+    if want_ids:
+        size = np.concatenate([c[1] for c in columns])
+        ids = np.concatenate([c[5] for c in columns])[_spread((np.cumsum(size) - size)[order], size[order])]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pieces)]).astype(np.int32)), pa.array(ids))
+    else:
+        lists = pa.nulls(len(order), pa.list_(pa.int32()))
+    rows = pa.StructArray.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(logp), pa.array(inclusion), pa.array(digest), lists], fields=list(_SAMPLE))
+    per = np.bincount(np.concatenate([c[0] for c in columns]), minlength=n_texts)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), rows)
+
+
+def sample_block(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_ids: bool) -> list[list[dict]]:
+    """``samples`` as Python rows."""
+    return samples(voc, units, keys, k, want_ids).to_pylist()
 
 
 SAMPLE = "struct<pieces:int,logp:double,log_inclusion:double,hash:bigint,ids:array<int>>"
@@ -474,9 +678,6 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
     src = docs.select(*cols, F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-2])
     names = [*cols, "n_pieces", "ids", "ids_hash", "round_trip", "samples"]
-    sample_type = pa.list_(
-        pa.struct([("pieces", pa.int32()), ("logp", pa.float64()), ("log_inclusion", pa.float64()), ("hash", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
@@ -490,40 +691,27 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
                 units = Units([t or "" for t in part.column(n - 1).to_pylist()])
                 keys = mix(part.column(n - 2).to_numpy().view(_U))
                 per_type = voc.encode_units(units.types)
-                right = np.array([voc.decode_unit(x) == u for x, u in zip(per_type, units.types, strict=True)], bool)
+                right = None if with_ids else np.array([voc.decode_unit(x) == u for x, u in zip(per_type, units.types, strict=True)], bool)
                 length = np.array([len(x) for x in per_type], np.int64)
-                flat = np.fromiter(itertools.chain.from_iterable(per_type), np.int64, int(length.sum()))
-                origin = np.concatenate([[0], np.cumsum(length)])[:-1]
-                size_of = length[units.kind]
-                total = np.concatenate([[0], np.cumsum(size_of)])
-                cuts = total[np.concatenate([[0], np.cumsum(units.counts)])]
-                take = np.repeat(origin[units.kind] - total[:-1], size_of) + np.arange(total[-1])
-                ids = flat[take]
-                place = np.arange(total[-1]) - np.repeat(cuts[:-1], np.diff(cuts))
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[_U(0)], np.cumsum(mix(ids.astype(_U) + mix(place.astype(_U))), dtype=_U)])
-                    hashes = mix(sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64)
-                wrong = np.concatenate([[0], np.cumsum(~right[units.kind])])[np.concatenate([[0], np.cumsum(units.counts)])]
-                del per_type, right, length, flat, origin, size_of, total, take, place, sums
-                samples, row = [], 0
-                reach = np.cumsum(units.counts)
-                while row < len(part):
-                    upto = min(len(part), max(row + 1, int(np.searchsorted(reach, (reach[row - 1] if row else 0) + CHUNK_UNITS))))
-                    samples.append(pa.array(sample_block(voc, units.part(row, upto), keys[row:upto], k, with_ids), sample_type))
-                    row = upto
+                flat = np.fromiter(itertools.chain.from_iterable(per_type), np.int32, int(length.sum()))
+                size_of, reach = length[units.kind], np.concatenate([[0], np.cumsum(units.counts)])
+                cuts = np.concatenate([[0], np.cumsum(size_of)])[reach]
+                ids = flat[_spread((np.cumsum(length) - length)[units.kind], size_of)]
+                hashes = _hashes(ids, cuts)
+                del per_type, length, flat, size_of
                 if with_ids:  # whole documents' ids decode to the text
                     back = (voc.decode(ids[a:z].tolist()) for a, z in zip(cuts[:-1], cuts[1:], strict=True))
                     whole = np.array([x == (t or "").replace(MARK, " ") for x, t in zip(back, part.column(n - 1).to_pylist(), strict=True)], bool)
                 else:
-                    whole = np.diff(wrong) == 0
+                    whole = np.diff(np.concatenate([[0], np.cumsum(~right[units.kind])])[reach]) == 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns[: n - 2],
                         pa.array(np.diff(cuts)),
-                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32))) if with_ids else pa.nulls(len(part), pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)) if with_ids else pa.nulls(len(part), pa.list_(pa.int32())),
                         pa.array(hashes),
                         pa.array(whole),
-                        pa.concat_arrays(samples),
+                        samples(voc, units, keys, k, with_ids),
                     ],
                     names=names,
                 )

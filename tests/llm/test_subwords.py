@@ -51,7 +51,7 @@ def test_samples_are_distinct_and_complete():
         assert all(np.isclose(r["logp"], np.log(p[tuple(r["ids"])])) and r["pieces"] == len(r["ids"]) for r in rows)
         first[got[0]] += 1
         second[got[1]] += 1
-    assert min(len(r) for r in out) >= total // 2  # the rest holds less than 1e-12 of a unit's mass
+    assert {len(r) for r in out} == {total}
     for ids, q in p.items():
         assert abs(first[ids] / n - q) < 5 * np.sqrt(q * (1 - q) / n) + 1e-3
         # second draw of sampling without replacement
@@ -102,3 +102,12 @@ def test_registered_query_and_last_stage_put_out_ids(spark, tmp_path):
             text = texts[r.doc_id] or ""
             assert r.ids == voc.sp.encode(text) and r.round_trip
             assert len(r.sample_ids) == len(r.sample_hashes) and all(voc.decode(x) == text for x in r.sample_ids)
+
+
+def test_ranges_of_a_block_change_nothing(monkeypatch):
+    voc = S.vocabulary(PATH)
+    texts = ["one text here, with a \U0001f600 and more words", "", "x", "another longer text with words " * 3]
+    keys = S.mix(np.arange(4).astype(np.uint64))
+    whole = S.sample_block(voc, S.Units(texts), keys, 6, True)
+    monkeypatch.setattr(S, "RANGE_UNITS", 2)
+    assert S.sample_block(voc, S.Units(texts), keys, 6, True) == whole
