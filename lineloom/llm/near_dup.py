@@ -4,8 +4,9 @@ Documents with the same shingle sequence collapse into one class.  Two sets
 that link share one of the first ``n - ceil(0.75 n) + 1`` tokens of a common
 order (corpus-frequent tokens last), so only those prefixes are compared:
 
-1. per prefix token, every class is paired with the token's centre, the
-   pairs are verified exactly and linked classes merge into components;
+1. per prefix token, every class is paired with the token's centre; pairs whose
+   largest possible overlap (sizes and bitmaps) is too small are dropped, the
+   others verified exactly, and linked classes merge into components;
 2. tokens that still hold several components are joined by signature trees:
    nodes carry OR- and AND-combined bitmaps, size ranges and the component; a
    dual traversal drops node pairs inside one component and those whose largest
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import stage
+from .common import discard, stage
 
 SIZE = 5
 HOT_SHARE = 0.002
@@ -35,24 +36,15 @@ _U = np.uint64
 GROUP = 2048  # rows of one token joined in one block; larger tokens are dealt out as pairs of blocks
 
 
-_CODEC = pa.Codec("zstd", 3)
+#: Classes whose texts are asked for by broadcasting their ids; more are joined by a shuffle.
+FEW = 200_000
 
 
-def pack(texts: pa.Array) -> pa.Array:
-    """Each text compressed, after its length in 8 bytes."""
-    return pa.array([len(x.as_buffer()).to_bytes(8, "little") + _CODEC.compress(x.as_buffer(), asbytes=True) for x in texts], pa.binary())
+def class_sets(texts: pa.Array, clashes: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(row, class key, second key, sorted distinct shingle hashes) of every text; key 0 and no shingles without words.
 
-
-def unpack(packed: pa.Array) -> pa.Array:
-    out = []
-    for x in packed:
-        v = x.as_buffer()
-        out.append(_CODEC.decompress(v.slice(8), int.from_bytes(v.slice(0, 8).to_pybytes(), "little"), asbytes=True))
-    return pa.array(out, pa.binary()).cast(pa.string())
-
-
-def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, class key, sorted distinct shingle hashes) of every text; key 0 and no shingles without words."""
+    Keys in ``clashes`` belong to several word sequences: there the second key goes into the first.
+    """
     for i, j, raw, off in textnp.blocks(texts):
         h1, h2, _, _, wb = textnp.words(raw, off, True)
         grams = textnp.chain(h1, np.arange(max(0, len(h1) - SIZE + 1)), SIZE)
@@ -61,11 +53,19 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             for d in range(j - i):
                 a, z = int(wb[d]), int(wb[d + 1])
                 if a == z:
-                    yield i + d, 0, np.zeros(0, _U)
+                    yield i + d, 0, 0, np.zeros(0, _U)
                     continue
-                seq = textnp.mix(h1[a:z] + place[: z - a]).sum(dtype=_U) ^ (textnp.mix(h2[a:z] ^ place[: z - a]).sum(dtype=_U) * _U(3))
-                key = int(textnp.mix(np.array([seq], _U)).view(np.int64)[0]) or 1
-                yield i + d, key, np.unique(grams[a : z - SIZE + 1]) if z - a >= SIZE else textnp.chain(h1, np.array([a]), z - a)
+                second = textnp.mix(h2[a:z] ^ place[: z - a]).sum(dtype=_U)
+                seq = textnp.mix(h1[a:z] + place[: z - a]).sum(dtype=_U) ^ (second * _U(3))
+                key, second = (int(x) for x in textnp.mix(np.array([seq, second], _U)).view(np.int64))
+                if key in clashes:
+                    key = int(textnp.mix(np.array([key, second], np.int64).view(_U))[0] ^ textnp.mix(np.array([second], np.int64).view(_U))[0]) - (1 << 63)
+                yield i + d, key or 1, second, np.unique(grams[a : z - SIZE + 1]) if z - a >= SIZE else textnp.chain(h1, np.array([a]), z - a)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, class key, sorted distinct shingle hashes) of every text."""
+    return ((row, key, s) for row, key, _, s in class_sets(texts))
 
 
 def _prefix(s: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> np.ndarray:
@@ -90,33 +90,30 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return sig
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    """(id, k, n, token, df): a row per document with its class and set size, and rows for locally frequent tokens."""
+def _members(docs: DataFrame, clashes: frozenset[int]) -> DataFrame:
+    """(id, h, k, k2, n, token, df): a row per document with its class and set size, and rows for locally frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, sets = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), {}
-            for row, key, s in shingle_sets(b.column(1)):
-                keys[row], sizes[row] = key, len(s)
+            keys, seconds, sizes, sets = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), {}
+            for row, key, second, s in class_sets(b.column(2), clashes):
+                keys[row], seconds[row], sizes[row] = key, second, len(s)
                 if key:
                     sets[key] = s
             least = max(3, int(len(sets) * HOT_SHARE / 2))
             token, df = np.unique(np.concatenate([*sets.values(), np.zeros(0, _U)]), return_counts=True)
             often = df >= least
             m, h = b.num_rows, int(often.sum())
-            pad = lambda x, y: pa.concat_arrays([x, y])
+            both = lambda x, y: pa.concat_arrays([x, pa.nulls(h, x.type)] if y is None else [pa.nulls(m, y.type), y])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pad(b.column(0), pa.nulls(h, b.column(0).type)),
-                    pad(pa.array(keys), pa.nulls(h, pa.int64())),
-                    pad(pa.array(sizes), pa.nulls(h, pa.int64())),
-                    pad(pa.nulls(m, pa.int64()), pa.array(token[often].view(np.int64))),
-                    pad(pa.nulls(m, pa.int64()), pa.array(df[often].astype(np.int64))),
+                    *(both(x, None) for x in (b.column(0), b.column(1), pa.array(keys), pa.array(seconds), pa.array(sizes))),
+                    *(both(None, x) for x in (pa.array(token[often].view(np.int64)), pa.array(df[often].astype(np.int64)))),
                 ],
-                names=["id", "k", "n", "token", "df"],
+                names=["id", "h", "k", "k2", "n", "token", "df"],
             )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k bigint, n bigint, token bigint, df bigint")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h bigint, k bigint, k2 bigint, n bigint, token bigint, df bigint")
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,99 +128,193 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([lo[new], hi[new]], axis=1)
 
 
-def _centres(token: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per distinct token its centre (the least class that holds it); and pairs class-centre."""
-    order = np.lexsort((k, token))
-    token, k = token[order], k[order]
-    head = np.ones(len(token), bool)
-    head[1:] = token[1:] != token[:-1]
-    centre = k[head]
-    return token[head], centre, _distinct_pairs(k, centre[np.cumsum(head) - 1])
+_POSTING = np.dtype([("token", "<u8"), ("k", "<i8"), ("n", "<i4"), ("whole", "<i4")])
+LOCAL = 2  # classes of one map batch that a token sends on; from more it sends one, and the batch pairs them
+
+
+def _runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a run of equal values starts."""
+    new = np.zeros(len(sorted_by[0]), bool)
+    new[:1] = True
+    for x in sorted_by:
+        new[1:] |= x[1:] != x[:-1]
+    return new
 
 
 def _dealt(rows: np.ndarray, token: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     where = (token >> _U(40)).astype(np.int64) % buckets
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    for i in range(buckets):
-        if cuts[i] < cuts[i + 1]:
-            yield i, rows[order[cuts[i] : cuts[i + 1]]].tobytes()
+    for i in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        yield i, rows[order[cuts[i] : cuts[i + 1]]].tobytes()
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sig: list[bytes] | None = None) -> pa.Table:
+    m = len(a)
+    return pa.table(
+        [pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(m, pa.int64()) if n is None else pa.array(n.astype(np.int64)), pa.nulls(m, pa.binary()) if sig is None else pa.array(sig, pa.binary())],
+        schema=_FOUND,
+    )
+
+
+PAIR, POSTING, CLASS = 0, 1, 2
 
 
-def _star_pairs(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b): every class with the centres of its prefix tokens.
+def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
+    """PAIR (a, b): every class with the centres of its prefix tokens; POSTING (token a, class b, size n) of tokens that several
+    classes have; CLASS (a, size n, bitmap) of each class.
 
-    Map tasks send one class per token and their own pairs, so a token held by
-    a third of all documents sends a row per map batch.
+    Map batches pair the classes of a frequent token themselves and send one of
+    them on, so a token held by a third of all documents sends a row per batch.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, keys, seen = [], [], set()
-            for _, key, s in shingle_sets(b.column(1)):
+            keys, sizes, sigs, prefixes = [], [], [], []
+            seen: set[int] = set()
+            for _, key, _, s in class_sets(b.column(0), clashes):
                 if key and key not in seen:
                     seen.add(key)
-                    p = _prefix(s, hot, rank)
-                    tokens.append(p)
-                    keys.append(np.full(len(p), key, np.int64))
-            if not tokens:
+                    keys.append(key)
+                    sizes.append(len(s))
+                    sigs.append(_signature(s))
+                    prefixes.append(_prefix(s, hot, rank))
+            if not keys:
                 continue
-            token, centre, pairs = _centres(np.concatenate(tokens), np.concatenate(keys))
-            out = [(i, x, None) for i, x in _dealt(np.stack([token.view(np.int64), centre], axis=1), token, buckets)]
-            out += [(i, None, x) for i, x in _dealt(pairs, textnp.mix(pairs[:, 0].view(_U)), buckets)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
-                names=["bucket", "rows", "pairs"],
-            )
+            long = np.array([len(p) for p in prefixes])
+            post = np.zeros(int(long.sum()), _POSTING)
+            post["token"], post["k"], post["n"] = np.concatenate(prefixes), np.repeat(np.array(keys, np.int64), long), np.repeat(np.array(sizes, np.int32), long)
+            del prefixes
+            post = post[np.lexsort((post["k"], post["token"]))]
+            head = np.flatnonzero(_runs(post["token"]))
+            count = np.diff(np.append(head, len(post)))
+            many = count > LOCAL
+            inside = np.repeat(many, count)
+            local, first = post[inside], np.repeat(post["k"][head], count)[inside]
+            pairs = _distinct_pairs(local["k"], first)
+            ambassador = post[head[many]]
+            ambassador["whole"] = 1
+            post = np.concatenate([post[~inside], ambassador])
+            classes = np.zeros(len(keys), np.dtype([("k", "<i8"), ("n", "<i8"), ("sig", "<u8", BITMAP)]))
+            classes["k"], classes["n"], classes["sig"] = keys, sizes, np.stack(sigs)
+            by = lambda x: textnp.mix(np.ascontiguousarray(x).view(_U))
+            out = [(i, x, 0) for i, x in _dealt(post, post["token"], buckets)]
+            out += [(i, x, 1) for i, x in _dealt(pairs, by(pairs[:, 0]), buckets)]
+            out += [(i, x, 2) for i, x in _dealt(local, local["token"], buckets)]
+            out += [(i, x, 3) for i, x in _dealt(classes, by(classes["k"]), buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "what", "rows"])
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(x for x in table.column("rows").to_pylist() if x), np.int64).reshape(-1, 2)
-        done = np.frombuffer(b"".join(x for x in table.column("pairs").to_pylist() if x), np.int64).reshape(-1, 2)
-        _, _, pairs = _centres(rows[:, 0].copy().view(_U), rows[:, 1].copy())
-        both = np.concatenate([pairs, done])
-        both = _distinct_pairs(both[:, 0], both[:, 1])
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+        def part(what: int, dtype) -> np.ndarray:
+            rows = table.filter(pa.array(table.column("what").to_numpy() == what)).column("rows")
+            return np.frombuffer(b"".join(rows.to_pylist()), dtype)
+
+        post = part(0, _POSTING)
+        post = post[np.lexsort((post["whole"], post["k"], post["token"]))]
+        head = _runs(post["token"])
+        centre = post["k"][head][np.cumsum(head) - 1]
+        done = part(1, np.int64).reshape(-1, 2)
+        pairs = _distinct_pairs(np.concatenate([post["k"], done[:, 0]]), np.concatenate([centre, done[:, 1]]))
+        fresh = _runs(post["token"], post["k"]).astype(np.int64)
+        per = np.add.reduceat(fresh, np.flatnonzero(head)) if len(post) else np.zeros(0, np.int64)
+        sent = post[(per[np.cumsum(head) - 1] > 1) & (fresh > 0) & (post["whole"] == 0)] if len(post) else post
+        shared = np.concatenate([sent, part(2, _POSTING)])
+        classes = part(3, np.dtype([("k", "<i8"), ("n", "<i8"), ("sig", "<u8", BITMAP)]))
+        _, one = np.unique(classes["k"], return_index=True)
+        classes = classes[one]
+        return pa.concat_tables(
+            [
+                _found(PAIR, pairs[:, 0], pairs[:, 1]),
+                _found(POSTING, np.ascontiguousarray(shared["token"]).view(np.int64), shared["k"], shared["n"]),
+                _found(CLASS, classes["k"], classes["k"], classes["n"], [x.tobytes() for x in classes["sig"]]),
+            ]
+        )
+
+    dealt = docs.mapInArrow(spread, "bucket int, what int, rows binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, n bigint, sig binary")
+
+
+def _largest_overlap(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    ones = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - ones(s & ~t), m - ones(t & ~s))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs whose sizes and bitmaps leave room for a link."""
+    side = lambda c: classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    src = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(i).to_numpy() for i in (2, 3))
+            s, t = (np.frombuffer(b"".join(b.column(i).to_pylist()), _U).reshape(-1, BITMAP) for i in (4, 5))
+            yield b.select(["a", "b"]).filter(pa.array(7 * _largest_overlap(n, m, s, t) >= 3 * (n + m)))
+
+    return src.mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets(pairs: DataFrame, src: DataFrame, own: DataFrame, clashes: frozenset[int]) -> DataFrame:
+    """(k, tokens) of the classes in ``pairs``, from one document of each."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    one = stage(own.join(asked, "k").groupBy("k").agg(F.min(F.struct("id", "h")).alias("one")).select(F.col("one.id").alias("_id"), F.col("one.h").alias("_h"), F.col("k").alias("_k")), "asked")
+    asked = F.broadcast(one) if one.count() <= FEW else one
+    texts = src.join(asked, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))).select("_k", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            want, keys, sets = b.column(0).to_numpy(), [], []
+            for row, key, _, s in class_sets(b.column(1), clashes):
+                if key == want[row] and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["k", "tokens"])
+
+    # equal rows may have given a class more than once
+    return texts.mapInArrow(run, "k bigint, tokens binary").groupBy("k").agg(F.first("tokens").alias("tokens"))
 
-    dealt = docs.mapInArrow(spread, "bucket int, rows binary, pairs binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
 
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs whose sets have 100 * intersection >= 75 * union.
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs whose sets have 100 * intersection >= 75 * union."""
-    src = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    A class that is in many pairs is joined from several copies, each with a share of the pairs.
+    """
+    ends = pairs
+    for c in ("a", "b"):
+        copies = pairs.groupBy(c).count().select(F.col(c).alias("k"), F.ceil(F.col("count") / GROUP).cast("int").alias("copies"))
+        dealt = sets.join(copies, "k").select(F.col("k").alias(c), "copies", F.col("tokens").alias(f"tokens_{c}"))
+        few = dealt.select(c, f"tokens_{c}", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+        turn = copies.where("copies > 1").select(F.col("k").alias(c), "copies")
+        ends = ends.join(F.broadcast(turn) if turn.limit(FEW + 1).count() <= FEW else turn, c, "left")
+        other = "b" if c == "a" else "a"
+        ends = ends.withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies").join(few, [c, "copy"]).drop("copy")
+    src = ends.select("a", "b", "tokens_a", "tokens_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                ok = []
-                known: dict[int, np.ndarray] = {}
-                for key, col in ((0, 2), (1, 3)):
-                    ids = b.column(key).to_pylist()
-                    rows = {k: i for i, k in enumerate(ids) if k not in known}
-                    part = unpack(b.column(col).take(pa.array(list(rows.values()), pa.int64())))
-                    known.update(zip(rows, (s for _, _, s in shingle_sets(part)), strict=True))
-                for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    s, t = known[x], known[y]
-                    if 4 * min(len(s), len(t)) < 3 * max(len(s), len(t)):
-                        ok.append(False)
-                        continue
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    ok.append(100 * both >= 75 * (len(s) + len(t) - both))
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(100 * both >= 75 * (len(s) + len(t) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return src.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(k, root): every node of ``edges`` (a, b) with the smallest node of its component.
 
-    Alternating large-star and small-star steps; the edge table is staged after
-    each round, and its size and hash tell when it stands still.
+    Alternating large-star and small-star steps until nothing moves; the edge
+    table is staged after each, and its size and hash tell when it stands still.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     state = None
-    for _ in range(rounds):
+    while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -234,7 +325,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         large = stage(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stage(small.where("u <> v").distinct(), name)
+        after = stage(small.where("u <> v").distinct(), name)
+        discard(e, large)
+        e = after
     return e.select(F.col("u").alias("k"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("k"), F.col("v").alias("root"))).distinct()
 
 
@@ -288,61 +381,23 @@ class Tree:
         return np.concatenate(xs), np.concatenate(ys)
 
 
-def _tree_pairs(texts: DataFrame, labels: DataFrame, hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b): class pairs of different components that a signature tree of some shared prefix token can't rule out."""
-    src = texts.join(labels, "k", "left").select("k", F.coalesce("root", "k").alias("root"), "text")
+def _tree_pairs(postings: DataFrame, classes: DataFrame, labels: DataFrame | None, buckets: int) -> DataFrame:
+    """(a, b): class pairs of different components that a signature tree of some shared prefix token can't rule out.
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per token and component of the batch."""
-        for b in batches:
-            tokens, roots = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-            root = b.column(1).to_numpy()
-            for row, _, s in shingle_sets(unpack(b.column(2))):
-                p = _prefix(s, hot, rank)
-                tokens.append(p)
-                roots.append(np.full(len(p), root[row]))
-            token, root = np.concatenate(tokens), np.concatenate(roots)
-            order = np.lexsort((root, token))
-            token, root = token[order], root[order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (root[1:] != root[:-1])
-            token, root = token[new], root[new]
-            out = list(_dealt(np.stack([token.view(np.int64), root], axis=1), token, buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "rows"])
-
-    def several(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.int64).reshape(-1, 2)
-        rows = np.unique(rows, axis=0)
-        token, count = np.unique(rows[:, 0], return_counts=True)
-        return pa.table({"token": token[count > 1]})
-
-    mixed = stage(src.mapInArrow(tell, "bucket int, rows binary").groupBy("bucket").applyInArrow(several, "token bigint"), "mixed-tokens")
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, which, sizes = [np.zeros(0, _U)], [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
-            for row, _, s in shingle_sets(unpack(b.column(2))):
-                p = _prefix(s, hot, rank)
-                tokens.append(p)
-                which.append(np.full(len(p), row))
-                sizes[row] = len(s)
-            at = pa.array(np.concatenate(which))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(sizes).take(at)], names=["token", "k", "root", "n"])
-
-    def sig_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs = [_signature(s).tobytes() for _, _, s in shingle_sets(unpack(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], names=["k", "sig"])
-
-    rows = stage(src.mapInArrow(rows_of, "token bigint, k bigint, root bigint, n bigint").join(mixed, "token"), "mixed-rows")
-    sigs = stage(texts.select("k", "text").join(rows.select("k").distinct(), "k", "left_semi").mapInArrow(sig_of, "k bigint, sig binary"), "signatures")
+    Without ``labels`` every class is a component of its own.
+    """
+    roots = classes.select(F.col("a").alias("k"), "n", "sig")
+    roots = roots.withColumn("root", F.col("k")) if labels is None else roots.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    named = postings.join(roots.select("k", "root"), "k")
+    spans = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = stage(named.join(spans.where("lo <> hi").select("token"), "token").select("token", "k").distinct(), "mixed-rows")
     count = rows.groupBy("token").count().select("token", F.ceil(F.col("count") / GROUP).cast("int").alias("g"))
     block = F.when(F.col("g") > 1, F.pmod(F.xxhash64("k"), F.col("g")).cast("int")).otherwise(0)
     dealt = (
         rows.join(count, "token")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .join(sigs, "k")
+        .join(roots, "k")
         .select(
             F.when(F.col("g") > 1, F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod("token", F.lit(buckets * 4))).alias("part"),
             "token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "k", "root", "n", "sig",
@@ -367,40 +422,37 @@ def _tree_pairs(texts: DataFrame, labels: DataFrame, hot: np.ndarray, rank: np.n
     return dealt.groupBy("part").applyInArrow(lambda t: join_part(t), "a bigint, b bigint").distinct()
 
 
-def _prepared(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray, np.ndarray, int]:
-    """Rows with class and set size, class-centre pairs, texts of the paired classes, frequent tokens, their ranks, buckets."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = stage(_members(src), "members")
-    own = members.where(F.col("k").isNotNull()).select("id", "k", "n")
-    totals = own.agg(F.count(F.lit(1)), F.sum("n")).first()
-    buckets = max(64, int((totals[1] or 0) / 4 * 16 / (4 << 20)))
-    # at most (mean set size / HOT_SHARE) tokens can be in that share of documents
-    hot_rows = (
-        members.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(4, int(totals[0] * HOT_SHARE))).toArrow()
-    )
-    token, df = hot_rows.column("token").to_numpy().view(_U), hot_rows.column("df").to_numpy()
-    order = np.argsort(token)
-    hot, rank = token[order].copy(), df[order].copy()
-    pairs = stage(_star_pairs(src, hot, rank, buckets), "star-pairs")
-    ids = own.where("k <> 0").groupBy("k").agg(F.min("id").alias("id"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(ids, "k")
-
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose text is of the class asked for (ids may repeat with other texts), packed: they are shuffled again."""
-        seen: set[int] = set()
-        for b in batches:
-            want = b.column(0).to_numpy()
-            ok = np.zeros(b.num_rows, bool)
-            for row, key, _ in shingle_sets(b.column(1)):
-                if key == want[row] and key not in seen:
-                    seen.add(key)
-                    ok[row] = True
-            kept = b.filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([kept.column(0), pack(kept.column(1))], names=["k", "text"])
-
-    found = src.join(needed, src["id"].eqNullSafe(needed["id"])).select("k", "text").mapInArrow(own_text, "k bigint, text binary")
-    texts = stage(found, "class-texts")
-    return own, pairs, texts, hot, rank, buckets
+class _Parts:
+    """What both joins start from: rows with class and size, star pairs, postings of shared tokens, classes with bitmaps."""
+
+    def __init__(self, docs: DataFrame, text_col: str, id_col: str):
+        self.src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+        self.clashes: frozenset[int] = frozenset()
+        while True:  # once, unless two word sequences share a 64-bit key
+            members = stage(_members(self.src, self.clashes), "members")
+            self.own = members.where("k is not null").select("id", "h", "k", "n")
+            keys = members.where("k <> 0").groupBy("k").agg(F.min("k2").alias("lo"), F.max("k2").alias("hi")).where("lo <> hi")
+            more = {r["k"] for r in keys.select("k").collect()}  # some rows ** 2 / 2 ** 65
+            if not more:
+                break
+            self.clashes |= more
+        totals = self.own.agg(F.count(F.lit(1)), F.sum("n")).first()
+        self.buckets = max(64, int((totals[1] or 0) / 4 * 24 / (4 << 20)))
+        # at most (mean set size / HOT_SHARE) tokens can be in that share of documents
+        hot_rows = members.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= max(4, int(totals[0] * HOT_SHARE))).toArrow()
+        token, df = hot_rows.column("token").to_numpy().view(_U), hot_rows.column("df").to_numpy()
+        order = np.argsort(token)
+        found = stage(_star(self.src.select("text"), self.clashes, token[order].copy(), df[order].copy(), self.buckets), "star")
+        self.pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
+        self.postings = found.where(F.col("kind") == POSTING).select(F.col("a").alias("token"), F.col("b").alias("k"))
+        self.classes = found.where(F.col("kind") == CLASS).select("a", "n", "sig")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those of ``pairs`` that link."""
+        sets = stage(_sets(pairs, self.src, self.own, self.clashes), f"{name}-sets")
+        out = stage(_linked(pairs, sets), name)
+        discard(sets)
+        return out
 
 
 def near_links(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -409,16 +461,15 @@ def near_links(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     Rows of one class link to each other.  Links between classes are all
     verified, those inside one component too, so a group of n near copies costs
     up to n * n / 2 checks of classes.  Rows without words have their own id and
-    no links; null ids as in ``near_duplicates``.
+    no links; null ids, repeated rows and long texts as in ``near_duplicates``.
     """
-    own, _, texts, hot, rank, buckets = _prepared(docs, text_col, id_col)
-    alone = texts.select("k", F.col("k").alias("root"))  # every class a component of its own: no pair is skipped
-    links = stage(_linked(_tree_pairs(texts, alone, hot, rank, buckets), texts), "all-links")
-    classes = own.where("k <> 0").groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    p = _Parts(docs, text_col, id_col)
+    links = p.verified(stage(_tree_pairs(p.postings, p.classes, None, p.buckets), "tree-pairs"), "all-links")
+    classes = p.own.where("k <> 0").groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("k").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "k")
     found = classes.join(others, "k", "left").select("k", "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return own.join(found, "k", "left").select(
+    return p.own.join(found, "k", "left").select(
         F.col("id").alias(id_col), F.when(F.col("k") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
     )
 
@@ -430,18 +481,22 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     hold distinct 5-word shingles (a shorter text is one shingle); two texts link
     when 100 * intersection >= 75 * union.  Null, empty and word-less texts have
     0 shingles and form their own component.  A null id takes its component's
-    smallest id and never names one; repeated rows each get their row.
+    smallest id and never names one; repeated rows each get their row.  Texts
+    are taken whole, a long one as a block of its own; only ``text_col`` and
+    ``id_col`` are read, so no other column's name matters.
     """
-    own, pairs, texts, hot, rank, buckets = _prepared(docs, text_col, id_col)
-    links = stage(_linked(pairs, texts), "links")
+    p = _Parts(docs, text_col, id_col)
+    pairs = stage(_possible(p.pairs, p.classes), "star-pairs")
+    links = p.verified(pairs, "links")
     labels = stage(components(links), "labels")
-    rest = _tree_pairs(texts, labels, hot, rank, buckets)
-    late = stage(_linked(rest.join(pairs, ["a", "b"], "left_anti"), texts), "late-links")
-    if late.first() is not None:
-        labels = stage(components(links.unionByName(late)), "labels")
-    classes = own.select("k").distinct().join(labels, "k", "left").select("k", F.coalesce("root", "k").alias("root"))
-    smallest = own.where("k <> 0").groupBy("k").agg(F.min("id").alias("low")).join(classes, "k").groupBy("root").agg(F.min("low").alias("component_id"))
+    rest = stage(_tree_pairs(p.postings, p.classes, labels, p.buckets).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
+    if rest.first() is not None:
+        late = p.verified(rest, "late-links")
+        if late.first() is not None:
+            labels = stage(components(links.unionByName(late)), "labels")
+    classes = p.own.select("k").distinct().join(labels, "k", "left").select("k", F.coalesce("root", "k").alias("root"))
+    smallest = p.own.where("k <> 0").groupBy("k").agg(F.min("id").alias("low")).join(classes, "k").groupBy("root").agg(F.min("low").alias("component_id"))
     class_of = classes.join(smallest, "root").select("k", "component_id")
-    return own.join(class_of, "k", "left").select(
+    return p.own.join(class_of, "k", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("k") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -28,7 +28,7 @@ from .textnp import AS_IS, BLOCK, mix, words
 
 MARK = "▁"
 #: Texts that share one table of distinct units (a longer text is a block of its own), and occurrences that share a lattice.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 RANGE_UNITS = 800_000
 DENSE = 128  # columns of the trie's table
 _U = np.uint64

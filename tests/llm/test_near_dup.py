@@ -103,3 +103,27 @@ def test_links_equal_brute_force(spark):
 
 def words(text):
     return (text or "").lower().split()
+
+
+def test_long_chain_keeps_no_rounds_in_reserve(spark):
+    """A chain needs more rounds the longer it is; none is left in pieces."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)], "a bigint, b bigint")
+    assert {r["root"] for r in near_dup.components(edges).collect()} == {1}
+
+
+def test_equal_keys_of_different_texts_are_told_apart(spark, monkeypatch):
+    """Two word sequences under one 64-bit key, as the second key tells, stay two classes."""
+    import pyarrow as pa
+
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    (_, ka, sa, _), (_, kb, sb, _) = near_dup.class_sets(pa.array([a, b]))
+    assert ka != kb and sa != sb
+    again = list(near_dup.class_sets(pa.array([a, b]), frozenset([ka, kb])))
+    assert len({ka, kb, again[0][1], again[1][1]}) == 4
+
+
+def test_long_text_and_other_columns(spark):
+    t = " ".join(f"w{i % 5000}x{i // 5000}" for i in range(60000))
+    docs = spark.createDataFrame([(1, t, 0), (2, t + " end", 0), (3, "short", 0)], "doc_id bigint, text string, k int")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
