@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import dataclasses
+import json
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class Thresholds:
+    """Limits of the alarm rules and the constraint detector. Fixed values."""
+
     green: float = 2.0
     alert: float = 3.0
     trend_window: int = 5
@@ -33,6 +37,8 @@ ADAPTED = Thresholds(green=1.0, alert=1.5, trend_last=1.0, trend_rise=0.8, cross
 
 @dataclass(frozen=True)
 class Oven:
+    """First-order thermal model and the search for its time constant. Fixed values."""
+
     setpoint: float = 178.0
     ambient: float = 25.0
     tau: float = 42.0
@@ -60,23 +66,29 @@ class Economics:
     actionable: tuple[float, ...] = (0.05, 0.35, 0.6, 0.78, 0.85)
 
 
-#: Faults laid over the adapted line (station numbers are suppliers). Fixed values.
+#: Faults laid over the adapted line (station numbers are suppliers), active in a range of vehicles or at listed ones. Fixed values.
 INJECTIONS = [
-    # id, kind, station, parameter, start, end, size in standard deviations
-    ("inj1", "trend", 3, "quantity", 250, 300, 0.08),
-    ("inj2", "point", 5, "discount", 260, 262, 4.0),
-    ("inj3", "anomaly", 7, "tax", 300, 340, 1.5),
-    ("inj4", "bottleneck", 4, "cycle_time", 240, 420, 0.05),
-    ("inj5", "latent_defect", 2, "extendedprice", 280, 380, 1.2),
-    ("inj6", "bottleneck", 9, "cycle_time", 310, 450, 0.04),
+    # id, kind, station, parameters, start, stop, vehicles, size in standard deviations
+    ("inj1", "trend", 1, ["quantity"], 250, 300, None, 0.08),
+    ("inj2", "point", 5, ["discount"], None, None, [260, 261, 262], 4.0),
+    ("inj3", "cross_parameter", 7, ["tax", "discount"], 300, 340, None, 1.5),
+    ("inj4", "bottleneck", 4, ["cycle_time"], 240, 420, None, 0.05),
+    ("inj5", "latent_defect", 2, ["extendedprice"], 280, 380, None, 1.2),
+    ("inj6", "bottleneck", 9, ["cycle_time"], 310, 450, None, 0.04),
 ]
 
 #: Station groups: prefix, area, stations, instrumented share, base cycle. Fixed values.
 GROUPS = [("BIW", "Body", 14, 0.72, 52.0), ("PNT", "Paint", 10, 0.70, 55.0), ("FNL", "Final", 16, 0.69, 50.0)]
 
+#: Rollout phases (name, weeks, cost) and sensor plan (item, stations, unit cost). Fixed values of the adapted plant.
+PHASES = [("pilot", 12.0, 120000.0), ("line", 20.0, 310000.0), ("plant", 36.0, 540000.0)]
+SENSORS = [("torque", [3, 6, 9], 4200.0), ("vision", [12, 15], 18500.0), ("thermal", [18], 2600.0)]
 
-@dataclass(frozen=True)
-class Plant:
-    thresholds: Thresholds = field(default_factory=Thresholds)
-    oven: Oven = field(default_factory=Oven)
-    economics: Economics = field(default_factory=Economics)
+
+def load(text: str, kind: type):
+    """Settings of ``kind`` from a JSON object; names it does not have raise, those left out keep their defaults."""
+    given = json.loads(text)
+    unknown = set(given) - {f.name for f in dataclasses.fields(kind)}
+    if unknown:
+        raise ValueError(f"{kind.__name__} has no {sorted(unknown)}")
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})

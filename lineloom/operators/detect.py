@@ -1,141 +1,211 @@
-"""Baselines, z-scores and the alarm detectors."""
+"""Baselines, z-scores and the alarm detectors, over wide rows: one per station and vehicle, one column per parameter.
+
+``lineloom.sources.adapters.line`` gives such rows in one shuffle by station;
+nothing here shuffles them again (but the one-row EWMA limit, which reads them a
+second time).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..functions import series as S
+from ..sources.adapters import PARAMETERS, readings
 
-KEY = ["station", "parameter"]
+STATION = ["station"]
 
 
-def warm(df: DataFrame, th: Thresholds, keys: list[str], floor: int = 30, share: int = 2) -> DataFrame:
-    """Rows of the warm-up prefix: min(warmup, max(floor, n div share)) vehicles, n per key."""
-    n = F.max("vehicle").over(Window.partitionBy(*keys))
-    limit = F.least(F.lit(th.warmup), F.greatest(F.lit(floor), F.floor(n / share)))
-    return df.withColumn("_limit", limit).where("vehicle <= _limit").drop("_limit")
+def early(th: Thresholds, floor: int = 30, share: int = 2) -> Column:
+    """The warm-up prefix: min(warmup, max(floor, n div share)) vehicles of the station's n."""
+    n = F.max("vehicle").over(Window.partitionBy("station"))
+    return F.col("vehicle") <= F.least(F.lit(th.warmup), F.greatest(F.lit(floor), F.floor(n / share)))
 
 
-def baseline_cells(rd: DataFrame, th: Thresholds = Thresholds(), least: int = 12) -> DataFrame:
+def baseline_cells(wide: DataFrame, th: Thresholds = Thresholds(), least: int = 12, parameters: list[str] = PARAMETERS) -> DataFrame:
     """mean, std and n per (station, parameter, variant) and, variant null, per (station, parameter), over the warm-up."""
-    w = warm(rd, th, ["station"])
+    w = readings(wide.where("instrumented").withColumn("_early", early(th)).where("_early"), {"value": ""}, parameters)
     cells = w.groupingSets([["station", "parameter", "variant"], ["station", "parameter"]], "station", "parameter", "variant").agg(
         F.avg("value").alias("mean"), F.greatest(F.stddev_samp("value"), F.lit(1e-6)).alias("std"), F.count(F.lit(1)).alias("n"), F.grouping("variant").cast("int").alias("pooled")
     )
     return cells.where(F.col("n") >= least)
 
 
-def score(rd: DataFrame, th: Thresholds = Thresholds(), enough: int = 36) -> DataFrame:
-    """z (3 decimals) of every reading against its variant's mean, shrunk toward the pooled one, and the pooled spread."""
-    cells = baseline_cells(rd, th)
-    cell = cells.where("pooled = 0").select("station", "parameter", "variant", F.col("mean").alias("cm"), F.col("std").alias("cs"), F.col("n").alias("cn"))
-    pool = cells.where("pooled = 1").select("station", "parameter", F.col("mean").alias("pm"), F.col("std").alias("ps"), F.col("n").alias("pn"))
-    delta = F.col("cm") - F.col("pm")
-    shrink = F.greatest(F.lit(0.0), 1 - (F.col("ps") * F.col("ps") / F.greatest(F.col("cn"), F.lit(1))) / F.greatest(delta * delta, F.lit(1e-12)))
-    mixed = F.col("cm").isNotNull() & F.col("pm").isNotNull() & (F.col("pn") >= enough)
-    mean = F.when(mixed, F.col("pm") + delta * shrink).otherwise(F.coalesce("cm", "pm", F.lit(0.0)))
-    std = F.when(mixed, F.col("ps")).otherwise(F.coalesce("cs", "ps", F.lit(1.0)))
-    source = F.when(mixed, "empirical+shrunk_variant").when(F.coalesce("cm", "pm").isNotNull(), "empirical").otherwise("unavailable")
-    n = F.when(mixed, F.col("pn")).otherwise(F.coalesce("cn", "pn", F.lit(0)))
-    z = F.when(source == "unavailable", F.lit(0.0)).otherwise(F.round((F.col("value") - mean) / std, 3))
-    return rd.join(cell, ["station", "parameter", "variant"], "left").join(pool, KEY, "left").withColumns(
-        {"z": z, "baseline_source": source, "baseline_n": n}
-    ).drop("cm", "cs", "cn", "pm", "ps", "pn")
-
-
-def point_flags(sc: DataFrame, th: Thresholds) -> DataFrame:
-    """|z| over the alert limit, twice within three readings; closes under the green limit."""
-    beyond = F.sum((F.abs("z") >= th.alert).cast("int")).over(S.by(KEY).rowsBetween(-2, 0))
-    d = sc.withColumn("n_beyond", beyond)
-    d = S.latch(d, (F.abs("z") >= th.alert) & (F.col("n_beyond") >= 2), F.abs("z") < th.green, KEY)
-    return d.where("fires").select("station", "parameter", "vehicle", F.lit("point").alias("type"), F.lit("alert").alias("severity"), "z")
-
-
-def ewma_limit(sc: DataFrame, th: Thresholds) -> DataFrame:
+def score(
+    wide: DataFrame, th: Thresholds = Thresholds(), enough: int = 36, least: int = 12, parameters: list[str] = PARAMETERS, spec: dict[str, tuple[float, float]] | None = None
+) -> DataFrame:
+    """Adds z_<p> (3 decimals), source_<p> and n_<p> for each parameter: the reading against its variant's mean, shrunk toward
+    the pooled one, and the pooled spread.
+
+    A cell of fewer than ``least`` warm-up readings is replaced by the
+    parameter's ``spec`` (mean, standard deviation) if it has one.  Without
+    any, z is 0 and the source unavailable.  Stations without instruments go.
+    """
+    df = wide.where("instrumented").withColumn("_early", early(th)).withColumns({f"_w_{p}": F.when(F.col("_early"), F.col(p)) for p in parameters})
+    cells = {}
+    for name, keys in (("c", ["station", "variant"]), ("p", ["station"])):
+        w = Window.partitionBy(*keys)
+        for p in parameters:
+            v = F.col(f"_w_{p}")
+            cells |= {f"_m{name}_{p}": F.avg(v).over(w), f"_s{name}_{p}": F.stddev_samp(v).over(w), f"_n{name}_{p}": F.count(v).over(w)}
+    df = df.withColumns(cells)
+    out = {}
+    for p in parameters:
+        given = (spec or {}).get(p, (None, None))
+
+        def cell(name: str, p=p, given=given) -> tuple[Column, Column, Column, Column]:
+            n, some = F.col(f"_n{name}_{p}"), F.col(f"_n{name}_{p}") >= least
+            mean = F.when(some, F.col(f"_m{name}_{p}")).otherwise(F.lit(given[0]).cast("double"))
+            std = F.when(some, F.greatest(F.col(f"_s{name}_{p}"), F.lit(1e-6))).otherwise(F.lit(given[1]).cast("double"))
+            return mean, std, F.when(some | F.lit(given[0] is not None), n), F.when(some, "empirical").when(F.lit(given[0] is not None), "spec_fallback")
+
+        (cm, cs, cn, cw), (pm, ps, pn, pw) = cell("c"), cell("p")
+        delta = cm - pm
+        shrink = F.greatest(F.lit(0.0), 1 - (ps * ps / F.greatest(cn, F.lit(1))) / F.greatest(delta * delta, F.lit(1e-12)))
+        mixed = cm.isNotNull() & pm.isNotNull() & (pn >= enough)
+        mean = F.when(mixed, pm + delta * shrink).otherwise(F.coalesce(cm, pm))
+        std = F.when(mixed, ps).otherwise(F.coalesce(cs, ps, F.lit(1.0)))
+        there = F.col(p).isNotNull()
+        out[f"z_{p}"] = F.when(there, F.when(mean.isNull(), F.lit(0.0)).otherwise(F.round((F.col(p) - mean) / std, 3)))
+        out[f"source_{p}"] = F.when(there, F.when(mixed, F.concat(cw, F.lit("+shrunk_variant"))).otherwise(F.coalesce(cw, pw, F.lit("unavailable"))))
+        out[f"n_{p}"] = F.when(there, F.when(mixed, pn).otherwise(F.coalesce(cn, pn, F.lit(0))))
+    return df.withColumns(out).drop("_early", *cells, *(f"_w_{p}" for p in parameters))
+
+
+def scored_readings(sc: DataFrame, parameters: list[str] = PARAMETERS) -> DataFrame:
+    """The scored wide rows in long form."""
+    return readings(sc, {"z": "z_", "baseline_source": "source_", "baseline_n": "n_"}, parameters)
+
+
+def ewma_limit(sc: DataFrame, th: Thresholds, parameters: list[str] = PARAMETERS) -> DataFrame:
     """The control limit: one row, from the median baseline size."""
-    n = F.greatest(F.floor(F.percentile(F.when(F.col("baseline_n") > 0, F.col("baseline_n")).otherwise(1), F.lit(0.5))), F.lit(1))
-    return sc.agg((th.ewma_l * F.sqrt(F.lit(th.lam / (2 - th.lam)) + 1.0 / n)).alias("limit"))
-
-
-def persistent_flags(sc: DataFrame, th: Thresholds) -> DataFrame:
-    """|EWMA| over its limit; closes under ``release`` of it."""
-    d = S.ewma(sc, "z", KEY, th.lam).withColumn("e", F.round("ewma", 9)).crossJoin(F.broadcast(ewma_limit(sc, th)))
-    d = S.latch(d, F.abs("e") > F.col("limit"), F.abs("e") < F.col("limit") * th.release, KEY)
-    return d.where("fires").select("station", "parameter", "vehicle", F.lit("persistent").alias("type"), F.lit("alert").alias("severity"), F.round("e", 3).alias("z"))
-
-
-def trend_flags(sc: DataFrame, th: Thresholds) -> DataFrame:
-    """Five readings of one sign, each further out by ``trend_step``, ending far enough out."""
-    w, k = S.by(KEY), th.trend_window
-    d = sc.withColumn("_n", F.row_number().over(w)).withColumn("_d", F.round(F.abs("z") - F.abs(F.lag("z").over(w)), 6)).withColumn("_first", F.abs(F.lag("z", k - 1).over(w)))
-    sign = F.signum("z")
-    one_way = (F.min(sign).over(w.rowsBetween(1 - k, 0)) == F.max(sign).over(w.rowsBetween(1 - k, 0))) & (F.col("z") != 0)
-    opens = (
-        (F.col("_n") >= k)
-        & one_way
-        & (F.min("_d").over(w.rowsBetween(2 - k, 0)) > th.trend_step)
-        & (F.abs("z") >= th.trend_last)
-        & (F.round(F.abs("z") - F.col("_first"), 6) >= th.trend_rise)
-    )
-    d = d.withColumn("_open", opens)
-    d = S.latch(d, F.col("_open"), (F.abs("z") < th.green) & (F.col("_n") >= k), KEY)
-    return d.where("fires").select("station", "parameter", "vehicle", F.lit("trend").alias("type"), F.lit("warning").alias("severity"), "z")
-
-
-def correlations(sc: DataFrame) -> DataFrame:
-    """Correlation of z between the parameters of a station, over vehicles that have all of them."""
-    n = sc.select("station", "parameter").distinct().groupBy("station").agg(F.count(F.lit(1)).alias("_all"))
-    full = sc.join(n, "station").withColumn("_have", F.count(F.lit(1)).over(Window.partitionBy("station", "vehicle"))).where("_have = _all")
-    a = full.select("station", "vehicle", F.col("parameter").alias("a"), F.col("z").alias("za"))
-    b = full.select("station", "vehicle", F.col("parameter").alias("b"), F.col("z").alias("zb"))
-    return a.join(b, ["station", "vehicle"]).where("a < b").groupBy("station", "a", "b").agg(F.round(F.corr("za", "zb"), 9).alias("r"))
-
-
-def cross_flags(sc: DataFrame, th: Thresholds) -> DataFrame:
-    """Two correlated parameters abnormal at once; closes when none is."""
-    linked = correlations(sc).where(F.abs("r") >= th.cross_corr).select("station", "a", "b")
-    odd = sc.withColumn("odd", F.abs("z") >= th.cross_z)
-    per = odd.groupBy("station", "vehicle").agg(F.array_sort(F.collect_list(F.when(F.col("odd"), F.col("parameter")))).alias("abnormal"))
-    pairs = linked.groupBy("station").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    d = per.join(pairs, "station", "left").withColumn(
-        "hit", F.coalesce(F.exists("pairs", lambda p: F.array_contains(F.col("abnormal"), p["a"]) & F.array_contains(F.col("abnormal"), p["b"])), F.lit(False))
-    )
-    d = S.latch(d, F.col("hit"), F.size("abnormal") == 0, ["station"])
-    return d.where("fires").select(
-        "station", F.array_join("abnormal", " + ").alias("parameter"), "vehicle", F.lit("cross_parameter").alias("type"), F.lit("alert").alias("severity"), F.lit(None).cast("double").alias("z")
-    )
-
-
-def flags(sc: DataFrame, th: Thresholds) -> DataFrame:
-    """All alarms of the four rules."""
-    return point_flags(sc, th).unionByName(persistent_flags(sc, th)).unionByName(trend_flags(sc, th)).unionByName(cross_flags(sc, th))
+    sizes = sc.select(F.explode(F.array(*(F.col(f"n_{p}") for p in parameters))).alias("n")).where("n is not null")
+    n = F.greatest(F.floor(F.percentile(F.when(F.col("n") > 0, F.col("n")).otherwise(1), F.lit(0.5))), F.lit(1))
+    return sizes.agg((th.ewma_l * F.sqrt(F.lit(th.lam / (2 - th.lam)) + 1.0 / n)).alias("ewma_limit"))
+
+
+def _correlated(p: str, q: str, parameters: list[str]) -> Column:
+    """Correlation of two z over the vehicles that have all parameters their station has."""
+    full = F.lit(True)
+    for x in parameters:
+        full &= F.col(f"z_{x}").isNotNull() | ~F.col(f"_has_{x}")
+    return F.corr(F.when(full, F.col(f"z_{p}")), F.when(full, F.col(f"z_{q}")))
+
+
+def _has(sc: DataFrame, parameters: list[str]) -> DataFrame:
+    w = Window.partitionBy("station")
+    return sc.withColumns({f"_has_{p}": F.count(f"z_{p}").over(w) > 0 for p in parameters})
+
+
+def correlations(sc: DataFrame, parameters: list[str] = PARAMETERS) -> DataFrame:
+    """(station, a, b, r): correlation of z between the parameters of a station."""
+    pairs = list(itertools.combinations(sorted(parameters), 2))
+    per = _has(sc, parameters).groupBy("station").agg(*(_correlated(p, q, parameters).alias(f"{p}|{q}") for p, q in pairs))
+    rows = F.array(*(F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.round(f"{p}|{q}", 9).alias("r")) for p, q in pairs))
+    return per.select("station", F.inline(rows)).where("r is not null")
+
+
+RULES = ("point", "persistent", "trend")
+FLAG = ["type", "severity", "parameter", "z", "evidence"]
+
+
+def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES, "cross_parameter"), parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Adds ``flags``, the alarms that each row raises, as an array of (type, severity, parameter, z, evidence).
+
+    * point: |z| over the alert limit, twice within three readings; closes under the green limit.
+    * persistent: |EWMA| over its limit; closes under ``release`` of it.
+    * trend: readings of one sign, each further out by ``trend_step``, ending far enough out.
+    * cross_parameter: two correlated parameters abnormal at once; closes when none is.
+
+    Each rule is a latch: an episode raises one alarm.
+    """
+    w, k = S.by(STATION), th.trend_window
+    z = {p: F.col(f"z_{p}") for p in parameters}
+    df, opens, alarms = sc, {}, []
+
+    def alarm(fires: str, kind: str, severity: str, parameter: Column, value: Column, text: str, *args: Column) -> Column:
+        return F.when(F.col(fires), F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), parameter.alias("parameter"), value.alias("z"), F.format_string(text, *args).alias("evidence")))
+
+    if "point" in rules:
+        df = df.withColumns({f"_beyond_{p}": F.sum((F.abs(v) >= th.alert).cast("int")).over(w.rowsBetween(-2, 0)) for p, v in z.items()})
+        for p, v in z.items():
+            opens[f"_point_{p}"] = ((F.abs(v) >= th.alert) & (F.col(f"_beyond_{p}") >= 2), F.abs(v) < th.green)
+            alarms.append(alarm(f"_point_{p}", "point", "alert", F.lit(p), v, f"|z| %.3f, %d of the last 3 beyond {th.alert}", F.abs(v), F.col(f"_beyond_{p}")))
+    if "persistent" in rules:
+        df = S.ewma(df, {f"_e_{p}": f"z_{p}" for p in parameters}, STATION, th.lam).withColumns({f"_e_{p}": F.round(f"_e_{p}", 9) for p in parameters})
+        df = df.crossJoin(F.broadcast(ewma_limit(sc, th, parameters)))  # one row
+        for p in parameters:
+            e = F.abs(f"_e_{p}")
+            opens[f"_persistent_{p}"] = (e > F.col("ewma_limit"), e < F.col("ewma_limit") * th.release)
+            alarms.append(alarm(f"_persistent_{p}", "persistent", "alert", F.lit(p), F.round(f"_e_{p}", 3), "EWMA over %.6f", F.round("ewma_limit", 6)))
+    if "trend" in rules:
+        df = df.withColumn("_n", F.row_number().over(w)).withColumns({f"_d_{p}": F.round(F.abs(v) - F.abs(F.lag(v).over(w)), 6) for p, v in z.items()})
+        df = df.withColumns({f"_first_{p}": F.abs(F.lag(v, k - 1).over(w)) for p, v in z.items()})
+        df = df.withColumns({f"_lo_{p}": F.min(F.signum(v)).over(w.rowsBetween(1 - k, 0)) for p, v in z.items()} | {f"_hi_{p}": F.max(F.signum(v)).over(w.rowsBetween(1 - k, 0)) for p, v in z.items()})
+        df = df.withColumns({f"_least_{p}": F.min(f"_d_{p}").over(w.rowsBetween(2 - k, 0)) for p in parameters})
+        for p, v in z.items():
+            rise = F.round(F.abs(v) - F.col(f"_first_{p}"), 6)
+            one_way = (F.col(f"_lo_{p}") == F.col(f"_hi_{p}")) & (v != 0)
+            opens[f"_trend_{p}"] = (
+                (F.col("_n") >= k) & one_way & (F.col(f"_least_{p}") > th.trend_step) & (F.abs(v) >= th.trend_last) & (rise >= th.trend_rise),
+                (F.abs(v) < th.green) & (F.col("_n") >= k),
+            )
+            alarms.append(alarm(f"_trend_{p}", "trend", "warning", F.lit(p), v, f"|z| rose by %.3f over {k} readings", rise))
+    if "cross_parameter" in rules:
+        pairs = list(itertools.combinations(sorted(parameters), 2))
+        whole = Window.partitionBy("station")
+        df = _has(df, parameters).withColumns({f"_r_{p}_{q}": F.round(_correlated(p, q, parameters).over(whole), 9) for p, q in pairs})
+        abnormal = F.array_compact(F.array(*(F.when(F.abs(z[p]) >= th.cross_z, F.lit(p)) for p in sorted(parameters))))
+        df = df.withColumn("_abnormal", abnormal)
+        linked = F.lit(False)
+        for p, q in pairs:
+            linked |= (F.abs(z[p]) >= th.cross_z) & (F.abs(z[q]) >= th.cross_z) & (F.abs(f"_r_{p}_{q}") >= th.cross_corr)
+        opens["_cross"] = (F.coalesce(linked, F.lit(False)), F.size("_abnormal") == 0)
+        alarms.append(alarm("_cross", "cross_parameter", "alert", F.array_join("_abnormal", " + "), F.lit(None).cast("double"), "%d correlated parameters abnormal", F.size("_abnormal")))
+    df = S.latches(df, opens, STATION)
+    helpers = [c for c in df.columns if c.startswith("_") and c not in sc.columns]
+    return df.withColumn("flags", F.array_compact(F.array(*alarms))).drop("ewma_limit", *helpers)
+
+
+def flags(flagged: DataFrame) -> DataFrame:
+    """The alarms as rows."""
+    return flagged.where(F.size("flags") > 0).select("station", "vehicle", F.inline("flags")).select("station", "parameter", "vehicle", "type", "severity", "z", "evidence")
 
 
 def constraint_series(ops: DataFrame, th: Thresholds) -> DataFrame:
     """Every operation of stations with enough of them: CUSUM of cycle time in sigmas, slope's t, queue's z."""
-    k = ["station"]
+    k = STATION
     whole = Window.partitionBy("station")
     d = ops.withColumn("rn", S.seq(k)).withColumn("n", F.count(F.lit(1)).over(whole))
     d = d.withColumn("n_warm", F.least(F.lit(th.warmup), F.greatest(F.lit(20), F.floor(F.col("n") / 3)))).where(F.col("n") >= F.greatest(F.lit(th.slope_window), F.col("n_warm")) + 5)
-    early = F.col("rn") <= F.col("n_warm")
+    warm = F.col("rn") <= F.col("n_warm")
+    stats = {}
     for name, col in (("c", "cycle_time"), ("q", "queue")):
-        x = F.when(early, F.col(col))
-        d = d.withColumn(f"mu_{name}", F.avg(x).over(whole)).withColumn(f"sd_{name}", F.greatest(F.stddev_samp(x).over(whole), F.lit(1e-6)))
-    d = S.rolling_t(d, "cycle_time", k, th.slope_window)
-    step = F.when(early, F.lit(0.0)).otherwise(F.col("cycle_time") - F.col("mu_c") - th.cusum_k * F.col("sd_c"))
+        x = F.when(warm, F.col(col))
+        stats |= {f"mu_{name}": F.avg(x).over(whole), f"sd_{name}": F.greatest(F.stddev_samp(x).over(whole), F.lit(1e-6))}
+    d = S.rolling_t(d.withColumns(stats), "cycle_time", k, th.slope_window)
+    step = F.when(warm, F.lit(0.0)).otherwise(F.col("cycle_time") - F.col("mu_c") - th.cusum_k * F.col("sd_c"))
     d = S.cusum(d, step, k)
     return d.withColumn("cusum_sigma", F.round(F.col("cusum") / F.col("sd_c"), 6)).withColumn("queue_z", F.round((F.col("queue") - F.col("mu_q")) / F.col("sd_q"), 6)).withColumn("slope_t", F.round("slope_t", 6))
 
 
 def bottlenecks(ops: DataFrame, th: Thresholds) -> DataFrame:
     """Confirmed constraints: CUSUM of cycle time over its limit with a rising slope or a long queue; latched per station."""
-    k, early = ["station"], F.col("rn") <= F.col("n_warm")
+    warm = F.col("rn") <= F.col("n_warm")
     d = constraint_series(ops, th)
-    opens = ~early & (F.col("cusum_sigma") > th.cusum_h) & F.col("slope_t").isNotNull() & ((F.col("slope_t") >= th.slope_t) | (F.col("queue_z") >= th.queue_z))
-    d = S.latch(d, opens, ~early & (F.col("cusum_sigma") < th.cusum_h * th.release), k)
+    opens = ~warm & (F.col("cusum_sigma") > th.cusum_h) & F.col("slope_t").isNotNull() & ((F.col("slope_t") >= th.slope_t) | (F.col("queue_z") >= th.queue_z))
+    d = S.latch(d, opens, ~warm & (F.col("cusum_sigma") < th.cusum_h * th.release), STATION)
+    text = f"CUSUM %.6f sigma over limit {th.cusum_h}; slope t=%.6f (crit {th.slope_t}); queue z=%.6f"
     return d.where("fires").select(
         "station", "vehicle", F.col("vehicle").alias("detected_at"), "cycle_time", F.round("mu_c", 2).alias("baseline_cycle"), F.round("cusum_sigma", 4).alias("cusum"),
-        F.round("slope_t", 4).alias("slope_t"), F.round("queue_z", 4).alias("queue_z"),
+        F.round("slope_t", 4).alias("slope_t"), F.round("queue_z", 4).alias("queue_z"), F.format_string(text, "cusum_sigma", "slope_t", "queue_z").alias("evidence"),
     )
+
+
+def starving(bots: DataFrame, stations: DataFrame) -> DataFrame:
+    """Constraints with the station that starves behind them, as an array (empty at the line's end)."""
+    d = bots.join(stations.select("station", "downstream"), "station", "left")
+    return d.withColumn("starving_downstream", F.array_compact(F.array("downstream"))).drop("downstream")

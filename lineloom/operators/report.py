@@ -1,31 +1,42 @@
-"""Back-trace, point-in-time state, backtest and business case."""
+"""Back-trace, point-in-time state and backtest."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Economics
 from ..functions import series as S
+from ..sources.adapters import PARAMETERS
 
 
-def inspection_failures(ops: DataFrame, sc: DataFrame, station: int, parameter: str, cut: float = 2.5) -> DataFrame:
-    """Vehicles that fail by hand or whose inspection score is ``cut`` under its mean."""
-    v = sc.where((F.col("station") == station) & (F.col("parameter") == parameter)).select("vehicle", "z")
-    mean = v.agg(F.round(F.avg("z"), 9).alias("m"))
-    low = v.crossJoin(F.broadcast(mean)).where(F.col("z") <= F.col("m") - cut).select("vehicle")
-    return ops.where((F.col("station") == station) & (F.col("manual_outcome") == "fail")).select("vehicle").union(low).distinct()
+def inspection_failures(sc: DataFrame, parameter: str, cut: float = 2.5) -> DataFrame:
+    """Vehicles of an inspection station's scored rows that fail by hand or whose inspection score is ``cut`` under its mean."""
+    mean = F.round(F.avg(f"z_{parameter}").over(Window.partitionBy("station")), 9)
+    d = sc.withColumn("_m", mean)
+    return d.where((F.col("manual_outcome") == "fail") | (F.col(f"z_{parameter}") <= F.col("_m") - cut)).select("vehicle").distinct()
 
 
-def latent_trace(ops: DataFrame, sc: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), top: int = 8) -> DataFrame:
-    """Upstream signals ranked by Welch's t between failing vehicles and time-matched passing ones, after removing a rolling median."""
-    failed = inspection_failures(ops, sc, station, parameter)
-    bounds = failed.agg(F.min("vehicle").alias("lo"), F.max("vehicle").alias("hi"))
-    d = sc.where((F.col("station") < station) & ~F.col("parameter").isin(*exclude))
-    d = d.withColumn("d", F.col("z") - S.rolling_median("z", ["station", "parameter"], 61))
+def upstream(sc: DataFrame, station: int, exclude: tuple[str, ...], parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Wide z of the instrumented stations before ``station``, less their rolling medians, without the excluded parameters."""
+    kept = [p for p in parameters if p not in exclude]
+    d = sc.where((F.col("station") < station) & F.col("instrumented"))
+    return d.withColumns({f"d_{p}": F.col(f"z_{p}") - S.rolling_median(f"z_{p}", ["station"], 61) for p in kept})
+
+
+def latent_ranking(sc: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), least: tuple[int, int] = (8, 30), parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Upstream signals with Welch's t between failing vehicles and time-matched passing ones.
+
+    No rows where fewer than ``least[0]`` vehicles fail: nothing can be attributed then.
+    """
+    failed = inspection_failures(sc.where(F.col("station") == station), parameter)
+    bounds = failed.agg(F.min("vehicle").alias("lo"), F.max("vehicle").alias("hi"), F.count(F.lit(1)).alias("n_failed")).where(F.col("n_failed") >= least[0])
+    d = upstream(sc, station, exclude, parameters)
+    # failures of one station: one row per vehicle of a line at most
     d = d.join(failed.withColumn("bad", F.lit(True)), "vehicle", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).crossJoin(F.broadcast(bounds))
     span = F.col("hi") - F.col("lo")
     d = d.where(F.col("bad") | F.col("vehicle").between(F.col("lo") - span, F.col("hi") + span))
+    kept = [p for p in parameters if p not in exclude]
+    d = d.select("station", "bad", F.inline(F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(f"d_{p}").alias("d")) for p in kept)))).where("d is not null")
     bad, good = F.when(F.col("bad"), F.col("d")), F.when(~F.col("bad"), F.col("d"))
     w = d.groupBy("station", "parameter").agg(
         F.avg(bad).alias("m1"), F.avg(good).alias("m2"), F.var_samp(bad).alias("s1"), F.var_samp(good).alias("s2"), F.count(bad).alias("n1"), F.count(good).alias("n2")
@@ -35,14 +46,32 @@ def latent_trace(ops: DataFrame, sc: DataFrame, station: int, parameter: str, ex
     def over(x: Column) -> Column:
         return gap / F.coalesce(F.nullif(F.sqrt(x), F.lit(0.0)), F.lit(1e-9))
 
-    return (
-        w.where("n1 >= 8 and n2 >= 30")
-        .select(
-            "station", "parameter", F.round(over(F.col("s1") / F.col("n1") + F.col("s2") / F.col("n2")), 2).alias("t_statistic"), F.round(over((F.col("s1") + F.col("s2")) / 2), 2).alias("effect_size_sigma"),
-            F.round("m1", 3).alias("mean_z_failing"), F.round("m2", 3).alias("mean_z_passing"), F.col("n1").alias("n_failing"),
-        )
-        .orderBy(F.abs("t_statistic").desc(), "station", "parameter")
-        .limit(top)
+    return w.where((F.col("n1") >= least[0]) & (F.col("n2") >= least[1])).select(
+        "station", "parameter", F.round(over(F.col("s1") / F.col("n1") + F.col("s2") / F.col("n2")), 2).alias("t_statistic"), F.round(over((F.col("s1") + F.col("s2")) / 2), 2).alias("effect_size_sigma"),
+        F.round("m1", 3).alias("mean_z_failing"), F.round("m2", 3).alias("mean_z_passing"), F.col("n1").alias("n_failing"),
+    )
+
+
+def latent_trace(sc: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), top: int = 8) -> DataFrame:
+    return latent_ranking(sc, station, parameter, exclude).orderBy(F.abs("t_statistic").desc(), "station", "parameter").limit(top)
+
+
+def latent_exposure(sc: DataFrame, alarms: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), least: int = 8) -> DataFrame:
+    """One row: whether a back-trace is available, its origin, how far it stands out, and what left the line before a local alarm."""
+    failed = inspection_failures(sc.where(F.col("station") == station), parameter)
+    count = failed.agg(F.count(F.lit(1)).alias("failures"), F.min("vehicle").alias("first_failure"), F.collect_list("vehicle").alias("_failed"))  # vehicles of one station
+    by_t = F.array_sort(F.collect_list(F.struct((-F.abs("t_statistic")).alias("k"), "station", "parameter")))
+    two = latent_ranking(sc, station, parameter, exclude).orderBy(F.abs("t_statistic").desc(), "station", "parameter").limit(2).agg(by_t.alias("r"))
+    first, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
+    d = count.crossJoin(F.broadcast(two)).withColumn("origin", first["station"]).withColumn("origin_parameter", first["parameter"]).withColumn("separation_margin_t", F.round(second["k"] - first["k"], 2))
+    local = alarms.select(F.col("station").alias("_s"), F.col("vehicle").alias("_v"))
+    d = d.join(local, (F.col("origin") == F.col("_s")) & (F.col("_v") >= F.col("first_failure")), "left")
+    d = d.groupBy("failures", "first_failure", "_failed", "origin", "origin_parameter", "separation_margin_t").agg(F.min("_v").alias("first_local_alarm"))
+    before = F.size(F.filter("_failed", lambda v: F.col("first_local_alarm").isNull() | (v < F.col("first_local_alarm"))))
+    enough = F.col("failures") >= least
+    return d.select(
+        enough.alias("available"), F.when(~enough, F.format_string(f"Only %d inspection failures; need {least} to attribute.", "failures")).alias("reason"), "failures", "origin", "origin_parameter", "separation_margin_t",
+        "first_failure", "first_local_alarm", F.when(F.col("origin").isNotNull(), before.cast("bigint")).alias("vehicles_before_local_alarm"), (F.col("first_local_alarm") - F.col("first_failure")).alias("local_alarm_lag"),
     )
 
 
@@ -66,19 +95,29 @@ def throughput_loss(ops: DataFrame, at: int, nominal: float = 40.0, top: int = 8
     return m.orderBy(F.desc("c"), "station").limit(top).select("station", F.round("c", 2).alias("cycle_s"), F.lit(nominal).alias("nominal_s"), F.round(F.col("c") - nominal, 2).alias("excess_s"))
 
 
-def state_stations(st: DataFrame, ops: DataFrame, sc: DataFrame, flags: DataFrame, bots: DataFrame, at: int, recent: int = 20, near: int = 10) -> DataFrame:
-    """Status of every station as known at vehicle ``at``; manual ones without an outcome infer from their neighbours."""
-    outcome = latest_operations(ops, at).select("station", F.col("manual_outcome").alias("outcome"))
+def state_stations(st: DataFrame, line: DataFrame, flagged: DataFrame, bots: DataFrame, at: int, recent: int = 20, near: int = 10, parameters: list[str] = PARAMETERS, weights: dict[str, float] | None = None) -> DataFrame:
+    """Status of every station as known at vehicle ``at``; manual ones without an outcome infer from their neighbours.
 
-    def seen(back: int) -> DataFrame:
-        return flags.where(F.col("vehicle").between(at - back, at)).groupBy("station").agg(F.bool_or(F.col("severity") == "alert").alias("al"))
+    The health score weighs parameters by ``weights`` (1 by default).
+    """
+    outcome = latest_operations(line, at).select("station", F.col("manual_outcome").alias("outcome"))
 
+    def seen(back: int) -> Column:
+        """Among the flags since then: true if any alerts, false if there are others, null if none."""
+        alert = F.exists("flags", lambda f: f["severity"] == "alert")
+        return F.bool_or(F.when((F.size("flags") > 0) & (F.col("vehicle") >= at - back), alert))
+
+    z = [(F.abs(f"z_{p}"), (weights or {}).get(p, 1.0)) for p in parameters]
+    total = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in z), F.lit(0.0))
+    count = sum((v.isNotNull().cast("int") for v, _ in z), F.lit(0))
+    window = flagged.where(F.col("vehicle").between(at - recent, at))
+    health = F.round(F.greatest(F.lit(0.0), 100 - 16 * F.sum(total) / F.sum(count)) + 1e-9, 1)
+    own = window.groupBy("station").agg(seen(recent).alias("al"), seen(near).alias("nal"), health.alias("health_score"))
     rb = bots.where(F.col("detected_at").between(at - recent, at)).select("station").distinct().withColumn("rb", F.lit(True))
     sides = st.select("station", F.explode(F.array("upstream", "downstream")).alias("side"))
-    nb = sides.join(seen(near).withColumnRenamed("station", "side"), "side").groupBy("station").agg(F.bool_or("al").alias("nal"))
-    health = sc.where(F.col("vehicle").between(at - recent, at)).groupBy("station").agg(F.round(F.greatest(F.lit(0.0), 100 - 16 * F.avg(F.abs("z"))), 1).alias("health_score"))
+    nb = sides.join(own.select(F.col("station").alias("side"), "nal"), "side").groupBy("station").agg(F.bool_or("nal").alias("nal"))
     d = st
-    for right in (outcome, seen(recent), rb, nb, health):
+    for right in (outcome, own.drop("nal"), rb, nb):
         d = d.join(right, "station", "left")
     d = d.withColumn("s", F.when(F.col("rb").isNotNull() | F.coalesce("al", F.lit(False)), "alert").when(F.col("al").isNotNull(), "warning").otherwise("healthy"))
     bad, fine = F.col("outcome").isin("fail", "rework"), (F.col("outcome") == "pass") & (F.col("s") == "healthy")
@@ -89,30 +128,58 @@ def state_stations(st: DataFrame, ops: DataFrame, sc: DataFrame, flags: DataFram
     )
 
 
-def backtest_scenarios(inj: DataFrame, flags: DataFrame, bots: DataFrame, lead: int = 2, tail: int = 6) -> DataFrame:
-    """First detection of every injected fault: flags in [start - lead, stop + tail], constraints from start - lead on."""
-    i = inj.where("kind <> 'latent_defect'").alias("i")
-    f = flags.select(F.col("station").alias("fs"), F.col("vehicle").alias("at"), F.lit(False).alias("is_bot")).union(bots.select("station", "detected_at", F.lit(True)))
+def alarms_of(flags: DataFrame, bots: DataFrame) -> DataFrame:
+    """Flags and constraints as (station, at, is_bot)."""
+    return flags.select("station", F.col("vehicle").alias("at"), F.lit(False).alias("is_bot")).union(bots.select("station", "detected_at", F.lit(True)))
+
+
+def backtest_scenarios(inj: DataFrame, alarms: DataFrame, lead: int = 2, tail: int = 6) -> DataFrame:
+    """First detection of every injected fault: flags in [first - lead, last + tail], constraints from first - lead on."""
+    i = inj.where("kind <> 'latent_defect'").select("id", "kind", F.col("station").alias("fs"), "first", "last")
     bot = F.col("kind") == "bottleneck"
-    hit = (F.col("station") == F.col("fs")) & (bot == F.col("is_bot")) & (F.col("at") >= F.col("start") - lead) & (bot | (F.col("at") <= F.col("stop") + tail))
-    return i.join(f, hit, "left").groupBy("id", "kind", "station").agg(F.min("at").alias("first_hit"), (F.min("at") - F.first("start")).alias("lag"))
+    hit = (F.col("station") == F.col("fs")) & (bot == F.col("is_bot")) & (F.col("at") >= F.col("first") - lead) & (bot | (F.col("at") <= F.col("last") + tail))
+    # the faults are configuration: a handful of rows
+    hits = alarms.join(F.broadcast(i), hit).groupBy("id").agg(F.min("at").alias("first_hit"))
+    return i.join(hits, "id", "left").select("id", "kind", F.col("fs").alias("station"), "first_hit", (F.col("first_hit") - F.col("first")).alias("lag"))
+
 
+def pct(n: Column, d: Column) -> Column:
+    """Percentage to one decimal; null over nothing."""
+    return F.round(100 * n / F.nullif(d.cast("double"), F.lit(0.0)), 1)
 
-def economics(m: DataFrame, e: Economics = Economics()) -> DataFrame:
-    """Annual case of one-row measurements: recall, lag, nominal and recoverable rate, constraint events, false alarms and vehicles per run."""
-    act = S.interp(F.greatest(F.col("lag"), F.lit(0.0)), e.lead, e.actionable)
-    runs = e.vehicles_per_year / F.greatest(F.col("vehicles_per_run"), F.lit(1))
-    defects = e.vehicles_per_year * e.defect_rate * F.col("recall") / 100 * act
-    rec = F.least(0.5 * F.col("recoverable_uph") / F.col("nominal_uph") * F.col("lag") * F.col("events_per_run") * runs * act, F.lit(e.max_share * e.vehicles_per_year))
-    cost = F.col("false_alarms_per_run") * runs * e.investigation
-    rework, scrap, thr = defects * e.rework_cost, defects * e.scrap_rate * e.scrap_cost, rec * e.margin
-    net = rework + scrap + thr - cost
-    out = {"actionable": F.round(act, 3), "defects_prevented": F.round(defects), "rework_usd": F.round(rework), "scrap_usd": F.round(scrap), "vehicles_recovered": F.round(rec), "throughput_usd": F.round(thr), "investigation_usd": F.round(cost), "net_usd": F.round(net), "net_low_usd": F.round(net * (1 - e.band)), "net_high_usd": F.round(net * (1 + e.band))}  # noqa: E501
-    return m.select(*[v.alias(k) for k, v in out.items()])
 
+def backtest_summary(inj: DataFrame, alarms: DataFrame) -> DataFrame:
+    """One row: precision by station, recall by fault, detection lags."""
+    bot = F.col("kind") == "bottleneck"
+    found = backtest_scenarios(inj, alarms).agg(
+        *(F.count(F.when(b, F.col("first_hit"))).alias(f"{n}_hit") for n, b in (("a", ~bot), ("b", bot))), *(F.count_if(b).alias(f"{n}_all") for n, b in (("a", ~bot), ("b", bot))),
+        F.round(F.avg("lag"), 1).alias("mean_detection_lag"), F.round(F.percentile("lag", F.lit(0.5)), 1).alias("median_detection_lag"), F.round(F.percentile("lag", F.lit(0.9)), 1).alias("p90_detection_lag"),
+    )
+    truth = inj.select(F.col("station").alias("ts"), bot.alias("tb")).distinct()
+    named = alarms.select("station", "is_bot").distinct()
+    right = named.join(F.broadcast(truth), (F.col("station") == F.col("ts")) & (F.col("is_bot") == F.col("tb")), "left_semi").groupBy("is_bot").agg(F.count(F.lit(1)).alias("n"))
+    wrong = named.join(F.broadcast(truth), (F.col("station") == F.col("ts")) & (F.col("is_bot") == F.col("tb")), "left_anti").groupBy("is_bot").agg(F.count(F.lit(1)).alias("n"))
+    both = right.withColumn("ok", F.lit(True)).union(wrong.withColumn("ok", F.lit(False)))
+    n = lambda b, ok: F.coalesce(F.sum(F.when((F.col("is_bot") == b) & (F.col("ok") == ok), F.col("n"))), F.lit(0))
+    counts = both.agg(n(False, True).alias("a_tp"), n(False, False).alias("a_fp"), n(True, True).alias("b_tp"), n(True, False).alias("b_fp"))
+    return found.crossJoin(F.broadcast(counts)).select(  # one row each
+        pct(F.col("a_tp"), F.col("a_tp") + F.col("a_fp")).alias("precision"), pct(F.col("a_hit"), F.col("a_all")).alias("recall"), F.col("a_fp").alias("false_positives"),
+        pct(F.col("b_tp"), F.col("b_tp") + F.col("b_fp")).alias("bottleneck_precision"), pct(F.col("b_hit"), F.col("b_all")).alias("bottleneck_recall"), F.col("b_fp").alias("bottleneck_false_positives"),
+        "mean_detection_lag", "median_detection_lag", "p90_detection_lag", (F.col("a_all") + F.col("b_all")).alias("evaluated_events"), (F.col("a_hit") + F.col("b_hit")).alias("detected_events"), F.col("b_hit").alias("bottleneck_events"),
+    )
 
-def measured(spark: SparkSession) -> DataFrame:
-    """The published demonstration figures, as an input to the business case. Fixed values."""
-    return spark.createDataFrame([(100.0, 17.5, 62.1, 19.5, 4.0, 1.88, 420.0)], "recall double, lag double, nominal_uph double, recoverable_uph double, events_per_run double, false_alarms_per_run double, vehicles_per_run double")
 
+def false_alarm_profile(line: DataFrame, flags: DataFrame, bots: DataFrame, runs: int = 10) -> DataFrame:
+    """False alarms of a line without faults: its stations are dealt to ``runs``, distinct alarming stations of each counted.
 
+    ``vehicles_per_run`` is the longest station's number of vehicles; without any false alarm the run length to one is null.
+    """
+    run = F.pmod(F.col("station"), F.lit(runs)).alias("run")
+    seen = alarms_of(flags, bots).select("station", "is_bot").distinct().groupBy(run).agg(F.count_if(~F.col("is_bot")).alias("a"), F.count_if(F.col("is_bot")).alias("b"))
+    all_runs = line.groupBy(run).agg(F.max("vehicle").alias("v"))
+    per = all_runs.join(seen, "run", "left").na.fill(0).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.max("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    total = F.col("a") + F.col("b")
+    return per.select(
+        F.col("n").alias("runs"), F.col("v").alias("vehicles_per_run"), F.round("a", 2).alias("anomaly_false_alarms_per_run"), F.round("b", 2).alias("bottleneck_false_alarms_per_run"), F.round(total, 2).alias("total_false_alarms_per_run"),
+        F.round(total * 1000 / F.col("v"), 2).alias("false_alarms_per_1000_vehicles"), F.round(F.col("v") / F.nullif(total, F.lit(0.0)), 1).alias("arl0_vehicles"),
+    )

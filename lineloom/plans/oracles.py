@@ -3,7 +3,12 @@
 from ..config import ADAPTED as T
 from ..config import INJECTIONS
 
-_INJ = ", ".join(f"('{i}', '{k}', {s}, '{p}', {a}, {b}, {z})" for i, k, s, p, a, b, z in INJECTIONS)
+_INJ = ", ".join(
+    f"('{i}', '{k}', {s}, {p}, CAST({'NULL' if a is None else a} AS BIGINT), CAST({'NULL' if b is None else b} AS BIGINT), CAST({'NULL' if v is None else v} AS BIGINT[]), {z})" for i, k, s, p, a, b, v, z in INJECTIONS
+)
+_COLS = "id, kind, station, parameters, start, stop, vehicles, size"
+INJ = f"inj AS (SELECT *, coalesce(start, list_min(vehicles)) AS first, coalesce(stop, list_max(vehicles)) AS last FROM (VALUES {_INJ}) v({_COLS}))"
+MANUAL = "station % 3 <> 0"
 
 OPS = """ops AS (
   SELECT l_suppkey AS station, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS vehicle,
@@ -12,16 +17,16 @@ OPS = """ops AS (
          l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_tax AS tax
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 opsl AS (SELECT *, (vehicle - 1) // 30 AS supplier_lot FROM ops),
-rd0 AS (SELECT station, vehicle, variant, supplier_lot, unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS parameter, unnest([quantity, extendedprice, discount, tax]) AS value FROM opsl)"""
+rd0 AS (SELECT station, vehicle, variant, supplier_lot, unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS parameter, unnest([quantity, extendedprice, discount, tax]) AS value FROM opsl WHERE """ + MANUAL + """)"""
 
 FAULTY = OPS + f""",
-inj(id, kind, station, parameter, start, stop, size) AS (VALUES {_INJ}),
+{INJ},
 sd AS (SELECT station, parameter, stddev_samp(value) AS sd FROM rd0 GROUP BY ALL),
 rd AS (
   SELECT r.station, vehicle, variant, supplier_lot, r.parameter,
          value + CASE WHEN i.id IS NULL THEN 0 WHEN kind = 'trend' THEN size * (vehicle - start) * sd ELSE size * sd END AS value, i.id AS fault
   FROM rd0 r JOIN sd USING (station, parameter)
-  LEFT JOIN inj i ON i.kind <> 'bottleneck' AND i.station = r.station AND i.parameter = r.parameter AND vehicle BETWEEN start AND stop)"""
+  LEFT JOIN inj i ON i.kind <> 'bottleneck' AND i.station = r.station AND list_contains(parameters, r.parameter) AND (list_contains(vehicles, vehicle) OR vehicle BETWEEN start AND stop))"""
 
 CELLS = FAULTY + f""",
 wm AS (SELECT *, max(vehicle) OVER (PARTITION BY station) AS nmax FROM rd),
@@ -52,7 +57,7 @@ def latched(src: str, opens: str, closes: str, key: str = "station, parameter")
 POINT = f""",
 pt AS (SELECT *, sum(CASE WHEN abs(z) >= {T.alert} THEN 1 ELSE 0 END) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS 2 PRECEDING) AS nb FROM sc),
 point AS ({latched("pt", f"abs(z) >= {T.alert} AND nb >= 2", f"abs(z) < {T.green}")}),
-f_point AS (SELECT station, parameter, vehicle, 'point' AS type, 'alert' AS severity, z FROM point)"""
+f_point AS (SELECT station, parameter, vehicle, 'point' AS type, 'alert' AS severity, z, printf('|z| %.3f, %d of the last 3 beyond {T.alert}', abs(z), CAST(nb AS BIGINT)) AS evidence FROM point)"""
 EWMA = f""",
 ew AS (
   SELECT a.station, a.parameter, a.vehicle, round(sum({T.lam} * pow(1 - {T.lam}, a.vehicle - b.vehicle) * b.z), 9) AS e
@@ -61,7 +66,7 @@ PERSIST = EWMA + f""",
 lim AS (SELECT {T.ewma_l} * sqrt({T.lam} / (2 - {T.lam}) + 1.0 / greatest(floor(quantile_cont(CASE WHEN baseline_n > 0 THEN baseline_n ELSE 1 END, 0.5)), 1)) AS lim FROM sc),
 el AS (SELECT * FROM ew, lim),
 pers AS ({latched("el", "abs(e) > lim", f"abs(e) < lim * {T.release}")}),
-f_pers AS (SELECT station, parameter, vehicle, 'persistent' AS type, 'alert' AS severity, round(e, 3) AS z FROM pers)"""
+f_pers AS (SELECT station, parameter, vehicle, 'persistent' AS type, 'alert' AS severity, round(e, 3) AS z, printf('EWMA over %.6f', round(lim, 6)) AS evidence FROM pers)"""
 TREND = f""",
 tr0 AS (
   SELECT *, row_number() OVER w AS rn, round(abs(z) - abs(lag(z) OVER w), 6) AS d, abs(lag(z, {T.trend_window - 1}) OVER w) AS z0 FROM sc WINDOW w AS (PARTITION BY station, parameter ORDER BY vehicle)),
@@ -69,7 +74,7 @@ tr AS (
   SELECT *, min(sign(z)) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS {T.trend_window - 1} PRECEDING) AS s0, max(sign(z)) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS {T.trend_window - 1} PRECEDING) AS s1,
          min(d) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS {T.trend_window - 2} PRECEDING) AS dmin FROM tr0),
 trend AS ({latched("tr", f"rn >= {T.trend_window} AND s0 = s1 AND z <> 0 AND dmin > {T.trend_step} AND abs(z) >= {T.trend_last} AND round(abs(z) - z0, 6) >= {T.trend_rise}", f"abs(z) < {T.green} AND rn >= {T.trend_window}")}),
-f_trend AS (SELECT station, parameter, vehicle, 'trend' AS type, 'warning' AS severity, z FROM trend)"""
+f_trend AS (SELECT station, parameter, vehicle, 'trend' AS type, 'warning' AS severity, z, printf('|z| rose by %.3f over {T.trend_window} readings', round(abs(z) - z0, 6)) AS evidence FROM trend)"""
 CROSS = f""",
 np AS (SELECT station, count(DISTINCT parameter) AS k FROM sc GROUP BY station),
 fullv AS (SELECT c.station, c.vehicle FROM (SELECT station, vehicle, count(*) AS k FROM sc GROUP BY station, vehicle) c JOIN np ON np.station = c.station AND np.k = c.k),
@@ -81,7 +86,7 @@ cx AS (
   SELECT station, vehicle, ab, len(ab) AS n_ab,
          EXISTS (SELECT 1 FROM cr WHERE cr.station = pv.station AND abs(r) >= {T.cross_corr} AND list_contains(ab, pa) AND list_contains(ab, pb)) AS hit FROM pv),
 cross_ AS ({latched("cx", "hit", "n_ab = 0", "station")}),
-f_cross AS (SELECT station, array_to_string(ab, ' + ') AS parameter, vehicle, 'cross_parameter' AS type, 'alert' AS severity, CAST(NULL AS DOUBLE) AS z FROM cross_)"""
+f_cross AS (SELECT station, array_to_string(ab, ' + ') AS parameter, vehicle, 'cross_parameter' AS type, 'alert' AS severity, CAST(NULL AS DOUBLE) AS z, printf('%d correlated parameters abnormal', n_ab) AS evidence FROM cross_)"""
 FLAGS = SCORED + POINT + PERSIST + TREND + CROSS + """,
 flags AS (SELECT * FROM f_point UNION ALL SELECT * FROM f_pers UNION ALL SELECT * FROM f_trend UNION ALL SELECT * FROM f_cross)"""
 
@@ -89,7 +94,7 @@ flags AS (SELECT * FROM f_point UNION ALL SELECT * FROM f_pers UNION ALL SELECT
 BOTS = f""",
 opf AS (
   SELECT o.* REPLACE (cycle_time + CASE WHEN i.id IS NULL THEN 0 ELSE size * (vehicle - start) END AS cycle_time)
-  FROM opsl o LEFT JOIN (SELECT * FROM (VALUES {_INJ}) v(id, kind, st, par, start, stop, size) WHERE kind = 'bottleneck') i ON i.st = o.station AND o.vehicle >= i.start),
+  FROM opsl o LEFT JOIN (SELECT * FROM (VALUES {_INJ}) v(id, kind, st, parameters, start, stop, vehicles, size) WHERE kind = 'bottleneck') i ON i.st = o.station AND o.vehicle >= i.start),
 b0 AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY vehicle) AS rn, count(*) OVER (PARTITION BY station) AS n FROM opf),
 b1 AS (SELECT *, least({T.warmup}, greatest(20, n // 3)) AS nw FROM b0),
 b2 AS (
@@ -102,7 +107,7 @@ b3 AS (
          CASE WHEN rn >= {T.slope_window} THEN sxy / sxx / greatest(sqrt(greatest(0, syy - sxy * sxy / sxx) / ({T.slope_window} - 2)) / sqrt(sxx), 1e-9) END AS t FROM b2),
 b4 AS (SELECT *, round((c - least(0, min(c) OVER (PARTITION BY station ORDER BY vehicle ROWS UNBOUNDED PRECEDING))) / sd_c, 6) AS cs, round((queue - mu_q) / sd_q, 6) AS qz, round(t, 6) AS t6 FROM b3),
 bo AS ({latched("b4", f"rn > nw AND cs > {T.cusum_h} AND t6 IS NOT NULL AND (t6 >= {T.slope_t} OR qz >= {T.queue_z})", f"rn > nw AND cs < {T.cusum_h * T.release}", "station")}),
-bots AS (SELECT station, vehicle, vehicle AS detected_at, cycle_time, round(mu_c, 2) AS baseline_cycle, round(cs, 4) AS cusum, round(t6, 4) AS slope_t, round(qz, 4) AS queue_z FROM bo)"""
+bots AS (SELECT station, vehicle, vehicle AS detected_at, cycle_time, round(mu_c, 2) AS baseline_cycle, round(cs, 4) AS cusum, round(t6, 4) AS slope_t, round(qz, 4) AS queue_z, printf('CUSUM %.6f sigma over limit {T.cusum_h}; slope t=%.6f (crit {T.slope_t}); queue z=%.6f', cs, t6, qz) AS evidence FROM bo)"""
 STATIONS = """,
 st AS (
   SELECT s_suppkey AS station, s_suppkey AS pos, r_name AS area, s_suppkey % 3 <> 0 AS instrumented, lag(s_suppkey) OVER (ORDER BY s_suppkey) AS upstream, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS downstream
@@ -113,19 +118,19 @@ AT = 300
 ORACLES = {
     "operations": f"WITH {OPS} SELECT station, vehicle, variant, cycle_time, queue, utilization, operator, supplier_lot, manual_outcome FROM opsl",
     "injected_readings": f"WITH {FAULTY} SELECT station, vehicle, parameter, round(value, 6) AS value, fault FROM rd WHERE fault IS NOT NULL",
-    "baseline_cells": f"WITH {CELLS} SELECT station, parameter, variant, round(mean, 5) AS mean, round(std, 5) AS std, n FROM cells",
+    "baseline_cells": f"WITH {CELLS} SELECT station, parameter, variant, round(mean + 1e-7, 5) AS mean, round(std + 1e-7, 5) AS std, n FROM cells",
     "scored_readings": f"WITH {SCORED} SELECT station, vehicle, parameter, z, baseline_source, baseline_n FROM sc",
     "ewma_series": f"WITH {SCORED}{EWMA} SELECT station, parameter, vehicle, round(e + 1e-10, 6) AS ewma FROM ew",
     "spc_point": f"WITH {SCORED}{POINT} SELECT * FROM f_point",
     "spc_persistent": f"WITH {SCORED}{PERSIST} SELECT * FROM f_pers",
     "spc_trend": f"WITH {SCORED}{TREND} SELECT * FROM f_trend",
-    "spc_cross": f"WITH {SCORED}{CROSS} SELECT station, parameter, vehicle, type, severity FROM f_cross",
+    "spc_cross": f"WITH {SCORED}{CROSS} SELECT station, parameter, vehicle, type, severity, evidence FROM f_cross",
     "flags_union": f"WITH {FLAGS} SELECT * FROM flags",
     "cusum_series": f"WITH {OPS}{BOTS} SELECT station, vehicle, cs AS cusum FROM b4",
     "rolling_ols": f"WITH {OPS}{BOTS} SELECT station, vehicle, t6 AS slope_t FROM b4 WHERE t6 IS NOT NULL",
-    "bottlenecks": f"WITH {OPS}{BOTS} SELECT * FROM bots",
+    "bottlenecks": f"WITH {OPS}{BOTS}{STATIONS} SELECT bots.*, CASE WHEN downstream IS NULL THEN [] ELSE [downstream] END AS starving_downstream FROM bots JOIN st USING (station)",
     "parameter_correlation": f"WITH {SCORED}{CROSS} SELECT station, pa AS a, pb AS b, round(r, 6) AS r FROM cr",
-    "rolling_median": f"WITH {SCORED} SELECT station, parameter, vehicle, round(z - median(z) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING), 6) AS detrended FROM sc WHERE parameter <> 'quantity'",
+    "rolling_median": f"WITH {SCORED} SELECT station, parameter, vehicle, round(z - median(z) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING), 6) AS detrended FROM sc",
     "line_throughput": f"""WITH {OPS}, m AS (SELECT station, max(cycle_time) AS c FROM opsl WHERE vehicle <= {AT} GROUP BY station)
         SELECT round(3600 / max(c), 1) AS line_uph, round(max(c), 2) AS takt_s, (SELECT station FROM m ORDER BY c DESC, station LIMIT 1) AS constraint_station,
                round(3600 / 40.0, 1) AS nominal_uph, round(greatest(0, 3600 / 40.0 - 3600 / max(c)), 2) AS recoverable_uph FROM m""",
@@ -144,7 +149,7 @@ ORACLES = {
         nf AS (SELECT station, bool_or(severity = 'alert') AS al FROM flags WHERE vehicle BETWEEN {AT - 10} AND {AT} GROUP BY station),
         rb AS (SELECT DISTINCT station FROM bots WHERE detected_at BETWEEN {AT - 20} AND {AT}),
         nb AS (SELECT st.station, bool_or(nf.al) AS al FROM st JOIN nf ON nf.station IN (st.upstream, st.downstream) GROUP BY st.station),
-        hs AS (SELECT station, round(greatest(0, 100 - 16 * avg(abs(z))), 1) AS h FROM sc WHERE vehicle BETWEEN {AT - 20} AND {AT} GROUP BY station),
+        hs AS (SELECT station, round(greatest(0, 100 - 16 * avg(abs(z))) + 1e-9, 1) AS h FROM sc WHERE vehicle BETWEEN {AT - 20} AND {AT} GROUP BY station),
         own AS (SELECT st.*, outcome, h, nb.al AS nal, CASE WHEN rb.station IS NOT NULL OR rf.al THEN 'alert' WHEN rf.station IS NOT NULL THEN 'warning' ELSE 'healthy' END AS s
                 FROM st LEFT JOIN lo USING (station) LEFT JOIN rf USING (station) LEFT JOIN rb USING (station) LEFT JOIN nb USING (station) LEFT JOIN hs USING (station))
         SELECT station, area, instrumented, h AS health_score,
@@ -152,9 +157,9 @@ ORACLES = {
                CASE WHEN instrumented THEN s WHEN outcome IN ('fail', 'rework') THEN 'alert' WHEN outcome = 'pass' AND s = 'healthy' THEN s
                     WHEN s = 'healthy' AND nal IS NOT NULL THEN CASE WHEN nal THEN 'alert' ELSE 'warning' END ELSE s END AS status FROM own""",
     "backtest_scenarios": f"""WITH {FLAGS}{BOTS}
-        SELECT i.id, i.kind, i.station, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) AS first_hit, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) - any_value(i.start) AS lag
-        FROM inj i LEFT JOIN flags f ON i.kind <> 'bottleneck' AND f.station = i.station AND f.vehicle BETWEEN i.start - 2 AND i.stop + 6
-        LEFT JOIN bots b ON i.kind = 'bottleneck' AND b.station = i.station AND b.detected_at >= i.start - 2 WHERE i.kind <> 'latent_defect' GROUP BY i.id, i.kind, i.station""",
+        SELECT i.id, i.kind, i.station, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) AS first_hit, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) - any_value(i.first) AS lag
+        FROM inj i LEFT JOIN flags f ON i.kind <> 'bottleneck' AND f.station = i.station AND f.vehicle BETWEEN i.first - 2 AND i.last + 6
+        LEFT JOIN bots b ON i.kind = 'bottleneck' AND b.station = i.station AND b.detected_at >= i.first - 2 WHERE i.kind <> 'latent_defect' GROUP BY i.id, i.kind, i.station""",
     "inspection_failures": f"WITH {SCORED}, v AS (SELECT vehicle, z FROM sc WHERE station = 10 AND parameter = 'tax') SELECT vehicle FROM (SELECT vehicle FROM opsl WHERE station = 10 AND manual_outcome = 'fail' UNION SELECT vehicle FROM v WHERE z <= (SELECT round(avg(z), 9) FROM v) - 2.5)",
     "lot_mean_abs_z": f"WITH {SCORED} SELECT supplier_lot, round(avg(abs(z)) + 1e-9, 6) AS lot_mean_abs_z, count(*) AS n FROM sc GROUP BY supplier_lot",
 }
@@ -162,7 +167,7 @@ ORACLES = {
 FAILS = """,
 v AS (SELECT vehicle, z FROM sc WHERE station = 10 AND parameter = 'tax'),
 failed AS (SELECT vehicle FROM opsl WHERE station = 10 AND manual_outcome = 'fail' UNION SELECT vehicle FROM v WHERE z <= (SELECT round(avg(z), 9) FROM v) - 2.5),
-bnd AS (SELECT min(vehicle) AS lo, max(vehicle) AS hi FROM failed),
+bnd AS (SELECT min(vehicle) AS lo, max(vehicle) AS hi FROM failed HAVING count(*) >= 8),
 dt AS (SELECT station, parameter, vehicle, z - median(z) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS d FROM sc WHERE station < 10 AND parameter <> 'quantity'),
 pop AS (SELECT dt.*, f.vehicle IS NOT NULL AS bad FROM dt LEFT JOIN failed f USING (vehicle), bnd WHERE f.vehicle IS NOT NULL OR vehicle BETWEEN lo - (hi - lo) AND hi + (hi - lo)),
 wt AS (
@@ -171,3 +176,182 @@ rk AS (
   SELECT station, parameter, round((m1 - m2) / coalesce(nullif(sqrt(s1 / n1 + s2 / n2), 0), 1e-9), 2) AS t_statistic, round((m1 - m2) / coalesce(nullif(sqrt((s1 + s2) / 2), 0), 1e-9), 2) AS effect_size_sigma,
          round(m1, 3) AS mean_z_failing, round(m2, 3) AS mean_z_passing, n1 AS n_failing FROM wt WHERE n1 >= 8 AND n2 >= 30)"""
 ORACLES["latent_trace"] = f"WITH {SCORED}{FAILS} SELECT * FROM rk ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 8"
+
+INSPECTION = 10
+SUMMARY = """,
+al AS (SELECT station, vehicle AS at, false AS is_bot FROM flags UNION ALL SELECT station, detected_at, true FROM bots),
+hits AS (
+  SELECT i.id, i.kind, i.station, min(a.at) AS first_hit, min(a.at) - any_value(i.first) AS lag FROM inj i
+  LEFT JOIN al a ON a.station = i.station AND a.is_bot = (i.kind = 'bottleneck') AND a.at >= i.first - 2 AND (a.is_bot OR a.at <= i.last + 6) WHERE i.kind <> 'latent_defect' GROUP BY i.id, i.kind, i.station),
+named AS (SELECT DISTINCT al.station, is_bot, EXISTS (SELECT 1 FROM inj WHERE inj.station = al.station AND (kind = 'bottleneck') = is_bot) AS ok FROM al),
+cnt AS (SELECT count(*) FILTER (NOT is_bot AND ok) AS atp, count(*) FILTER (NOT is_bot AND NOT ok) AS afp, count(*) FILTER (is_bot AND ok) AS btp, count(*) FILTER (is_bot AND NOT ok) AS bfp FROM named),
+hs AS (
+  SELECT count(first_hit) FILTER (kind <> 'bottleneck') AS ah, count(*) FILTER (kind <> 'bottleneck') AS aa, count(first_hit) FILTER (kind = 'bottleneck') AS bh, count(*) FILTER (kind = 'bottleneck') AS ba,
+         round(avg(lag), 1) AS mean_detection_lag, round(quantile_cont(lag, 0.5), 1) AS median_detection_lag, round(quantile_cont(lag, 0.9), 1) AS p90_detection_lag FROM hits),
+summary AS (
+  SELECT round(100.0 * atp / nullif(atp + afp, 0), 1) AS precision, round(100.0 * ah / nullif(aa, 0), 1) AS recall, afp AS false_positives, round(100.0 * btp / nullif(btp + bfp, 0), 1) AS bottleneck_precision,
+         round(100.0 * bh / nullif(ba, 0), 1) AS bottleneck_recall, bfp AS bottleneck_false_positives, mean_detection_lag, median_detection_lag, p90_detection_lag, aa + ba AS evaluated_events, ah + bh AS detected_events, bh AS bottleneck_events FROM cnt, hs)"""
+
+
+def clean(sql: str) -> str:
+    """The same without any fault."""
+    return sql.replace("LEFT JOIN inj i ON i.kind <> 'bottleneck' AND", "LEFT JOIN inj i ON false AND").replace("WHERE kind = 'bottleneck') i", "WHERE false) i")
+
+
+_ALARMS = f"WITH {FLAGS}{BOTS}"
+_PROFILE = f"""{clean(_ALARMS)},
+  seen AS (SELECT station % 10 AS run, count(DISTINCT station) FILTER (k = 'a') AS a, count(DISTINCT station) FILTER (k = 'b') AS b FROM (SELECT station, 'a' AS k FROM flags UNION ALL SELECT station, 'b' FROM bots) GROUP BY 1),
+  rns AS (SELECT station % 10 AS run, max(vehicle) AS v FROM opsl GROUP BY 1),
+  per AS (SELECT avg(coalesce(a, 0)) AS a, avg(coalesce(b, 0)) AS b, max(v) AS v, count(*) AS n FROM rns LEFT JOIN seen USING (run))
+  SELECT n AS runs, v AS vehicles_per_run, round(a, 2) AS anomaly_false_alarms_per_run, round(b, 2) AS bottleneck_false_alarms_per_run, round(a + b, 2) AS total_false_alarms_per_run, round((a + b) * 1000 / v, 2) AS false_alarms_per_1000_vehicles,
+         round(v / nullif(a + b, 0), 1) AS arl0_vehicles FROM per"""
+_CASE = f"""
+  sm AS ({_ALARMS}{SUMMARY} SELECT * FROM summary), fa AS ({_PROFILE}), tp AS ({ORACLES["line_throughput"]}),
+  m AS (SELECT coalesce(recall, 0) AS recall, coalesce(median_detection_lag, 0) AS lag, bottleneck_events AS ev, nominal_uph AS nom, recoverable_uph AS rec, total_false_alarms_per_run AS fa, vehicles_per_run AS vr FROM sm, tp, fa),
+  a AS (SELECT *, greatest(lag, 0) AS x, 78000 / greatest(vr, 1) AS runs FROM m),
+  b AS (SELECT *, CASE WHEN x <= 5 THEN 0.05 + x * 0.06 WHEN x <= 10 THEN 0.35 + (x - 5) * 0.05 WHEN x <= 20 THEN 0.6 + (x - 10) * 0.018 WHEN x <= 40 THEN 0.78 + (x - 20) * 0.0035 ELSE 0.85 END AS act FROM a),
+  c AS (SELECT *, 78000 * 0.021 * recall / 100 * act AS defects, least(0.5 * rec / nom * lag * ev * runs * act, 0.05 * 78000) AS veh, fa * runs * 310 AS cost FROM b),
+  cs AS (SELECT *, defects * 640 + defects * 0.06 * 4200 + veh * 1850 - cost AS net FROM c),
+  case_ AS (SELECT round(act, 3) AS actionable, round(defects) AS defects_prevented, round(defects * 640) AS rework_usd, round(defects * 0.06 * 4200) AS scrap_usd, round(veh) AS vehicles_recovered,
+       round(veh * 1850) AS throughput_usd, round(cost) AS investigation_usd, round(net) AS net_usd, round(net * 0.7) AS net_low_usd, round(net * 1.3) AS net_high_usd FROM cs)"""
+
+
+def _coverage(level: int) -> str:
+    manual = f"(station * 37) % 100 < {level}"
+    return f"""SELECT * FROM (WITH {FLAGS.replace(MANUAL, manual)}{BOTS}{SUMMARY}
+      SELECT {level} / 100.0 AS level, recall, precision, bottleneck_recall, median_detection_lag, (SELECT count(*) FILTER ((s_suppkey * 37) % 100 < {level}) FROM supplier) AS instrumented_stations,
+             (SELECT count(*) FILTER ((s_suppkey * 37) % 100 >= {level}) FROM supplier) AS manual_stations FROM summary)"""
+
+
+_LEVELS = " UNION ALL ".join(_coverage(x) for x in (70, 50, 30))
+
+
+def _grid(kind: str, start: float, step: float, n: int) -> str:
+    return f"""SELECT '{kind}' AS kind, coalesce(min(lim) FILTER (ok), max(lim)) AS limit, round(arg_min(f, CASE WHEN ok THEN lim ELSE 1e6 - lim END), 4) AS fit_rate, round(arg_min(v, CASE WHEN ok THEN lim ELSE 1e6 - lim END), 4) AS validation_rate FROM (
+      SELECT *, f <= {1.0 / 3} AND v <= {1.0 / 3} AS ok FROM (
+        SELECT lim, count(*) FILTER (peak > lim AND run % 2 = 0) / greatest(count(DISTINCT run) FILTER (run % 2 = 0), 1) AS f, count(*) FILTER (peak > lim AND run % 2 = 1) / greatest(count(DISTINCT run) FILTER (run % 2 = 1), 1) AS v
+        FROM pk, (SELECT round({start} + i * {step}, 4) AS lim FROM range({n}) t(i)) WHERE kind = '{kind}' GROUP BY lim))"""
+
+
+_W = "(PARTITION BY station ORDER BY vehicle ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+def _padded(v: str, w: int) -> str:
+    return f"(sum({v}) OVER {_W.format(w - 1)} + greatest(0, {w} - rn) * first_value({v}) OVER (PARTITION BY station ORDER BY vehicle))"
+
+
+def _slope(v: str, w: int) -> str:
+    """Slope by its definition over a list padded on the left."""
+    xs = f"list_transform(range({w}), lambda i: i - {(w - 1) / 2})"
+    ys = f"list_concat(list_resize([]::DOUBLE[], CAST(greatest(0, {w} - rn) AS BIGINT), CAST(first_value({v}) OVER (PARTITION BY station ORDER BY vehicle) AS DOUBLE)), list({v}::DOUBLE) OVER {_W.format(w - 1)})"
+    return f"list_sum(list_transform(list_zip({xs}, {ys}), lambda p: p[1] * p[2])) / {w * (w * w - 1) / 12}"
+
+
+OVEN = f""",
+ov AS (
+  SELECT station, (station - 1) // 10 AS oven, vehicle, 25.0 + 19.0 * ((station - 1) % 10) AS dwell, round(4.0 * sin(2 * 3.141592653589793 * vehicle / 120), 6) AS ambient, discount, tax,
+         CASE WHEN (station - 1) // 10 % 2 = 0 AND vehicle BETWEEN 240 AND 350 THEN 42.0 + (55.0 - 42.0) * (vehicle - 240) / 110 ELSE 42.0 END AS tau FROM opsl WHERE {MANUAL}),
+ort AS (SELECT *, round(25.0 + 153.0 * (1 - exp(-dwell / tau)) + 0.35 * ambient + ((discount - 0.05) * 10 + (tax - 0.04) * 10), 4) AS temperature FROM ov),
+ow AS (SELECT *, temperature - (25.0 + 153.0 * (1 - exp(-dwell / 42.0))) AS r, max(vehicle) OVER (PARTITION BY station) AS nv FROM ort),
+og AS (
+  SELECT station, count(*) AS n, regr_sxx(r, ambient) AS sxx, regr_sxy(r, ambient) AS sxy, regr_syy(r, ambient) AS syy, avg(r) AS my, avg(ambient) AS mx FROM ow
+  WHERE vehicle <= least({T.warmup}, greatest(30, nv // 2)) GROUP BY station HAVING count(*) >= 20),
+ofit AS (SELECT station, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, greatest(sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 1)), 1e-6) AS sigma, n FROM og),
+ores AS (SELECT station, vehicle, round((r - intercept - slope * ambient) / sigma, 3) AS residual FROM ow JOIN ofit USING (station))"""
+TAU = """,
+tg AS (SELECT round(0.6 * 42.0 + i * (1.2 * 42.0 / 399), 6) AS tau FROM range(400) t(i)),
+tp AS (SELECT oven, vehicle, tg.tau, count(*) AS n, sum(round(temperature - (25.0 + 153.0 * (1 - exp(-dwell / tg.tau))), 6)) AS s, sum(pow(round(temperature - (25.0 + 153.0 * (1 - exp(-dwell / tg.tau))), 6), 2)) AS q FROM ort, tg GROUP BY ALL),
+tw AS (SELECT oven, vehicle, tau, sum(n) OVER w AS wn, sum(s) OVER w AS ws, sum(q) OVER w AS wq, count(*) OVER w AS have FROM tp WINDOW w AS (PARTITION BY oven, tau ORDER BY vehicle ROWS 14 PRECEDING)),
+tf AS (SELECT oven, vehicle, arg_min(tau, (round(wq - ws * ws / wn, 4), tau)) AS tau FROM tw WHERE have = 15 AND wn >= 6 GROUP BY ALL)"""
+EXPORT = """,
+en AS (SELECT station, substr(area, 1, 3) || '-' || printf('%04d', station) AS station_id, instrumented FROM st),
+ex AS (
+  SELECT strftime(TIMESTAMP '2026-01-05 06:00:00' + to_minutes(o.vehicle), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, o.vehicle AS v, o.station, printf('V-%04d', o.vehicle) AS vehicle_id, o.variant AS product_variant, station_id, parameter, value,
+         cycle_time AS cycle_time_seconds, queue AS queue_length, utilization AS utilization_pct, manual_outcome
+  FROM opsl o JOIN en USING (station) LEFT JOIN rd0 r ON r.station = o.station AND r.vehicle = o.vehicle)"""
+RISK = f""",
+zz AS (SELECT station, vehicle, max(abs(z)) AS zmax, avg(abs(z)) AS zmean FROM sc GROUP BY ALL),
+fl AS (SELECT station, vehicle, count(*) FILTER (severity = 'alert') AS alerts, count(*) FILTER (severity = 'warning') AS warnings FROM flags GROUP BY ALL),
+lz AS (SELECT supplier_lot, avg(abs(z)) AS lot FROM sc GROUP BY ALL),
+rn0 AS (SELECT max(vehicle) AS n FROM opsl),
+grd AS (SELECT DISTINCT station, unnest(range(1, n + 1)) AS vehicle FROM opsl, rn0),
+f0 AS (
+  SELECT g.station, g.vehicle, coalesce(zmax, 0) AS zmax, coalesce(zmean, 0) AS zmean, coalesce(alerts, 0) AS alerts, coalesce(warnings, 0) AS warnings, coalesce(o.cycle_time, 0) AS cycle, coalesce(o.queue, 0) AS queue, coalesce(o.utilization, 0) AS utilization,
+         CASE WHEN manual_outcome IN ('fail', 'rework') THEN 1.0 ELSE 0.0 END AS rework, coalesce(abs(residual), 0) AS thermal, coalesce(lot, 0) AS lot, coalesce(TRY_CAST(substr(operator, 1, 1) AS BIGINT) - 1, 0) AS operator_idx, CASE WHEN variant = 'O' THEN 1.0 ELSE 0.0 END AS variant_idx
+  FROM grd g LEFT JOIN opsl o USING (station, vehicle) LEFT JOIN zz USING (station, vehicle) LEFT JOIN fl USING (station, vehicle) LEFT JOIN lz ON lz.supplier_lot = o.supplier_lot LEFT JOIN ores USING (station, vehicle)),
+f1 AS (
+  SELECT *, row_number() OVER (PARTITION BY station ORDER BY vehicle) AS rn, coalesce(sum(alerts) OVER (PARTITION BY vehicle ORDER BY station ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS up,
+         vehicle <= least({T.warmup}, max(vehicle) OVER (PARTITION BY station) // 2) AS warm FROM f0),
+f2 AS (
+  SELECT *, avg(cycle) FILTER (warm) OVER s AS mc, greatest(stddev_samp(cycle) FILTER (warm) OVER s, 1e-6) AS sc_, avg(queue) FILTER (warm) OVER s AS mq, greatest(stddev_samp(queue) FILTER (warm) OVER s, 1e-6) AS sq FROM f1 WINDOW s AS (PARTITION BY station)),
+f3 AS (SELECT *, sum(cycle - mc - 0.5 * sc_) OVER (PARTITION BY station ORDER BY vehicle) AS cu, last_value(CASE WHEN alerts > 0 THEN rn END IGNORE NULLS) OVER (PARTITION BY station ORDER BY vehicle) AS la FROM f2),
+fe AS (SELECT a.station, a.vehicle, sum(0.2 * pow(0.8, a.vehicle - b.vehicle) * b.zmean) AS e FROM f0 a JOIN f0 b ON a.station = b.station AND b.vehicle BETWEEN a.vehicle - 170 AND a.vehicle GROUP BY ALL),
+f4 AS (
+  SELECT station, vehicle, max(zmax) OVER {_W.format(9)} AS max_abs_z_10, {_padded("zmean", 10)} / 10 AS mean_abs_z_10, abs(e) AS ewma_abs, {_slope("zmean", 10)} AS z_slope_10, {_padded("alerts", 20)} AS alerts_20, {_padded("warnings", 20)} AS warnings_20,
+         coalesce(least(rn - la, 200), 200) AS vehicles_since_alert, (cycle - mc) / sc_ AS cycle_z, (cu - least(0, min(cu) OVER (PARTITION BY station ORDER BY vehicle))) / sc_ AS cycle_cusum, (queue - mq) / sq AS queue_z, utilization,
+         {_padded("up", 20)} AS upstream_alerts_20, thermal AS thermal_residual_abs, {_padded("rework", 20)} AS manual_rework_20, operator_idx, lot AS lot_mean_abs_z, variant_idx
+  FROM f3 JOIN fe USING (station, vehicle))"""
+_FEATURES = ["max_abs_z_10", "mean_abs_z_10", "ewma_abs", "z_slope_10", "alerts_20", "warnings_20", "vehicles_since_alert", "cycle_z", "cycle_cusum", "queue_z", "utilization", "upstream_alerts_20", "thermal_residual_abs", "manual_rework_20", "operator_idx", "lot_mean_abs_z", "variant_idx"]
+LABELS = f"""{OPS}, {INJ},
+gt AS (SELECT DISTINCT station, unnest(coalesce(vehicles, range(first, last + 1))) AS vehicle FROM inj),
+rn0 AS (SELECT max(vehicle) AS n FROM opsl),
+grd AS (SELECT DISTINCT station, unnest(range(1, n + 1)) AS vehicle FROM opsl, rn0),
+lb AS (SELECT g.station, g.vehicle, CAST(coalesce(bool_or(t.vehicle IS NOT NULL), false) AS INT) AS label FROM grd g LEFT JOIN gt t ON t.station = g.station AND t.vehicle > g.vehicle AND t.vehicle <= g.vehicle + 8 GROUP BY ALL)"""
+RATED = LABELS + ", rt AS (SELECT station, vehicle, round(cycle_time / 100 + queue / 100, 6) AS p, label AS y FROM opsl JOIN lb USING (station, vehicle))"
+
+ORACLES |= {
+    "padded_rolls": f"""WITH {OPS}, o AS (SELECT *, vehicle AS rn, last_value(CASE WHEN manual_outcome = 'fail' THEN vehicle END IGNORE NULLS) OVER (PARTITION BY station ORDER BY vehicle) AS lf FROM opsl)
+        SELECT station, vehicle, round({_padded("cycle_time", 20)}, 6) AS sum_20, round({_padded("cycle_time", 10)} / 10, 6) AS mean_10, round(max(cycle_time) OVER {_W.format(9)}, 6) AS max_10, round({_slope("cycle_time", 10)}, 6) + 0.0 AS slope_10,
+               coalesce(least(vehicle - lf, 200), 200) AS since_fail FROM o""",
+    "state_document": f"""WITH s AS ({ORACLES["state_stations"]}) SELECT area, count(*) AS n, count(*) FILTER (status = 'alert') AS alerts,
+        '[' || string_agg('{{"station":' || station || ',"status":"' || status || '"}}', ',' ORDER BY station) || ']' AS stations FROM s GROUP BY area""",
+    "backtest_summary": f"{_ALARMS}{SUMMARY} SELECT * FROM summary",
+    "false_alarm_profile": _PROFILE,
+    "coverage_study": _LEVELS,
+    "calibration_sweep": f"""WITH {clean(SCORED)}{EWMA}{clean(BOTS)},
+        pk AS (SELECT station, station % 10 AS run, 'ewma' AS kind, round(max(abs(e)), 6) AS peak FROM ew GROUP BY ALL UNION ALL SELECT station, station % 10, 'cusum', max(cs) FROM b4 GROUP BY ALL)
+        {_grid("ewma", 0.5, 0.05, 60)} UNION ALL {_grid("cusum", 2.0, 0.25, 233)}""",
+    "latent_exposure": f"""WITH {FLAGS}{FAILS}, r2 AS (SELECT * FROM rk ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 2), r1 AS (SELECT * FROM r2 ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 1),
+        fc AS (SELECT count(*) AS failures, min(vehicle) AS ff FROM failed), la AS (SELECT min(vehicle) AS la FROM flags, fc WHERE station = (SELECT station FROM r1) AND vehicle >= ff)
+        SELECT failures >= 8 AS available, CASE WHEN failures < 8 THEN 'Only ' || failures || ' inspection failures; need 8 to attribute.' END AS reason, failures, (SELECT station FROM r1) AS origin, (SELECT parameter FROM r1) AS origin_parameter,
+               (SELECT CASE WHEN count(*) = 2 THEN round(max(abs(t_statistic)) - min(abs(t_statistic)), 2) END FROM r2) AS separation_margin_t, ff AS first_failure, la AS first_local_alarm,
+               CASE WHEN (SELECT count(*) FROM r1) = 1 THEN (SELECT count(*) FROM failed WHERE la IS NULL OR vehicle < la) END AS vehicles_before_local_alarm, la - ff AS local_alarm_lag FROM fc, la""",
+    "economics": f"WITH {_CASE} SELECT * FROM case_",
+    "rollout": f"WITH {_CASE} SELECT 970000.0 AS total_cost_usd, 68.0 AS total_weeks, net_usd AS annual_net_usd, CASE WHEN net_usd > 0 THEN round(970000.0 / (net_usd / 12), 1) END AS payback_months, round(100 * (net_usd - 970000.0) / 970000.0, 1) AS first_year_roi_pct FROM case_",
+    "retrofit": f"""WITH {_CASE}, lv AS ({_LEVELS}), sl AS (SELECT round((arg_max(recall, level) - arg_min(recall, level)) / (max(level) - min(level)) / 100, 3) AS slope FROM lv),
+        it(item, station_count, cost) AS (VALUES ('torque', 3, 12600.0), ('vision', 2, 37000.0), ('thermal', 1, 2600.0)),
+        va AS (SELECT *, station_count / (SELECT count(*) FROM supplier) AS gain FROM it), vb AS (SELECT *, nullif(net_usd * slope * gain, 0) AS value FROM va, case_, sl)
+        SELECT item, CAST(station_count AS BIGINT) AS station_count, CAST(cost AS DOUBLE) AS total_cost_usd, round(gain, 6) AS coverage_gain, round(value) AS annual_value_usd, CASE WHEN value > 0 THEN round(cost / (value / 12), 1) END AS payback_months FROM vb""",
+    "thermal_regression": f"WITH {OPS}{OVEN} SELECT station, round(slope, 5) + 0.0 AS slope, round(intercept, 5) + 0.0 AS intercept, round(sigma, 5) + 0.0 AS sigma, n FROM ofit",
+    "thermal_residuals": f"WITH {OPS}{OVEN} SELECT station, vehicle, residual + 0.0 AS residual FROM ores",
+    "oven_tau_fit": f"WITH {OPS}{OVEN}{TAU} SELECT * FROM tf",
+    "oven_tau_alarms": f"""WITH {OPS}{OVEN}{TAU}, t1 AS (SELECT *, count(*) OVER (PARTITION BY oven) AS n, max(vehicle) OVER (PARTITION BY oven) AS mx FROM tf), t2 AS (SELECT *, vehicle <= least({T.warmup}, mx // 2) AS b FROM t1),
+        t3 AS (SELECT *, avg(tau) FILTER (b) OVER o AS m, greatest(stddev_samp(tau) FILTER (b) OVER o, 1e-6) AS s, count(*) FILTER (b) OVER o AS nb FROM t2 WINDOW o AS (PARTITION BY oven)),
+        t4 AS (SELECT *, round((tau - m) / s, 4) AS z FROM t3 WHERE n >= 40 AND nb >= 20 AND mx >= 45), t5 AS ({latched("t4", "abs(z) >= 3.3", "abs(z) < 0.5 * 3.3", "oven")})
+        SELECT oven, vehicle, 'physics_thermal_violation' AS type, 'alert' AS severity, round(tau, 4) AS measured, round(m, 4) AS expected, z FROM t5""",
+    "risk_features": f"WITH {FLAGS}{OVEN}{RISK} SELECT station, vehicle, {', '.join(f'round(CAST({c} AS DOUBLE) + 1e-9, 5) + 0.0 AS {c}' for c in _FEATURES)} FROM f4",
+    "risk_labels": f"WITH {LABELS} SELECT station, vehicle, label FROM lb",
+    "risk_metrics": f"""WITH {RATED}, tot AS (SELECT count(*) AS n, sum(y) AS pos, round(avg(pow(p - y, 2)), 4) AS brier FROM rt),
+        ds AS (SELECT p, count(*) AS k, sum(y) AS y FROM rt GROUP BY p), cm AS (SELECT *, sum(k) OVER (ORDER BY p DESC) AS ck, sum(y) OVER (ORDER BY p DESC) AS cy FROM ds),
+        ap AS (SELECT sum(y / (SELECT pos FROM tot) * cy / ck) AS ap FROM cm),
+        rks AS (SELECT y, avg(r) OVER (PARTITION BY p) AS r FROM (SELECT *, row_number() OVER (ORDER BY p) AS r FROM rt)), ra AS (SELECT sum(r) FILTER (y = 1) AS rs FROM rks),
+        top AS (SELECT y, row_number() OVER (ORDER BY p DESC, station, vehicle) AS k FROM rt)
+        SELECT n AS rows, CAST(pos AS BIGINT) AS positives, brier, round(ap, 3) AS pr_auc, round(pos / n, 3) AS pr_auc_baseline, round((rs - pos * (pos + 1) / 2) / (pos * (n - pos)), 3) AS roc_auc, round(round(ap, 3) / greatest(round(pos / n, 3), 1e-9), 1) AS lift,
+               (SELECT round(avg(y), 3) FROM top WHERE k <= 40) AS precision_at_40, (SELECT round(avg(y), 3) FROM top WHERE k <= 120) AS precision_at_120 FROM tot, ap, ra""",
+    "risk_reliability": f"WITH {RATED} SELECT CAST(least(greatest(floor(p * 10), 0), 9) AS BIGINT) AS bin, round(avg(p) + 1e-9, 3) AS predicted, round(avg(y), 3) AS observed, count(*) AS n FROM rt GROUP BY 1 HAVING count(*) >= 25",
+    "export_rows": f"WITH {OPS}{STATIONS}{EXPORT} SELECT * EXCLUDE (v, station) FROM ex",
+    "export_truth": f"WITH {OPS}{STATIONS}{EXPORT}, {INJ} SELECT printf('V-%04d', first) AS vehicle_id, station_id, kind AS event_type, printf('V-%04d', first) AS event_start, printf('V-%04d', last) AS event_end, id AS confirmed_by FROM inj JOIN en USING (station)",
+    "ingest_operations": f"WITH {OPS} SELECT station, vehicle, printf('V-%04d', vehicle) AS vehicle_id, variant, cycle_time, queue, utilization, manual_outcome FROM opsl",
+    "ingest_readings": f"WITH {OPS} SELECT station, vehicle, parameter, value FROM rd0",
+    "ingest_errors": f"""WITH {OPS}{STATIONS}{EXPORT}, x AS (SELECT v % 97 AS k, instrumented, v % 97 = 4 OR v % 97 = 5 OR instrumented AS reading FROM ex JOIN en USING (station))
+        SELECT error, count(*) AS n FROM (
+          SELECT 'unknown_station' AS error FROM x WHERE k = 1 UNION ALL SELECT 'bad_metric' FROM x WHERE k = 2 UNION ALL SELECT 'bad_outcome' FROM x WHERE k = 3 UNION ALL SELECT 'blank_vehicle' FROM x WHERE k = 6
+          UNION ALL SELECT 'manual_station' FROM x WHERE k IN (4, 5) AND NOT instrumented UNION ALL SELECT 'unknown_parameter' FROM x WHERE k = 4 AND instrumented UNION ALL SELECT 'bad_value' FROM x WHERE k = 5 AND instrumented) GROUP BY error""",
+    "ingest_truth": f"""WITH {OPS}{STATIONS}{EXPORT}, {INJ} SELECT kind, station_id, station, first AS start_vehicle, last AS end_vehicle, id AS confirmed_by, '' AS errors FROM inj JOIN en USING (station)
+        UNION ALL SELECT kind, substr(e.station_id, 1, 3) || '-*', g.station, first, first, 'group', '' FROM inj JOIN en e USING (station) JOIN en g ON substr(g.station_id, 1, 3) = substr(e.station_id, 1, 3) WHERE id = 'inj1'""",
+}
+ORACLES["station_topology"] = """
+WITH g(g, prefix, area, n, manual, base_cycle) AS (VALUES (0, 'BIW', 'Body', 14, 4, 52.0), (1, 'PNT', 'Paint', 10, 3, 55.0), (2, 'FNL', 'Final', 16, 5, 50.0)),
+s AS (SELECT g.*, unnest(range(1, n + 1)) AS k FROM g),
+i AS (SELECT *, printf('%s-%02d', prefix, k) AS id, row_number() OVER (ORDER BY g, k) AS pos FROM s)
+SELECT pos, id, area, k > manual AS instrumented, CAST(base_cycle AS DOUBLE) AS base_cycle, lag(id) OVER (ORDER BY pos) AS upstream, lead(id) OVER (ORDER BY pos) AS downstream FROM i"""

@@ -4,88 +4,108 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import ADAPTED as T
 from .functions import series as S
+from .operators import business as B
 from .operators import detect as D
+from .operators import oven as O
 from .operators import report as R
-from .plans.oracles import AT, ORACLES
+from .operators import risk as K
+from .plans.oracles import AT, INSPECTION, ORACLES
 from .sources import adapters as A
+from .sources import ingest as I
+from .sources.staging import fresh_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+ANY = lambda kind: kind != "bottleneck"
+SLOW = lambda kind: kind == "bottleneck"
+
 
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
-def _faulty(spark, d):
-    return A.with_faults(A.readings(A.operations(spark, d)), A.injections(spark))
+def _faulty(spark, d, rule=A.instrumented):
+    return A.with_faults(A.line(spark, d, rule), A.by_station(spark, ANY))
+
+
+def _scored(spark, d, rule=A.instrumented):
+    return D.score(_faulty(spark, d, rule), T)
 
 
-def _scored(spark, d):
-    return D.score(_faulty(spark, d), T)
+def _flagged(spark, d, rules=(*D.RULES, "cross_parameter")):
+    return D.with_flags(_scored(spark, d), T, rules)
 
 
 def _slowed(spark, d):
-    """Operations with the bottleneck faults: cycle time grows from the start on, without an end."""
-    i = A.injections(spark).where("kind = 'bottleneck'").select(F.col("station").alias("_s"), "start", "size")
-    o = A.operations(spark, d)
-    grown = F.col("cycle_time") + F.coalesce(F.col("size") * (F.col("vehicle") - F.col("start")), F.lit(0.0))
-    return o.join(F.broadcast(i), (F.col("station") == F.col("_s")) & (F.col("vehicle") >= F.col("start")), "left").withColumn("cycle_time", grown).drop("_s", "start", "size")
+    return A.slowed(A.line(spark, d), A.by_station(spark, SLOW))
+
+
+def _bottlenecks(spark, d):
+    return D.bottlenecks(_slowed(spark, d), T)
+
+
+def _clean(spark, d):
+    """The line without any fault, scored and with its alarms."""
+    return D.with_flags(D.score(A.line(spark, d), T), T)
 
 
 @query
 def operations(spark, d):
-    return A.operations(spark, d).drop("quantity", "extendedprice", "discount", "tax")
+    return A.operations(spark, d).drop("order_key", "instrumented", *A.PARAMETERS)
 
 
 @query
 def injected_readings(spark, d):
-    return _faulty(spark, d).where("fault is not null").select("station", "vehicle", "parameter", F.round("value", 6).alias("value"), "fault")
+    long = A.readings(_faulty(spark, d), {"value": "", "fault": "fault_"})
+    return long.where("fault is not null").select("station", "vehicle", "parameter", F.round("value", 6).alias("value"), "fault")
 
 
 @query
 def baseline_cells(spark, d):
-    return D.baseline_cells(_faulty(spark, d), T).select("station", "parameter", "variant", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n")
+    # means of money end in ties at the digit rounded to; both engines round them up
+    return D.baseline_cells(_faulty(spark, d), T).select("station", "parameter", "variant", F.round(F.col("mean") + 1e-7, 5).alias("mean"), F.round(F.col("std") + 1e-7, 5).alias("std"), "n")
 
 
 @query
 def scored_readings(spark, d):
-    return _scored(spark, d).select("station", "vehicle", "parameter", "z", "baseline_source", "baseline_n")
+    return D.scored_readings(_scored(spark, d)).select("station", "vehicle", "parameter", "z", "baseline_source", "baseline_n")
 
 
 @query
 def ewma_series(spark, d):
-    return S.ewma(_scored(spark, d), "z", D.KEY, T.lam).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9) + 1e-10, 6).alias("ewma"))
+    e = S.ewma(_scored(spark, d), {f"e_{p}": f"z_{p}" for p in A.PARAMETERS}, D.STATION, T.lam)
+    return A.readings(e, {"ewma": "e_"}).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9) + 1e-10, 6).alias("ewma"))
 
 
 @query
 def spc_point(spark, d):
-    return D.point_flags(_scored(spark, d), T)
+    return D.flags(_flagged(spark, d, ("point",)))
 
 
 @query
 def spc_persistent(spark, d):
-    return D.persistent_flags(_scored(spark, d), T)
+    return D.flags(_flagged(spark, d, ("persistent",)))
 
 
 @query
 def spc_trend(spark, d):
-    return D.trend_flags(_scored(spark, d), T)
+    return D.flags(_flagged(spark, d, ("trend",)))
 
 
 @query
 def spc_cross(spark, d):
-    return D.cross_flags(_scored(spark, d), T).drop("z")
+    return D.flags(_flagged(spark, d, ("cross_parameter",))).drop("z")
 
 
 @query
 def flags_union(spark, d):
-    return D.flags(_scored(spark, d), T)
+    return D.flags(_flagged(spark, d))
 
 
 @query
@@ -100,7 +120,7 @@ def rolling_ols(spark, d):
 
 @query
 def bottlenecks(spark, d):
-    return D.bottlenecks(_slowed(spark, d), T)
+    return D.starving(_bottlenecks(spark, d), A.stations(spark, d))
 
 
 @query
@@ -110,45 +130,55 @@ def parameter_correlation(spark, d):
 
 @query
 def rolling_median(spark, d):
-    sc = _scored(spark, d).where("parameter <> 'quantity'")
-    return sc.select("station", "parameter", "vehicle", F.round(F.col("z") - S.rolling_median("z", D.KEY, T.detrend), 6).alias("detrended"))
+    m = _scored(spark, d).withColumns({f"m_{p}": F.round(F.col(f"z_{p}") - S.rolling_median(f"z_{p}", D.STATION, T.detrend), 6) for p in A.PARAMETERS})
+    return A.readings(m, {"detrended": "m_"}).select("station", "parameter", "vehicle", "detrended")
+
+
+@query
+def padded_rolls(spark, d):
+    """Padded sum, mean, maximum and slope of the cycle time, and operations since the last failure."""
+    o = S.padded_slope(A.line(spark, d), "cycle_time", D.STATION, 10, out="slope_10")
+    o = S.rows_since(o, F.col("manual_outcome") == "fail", D.STATION, out="since_fail")
+    rolls = {"sum_20": S.padded_sum("cycle_time", D.STATION, 20), "mean_10": S.padded_mean("cycle_time", D.STATION, 10), "max_10": S.padded_max("cycle_time", D.STATION, 10)}
+    return o.withColumns(rolls).select("station", "vehicle", *(F.round(c, 6).alias(c) for c in rolls), (F.round("slope_10", 6) + 0.0).alias("slope_10"), "since_fail")
 
 
 @query
 def line_throughput(spark, d):
-    return R.line_throughput(A.operations(spark, d), AT)
+    return R.line_throughput(A.line(spark, d), AT)
 
 
 @query
 def throughput_loss(spark, d):
-    return R.throughput_loss(A.operations(spark, d), AT)
+    return R.throughput_loss(A.line(spark, d), AT)
 
 
 @query
 def latest_operations(spark, d):
-    return R.latest_operations(A.operations(spark, d), AT)
+    return R.latest_operations(A.line(spark, d), AT)
 
 
 @query
 def station_series(spark, d):
-    w = S.Window.partitionBy("parameter").orderBy(F.desc("vehicle"))
-    sc = _scored(spark, d).where((F.col("station") == 5) & (F.col("vehicle") <= AT))
+    """The last 120 readings of each parameter of one station."""
+    w = Window.partitionBy("parameter").orderBy(F.desc("vehicle"))
+    sc = D.scored_readings(_scored(spark, d).where((F.col("station") == 5) & (F.col("vehicle") <= AT)))
     return sc.withColumn("_k", F.row_number().over(w)).where("_k <= 120").select("parameter", "vehicle", "z")
 
 
 @query
 def flags_since(spark, d):
-    return D.flags(_scored(spark, d), T).where(F.col("vehicle").between(200, AT))
+    return D.flags(_flagged(spark, d).where(F.col("vehicle").between(200, AT)))
 
 
 @query
 def visible_bottlenecks(spark, d):
-    return D.bottlenecks(_slowed(spark, d), T).where(F.col("detected_at") <= AT).select("station", "detected_at")
+    return _bottlenecks(spark, d).where(F.col("detected_at") <= AT).select("station", "detected_at")
 
 
 @query
 def deviation_heatmap(spark, d):
-    f = D.flags(_scored(spark, d), T).where("type <> 'cross_parameter'")
+    f = D.flags(_flagged(spark, d, D.RULES))
     return f.groupBy("station").pivot("parameter", A.PARAMETERS).agg(F.max(F.abs("z")))
 
 
@@ -159,33 +189,89 @@ def area_counts(spark, d):
 
 @query
 def state_stations(spark, d):
-    sc = _scored(spark, d)
-    return R.state_stations(A.stations(spark, d), A.operations(spark, d), sc, D.flags(sc, T), D.bottlenecks(_slowed(spark, d), T), AT)
+    return R.state_stations(A.stations(spark, d), A.line(spark, d), _flagged(spark, d), _bottlenecks(spark, d), AT)
+
+
+@query
+def state_document(spark, d):
+    """The state as one JSON text per area: its stations in order with status and health."""
+    s = state_stations(spark, d)
+    row = F.struct("station", "status", "gap_method", "health_score")
+    return s.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "alert").alias("alerts"), F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["station"].alias("station"), x["status"].alias("status")))).alias("stations"))
 
 
 @query
 def backtest_scenarios(spark, d):
-    return R.backtest_scenarios(A.injections(spark), D.flags(_scored(spark, d), T), D.bottlenecks(_slowed(spark, d), T))
+    return R.backtest_scenarios(A.injections(spark), R.alarms_of(flags_union(spark, d), _bottlenecks(spark, d)))
+
+
+@query
+def backtest_summary(spark, d):
+    alarms = stage(R.alarms_of(flags_union(spark, d), _bottlenecks(spark, d)), "alarms")
+    return R.backtest_summary(A.injections(spark), alarms)
+
+
+@query
+def false_alarm_profile(spark, d):
+    line = A.line(spark, d)
+    return R.false_alarm_profile(line, D.flags(_clean(spark, d)), D.bottlenecks(line, T))
+
+
+@query
+def coverage_study(spark, d):
+    """Detection with fewer instrumented stations."""
+    bots = stage(_bottlenecks(spark, d), "constraints")
+    parts = []
+    for level in (0.7, 0.5, 0.3):
+        rule = A.covered(level)
+        flags = D.flags(D.with_flags(_scored(spark, d, rule), T))
+        summary = R.backtest_summary(A.injections(spark), stage(R.alarms_of(flags, bots), "alarms"))
+        n = A.stations(spark, d).agg(F.count_if(rule(F.col("station"))).alias("instrumented_stations"), F.count_if(~rule(F.col("station"))).alias("manual_stations"))
+        parts.append(summary.select(F.lit(level).alias("level"), "recall", "precision", "bottleneck_recall", "median_detection_lag").crossJoin(F.broadcast(n)))  # one row each
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def calibration_sweep(spark, d):
+    peaks = stage(B.peaks(D.score(A.line(spark, d), T), D.constraint_series(A.line(spark, d), T), A.PARAMETERS, T.lam, 10), "peaks")
+    return B.calibration(peaks, {"ewma": (0.5, 0.05, 60), "cusum": (2.0, 0.25, 233)}, 1.0 / 3)
 
 
 @query
 def inspection_failures(spark, d):
-    return R.inspection_failures(A.operations(spark, d), _scored(spark, d), 10, "tax")
+    return R.inspection_failures(_scored(spark, d).where(F.col("station") == INSPECTION), "tax")
 
 
 @query
 def latent_trace(spark, d):
-    return R.latent_trace(A.operations(spark, d), _scored(spark, d), 10, "tax")
+    return R.latent_trace(_scored(spark, d), INSPECTION, "tax")
+
+
+@query
+def latent_exposure(spark, d):
+    return R.latent_exposure(_scored(spark, d), flags_union(spark, d), INSPECTION, "tax")
 
 
 @query
 def lot_mean_abs_z(spark, d):
-    return _scored(spark, d).groupBy("supplier_lot").agg(F.round(F.avg(F.abs("z")) + 1e-9, 6).alias("lot_mean_abs_z"), F.count(F.lit(1)).alias("n"))
+    sc = D.scored_readings(_scored(spark, d))
+    return sc.groupBy("supplier_lot").agg(F.round(F.avg(F.abs("z")) + 1e-9, 6).alias("lot_mean_abs_z"), F.count(F.lit(1)).alias("n"))
 
 
 @query
 def economics(spark, d):
-    return R.economics(R.measured(spark))
+    return B.economics(B.measured(backtest_summary(spark, d), line_throughput(spark, d), false_alarm_profile(spark, d)))
+
+
+@query
+def rollout(spark, d):
+    return B.rollout(economics(spark, d))
+
+
+@query
+def retrofit(spark, d):
+    n = A.stations(spark, d).agg(F.count(F.lit(1)).alias("n_stations"))
+    return B.retrofit(economics(spark, d), B.coverage_slope(coverage_study(spark, d)), n)
 
 
 @query
@@ -193,16 +279,118 @@ def station_topology(spark, d):
     return A.topology(spark)
 
 
+@query
+def thermal_regression(spark, d):
+    f = O.thermal_regression(O.oven_readings(A.line(spark, d)), T)
+    return f.select("station", *((F.round(c, 5) + 0.0).alias(c) for c in ("slope", "intercept", "sigma")), "n")
+
+
+@query
+def thermal_residuals(spark, d):
+    rd = O.oven_readings(A.line(spark, d))
+    return O.residuals(rd, O.thermal_regression(rd, T)).withColumn("residual", F.col("residual") + 0.0)
+
+
+@query
+def oven_tau_fit(spark, d):
+    return O.tau_fit(O.oven_readings(A.line(spark, d)))
+
+
+@query
+def oven_tau_alarms(spark, d):
+    return O.tau_alarms(O.tau_fit(O.oven_readings(A.line(spark, d))), T)
+
+
+def _features(spark, d):
+    rd = O.oven_readings(A.line(spark, d))
+    return K.features(A.operations(spark, d), stage(_flagged(spark, d), "flagged"), O.residuals(rd, O.thermal_regression(rd, T)), T)
+
+
+@query
+def risk_features(spark, d):
+    return _features(spark, d).select("station", "vehicle", *((F.round(F.col(c) + 1e-9, 5) + 0.0).alias(c) for c in K.FEATURES))
+
+
+@query
+def risk_labels(spark, d):
+    return K.labels(A.line(spark, d), K.truth_of(A.injections(spark)))
+
+
+def _rated(spark, d):
+    """A fixed score of the operations, for the metrics: the longer a cycle, the higher."""
+    y = risk_labels(spark, d).withColumnRenamed("label", "y")
+    p = A.line(spark, d).select("station", "vehicle", F.round(F.col("cycle_time") / 100 + F.col("queue") / 100, 6).alias("p"))
+    return p.join(y, ["station", "vehicle"])
+
+
+@query
+def risk_metrics(spark, d):
+    return K.metrics(stage(_rated(spark, d), "rated"))
+
+
+@query
+def risk_reliability(spark, d):
+    return K.reliability(_rated(spark, d))
+
+
+@query
+def risk_scores(spark, d):
+    """Calibrated risk of each station and vehicle of the stations held out of training."""
+    frame = stage(_features(spark, d).join(risk_labels(spark, d), ["station", "vehicle"]), "risk-frame")
+    predict, _, part = K.fit(frame)
+    return predict(frame.where(part == 5)).select("station", "vehicle", F.round("p", 6).alias("risk"), "label")
+
+
+@query
+def export_rows(spark, d):
+    return I.export_rows(A.line(spark, d), A.stations(spark, d))
+
+
+@query
+def export_truth(spark, d):
+    return I.export_truth(A.injections(spark), A.stations(spark, d))
+
+
+def _csv(spark, df, name, kind="data"):
+    """``df`` by way of CSV files."""
+    path = fresh_path(spark, name)
+    I.write_csv(df, path)
+    return I.read_csv(spark, path, kind)
+
+
+def _damaged(rows):
+    """Exported rows with one of the faults that the rules look for, by vehicle number."""
+    n = F.expr("cast(substr(vehicle_id, 3) as int)")
+    broken = lambda k, c, v: F.when(n % 97 == k, F.lit(v)).otherwise(F.col(c).cast("string"))
+    return rows.withColumns({"station_id": broken(1, "station_id", "XXX-0000"), "queue_length": broken(2, "queue_length", "many"), "manual_outcome": broken(3, "manual_outcome", "maybe"), "parameter": broken(4, "parameter", "colour"), "value": broken(5, "value", "high"), "vehicle_id": broken(6, "vehicle_id", " ")})  # noqa: E501
+
+
+@query
+def ingest_operations(spark, d):
+    ops, _, _ = I.load(_csv(spark, export_rows(spark, d), "data"), A.stations(spark, d))
+    return ops
+
+
+@query
+def ingest_readings(spark, d):
+    _, values, _ = I.load(_csv(spark, export_rows(spark, d), "data"), A.stations(spark, d), strict=False)
+    return values
+
+
+@query
+def ingest_errors(spark, d):
+    c = I.checked(_csv(spark, _damaged(export_rows(spark, d)), "damaged"), A.stations(spark, d))
+    return c.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ingest_truth(spark, d):
+    st = A.stations(spark, d)
+    raw = export_truth(spark, d)
+    area = raw.where("confirmed_by = 'inj1'").withColumn("station_id", F.expr("concat(left(station_id, 3), '-*')")).withColumn("event_end", F.lit("nobody")).withColumn("confirmed_by", F.lit("group"))
+    rows = _csv(spark, raw.unionByName(area), "truth", "truth")
+    _, _, vehicles = I.load(_csv(spark, export_rows(spark, d), "data"), st)
+    return I.truth(rows, vehicles, st).withColumn("errors", F.array_join("errors", ","))
+
+
 ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}
-ORACLES["economics"] = """
-WITH m AS (SELECT 100.0::DOUBLE AS recall, 17.5::DOUBLE AS lag, 62.1::DOUBLE AS nom, 19.5::DOUBLE AS rec, 4.0::DOUBLE AS ev, 1.88::DOUBLE AS fa, 420.0::DOUBLE AS vr),
-a AS (SELECT *, 0.6 + (lag - 10) * 0.018 AS act, 78000 / vr AS runs FROM m),
-b AS (SELECT *, 78000 * 0.021 * recall / 100 * act AS defects, least(0.5 * rec / nom * lag * ev * runs * act, 0.05 * 78000) AS veh, fa * runs * 310 AS cost FROM a),
-c AS (SELECT *, defects * 640 + defects * 0.06 * 4200 + veh * 1850 - cost AS net FROM b)
-SELECT round(act, 3) AS actionable, round(defects) AS defects_prevented, round(defects * 640) AS rework_usd, round(defects * 0.06 * 4200) AS scrap_usd, round(veh) AS vehicles_recovered,
-       round(veh * 1850) AS throughput_usd, round(cost) AS investigation_usd, round(net) AS net_usd, round(net * 0.7) AS net_low_usd, round(net * 1.3) AS net_high_usd FROM c"""
-ORACLES["station_topology"] = """
-WITH g(g, prefix, area, n, manual, base_cycle) AS (VALUES (0, 'BIW', 'Body', 14, 4, 52.0), (1, 'PNT', 'Paint', 10, 3, 55.0), (2, 'FNL', 'Final', 16, 5, 50.0)),
-s AS (SELECT g.*, unnest(range(1, n + 1)) AS k FROM g),
-i AS (SELECT *, printf('%s-%02d', prefix, k) AS id, row_number() OVER (ORDER BY g, k) AS pos FROM s)
-SELECT pos, id, area, k > manual AS instrumented, CAST(base_cycle AS DOUBLE) AS base_cycle, lag(id) OVER (ORDER BY pos) AS upstream, lead(id) OVER (ORDER BY pos) AS downstream FROM i"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import GROUPS, INJECTIONS
@@ -15,66 +15,115 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (station, vehicle): cycle time, queue, utilisation, operator, lot, outcome, and the raw parameters."""
-    items = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+def instrumented(station: Column) -> Column:
+    """Every third station is manual."""
+    return station % 3 != 0
+
+
+def covered(level: float):
+    """Another rule: ``level`` of all stations are instrumented."""
+    return lambda station: (station * 37) % 100 < round(100 * level)
+
+
+def line(spark: SparkSession, sf_dir: str, rule=instrumented) -> DataFrame:
+    """One wide row per (station, vehicle): cycle time, queue, utilisation, lot, outcome and the parameters.
+
+    Parameters are null at stations without instruments (``rule``).  One scan,
+    one shuffle by station: all that follows by station needs none.
+    """
     vehicle = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER)).cast("bigint")
-    return (
-        items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
-        .withColumn("vehicle", vehicle)
-        .select(
-            F.col("l_suppkey").alias("station"),
-            "vehicle",
-            F.col("l_linestatus").alias("variant"),
-            F.col("l_quantity").alias("cycle_time"),
-            F.col("l_linenumber").cast("bigint").alias("queue"),
-            F.round(100 * (1 - F.col("l_discount")), 6).alias("utilization"),
-            F.col("o_orderpriority").alias("operator"),
-            F.expr("(vehicle - 1) div 30").alias("supplier_lot"),
-            F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "rework").otherwise("pass").alias("manual_outcome"),
-            F.col("l_quantity").alias("quantity"),
-            F.col("l_extendedprice").alias("extendedprice"),
-            F.col("l_discount").alias("discount"),
-            F.col("l_tax").alias("tax"),
-        )
+    items = table(spark, sf_dir, "lineitem").withColumn("vehicle", vehicle)
+    reads = lambda c: F.when(rule(F.col("l_suppkey")), F.col(f"l_{c}")).alias(c)
+    return items.select(
+        F.col("l_suppkey").alias("station"),
+        "vehicle",
+        F.col("l_linestatus").alias("variant"),
+        F.col("l_quantity").alias("cycle_time"),
+        F.col("l_linenumber").cast("bigint").alias("queue"),
+        F.round(100 * (1 - F.col("l_discount")), 6).alias("utilization"),
+        F.expr("(vehicle - 1) div 30").alias("supplier_lot"),
+        F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "rework").otherwise("pass").alias("manual_outcome"),
+        rule(F.col("l_suppkey")).alias("instrumented"),
+        F.col("l_orderkey").alias("order_key"),
+        *(reads(p) for p in PARAMETERS),
     )
 
 
-def readings(ops: DataFrame) -> DataFrame:
-    """Long form: one row per station, vehicle and parameter."""
-    return ops.unpivot(["station", "vehicle", "variant", "supplier_lot"], PARAMETERS, "parameter", "value")
+def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``line`` with the operator, which stands in the order (every line item has one)."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("operator"))
+    return line(spark, sf_dir).join(orders, "order_key")
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations with area, position, neighbours and whether they are instrumented (every third is manual)."""
+    """Stations with area, position, neighbours and whether they are instrumented."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     pos = Window.orderBy("pos")  # stations only: a line's length
     return (
-        s.join(n, s["s_nationkey"] == n["n_nationkey"])
-        .join(r, n["n_regionkey"] == r["r_regionkey"])
-        .select(F.col("s_suppkey").alias("station"), F.col("s_suppkey").alias("pos"), F.col("r_name").alias("area"), (F.col("s_suppkey") % 3 != 0).alias("instrumented"))
+        s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"])  # nations and regions of the world: a few rows
+        .join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
+        .select(F.col("s_suppkey").alias("station"), F.col("s_suppkey").alias("pos"), F.col("r_name").alias("area"), instrumented(F.col("s_suppkey")).alias("instrumented"))
         .withColumn("upstream", F.lag("station").over(pos))
         .withColumn("downstream", F.lead("station").over(pos))
     )
 
 
-def injections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(INJECTIONS, "id string, kind string, station bigint, parameter string, start bigint, stop bigint, size double")
+FAULT = "id string, kind string, station bigint, parameters array<string>, start bigint, stop bigint, vehicles array<bigint>, size double"
 
 
-def with_faults(rd: DataFrame, inj: DataFrame) -> DataFrame:
-    """Readings with the active faults' shifts (in standard deviations of the parameter at its station) added."""
-    spread = rd.groupBy("station", "parameter").agg(F.stddev_samp("value").alias("_sd"))
-    active = inj.where(F.col("kind") != "bottleneck").select(F.col("station").alias("_s"), F.col("parameter").alias("_p"), "id", "kind", "start", "stop", "size")
-    hit = (F.col("station") == F.col("_s")) & (F.col("parameter") == F.col("_p")) & F.col("vehicle").between(F.col("start"), F.col("stop"))
-    grows = F.when(F.col("kind") == "trend", F.col("vehicle") - F.col("start")).otherwise(1)
-    return (
-        rd.join(active, hit, "left")
-        .join(spread, ["station", "parameter"])
-        .withColumn("value", F.col("value") + F.coalesce(F.col("size") * grows * F.col("_sd"), F.lit(0.0)))
-        .select("station", "vehicle", "variant", "supplier_lot", "parameter", "value", F.col("id").alias("fault"))
-    )
+def injections(spark: SparkSession) -> DataFrame:
+    """The configured faults; ``first`` and ``last`` vehicle come from the range or the list."""
+    i = spark.createDataFrame(INJECTIONS, FAULT)
+    return i.withColumn("first", F.coalesce("start", F.array_min("vehicles"))).withColumn("last", F.coalesce("stop", F.array_max("vehicles")))
+
+
+def by_station(spark: SparkSession, kinds) -> DataFrame:
+    """Faults as one array per station, to be broadcast: the configuration holds a handful."""
+    per: dict[int, list] = {}
+    for row in INJECTIONS:
+        if kinds(row[1]):
+            per.setdefault(row[2], []).append(row)
+    return spark.createDataFrame(list(per.items()), f"station bigint, faults array<struct<{FAULT.replace(' ', ':').replace(',:', ', ')}>>")
+
+
+def active(f: Column, vehicle: Column) -> Column:
+    """Whether a fault is at work: the vehicle is listed, or within the range; without either, never."""
+    return F.coalesce(F.array_contains(f["vehicles"], vehicle), F.lit(False)) | F.coalesce(vehicle.between(f["start"], f["stop"]), F.lit(False))
+
+
+def _at_work(parameter: str) -> Column:
+    """Of a row's ``faults`` those that shift the parameter at this vehicle."""
+    return F.filter("faults", lambda f: F.array_contains(f["parameters"], parameter) & active(f, F.col("vehicle")))
+
+
+def with_faults(wide: DataFrame, faults: DataFrame, parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Adds the active faults' shifts, in standard deviations of the parameter at its station; ``fault_<p>`` names the fault."""
+    everywhere = Window.partitionBy("station")
+    df = wide.join(F.broadcast(faults), "station", "left")
+    spread = {f"_sd_{p}": F.stddev_samp(p).over(everywhere) for p in parameters}
+    df = df.withColumns(spread)
+    out = {}
+    for p in parameters:
+        here = _at_work(p)
+        shift = F.aggregate(here, F.lit(0.0), lambda a, f: a + f["size"] * F.when(f["kind"] == "trend", F.col("vehicle") - f["start"]).otherwise(1))
+        out[p] = F.col(p) + F.when(F.col("faults").isNull(), F.lit(0.0)).otherwise(shift * F.col(f"_sd_{p}"))
+        out[f"fault_{p}"] = F.when(F.col(p).isNotNull(), F.try_element_at(F.transform(here, lambda f: f["id"]), F.lit(1)))
+    return df.withColumns(out).drop("faults", *spread)
+
+
+def slowed(wide: DataFrame, faults: DataFrame) -> DataFrame:
+    """Cycle times with the bottleneck faults: they grow from the start on, without an end."""
+    df = wide.join(F.broadcast(faults), "station", "left")
+    begun = F.filter("faults", lambda f: F.col("vehicle") >= f["start"])
+    grown = F.aggregate(begun, F.lit(0.0), lambda a, f: a + f["size"] * (F.col("vehicle") - f["start"]))
+    return df.withColumn("cycle_time", F.col("cycle_time") + F.when(F.col("faults").isNull(), F.lit(0.0)).otherwise(grown)).drop("faults")
+
+
+def readings(wide: DataFrame, values: dict[str, str], parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Long form: a row per station, vehicle and parameter that was read; ``values`` maps new columns to prefixes of wide ones."""
+    one = lambda p: F.struct(F.lit(p).alias("parameter"), *(F.col(f"{prefix}{p}").alias(c) for c, prefix in values.items()))
+    keep = ["station", "vehicle", "variant", "supplier_lot"]
+    return wide.select(*keep, F.explode(F.array(*map(one, parameters))).alias("r")).select(*keep, "r.*").where(F.col(next(iter(values))).isNotNull())
 
 
 def topology(spark: SparkSession, groups=GROUPS) -> DataFrame:

@@ -39,8 +39,10 @@ def test_latch(spark):
 
 
 def test_padded_sum_and_rows_since(spark):
-    d = frame(spark, [5, 1, 1, 1]).withColumn("s", S.padded_sum("v", ["k"], 3)).withColumn("r", S.rows_since(F.col("v") == 5, ["k"]))
+    d = S.rows_since(frame(spark, [5, 1, 1, 1]).withColumn("s", S.padded_sum("v", ["k"], 3)), F.col("v") == 5, ["k"], out="r")
     assert out(d, "s") == [15, 11, 7, 3] and out(d, "r") == [0, 1, 2, 3]
+    gaps = frame(spark, [0, 1, 0, 0, 1]).withColumn("vehicle", F.col("vehicle") * 7 % 36)  # neither dense nor from 1
+    assert out(S.rows_since(gaps, F.col("v") == 1, ["k"], out="r"), "r") == [200, 0, 1, 2, 0]
 
 
 def test_interp_and_economics(spark):
