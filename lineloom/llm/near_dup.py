@@ -83,13 +83,23 @@ def _prefix(s: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> np.ndarray:
     return s[:p]
 
 
-def _signature(s: np.ndarray) -> np.ndarray:
-    sig = np.zeros(BITMAP, _U)
-    bit = (s >> _U(20)) % _U(BITMAP * 64)
+def _signature(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """Bitmap of the set's tokens, 64 * ``words`` bits; half of a wider one folds onto the other to give the narrower."""
+    sig = np.zeros(words, _U)
+    bit = (s >> _U(20)) % _U(words * 64)
     np.bitwise_or.at(sig, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
     return sig
 
 
+def _fold(sig: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(sig.reshape(-1, words), axis=0)
+
+
+def _wide(s: np.ndarray) -> np.ndarray:
+    """A bitmap with some 4 bits per token, at least as wide as the tree's."""
+    return _signature(s, max(BITMAP, 1 << (len(s) * 4 // 64).bit_length()))
+
+
 def _members(docs: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """(id, h, k, k2, n, token, df): a row per document with its class and set size, and rows for locally frequent tokens."""
 
@@ -149,15 +159,13 @@ def _dealt(rows: np.ndarray, token: np.ndarray, buckets: int) -> Iterator[tuple[
         yield i, rows[order[cuts[i] : cuts[i + 1]]].tobytes()
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary())])
 
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sig: list[bytes] | None = None) -> pa.Table:
+def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sig: list[bytes] | None = None, wide: list[bytes] | None = None) -> pa.Table:
     m = len(a)
-    return pa.table(
-        [pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(m, pa.int64()) if n is None else pa.array(n.astype(np.int64)), pa.nulls(m, pa.binary()) if sig is None else pa.array(sig, pa.binary())],
-        schema=_FOUND,
-    )
+    blobs = (pa.nulls(m, pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (sig, wide))
+    return pa.table([pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(m, pa.int64()) if n is None else pa.array(n.astype(np.int64)), *blobs], schema=_FOUND)
 
 
 PAIR, POSTING, CLASS = 0, 1, 2
@@ -165,7 +173,7 @@ PAIR, POSTING, CLASS = 0, 1, 2
 
 def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
     """PAIR (a, b): every class with the centres of its prefix tokens; POSTING (token a, class b, size n) of tokens that several
-    classes have; CLASS (a, size n, bitmap) of each class.
+    classes have; CLASS (a, size n, bitmaps) of each class.
 
     Map batches pair the classes of a frequent token themselves and send one of
     them on, so a token held by a third of all documents sends a row per batch.
@@ -180,7 +188,7 @@ def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.nd
                     seen.add(key)
                     keys.append(key)
                     sizes.append(len(s))
-                    sigs.append(_signature(s))
+                    sigs.append(_wide(s))
                     prefixes.append(_prefix(s, hot, rank))
             if not keys:
                 continue
@@ -198,14 +206,18 @@ def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.nd
             ambassador = post[head[many]]
             ambassador["whole"] = 1
             post = np.concatenate([post[~inside], ambassador])
-            classes = np.zeros(len(keys), np.dtype([("k", "<i8"), ("n", "<i8"), ("sig", "<u8", BITMAP)]))
-            classes["k"], classes["n"], classes["sig"] = keys, sizes, np.stack(sigs)
             by = lambda x: textnp.mix(np.ascontiguousarray(x).view(_U))
             out = [(i, x, 0) for i, x in _dealt(post, post["token"], buckets)]
             out += [(i, x, 1) for i, x in _dealt(pairs, by(pairs[:, 0]), buckets)]
             out += [(i, x, 2) for i, x in _dealt(local, local["token"], buckets)]
-            out += [(i, x, 3) for i, x in _dealt(classes, by(classes["k"]), buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "what", "rows"])
+            m, home = len(out), ((by(np.array(keys, np.int64)) >> _U(40)).astype(np.int64) % buckets).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in out] + home, pa.int32()), pa.array([x[2] for x in out] + [3] * len(keys), pa.int32()), pa.array([x[1] for x in out] + [x.tobytes() for x in sigs], pa.binary()),
+                    pa.array([None] * m + keys, pa.int64()), pa.array([None] * m + sizes, pa.int64()),
+                ],
+                names=["bucket", "what", "rows", "k", "n"],
+            )
 
     def meet(table: pa.Table) -> pa.Table:
         def part(what: int, dtype) -> np.ndarray:
@@ -222,36 +234,39 @@ def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.nd
         per = np.add.reduceat(fresh, np.flatnonzero(head)) if len(post) else np.zeros(0, np.int64)
         sent = post[(per[np.cumsum(head) - 1] > 1) & (fresh > 0) & (post["whole"] == 0)] if len(post) else post
         shared = np.concatenate([sent, part(2, _POSTING)])
-        classes = part(3, np.dtype([("k", "<i8"), ("n", "<i8"), ("sig", "<u8", BITMAP)]))
-        _, one = np.unique(classes["k"], return_index=True)
-        classes = classes[one]
+        classes = table.filter(pa.array(table.column("what").to_numpy() == 3))
+        ks, one = np.unique(classes.column("k").to_numpy(), return_index=True)
+        classes = classes.take(pa.array(one))
+        wide = classes.column("rows").to_pylist()
         return pa.concat_tables(
             [
                 _found(PAIR, pairs[:, 0], pairs[:, 1]),
                 _found(POSTING, np.ascontiguousarray(shared["token"]).view(np.int64), shared["k"], shared["n"]),
-                _found(CLASS, classes["k"], classes["k"], classes["n"], [x.tobytes() for x in classes["sig"]]),
+                _found(CLASS, ks.astype(np.int64), ks.astype(np.int64), classes.column("n").to_numpy(), [_fold(np.frombuffer(x, _U), BITMAP).tobytes() for x in wide], wide),
             ]
         )
 
-    dealt = docs.mapInArrow(spread, "bucket int, what int, rows binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, n bigint, sig binary")
-
+    dealt = docs.mapInArrow(spread, "bucket int, what int, rows binary, k bigint, n bigint")
+    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, n bigint, sig binary, wide binary")
 
-def _largest_overlap(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    ones = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
-    return np.minimum(n - ones(s & ~t), m - ones(t & ~s))
 
-
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs whose sizes and bitmaps leave room for a link."""
-    side = lambda c: classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    src = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+def _possible(pairs: DataFrame, classes: DataFrame, bitmap: str) -> DataFrame:
+    """Those pairs whose sizes and bitmaps (of one width, or the wider folded to the narrower) leave room for a link."""
+    side = lambda c: classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col(bitmap).alias(f"sig_{c}"))
+    sizes = pairs.join(classes.select("a", F.col("n").alias("n_a")), "a").join(classes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
+    src = sizes.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = (b.column(i).to_numpy() for i in (2, 3))
-            s, t = (np.frombuffer(b"".join(b.column(i).to_pylist()), _U).reshape(-1, BITMAP) for i in (4, 5))
-            yield b.select(["a", "b"]).filter(pa.array(7 * _largest_overlap(n, m, s, t) >= 3 * (n + m)))
+            ok = np.zeros(b.num_rows, bool)
+            for row, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+                s, t = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                words = min(len(s), len(t))
+                s, t = _fold(s, words), _fold(t, words)
+                most = min(n[row] - int(np.bitwise_count(s & ~t).sum()), m[row] - int(np.bitwise_count(t & ~s).sum()))
+                ok[row] = 7 * most >= 3 * (n[row] + m[row])
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return src.mapInArrow(run, "a bigint, b bigint")
 
@@ -445,13 +460,14 @@ class _Parts:
         found = stage(_star(self.src.select("text"), self.clashes, token[order].copy(), df[order].copy(), self.buckets), "star")
         self.pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
         self.postings = found.where(F.col("kind") == POSTING).select(F.col("a").alias("token"), F.col("b").alias("k"))
-        self.classes = found.where(F.col("kind") == CLASS).select("a", "n", "sig")
+        self.classes = found.where(F.col("kind") == CLASS).select("a", "n", "sig", "wide")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of ``pairs`` that link."""
+        pairs = stage(_possible(pairs, self.classes, "wide"), f"{name}-possible")
         sets = stage(_sets(pairs, self.src, self.own, self.clashes), f"{name}-sets")
         out = stage(_linked(pairs, sets), name)
-        discard(sets)
+        discard(sets, pairs)
         return out
 
 
@@ -486,7 +502,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     ``id_col`` are read, so no other column's name matters.
     """
     p = _Parts(docs, text_col, id_col)
-    pairs = stage(_possible(p.pairs, p.classes), "star-pairs")
+    pairs = stage(_possible(p.pairs, p.classes, "sig"), "star-pairs")
     links = p.verified(pairs, "links")
     labels = stage(components(links), "labels")
     rest = stage(_tree_pairs(p.postings, p.classes, labels, p.buckets).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
