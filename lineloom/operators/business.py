@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PHASES, SENSORS, Economics
@@ -68,12 +68,16 @@ def peaks(flagless: DataFrame, constraint: DataFrame, parameters: list[str], lam
     return ew.unionByName(cu).withColumn("run", F.pmod("station", F.lit(runs)))
 
 
+def _grid(start: float, step: float, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(F.lit(start) + i * step, 4))
+
+
 def calibration(peaks: DataFrame, grids: dict[str, tuple[float, float, int]], share: float) -> DataFrame:
     """Per detector the lowest limit of its grid (start, step, points) at which the false alarms per run stay within ``share``
     on the fitting and on the validating runs; the grid's last value where none does."""
     parts = []
     for kind, (start, step, n) in grids.items():
-        grid = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i, start=start, step=step: F.round(F.lit(start) + i * step, 4))
+        grid = _grid(start, step, n)
         runs = peaks.where(F.col("kind") == kind).withColumn("fit", F.col("run") % 2 == 0)
         size = runs.groupBy("kind").agg(F.countDistinct(F.when(F.col("fit"), F.col("run"))).alias("n_fit"), F.countDistinct(F.when(~F.col("fit"), F.col("run"))).alias("n_val"))
         over = runs.select("fit", F.explode(F.filter(grid, lambda x: F.col("peak") > x)).alias("limit")).groupBy("limit").agg(F.count_if("fit").alias("fit"), F.count_if(~F.col("fit")).alias("val"))

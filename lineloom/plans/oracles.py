@@ -227,7 +227,7 @@ _LEVELS = " UNION ALL ".join(_coverage(x) for x in (70, 50, 30))
 
 
 def _grid(kind: str, start: float, step: float, n: int) -> str:
-    return f"""SELECT '{kind}' AS kind, coalesce(min(lim) FILTER (ok), max(lim)) AS limit, round(arg_min(f, CASE WHEN ok THEN lim ELSE 1e6 - lim END), 4) AS fit_rate, round(arg_min(v, CASE WHEN ok THEN lim ELSE 1e6 - lim END), 4) AS validation_rate FROM (
+    return f"""SELECT '{kind}' AS kind, CAST(coalesce(min(lim) FILTER (ok), max(lim)) AS DOUBLE) AS "limit", round(arg_min(f, CASE WHEN ok THEN lim ELSE 1e6 - lim END), 4) AS fit_rate, round(arg_min(v, CASE WHEN ok THEN lim ELSE 1e6 - lim END), 4) AS validation_rate FROM (
       SELECT *, f <= {1.0 / 3} AND v <= {1.0 / 3} AS ok FROM (
         SELECT lim, count(*) FILTER (peak > lim AND run % 2 = 0) / greatest(count(DISTINCT run) FILTER (run % 2 = 0), 1) AS f, count(*) FILTER (peak > lim AND run % 2 = 1) / greatest(count(DISTINCT run) FILTER (run % 2 = 1), 1) AS v
         FROM pk, (SELECT round({start} + i * {step}, 4) AS lim FROM range({n}) t(i)) WHERE kind = '{kind}' GROUP BY lim))"""
@@ -350,6 +350,7 @@ ORACLES |= {
     "ingest_truth": f"""WITH {OPS}{STATIONS}{EXPORT}, {INJ} SELECT kind, station_id, station, first AS start_vehicle, last AS end_vehicle, id AS confirmed_by, '' AS errors FROM inj JOIN en USING (station)
         UNION ALL SELECT kind, substr(e.station_id, 1, 3) || '-*', g.station, first, first, 'group', '' FROM inj JOIN en e USING (station) JOIN en g ON substr(g.station_id, 1, 3) = substr(e.station_id, 1, 3) WHERE id = 'inj1'""",
 }
+ORACLES["stream_alarms"] = f"WITH {FLAGS} SELECT station, parameter, vehicle, type, round(z, 3) AS z FROM flags WHERE type IN ('point', 'persistent')"
 ORACLES["station_topology"] = """
 WITH g(g, prefix, area, n, manual, base_cycle) AS (VALUES (0, 'BIW', 'Body', 14, 4, 52.0), (1, 'PNT', 'Paint', 10, 3, 55.0), (2, 'FNL', 'Final', 16, 5, 50.0)),
 s AS (SELECT g.*, unnest(range(1, n + 1)) AS k FROM g),

@@ -18,6 +18,7 @@ from .plans.oracles import AT, INSPECTION, ORACLES
 from .sources import adapters as A
 from .sources import ingest as I
 from .sources.staging import fresh_path, stage
+from .streaming import alarms as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -393,4 +394,12 @@ def ingest_truth(spark, d):
     return I.truth(rows, vehicles, st).withColumn("errors", F.array_join("errors", ","))
 
 
+@query
+def stream_alarms(spark, d):
+    """The point and persistent rules as a stream, in three deliveries."""
+    sc = stage(_scored(spark, d), "scored")
+    limit = D.ewma_limit(sc, T).first()[0]
+    return X.replay(sc, limit, T, (150, 400)).withColumn("z", F.round("z", 3))
+
+
 ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}
