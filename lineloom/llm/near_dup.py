@@ -30,7 +30,8 @@ from . import textnp
 from .common import discard, stage
 
 SIZE = 5
-HOT_SHARE = 0.002
+#: Tokens that this share of all documents has come last in the common order, so passages that many share pair few documents.
+HOT_SHARE = 0.0002
 BITMAP = 16  # 64-bit words of a signature
 _U = np.uint64
 GROUP = 2048  # rows of one token joined in one block; larger tokens are dealt out as pairs of blocks
@@ -110,7 +111,7 @@ def _members(docs: DataFrame, clashes: frozenset[int]) -> DataFrame:
                 keys[row], seconds[row], sizes[row] = key, second, len(s)
                 if key:
                     sets[key] = s
-            least = max(3, int(len(sets) * HOT_SHARE / 2))
+            least = max(2, int(len(sets) * HOT_SHARE / 2))
             token, df = np.unique(np.concatenate([*sets.values(), np.zeros(0, _U)]), return_counts=True)
             often = df >= least
             m, h = b.num_rows, int(often.sum())
@@ -273,7 +274,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, bitmap: str) -> DataFrame:
 
 def _sets(pairs: DataFrame, src: DataFrame, own: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """(k, tokens) of the classes in ``pairs``, from one document of each."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    asked = pairs.select(F.col("a").alias("k")).distinct().union(pairs.select(F.col("b").alias("k")).distinct()).distinct()
     one = stage(own.join(asked, "k").groupBy("k").agg(F.min(F.struct("id", "h")).alias("one")).select(F.col("one.id").alias("_id"), F.col("one.h").alias("_h"), F.col("k").alias("_k")), "asked")
     asked = F.broadcast(one) if one.count() <= FEW else one
     texts = src.join(asked, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))).select("_k", "text")
