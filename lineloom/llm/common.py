@@ -3,45 +3,21 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
+__all__ = ["discard", "in_order", "match_spans", "read_table", "ship", "spans_text", "stage", "words_of"]
+
 #: Word characters are everything but these six (space, tab, newline, vertical tab, form feed, return).
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a folder of this machine does on a local master (tests); a cluster gets an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = tempfile.mkdtemp(prefix="lineloom-")
-        folder = _LOCAL[app]
-    return folder.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lineloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(*staged: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in staged:
@@ -78,6 +54,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+GROUP = 64  # matches whose offsets are summed one by one
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def match_spans(text: Column, pattern: str, kind: str, keep=None, context: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as array<struct<start,end,kind,value,before>>.
 
@@ -89,26 +73,28 @@ def match_spans(text: Column, pattern: str, kind: str, keep=None, context: int =
     p = F.lit(pattern)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
     empty = F.expr(EMPTY_SPANS)
-    folded = F.aggregate(
-        F.arrays_zip(hits.alias("hit"), F.slice(F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(context)).alias("tail"))), 1, F.size(hits)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"]["n"] + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]["n"]).alias("start"),
-                        (acc["at"] + x["gap"]["n"] + F.length(x["hit"])).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        x["hit"].alias("value"),
-                        x["gap"]["tail"].alias("before"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pieces = F.arrays_zip(hits.alias("hit"), F.slice(F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(context)).alias("tail"))), 1, F.size(hits)).alias("gap"))
+
+    def span(at: Column, x: Column) -> Column:
+        start = at + x["gap"]["n"]
+        return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value"), x["gap"]["tail"].alias("before"))
+
+    def fold(some: Column) -> Column:
+        """Spans of a few pieces from 0 on, and their length."""
+        return F.aggregate(
+            some,
+            F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["gap"]["n"] + F.length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(span(acc["at"], x))).alias("out")),
+        )
+
+    def moved(part: Column) -> Column:
+        base = part["base"]
+        return F.transform(part["part"]["out"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["before"].alias("before")))
+
+    # groups of pieces, so that no array grows match by match
+    groups = lambda z: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(z) - 1) / GROUP).cast("int"))), lambda c: fold(F.slice(z, c * GROUP + 1, GROUP)))
+    bases = lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda c: F.aggregate(F.slice(g, 1, c), F.lit(0), lambda a, x: a + x["at"]))
+    folded = _let(pieces, lambda z: F.when(F.size(z) == 0, empty).otherwise(_let(groups(z), lambda g: F.flatten(F.transform(F.arrays_zip(g.alias("part"), bases(g).alias("base")), moved)))))
     if keep is not None:
         folded = F.filter(folded, lambda s: keep(s["value"]))
     return F.when(text.rlike(pattern), folded).otherwise(empty)

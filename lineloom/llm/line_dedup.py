@@ -138,15 +138,17 @@ def line_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     holds it stands earlier, in (id, text hash, line) order with null ids first.
     Rows equal in id and text are one document: they neither delete nor differ
     from each other.  Null texts stay null, empty ones empty, n_lines 0.
-    Columns of ``docs`` named n_lines or n_removed are replaced.
+    Columns of ``docs`` named n_lines or n_removed are replaced, other names
+    don't matter.  Texts are taken whole, a long one as a block of its own.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs, text_col=text_col, id_col=id_col, min_words=min_words)
-    rk = F.xxhash64(F.col(id_col), F.col(text_col))
-    joined = docs.withColumn("_rk", rk).join(gone.select(F.col("id").alias("_id"), F.col("rk").alias("_rk2"), "gone"), (F.col("_rk") == F.col("_rk2")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_rk", "_rk2", "_id")
     names = docs.columns
     at = names.index(text_col)
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines int, n_removed int"
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name of a column matters
+    key, text = f"c{names.index(id_col)}", f"c{at}"
+    gone = removed_lines(plain, text_col=text, id_col=key, min_words=min_words).select(F.col("id").alias("_id"), F.col("rk").alias("_rk2"), "gone")
+    joined = plain.withColumn("_rk", F.xxhash64(key, text)).join(gone, (F.col("_rk") == F.col("_rk2")) & F.col(key).eqNullSafe(F.col("_id")), "left").select(*plain.columns, "gone")
+    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", n_lines int, n_removed int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,9 +165,9 @@ def line_dedup(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
                 texts.append(text)
             cols = b.columns[:-1]
             cols[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], names=[*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], names=[*(f"c{i}" for i in range(len(names))), "n_lines", "n_removed"])
 
-    return joined.mapInArrow(run, out_schema)
+    return joined.mapInArrow(run, out_schema).toDF(*names, "n_lines", "n_removed")
 
 
 ORACLE = rf"""

@@ -52,7 +52,10 @@ def labelled_samples(docs: DataFrame, *, text_col: str = "text", sample_docs: in
         .otherwise(F.upper(F.regexp_replace(F.base64(F.unhex(d)), r"[\s+/=]", "")))
     )
     random = r.select(F.substring(body, F.lit(1), (16 + F.col("id") % 25).cast("int")).alias("sample"), F.lit(True).alias("is_random"))
-    few = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_docs)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    # only hashes are sorted; texts of the sample alone move
+    least = texts.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    few = texts.where(F.col("h") <= F.lit(least)).select("t").distinct()
     w = F.filter(F.split("t", r"[^A-Za-z]+"), lambda x: F.length(x) >= 2)
 
     def joined(i: Column) -> Column:

@@ -37,3 +37,21 @@ def test_line_dedup_equals_its_sql(spark, tmp_path):
     got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want
     assert sum(r.n_removed for r in got) > 0
+
+
+def test_line_dedup_minds_no_column_name(spark):
+    run = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(4))
+    docs = spark.createDataFrame([(1, run, "a", 5, "b"), (2, run, "c", 6, "d"), (None, run, "e", 7, "f"), (None, None, "g", 8, "h"), (2, run, "c", 6, "d")], "doc_id bigint, text string, gone string, _rk bigint, id string")
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == ["doc_id", "text", "gone", "_rk", "id", "n_lines", "n_removed"]
+    rows = sorted(out.collect(), key=str)
+    assert sorted((r.gone, r._rk, r.id) for r in rows) == [("a", 5, "b"), ("c", 6, "d"), ("c", 6, "d"), ("e", 7, "f"), ("g", 8, "h")]
+    assert {r.gone: r.text for r in rows} == {"a": "", "c": "", "e": run, "g": None}  # the null id comes first
+    assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_takes_long_texts_whole(spark):
+    lines = [" ".join(f"l{i}w{j}" for j in range(5)) for i in range(20000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["first", *lines[-6:], "last"])), (3, "\n".join(lines[:3]))], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.line_dedup(docs).collect()}
+    assert got[1][0] == 0 and got[2] == (6, "first\nlast") and got[3][0] == 0

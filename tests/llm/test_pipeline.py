@@ -36,3 +36,65 @@ def test_line_runs_keeps_what_lost_nothing(spark):
     got = C.line_runs(spark, table(spark, docs), "").collect()
     assert ordered(got) == ordered([d for d in docs if d[0] != 2])
     assert all(r.n_chars == len(r.text or "") for r in got)
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """All five stages on a small corpus: rules and line runs by their SQL, the others pair by pair."""
+    import duckdb
+    import public_tokenizers as P
+    import sentencepiece
+    from brute import shingles
+
+    from lineloom.llm import line_dedup, quality
+
+    def prose(seed, n, lines=1):
+        words = [f"t{seed}q{i}" for i in range(n)]
+        step = -(-n // lines)
+        return "\n".join(" ".join(words[i : i + step]) for i in range(0, n, step))
+
+    licence = prose("licence", 80, 4)
+    item = prose("item", 30) + ". " + prose("answer", 5) + "."
+    docs = [(i, prose(i, 70 + i, 3)) for i in range(12)]
+    docs += [(20 + i, prose(f"l{i}", 60, 2) + "\n" + licence) for i in range(3)]  # a run of lines in three documents
+    docs += [(30, prose(3, 73, 1).replace("t3q40", "other")), (31, prose(3, 73, 1)), (32, prose(3, 73, 1))]  # near and exact copies
+    docs += [(40, prose("c", 60) + " " + item + " " + prose("d", 60)), (41, item.replace("titemq7 ", "") + " " + prose("e", 60))]
+    docs += [(50, "too short"), (51, None), (52, ""), (53, "again and again " * 40), (None, prose("null", 90, 3))]
+    spark.createDataFrame([(i, t, "en", f"https://h{(i or 0) % 3}.example/x", len(t or "")) for i, t in docs], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    ship(spark)
+    got = C.run(spark, str(tmp_path)).collect()
+
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    kept = {r[0] for r in con.execute(f"select doc_id from ({quality.ORACLE}) where kept").fetchall()}
+    rows = con.execute("select * from documents").fetchall()
+    rows = [r for r in rows if r[0] in kept]
+    con.execute("delete from documents where doc_id not in (select unnest(?)) or (doc_id is null and ?)", [[i for i in kept if i is not None], None not in kept])
+    # the SQL has no null ids: the row stands before all others, as the operator's order has it
+    con.execute("update documents set doc_id = -1 where doc_id is null")
+    text = {r[0]: (r[1] or "").split("\n") for r in con.execute("select doc_id, text from documents").fetchall()}
+    gone = line_dedup.ORACLE.split("n AS (SELECT doc_id, count(*)")[0].rstrip().rstrip(",")
+    removed = {}
+    for d, i in con.execute(gone + " SELECT doc_id, i FROM gone").fetchall():
+        removed.setdefault(d, set()).add(i)
+    after = {}
+    for d, lines in text.items():
+        solid = [k for k, x in enumerate(lines) if x.strip()]
+        bad = {solid[i - 1] for i in removed.get(d, ())}
+        if solid and len(bad) == len(solid):
+            continue
+        after[d] = "\n".join(x for k, x in enumerate(lines) if k not in bad)
+    sets = {d: shingles(t) for d, t in after.items()}
+    root = {d: d for d in after}
+    for a in sorted(after):
+        for b in sorted(after):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]), key=lambda d: (d == -1, d))
+                root = {d: low if r == high else r for d, r in root.items()}
+    final = {d: t for d, t in after.items() if root[d] == d and item not in t and d != 41}
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == sorted(final)
+    assert {40, 41, 50, 53}.isdisjoint(final) and 20 in final and {0, 1, 2, -1} <= set(final) and len({30, 31, 32, 3} & set(final)) == 1
+    for r in got:
+        assert r.ids == sp.encode(final[-1 if r.doc_id is None else r.doc_id] or "") and r.round_trip
