@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineloom.llm import queries, toxicity
 from lineloom.llm.common import ship
 
-FOLDER = "/root/testdata/sf0.01"
+FOLDER = "/root/testdata/sf0.1"  # smaller scales hold out half a dozen toxic documents
 
 
 @pytest.fixture(scope="module")
