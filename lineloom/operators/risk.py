@@ -136,7 +136,7 @@ def fit(frame: DataFrame, rounds: int = 40, depth: int = 4, step: float = 0.06,
     part = F.pmod(F.xxhash64("station"), F.lit(6))
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=6, seed=seed)
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(frame.where(part < 4))
-    raw = lambda d: model.transform(d).withColumn("margin", vector_to_array("probability")[1])
+    raw = lambda d: model.transform(d).withColumn("margin", vector_to_array("probability")[1]).drop("prediction")
     iso = IsotonicRegression(featuresCol="margin", labelCol="label").fit(raw(frame.where(part == 4)).select("margin", F.col("label").cast("double").alias("label")))
 
     def predict(d: DataFrame) -> DataFrame:
