@@ -6,7 +6,8 @@ order (corpus-frequent tokens last), so only those prefixes are compared:
 
 1. per prefix token, every class is paired with the token's centre; pairs whose
    largest possible overlap (sizes and bitmaps) is too small are dropped, the
-   others verified exactly, and linked classes merge into components;
+   others verified exactly, and linked classes merge into components; this is
+   repeated with other centres as long as it merges much;
 2. tokens that still hold several components are joined by signature trees:
    nodes carry OR- and AND-combined bitmaps, size ranges and the component; a
    dual traversal drops node pairs inside one component and those whose largest
@@ -397,6 +398,18 @@ class Tree:
         return np.concatenate(xs), np.concatenate(ys)
 
 
+def _again(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in each token that holds several components, every class of another component than its centre with that centre.
+
+    Each turn has other centres; a row per posting at most.
+    """
+    named = postings.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    centre = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("by"), "k", "root")).alias("c")
+    centres = named.groupBy("token").agg(centre, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "c")
+    pairs = named.join(centres, "token").where(F.col("root") != F.col("c.root"))
+    return pairs.select(F.greatest("k", F.col("c.k")).alias("a"), F.least("k", F.col("c.k")).alias("b")).distinct()
+
+
 def _tree_pairs(postings: DataFrame, classes: DataFrame, labels: DataFrame | None, buckets: int) -> DataFrame:
     """(a, b): class pairs of different components that a signature tree of some shared prefix token can't rule out.
 
@@ -506,6 +519,18 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     pairs = stage(_possible(p.pairs, p.classes, "sig"), "star-pairs")
     links = p.verified(pairs, "links")
     labels = stage(components(links), "labels")
+    turn = 0
+    while True:  # groups of near copies come together before their pairs are looked at; what does not is left to the trees
+        turn += 1
+        found = p.verified(stage(_possible(_again(p.postings, labels, turn), p.classes, "sig"), "star-pairs"), "links")
+        more = found.count()
+        if not more:
+            break
+        had = links.count()
+        links = stage(links.unionByName(found).distinct(), "links")
+        labels = stage(components(links), "labels")
+        if more < 0.02 * had:
+            break
     rest = stage(_tree_pairs(p.postings, p.classes, labels, p.buckets).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
     if rest.first() is not None:
         late = p.verified(rest, "late-links")
