@@ -1,10 +1,10 @@
 """Alignment of two tokenizers' tokens, with corpus-wide counts of the id pairs they link.
 
 Texts are cut into units in front of a space that follows a word character:
-neither tokenizer has a token across such a cut, so a unit is encoded and
-aligned once per worker and used wherever it stands.  Within a unit two
-pointers run over the cumulative token ends; where both sides end, a group
-closes, and its tokens are linked with one another.
+neither tokenizer has a token across such a cut, so of all the equal units of a
+block one is encoded and aligned.  The cumulative token ends of both sides are
+merged; where both end, a group closes, and its tokens are linked with one
+another.
 
 Documents are packed into blocks.  A block has each id pair once, with the
 number of its documents that hold it: those rows are summed by pair, maxima per
@@ -14,10 +14,11 @@ id are taken, and what a block's pairs count comes back to it in one row.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +31,17 @@ from .token_counts import _bytes_to_chars
 
 #: A space after a character that no notion of white space holds.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85᠎​⁠﻿])(?= )")
-BLOCK_BYTES = 6 << 20
-CACHE_UNITS, LONG_UNIT = 100_000, 256
+#: Text that is aligned together, and text whose documents share a block.
+PART, BLOCK = 3 << 19, 6 << 20
 SIDE = 32  # bits of an id in a pair's key
-
-
-class Unit:
-    """A unit's tokens, groups and linked pairs."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "pairs", "times", "digest")
-
-    def __init__(self, a: list[int], b: list[int], groups: list[tuple[int, int]]):
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        found: dict[int, int] = {}
-        text, i, j = [], 0, 0
-        for x, y in groups:  # ends of the group on either side
-            left, right = a[i:x], b[j:y]
-            text.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            if len(left) > 1 or len(right) > 1:
-                right = Counter(right).items()
-                for p, m in Counter(left).items():
-                    for q, n in right:
-                        key = p << SIDE | q
-                        found[key] = found.get(key, 0) + m * n
-            else:
-                key = left[0] << SIDE | right[0]
-                found[key] = found.get(key, 0) + 1
-            i, j = x, y
-        self.digest = ";".join(text)
-        self.pairs, self.times = tuple(found), tuple(found.values())
-        self.n_links = sum(self.times)
-
-
-def merged(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of tokens of either side up to each place where both end, from the sides' token lengths."""
-    out, i, j, x, y = [], 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if x <= y and i < len(a):
-            x, i = x + a[i], i + 1
-        else:
-            y, j = y + b[j], j + 1
-        if x == y:
-            out.append((i, j))
-    return out
+BIG = 4096  # links of a group beyond which equal ones are counted first
 
 
 class Pair:
-    """Both tokenizers with the units met so far."""
+    """Both tokenizers, with the bytes and the decimal digits of every id."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -86,36 +49,25 @@ class Pair:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         back = {c: b for b, c in _bytes_to_chars().items()}
-        size = self.a.get_vocab_size(with_added_tokens=True)
-        self.raw_a = [bytes(back[c] for c in t) if t is not None and all(c in back for c in t) else (t or "").encode() for t in map(self.a.id_to_token, range(size))]
+        tokens = list(map(self.a.id_to_token, range(self.a.get_vocab_size(with_added_tokens=True))))
+        self.raw_a = [bytes(back[c] for c in t) if t is not None and all(c in back for c in t) else (t or "").encode() for t in tokens]
         self.b = vocabulary(path_b)
         self.raw_b = [r.replace("▁".encode(), b" ") for r in self.b.raw]
-        self.seen: dict[str, Unit | None] = {}
+        self.size_a, self.size_b = (np.array([len(x) for x in raw], np.int64) for raw in (self.raw_a, self.raw_b))
+        ids = range(max(len(self.raw_a), len(self.raw_b)))
+        self.inner, self.last_a, self.last_b = (np.array([f"{i}{c}" for i in ids], object) for c in ",|;")
 
-    def units(self, names: list[str]) -> list[Unit | None]:
-        """Units by their texts; None where a side's bytes aren't the text's."""
+    def encode(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units one after another and the unit of each, for either side."""
         out = []
-        side_a = self.a.encode_batch(names, add_special_tokens=False)
-        side_b = self.b.encode_units([n.replace(" ", "▁") for n in names])
-        for name, a, b in zip(names, side_a, side_b, strict=True):
-            a = a.ids
-            ra, rb, want = [self.raw_a[i] for i in a], [self.raw_b[i] for i in b], name.encode()
-            out.append(Unit(a, b, merged([len(x) for x in ra], [len(x) for x in rb])) if b"".join(ra) == want and b"".join(rb) == want else None)
-        return out
-
-    def find(self, names: set[str]) -> dict[str, Unit | None]:
-        """The given units; short ones are remembered, up to a bound."""
-        if len(self.seen) > CACHE_UNITS:
-            self.seen.clear()
-        fresh = [n for n in names if n not in self.seen]
-        out = {n: self.seen[n] for n in names if n in self.seen}
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for n, u in zip(some, self.units(some), strict=True):
-                out[n] = u
-                if len(n) <= LONG_UNIT:
-                    self.seen[n] = u
-        return out
+        for side in (lambda some: [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)], lambda some: self.b.encode_units([n.replace(" ", "▁") for n in some])):
+            flat, long = [], []
+            for i in range(0, len(names), 8192):
+                ids = side(names[i : i + 8192])
+                long += map(len, ids)
+                flat.append(np.fromiter(chain.from_iterable(ids), np.int64))
+            out += [np.concatenate([np.zeros(0, np.int64), *flat]), np.repeat(np.arange(len(names)), long)]
+        return tuple(out)
 
 
 @lru_cache(maxsize=2)
@@ -123,48 +75,149 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def _ends(counts: list[int]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of either side close a group: those whose end both sides have (ends rise on both)."""
+    at = np.searchsorted(ends_b, ends_a)
+    closes_a = ends_b[np.minimum(at, max(len(ends_b) - 1, 0))] == ends_a if len(ends_b) else np.zeros(len(ends_a), bool)
+    closes_b = np.zeros(len(ends_b), bool)
+    closes_b[at[closes_a]] = True
+    return closes_a, closes_b
+
+
+class Units:
+    """Distinct units: whether each is given back by both sides, its figures, digest and linked pairs."""
+
+    def __init__(self, tools: Pair, names: list[str]):
+        n = len(names)
+        a, of_a, b, of_b = tools.encode(names)
+        data = [x.encode() for x in names]
+        size = np.array([len(x) for x in data], np.int64)
+        self.ok = (np.bincount(of_a, tools.size_a[a], n) == size) & (np.bincount(of_b, tools.size_b[b], n) == size)
+        for ids, of, raw in ((a, of_a, tools.raw_a), (b, of_b, tools.raw_b)):
+            kept = np.flatnonzero(self.ok)
+            want = np.frombuffer(b"".join([data[i] for i in kept.tolist()]), np.uint8)
+            have = np.frombuffer(b"".join([raw[i] for i in ids[self.ok[of]].tolist()]), np.uint8)
+            wrong = np.flatnonzero(want != have)
+            self.ok[kept[np.searchsorted(np.cumsum(size[kept]), wrong, "right")]] = False
+        a, of_a, b, of_b = a[self.ok[of_a]], of_a[self.ok[of_a]], b[self.ok[of_b]], of_b[self.ok[of_b]]
+        # the units side by side: both sides have the same bytes, so their ends stay comparable
+        closes_a, closes_b = merged(np.cumsum(tools.size_a[a]), np.cumsum(tools.size_b[b]))
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        long_a, long_b = (np.bincount(g, minlength=int(closes_a.sum())) for g in (group_a, group_b))
+        begin_a, begin_b = np.cumsum(long_a) - long_a, np.cumsum(long_b) - long_b
+        unit = of_a[closes_a]
+        links = long_a * long_b
+        self.figures = np.stack([np.bincount(x, w, n).astype(np.int64) for x, w in ((of_a, None), (of_b, None), (unit, None), (unit, links))], axis=1)
+        # links, A token by A token
+        small = (links <= BIG)[group_a]
+        times = long_b[group_a[small]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        keys = [(np.repeat(a[small], times) << SIDE) | b[np.repeat(begin_b[group_a[small]], times) + step]]
+        weights, owner = [np.ones(len(keys[0]), np.int64)], [np.repeat(of_a[small], times)]
+        for g in np.flatnonzero(links > BIG).tolist():
+            (p, m), (q, k) = (np.unique(ids[at : at + many], return_counts=True) for ids, at, many in ((a, begin_a[g], long_a[g]), (b, begin_b[g], long_b[g])))
+            keys.append(((p << SIDE)[:, None] | q).ravel())
+            weights.append((m[:, None] * k).ravel())
+            owner.append(np.full(len(keys[-1]), unit[g]))
+        order = slice(None) if len(owner) == 1 else np.argsort(np.concatenate(owner), kind="stable")
+        self.pairs, at = np.unique(np.concatenate(keys)[order], return_inverse=True)
+        self.pair, self.weight = at, np.concatenate(weights)[order]
+        self.many = np.bincount(np.concatenate(owner), minlength=n)
+        self.first = np.cumsum(self.many) - self.many
+        # digests: a group's A ids, then its B ids
+        text = np.empty(len(a) + len(b), object)
+        text[np.arange(len(a)) + begin_b[group_a]] = np.where(closes_a, tools.last_a[a], tools.inner[a])
+        text[np.arange(len(b)) + (begin_a + long_a)[group_b]] = np.where(closes_b, tools.last_b[b], tools.inner[b])
+        text, ends = text.tolist(), np.cumsum(self.figures[:, 0] + self.figures[:, 1]).tolist()
+        self.digest = ["".join(text[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
+
+
+def parts(texts: list[str | None], limit: int = 0) -> Iterator[list[tuple[int, str]]]:
+    """Runs of (document, piece) of about ``limit`` characters; long texts are cut where units are."""
+    limit = limit or PART
+    out, size = [], 0
+    for d, t in enumerate(texts):
+        t = f" {t}" if t else ""
+        at = 0
+        while at < len(t):
+            cut = CUT.search(t, at + limit) if len(t) - at > limit else None
+            upto = cut.start() if cut else len(t)
+            out.append((d, t[at:upto]))
+            size += upto - at
+            at = upto
+            if size >= limit:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 class Block:
-    """Some documents: which units each has how often, which pairs each unit has how often."""
+    """Some documents: figures and digest of each, and the pairs that it links, with their occurrences."""
 
     def __init__(self, tools: Pair, texts: list[str | None]):
-        cut = [CUT.split(f" {t}") if t else [] for t in texts]
-        found = tools.find({n for names in cut for n in names})
-        cut = [names if all(found[n] is not None for n in names) else [] for names in cut]
-        names = sorted({n for part in cut for n in part})
-        place = {n: i for i, n in enumerate(names)}
-        units = [found[n] for n in names]
-        self.docs = []
-        which, times, doc_len = [], [], []
-        size = np.array([[u.n_a, u.n_b, u.n_groups, u.n_links] for u in units], np.int64).reshape(-1, 4)
-        for part in cut:
-            own, n = np.unique(np.array([place[x] for x in part], np.int32), return_counts=True)
-            text = ";".join([found[x].digest for x in part])
-            self.docs.append((*(n @ size[own]).tolist(), hashlib.sha256(text.encode()).hexdigest() if part else ""))
-            which.append(own)
-            times.append(n.astype(np.int32))
-            doc_len.append(len(own))
-        self.pairs, at = np.unique(np.array([k for u in units for k in u.pairs], np.int64), return_inverse=True)
-        self.unit_pair, self.unit_times = at.astype(np.int32), np.array([t for u in units for t in u.times], np.int32)
-        self.unit_len = np.array([len(u.pairs) for u in units], np.int32)
-        self.doc_unit, self.doc_times, self.doc_len = np.concatenate([np.zeros(0, np.int32), *which]), np.concatenate([np.zeros(0, np.int32), *times]), np.array(doc_len, np.int32)
-        # documents that hold each pair
-        long, ends = self.unit_len[self.doc_unit], _ends(self.unit_len)
-        at = np.repeat(ends[self.doc_unit] - (np.cumsum(long) - long), long) + np.arange(long.sum())
-        doc = np.repeat(np.repeat(np.arange(len(texts)), self.doc_len), long)
-        some = np.unique(doc * len(self.pairs) + self.unit_pair[at])
-        self.held = np.bincount(some % max(len(self.pairs), 1), minlength=len(self.pairs))
-
-
-#: The packed columns of a block: per document its units and their occurrences, per unit its pairs and their occurrences.
-PACKED = ["doc_len", "doc_unit", "doc_times", "unit_len", "unit_pair", "unit_times"]
+        n = len(texts)
+        self.figures, ok, sha, entries = np.zeros((n, 4), np.int64), np.ones(n, bool), [None] * n, []
+        for part in parts(texts):
+            cut = [CUT.split(piece) for _, piece in part]
+            names = list(dict.fromkeys(chain.from_iterable(cut)))
+            units = Units(tools, names)
+            place = {x: i for i, x in enumerate(names)}
+            flat = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
+            doc = np.repeat([d for d, _ in part], [len(x) for x in cut])
+            ok &= np.bincount(doc, ~units.ok[flat], n) == 0
+            for c in range(4):
+                self.figures[:, c] += np.bincount(doc, units.figures[flat, c], n).astype(np.int64)
+            at = 0
+            for (d, _), x in zip(part, cut, strict=True):
+                text = "".join([units.digest[i] for i in flat[at : at + len(x)].tolist()])[:-1]
+                if sha[d] is None:
+                    sha[d] = hashlib.sha256(text.encode())
+                else:  # a later piece of a long text
+                    sha[d].update(f";{text}".encode())
+                at += len(x)
+            entries += self._links(units, doc, flat)
+        self.figures[~ok] = 0
+        self.sha = [h.hexdigest() if h is not None and good else "" for h, good in zip(sha, ok.tolist(), strict=True)]
+        doc, pair, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*entries, strict=True) if entries else [[]] * 3))
+        good = ok[doc]
+        self.pairs, at = np.unique(pair[good], return_inverse=True)
+        key = doc[good] * max(len(self.pairs), 1) + at
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[good][order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        times = np.add.reduceat(times, first) if len(key) else times
+        doc, at = np.divmod(key[first], max(len(self.pairs), 1))
+        self.held = np.bincount(at, minlength=len(self.pairs))
+        self.doc_len, self.doc_pair, self.doc_times = np.bincount(doc, minlength=n).astype(np.int32), np.diff(at, prepend=0).astype(np.int32), times.astype(np.int32)
+
+    @staticmethod
+    def _links(units: Units, doc: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, pair, occurrences) of units where they stand, some at a time."""
+        seen, times = np.unique(doc * len(units.many) + unit, return_counts=True)
+        doc, unit = np.divmod(seen, len(units.many))
+        many, n_pairs, out = units.many[unit], max(len(units.pairs), 1), []
+        upto = np.cumsum(many)
+        i = 0
+        while i < len(doc):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - many[i] + (1 << 20), "right")))
+            long = many[i:j]
+            at = np.repeat(units.first[unit[i:j]] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            key, where = np.unique(np.repeat(doc[i:j], long) * n_pairs + units.pair[at], return_inverse=True)
+            count = np.bincount(where, np.repeat(times[i:j], long) * units.weight[at], len(key)).astype(np.int64)
+            if len(key):
+                d, p = np.divmod(key, n_pairs)
+                out.append((d, units.pairs[p], count))
+            i = j
+        return out
+
+
+#: The packed columns of a block: per document how many pairs, which (each as the step from the one before), how often.
+PACKED = ["doc_len", "doc_pair", "doc_times"]
 
 
 def _blocks(docs: DataFrame, kept: int, path_a: str, path_b: str) -> DataFrame:
-    """A row per block of documents (the last column their texts): kept columns and figures as lists, packed units, pairs with their numbers of documents."""
+    """A row per block of documents (the last column their texts): kept columns and figures as lists, packed pairs of each, pairs with their numbers of documents."""
     fields = docs.schema.fields[:-1]
     figures = ["n_a", "n_b", "n_groups", "n_links"]
     schema = "seq bigint, " + ", ".join([*(f"{f.name} array<{f.dataType.simpleString()}>" for f in fields), *(f"{c} array<bigint>" for c in figures), "sha array<string>", *(f"{c} binary" for c in PACKED), "pairs array<bigint>", "held array<bigint>"])
@@ -176,7 +229,7 @@ def _blocks(docs: DataFrame, kept: int, path_a: str, path_b: str) -> DataFrame:
             cuts = [0]
             for i, t in enumerate(texts):
                 size += len(t or "")
-                if size >= BLOCK_BYTES:
+                if size >= BLOCK:
                     cuts.append(i + 1)
                     size = 0
             for lo, hi in zip(cuts, [*cuts[1:], len(texts)], strict=True):
@@ -185,7 +238,7 @@ def _blocks(docs: DataFrame, kept: int, path_a: str, path_b: str) -> DataFrame:
                 k = Block(tools, texts[lo:hi])
                 one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
                 cols = [pa.array([seq], pa.int64()), *(one(b.column(c).slice(lo, hi - lo)) for c in range(kept))]
-                cols += [one(pa.array([d[c] for d in k.docs], pa.int64())) for c in range(4)] + [one(pa.array([d[4] for d in k.docs], pa.string()))]
+                cols += [one(pa.array(k.figures[:, c])) for c in range(4)] + [one(pa.array(k.sha, pa.string()))]
                 cols += [pa.array([getattr(k, c).tobytes()], pa.binary()) for c in PACKED] + [one(pa.array(k.pairs)), one(pa.array(k.held))]
                 yield pa.RecordBatch.from_arrays(cols, names=["seq", *(f.name for f in fields), *figures, "sha", *PACKED, "pairs", "held"])
                 seq += 1
@@ -216,9 +269,9 @@ def aligned_tokens(docs: DataFrame, path_a: str, path_b: str, *, text_col: str =
     don't give back byte by byte have zeros and an empty digest.
 
     Repeated rows are documents of their own; a hot pair is one row per block
-    of some megabytes.  A long text is a block of its own, a long unit isn't
-    remembered.  Other columns of ``docs`` don't matter, kept ones may have any
-    name.  An empty table gives an empty result.
+    of some megabytes.  A long text is aligned in pieces that end where units
+    do.  Other columns of ``docs`` don't matter, kept ones may have any name.
+    An empty table gives an empty result.
     """
     plain = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep_cols)), F.col(text_col).alias("t"))
     kept = len(keep_cols)
@@ -240,12 +293,10 @@ def aligned_tokens(docs: DataFrame, path_a: str, path_b: str, *, text_col: str =
                 p = {c: np.frombuffer(at(c).as_py(), np.int32) for c in PACKED}
                 flat = lambda name, at=at: at(name).values if at(name).is_valid else pa.array([], pa.int64())
                 value = {c: flat(c).cast(pa.int64()).to_numpy() for c in ("count", "best_a", "best_b")}
-                unit = np.repeat(np.arange(len(p["unit_len"])), p["unit_len"])
-                doc = np.repeat(np.arange(len(p["doc_len"])), p["doc_len"])
-                sums = {}
-                for c, v in value.items():  # whole numbers below 2**53
-                    per_unit = np.bincount(unit, v[p["unit_pair"]] * p["unit_times"], len(p["unit_len"])) if len(unit) else np.zeros(len(p["unit_len"]))
-                    sums[c] = np.bincount(doc, per_unit[p["doc_unit"]] * p["doc_times"], len(p["doc_len"])).astype(np.int64) if len(doc) else np.zeros(len(p["doc_len"]), np.int64)
+                n = len(p["doc_len"])
+                doc, pair = np.repeat(np.arange(n), p["doc_len"]), np.cumsum(p["doc_pair"], dtype=np.int64)
+                # whole numbers below 2**53
+                sums = {c: np.bincount(doc, v[pair] * p["doc_times"], n).astype(np.int64) if len(doc) else np.zeros(n, np.int64) for c, v in value.items()}
                 cols = [flat(n) for n in names] + [flat(c) for c in ("n_a", "n_b", "n_groups", "n_links")] + [pa.array(sums["best_a"]), pa.array(sums["count"]), flat("sha"), pa.array(sums["best_b"])]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_best_b"])
 
