@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .subwords import vocabulary
+from .subwords import MARK
 from .token_counts import _bytes_to_chars
 
 #: A space after a character that no notion of white space holds.
@@ -37,38 +37,67 @@ SIDE = 32  # bits of an id in a pair's key
 BIG = 4096  # links of a group beyond which equal ones are counted first
 
 
+#: Units that go to a tokenizer as one text, where it is sure to cut between them.
+JOINED = 64
+
+
+class Side:
+    """A tokenizer as a function from texts (each with a space in front) to lists of ids, with the bytes of every id."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], raw: list[bytes]):
+        self.encode, self.raw = encode, raw
+        self.size = np.array([len(x) for x in raw], np.int64)
+
+    def units(self, names: list[str], sure: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after another, and the unit of each; ``size`` are their bytes.
+
+        The first ``sure`` units end where a cut may follow: many of them are
+        encoded as one text and told apart by their ends.  Where an end isn't
+        found (the bytes aren't given back), they are encoded one by one.
+        """
+        flat, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, sure, JOINED * 128):
+            hi = min(sure, lo + JOINED * 128)
+            cuts = range(lo, hi, JOINED)
+            lists = self.encode(["".join(names[i : min(i + JOINED, hi)]) for i in cuts])
+            ids, want = np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum(size[lo:hi])
+            ends = np.cumsum(self.size[ids])
+            if len(ends) and ends[-1] == want[-1] and (ends[np.searchsorted(ends, want)] == want).all():
+                flat.append(ids)
+                owner.append(lo + np.searchsorted(want, ends))
+            else:
+                self._one_by_one(names, lo, hi, flat, owner)
+        self._one_by_one(names, sure, len(names), flat, owner)
+        return np.concatenate(flat), np.concatenate(owner)
+
+    def _one_by_one(self, names: list[str], lo: int, hi: int, flat: list[np.ndarray], owner: list[np.ndarray]) -> None:
+        lists = self.encode(names[lo:hi])
+        flat.append(np.fromiter(chain.from_iterable(lists), np.int64))
+        owner.append(np.repeat(np.arange(lo, hi), [len(x) for x in lists]))
+
+
 class Pair:
-    """Both tokenizers, with the bytes and the decimal digits of every id."""
+    """Both tokenizers, and every id in decimal digits with what follows it in a digest."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        back = {c: b for b, c in _bytes_to_chars().items()}
-        tokens = list(map(self.a.id_to_token, range(self.a.get_vocab_size(with_added_tokens=True))))
-        self.raw_a = [bytes(back[c] for c in t) if t is not None and all(c in back for c in t) else (t or "").encode() for t in tokens]
-        self.b = vocabulary(path_b)
-        self.raw_b = [r.replace("▁".encode(), b" ") for r in self.b.raw]
-        self.size_a, self.size_b = (np.array([len(x) for x in raw], np.int64) for raw in (self.raw_a, self.raw_b))
-        ids = range(max(len(self.raw_a), len(self.raw_b)))
+        a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+        a.no_truncation()
+        a.no_padding()
+        a.encode_special_tokens = True
+        back = {c: i for i, c in _bytes_to_chars().items()}
+        tokens = list(map(a.id_to_token, range(a.get_vocab_size(with_added_tokens=True))))
+        raw_a = [bytes(back[c] for c in t) if t is not None and all(c in back for c in t) else (t or "").encode() for t in tokens]
+        raw_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(MARK, " ").encode() for i in range(b.get_piece_size())]
+        lone = [b.piece_to_id(MARK)]  # the model puts its mark in front by itself, but not before nothing
+        self.a = Side(lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)], raw_a)
+        self.b = Side(lambda texts: [ids if t != " " else lone for t, ids in zip(texts, b.encode([t[1:] for t in texts], num_threads=1), strict=True)], raw_b)
+        ids = range(max(len(raw_a), len(raw_b)))
         self.inner, self.last_a, self.last_b = (np.array([f"{i}{c}" for i in ids], object) for c in ",|;")
 
-    def encode(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all units one after another and the unit of each, for either side."""
-        out = []
-        for side in (lambda some: [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)], lambda some: self.b.encode_units([n.replace(" ", "▁") for n in some])):
-            flat, long = [], []
-            for i in range(0, len(names), 8192):
-                ids = side(names[i : i + 8192])
-                long += map(len, ids)
-                flat.append(np.fromiter(chain.from_iterable(ids), np.int64))
-            out += [np.concatenate([np.zeros(0, np.int64), *flat]), np.repeat(np.arange(len(names)), long)]
-        return tuple(out)
-
 
 @lru_cache(maxsize=2)
 def tokenizers(path_a: str, path_b: str) -> Pair:
@@ -85,15 +114,15 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Units:
-    """Distinct units: whether each is given back by both sides, its figures, digest and linked pairs."""
+    """Distinct units (the first ``sure`` end where a cut may follow): whether each is given back by both sides, its figures, digest and linked pairs."""
 
-    def __init__(self, tools: Pair, names: list[str]):
+    def __init__(self, tools: Pair, names: list[str], sure: int):
         n = len(names)
-        a, of_a, b, of_b = tools.encode(names)
         data = [x.encode() for x in names]
         size = np.array([len(x) for x in data], np.int64)
-        self.ok = (np.bincount(of_a, tools.size_a[a], n) == size) & (np.bincount(of_b, tools.size_b[b], n) == size)
-        for ids, of, raw in ((a, of_a, tools.raw_a), (b, of_b, tools.raw_b)):
+        (a, of_a), (b, of_b) = (side.units(names, sure, size) for side in (tools.a, tools.b))
+        self.ok = (np.bincount(of_a, tools.a.size[a], n) == size) & (np.bincount(of_b, tools.b.size[b], n) == size)
+        for ids, of, raw in ((a, of_a, tools.a.raw), (b, of_b, tools.b.raw)):
             kept = np.flatnonzero(self.ok)
             want = np.frombuffer(b"".join([data[i] for i in kept.tolist()]), np.uint8)
             have = np.frombuffer(b"".join([raw[i] for i in ids[self.ok[of]].tolist()]), np.uint8)
@@ -101,7 +130,7 @@ class Units:
             self.ok[kept[np.searchsorted(np.cumsum(size[kept]), wrong, "right")]] = False
         a, of_a, b, of_b = a[self.ok[of_a]], of_a[self.ok[of_a]], b[self.ok[of_b]], of_b[self.ok[of_b]]
         # the units side by side: both sides have the same bytes, so their ends stay comparable
-        closes_a, closes_b = merged(np.cumsum(tools.size_a[a]), np.cumsum(tools.size_b[b]))
+        closes_a, closes_b = merged(np.cumsum(tools.a.size[a]), np.cumsum(tools.b.size[b]))
         group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
         long_a, long_b = (np.bincount(g, minlength=int(closes_a.sum())) for g in (group_a, group_b))
         begin_a, begin_b = np.cumsum(long_a) - long_a, np.cumsum(long_b) - long_b
@@ -161,7 +190,9 @@ class Block:
         for part in parts(texts):
             cut = [CUT.split(piece) for _, piece in part]
             names = list(dict.fromkeys(chain.from_iterable(cut)))
-            units = Units(tools, names)
+            last = {x[-1] for x in cut if x}  # whatever a text ends with
+            names = [x for x in names if x not in last] + [x for x in names if x in last]
+            units = Units(tools, names, len(names) - len(last))
             place = {x: i for i, x in enumerate(names)}
             flat = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
             doc = np.repeat([d for d, _ in part], [len(x) for x in cut])
