@@ -1,8 +1,9 @@
 """Baselines, z-scores and the alarm detectors, over wide rows: one per station and vehicle, one column per parameter.
 
 ``lineloom.sources.adapters.line`` gives such rows in one shuffle by station;
-nothing here shuffles them again (but the one-row EWMA limit, which reads them a
-second time).
+nothing here shuffles them again (but the EWMA limit, a row per line, which reads
+them a second time).  ``keys`` tell stations apart: with a line in front, many
+lines go through the same windows in the same single shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from ..sources.adapters import PARAMETERS, readings
 STATION = ["station"]
 
 
-def early(th: Thresholds, floor: int = 30, share: int = 2) -> Column:
+def early(th: Thresholds, floor: int = 30, share: int = 2, keys: list[str] = STATION) -> Column:
     """The warm-up prefix: min(warmup, max(floor, n div share)) vehicles of the station's n."""
-    n = F.max("vehicle").over(Window.partitionBy("station"))
+    n = F.max("vehicle").over(Window.partitionBy(*keys))
     return F.col("vehicle") <= F.least(F.lit(th.warmup), F.greatest(F.lit(floor), F.floor(n / share)))
 
 
@@ -35,19 +36,22 @@ def baseline_cells(wide: DataFrame, th: Thresholds = Thresholds(), least: int =
 
 
 def score(
-    wide: DataFrame, th: Thresholds = Thresholds(), enough: int = 36, least: int = 12, parameters: list[str] = PARAMETERS, spec: dict[str, tuple[float, float]] | None = None
+    wide: DataFrame, th: Thresholds = Thresholds(), enough: int = 36, least: int = 12, parameters: list[str] = PARAMETERS, spec: dict[str, tuple[float, float]] | None = None,
+    keys: list[str] = STATION,
+    manual: bool = False,
 ) -> DataFrame:
     """Adds z_<p> (3 decimals), source_<p> and n_<p> for each parameter: the reading against its variant's mean, shrunk toward
     the pooled one, and the pooled spread.
 
     A cell of fewer than ``least`` warm-up readings is replaced by the
     parameter's ``spec`` (mean, standard deviation) if it has one.  Without
-    any, z is 0 and the source unavailable.  Stations without instruments go.
+    any, z is 0 and the source unavailable.  Stations without instruments go,
+    or with ``manual`` stay with nulls.
     """
-    df = wide.where("instrumented").withColumn("_early", early(th)).withColumns({f"_w_{p}": F.when(F.col("_early"), F.col(p)) for p in parameters})
+    df = (wide if manual else wide.where("instrumented")).withColumn("_early", early(th, keys=keys)).withColumns({f"_w_{p}": F.when(F.col("_early"), F.col(p)) for p in parameters})
     cells = {}
-    for name, keys in (("c", ["station", "variant"]), ("p", ["station"])):
-        w = Window.partitionBy(*keys)
+    for name, by in (("c", [*keys, "variant"]), ("p", keys)):
+        w = Window.partitionBy(*by)
         for p in parameters:
             v = F.col(f"_w_{p}")
             cells |= {f"_m{name}_{p}": F.avg(v).over(w), f"_s{name}_{p}": F.stddev_samp(v).over(w), f"_n{name}_{p}": F.count(v).over(w)}
@@ -80,23 +84,26 @@ def scored_readings(sc: DataFrame, parameters: list[str] = PARAMETERS) -> DataFr
     return readings(sc, {"z": "z_", "baseline_source": "source_", "baseline_n": "n_"}, parameters)
 
 
-def ewma_limit(sc: DataFrame, th: Thresholds, parameters: list[str] = PARAMETERS) -> DataFrame:
-    """The control limit: one row, from the median baseline size."""
-    sizes = sc.select(F.explode(F.array(*(F.col(f"n_{p}") for p in parameters))).alias("n")).where("n is not null")
+def ewma_limit(sc: DataFrame, th: Thresholds, parameters: list[str] = PARAMETERS, per: list[str] = []) -> DataFrame:  # noqa: B006
+    """The control limit from the median baseline size: one row, or one per line (``per``)."""
+    sizes = sc.select(*per, F.explode(F.array(*(F.col(f"n_{p}") for p in parameters))).alias("n")).where("n is not null")
     n = F.greatest(F.floor(F.percentile(F.when(F.col("n") > 0, F.col("n")).otherwise(1), F.lit(0.5))), F.lit(1))
-    return sizes.agg((th.ewma_l * F.sqrt(F.lit(th.lam / (2 - th.lam)) + 1.0 / n)).alias("ewma_limit"))
+    return sizes.groupBy(*per).agg((th.ewma_l * F.sqrt(F.lit(th.lam / (2 - th.lam)) + 1.0 / n)).alias("ewma_limit"))
 
 
-def _correlated(p: str, q: str, parameters: list[str]) -> Column:
-    """Correlation of two z over the vehicles that have all parameters their station has."""
-    full = F.lit(True)
+def _correlated(p: str, q: str, parameters: list[str], w=None) -> Column:
+    """Correlation of two z over the vehicles (of a window) that have all parameters their station has; null where one stands still."""
+    full = F.col(f"z_{p}").isNotNull() & F.col(f"z_{q}").isNotNull()
     for x in parameters:
         full &= F.col(f"z_{x}").isNotNull() | ~F.col(f"_has_{x}")
-    return F.corr(F.when(full, F.col(f"z_{p}")), F.when(full, F.col(f"z_{q}")))
+    x, y = F.when(full, F.col(f"z_{p}")), F.when(full, F.col(f"z_{q}"))
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    both, sx, sy = (f.over(w) if w is not None else f for f in parts)
+    return both / F.nullif(sx * sy, F.lit(0.0))
 
 
-def _has(sc: DataFrame, parameters: list[str]) -> DataFrame:
-    w = Window.partitionBy("station")
+def _has(sc: DataFrame, parameters: list[str], keys: list[str] = STATION, w=None) -> DataFrame:
+    w = w or Window.partitionBy(*keys)
     return sc.withColumns({f"_has_{p}": F.count(f"z_{p}").over(w) > 0 for p in parameters})
 
 
@@ -112,7 +119,7 @@ RULES = ("point", "persistent", "trend")
 FLAG = ["type", "severity", "parameter", "z", "evidence"]
 
 
-def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES, "cross_parameter"), parameters: list[str] = PARAMETERS) -> DataFrame:
+def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES, "cross_parameter"), parameters: list[str] = PARAMETERS, keys: list[str] = STATION, causal: bool = False) -> DataFrame:
     """Adds ``flags``, the alarms that each row raises, as an array of (type, severity, parameter, z, evidence).
 
     * point: |z| over the alert limit, twice within three readings; closes under the green limit.
@@ -120,9 +127,10 @@ def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES,
     * trend: readings of one sign, each further out by ``trend_step``, ending far enough out.
     * cross_parameter: two correlated parameters abnormal at once; closes when none is.
 
-    Each rule is a latch: an episode raises one alarm.
+    Each rule is a latch: an episode raises one alarm.  Correlations are those
+    of the whole run; ``causal``, those of the vehicles so far, this one included.
     """
-    w, k = S.by(STATION), th.trend_window
+    w, k = S.by(keys), th.trend_window
     z = {p: F.col(f"z_{p}") for p in parameters}
     df, opens, alarms = sc, {}, []
 
@@ -135,8 +143,10 @@ def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES,
             opens[f"_point_{p}"] = ((F.abs(v) >= th.alert) & (F.col(f"_beyond_{p}") >= 2), F.abs(v) < th.green)
             alarms.append(alarm(f"_point_{p}", "point", "alert", F.lit(p), v, f"|z| %.3f, %d of the last 3 beyond {th.alert}", F.abs(v), F.col(f"_beyond_{p}")))
     if "persistent" in rules:
-        df = S.ewma(df, {f"_e_{p}": f"z_{p}" for p in parameters}, STATION, th.lam).withColumns({f"_e_{p}": F.round(f"_e_{p}", 9) for p in parameters})
-        df = df.crossJoin(F.broadcast(ewma_limit(sc, th, parameters)))  # one row
+        df = S.ewma(df, {f"_e_{p}": f"z_{p}" for p in parameters}, keys, th.lam).withColumns({f"_e_{p}": F.round(f"_e_{p}", 9) for p in parameters})
+        per = [k for k in keys if k != "station"]
+        limit = F.broadcast(ewma_limit(sc, th, parameters, per))  # one row, or one per line
+        df = df.join(limit, per) if per else df.crossJoin(limit)
         for p in parameters:
             e = F.abs(f"_e_{p}")
             opens[f"_persistent_{p}"] = (e > F.col("ewma_limit"), e < F.col("ewma_limit") * th.release)
@@ -156,8 +166,8 @@ def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES,
             alarms.append(alarm(f"_trend_{p}", "trend", "warning", F.lit(p), v, f"|z| rose by %.3f over {k} readings", rise))
     if "cross_parameter" in rules:
         pairs = list(itertools.combinations(sorted(parameters), 2))
-        whole = Window.partitionBy("station")
-        df = _has(df, parameters).withColumns({f"_r_{p}_{q}": F.round(_correlated(p, q, parameters).over(whole), 9) for p, q in pairs})
+        whole = S.by(keys).rowsBetween(Window.unboundedPreceding, 0) if causal else Window.partitionBy(*keys)
+        df = _has(df, parameters, keys, whole).withColumns({f"_r_{p}_{q}": F.round(_correlated(p, q, parameters, whole), 9) for p, q in pairs})
         abnormal = F.array_compact(F.array(*(F.when(F.abs(z[p]) >= th.cross_z, F.lit(p)) for p in sorted(parameters))))
         df = df.withColumn("_abnormal", abnormal)
         linked = F.lit(False)
@@ -165,20 +175,20 @@ def with_flags(sc: DataFrame, th: Thresholds, rules: tuple[str, ...] = (*RULES,
             linked |= (F.abs(z[p]) >= th.cross_z) & (F.abs(z[q]) >= th.cross_z) & (F.abs(f"_r_{p}_{q}") >= th.cross_corr)
         opens["_cross"] = (F.coalesce(linked, F.lit(False)), F.size("_abnormal") == 0)
         alarms.append(alarm("_cross", "cross_parameter", "alert", F.array_join("_abnormal", " + "), F.lit(None).cast("double"), "%d correlated parameters abnormal", F.size("_abnormal")))
-    df = S.latches(df, opens, STATION)
+    df = S.latches(df, opens, keys)
     helpers = [c for c in df.columns if c.startswith("_") and c not in sc.columns]
     return df.withColumn("flags", F.array_compact(F.array(*alarms))).drop("ewma_limit", *helpers)
 
 
-def flags(flagged: DataFrame) -> DataFrame:
+def flags(flagged: DataFrame, keys: list[str] = STATION) -> DataFrame:
     """The alarms as rows."""
-    return flagged.where(F.size("flags") > 0).select("station", "vehicle", F.inline("flags")).select("station", "parameter", "vehicle", "type", "severity", "z", "evidence")
+    return flagged.where(F.size("flags") > 0).select(*keys, "vehicle", F.inline("flags")).select(*keys, "parameter", "vehicle", "type", "severity", "z", "evidence")
 
 
-def constraint_series(ops: DataFrame, th: Thresholds) -> DataFrame:
+def constraint_series(ops: DataFrame, th: Thresholds, keys: list[str] = STATION) -> DataFrame:
     """Every operation of stations with enough of them: CUSUM of cycle time in sigmas, slope's t, queue's z."""
-    k = STATION
-    whole = Window.partitionBy("station")
+    k = keys
+    whole = Window.partitionBy(*keys)
     d = ops.withColumn("rn", S.seq(k)).withColumn("n", F.count(F.lit(1)).over(whole))
     d = d.withColumn("n_warm", F.least(F.lit(th.warmup), F.greatest(F.lit(20), F.floor(F.col("n") / 3)))).where(F.col("n") >= F.greatest(F.lit(th.slope_window), F.col("n_warm")) + 5)
     warm = F.col("rn") <= F.col("n_warm")
@@ -192,15 +202,15 @@ def constraint_series(ops: DataFrame, th: Thresholds) -> DataFrame:
     return d.withColumn("cusum_sigma", F.round(F.col("cusum") / F.col("sd_c"), 6)).withColumn("queue_z", F.round((F.col("queue") - F.col("mu_q")) / F.col("sd_q"), 6)).withColumn("slope_t", F.round("slope_t", 6))
 
 
-def bottlenecks(ops: DataFrame, th: Thresholds) -> DataFrame:
+def bottlenecks(ops: DataFrame, th: Thresholds, keys: list[str] = STATION) -> DataFrame:
     """Confirmed constraints: CUSUM of cycle time over its limit with a rising slope or a long queue; latched per station."""
     warm = F.col("rn") <= F.col("n_warm")
-    d = constraint_series(ops, th)
+    d = constraint_series(ops, th, keys)
     opens = ~warm & (F.col("cusum_sigma") > th.cusum_h) & F.col("slope_t").isNotNull() & ((F.col("slope_t") >= th.slope_t) | (F.col("queue_z") >= th.queue_z))
-    d = S.latch(d, opens, ~warm & (F.col("cusum_sigma") < th.cusum_h * th.release), STATION)
+    d = S.latch(d, opens, ~warm & (F.col("cusum_sigma") < th.cusum_h * th.release), keys)
     text = f"CUSUM %.6f sigma over limit {th.cusum_h}; slope t=%.6f (crit {th.slope_t}); queue z=%.6f"
     return d.where("fires").select(
-        "station", "vehicle", F.col("vehicle").alias("detected_at"), "cycle_time", F.round("mu_c", 2).alias("baseline_cycle"), F.round("cusum_sigma", 4).alias("cusum"),
+        *keys, "vehicle", F.col("vehicle").alias("detected_at"), "cycle_time", F.round("mu_c", 2).alias("baseline_cycle"), F.round("cusum_sigma", 4).alias("cusum"),
         F.round("slope_t", 4).alias("slope_t"), F.round("queue_z", 4).alias("queue_z"), F.format_string(text, "cusum_sigma", "slope_t", "queue_z").alias("evidence"),
     )
 

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..config import Oven, Thresholds
 from ..functions import series as S
 
+#: One line only: no column tells lines apart.
+ALONE: list[str] = []
 
-def oven_readings(line: DataFrame, o: Oven = Oven(), drift: tuple[int, int, float] = (240, 350, 55.0), size: int = 10, ambient_swing: float = 4.0, period: int = 120) -> DataFrame:
+
+def oven_readings(line: DataFrame, o: Oven = Oven(), drift: tuple[int, int, float] = (240, 350, 55.0), size: int = 10, ambient_swing: float = 4.0, period: int = 120, per: list[str] = ALONE) -> DataFrame:
     """The adapted line's ovens: each ``size`` stations are the zones of one oven, with dwell times by zone.
 
     The temperature follows the model with the ambient's influence and, as
     noise, what discount and tax are off their middle; the time constant drifts
     linearly to ``drift[2]`` in the given vehicles at every oven of even number.
+    ``per`` are the columns that tell lines apart, here and in what follows.
     """
     oven = F.floor((F.col("station") - 1) / size)
     dwell = o.dwell_base + o.dwell_step * ((F.col("station") - 1) % size)
@@ -23,7 +27,7 @@ def oven_readings(line: DataFrame, o: Oven = Oven(), drift: tuple[int, int, floa
     ambient = F.round(ambient_swing * F.sin(2 * 3.141592653589793 * F.col("vehicle") / period), 6)
     noise = (F.col("discount") - 0.05) * 10 + (F.col("tax") - 0.04) * 10
     temperature = F.round(predicted(dwell, tau, o) + 0.35 * ambient + noise, 4)
-    return line.where("instrumented").select("station", oven.alias("oven"), "vehicle", dwell.alias("dwell"), ambient.alias("ambient"), temperature.alias("temperature"))
+    return line.where("instrumented").select(*per, "station", oven.alias("oven"), "vehicle", dwell.alias("dwell"), ambient.alias("ambient"), temperature.alias("temperature"))
 
 
 def predicted(dwell: Column, tau: Column, o: Oven) -> Column:
@@ -31,30 +35,30 @@ def predicted(dwell: Column, tau: Column, o: Oven) -> Column:
     return o.ambient + (o.setpoint - o.ambient) * (1 - F.exp(-dwell / tau))
 
 
-def thermal_regression(rd: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(), least: int = 20) -> DataFrame:
+def thermal_regression(rd: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(), least: int = 20, per: list[str] = ALONE) -> DataFrame:
     """Per station over the warm-up: the residual's slope on the ambient, intercept and spread; slope 0 if the ambient stands still."""
-    n = F.max("vehicle").over(Window.partitionBy("station"))
+    n = F.max("vehicle").over(Window.partitionBy(*per, "station"))
     d = rd.withColumn("_n", n).where(F.col("vehicle") <= F.least(F.lit(th.warmup), F.greatest(F.lit(30), F.floor(F.col("_n") / 2))))
     d = d.withColumn("r", F.col("temperature") - predicted(F.col("dwell"), F.lit(o.tau), o))
     y, x = F.col("r"), F.col("ambient")
-    g = d.groupBy("station").agg(
+    g = d.groupBy(*per, "station").agg(
         F.count(F.lit(1)).alias("n"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.regr_syy(y, x).alias("syy"), F.avg(y).alias("my"), F.avg(x).alias("mx"), F.stddev_pop(x).alias("sd")
     ).where(F.col("n") >= least)
     flat = F.col("sd") <= 1e-9
     slope = F.when(flat, 0.0).otherwise(F.col("sxy") / F.col("sxx"))
     left = F.when(flat, F.col("syy")).otherwise(F.greatest(F.lit(0.0), F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")))
     sigma = F.greatest(F.sqrt(left / (F.col("n") - 1)), F.lit(1e-6))
-    return g.select("station", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), sigma.alias("sigma"), "n")
+    return g.select(*per, "station", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), sigma.alias("sigma"), "n")
 
 
-def residuals(rd: DataFrame, fit: DataFrame, o: Oven = Oven()) -> DataFrame:
+def residuals(rd: DataFrame, fit: DataFrame, o: Oven = Oven(), per: list[str] = ALONE) -> DataFrame:
     """(station, vehicle, residual): standardised distance from model and regression; readings without a fit are left out."""
-    d = rd.join(F.broadcast(fit.drop("n")), "station")  # a row per zone
+    d = rd.join(fit.drop("n"), [*per, "station"])  # a row per zone
     z = (F.col("temperature") - predicted(F.col("dwell"), F.lit(o.tau), o) - F.col("intercept") - F.col("slope") * F.col("ambient")) / F.col("sigma")
-    return d.select("station", "vehicle", F.round(z, 3).alias("residual"))
+    return d.select(*per, "station", "vehicle", F.round(z, 3).alias("residual"))
 
 
-def tau_fit(rd: DataFrame, o: Oven = Oven(), least: int = 6) -> DataFrame:
+def tau_fit(rd: DataFrame, o: Oven = Oven(), least: int = 6, per: list[str] = ALONE) -> DataFrame:
     """(oven, vehicle, tau): the time constant that fits the last ``window`` vehicles best, once there are that many.
 
     For each candidate a vehicle adds its number, sum and sum of squares of
@@ -62,23 +66,23 @@ def tau_fit(rd: DataFrame, o: Oven = Oven(), least: int = 6) -> DataFrame:
     """
     step = (1.8 - 0.6) * o.tau / (o.grid - 1)
     grid = F.transform(F.sequence(F.lit(0), F.lit(o.grid - 1)), lambda i: F.round(0.6 * o.tau + i * step, 6))
-    zones = rd.groupBy("oven", "vehicle").agg(F.collect_list(F.struct("dwell", "temperature")).alias("zones"))  # an oven's zones: a handful
+    zones = rd.groupBy(*per, "oven", "vehicle").agg(F.collect_list(F.struct("dwell", "temperature")).alias("zones"))  # an oven's zones: a handful
     d = zones.withColumn("tau", F.explode(grid))
     off = F.transform("zones", lambda x: F.round(x["temperature"] - predicted(x["dwell"], F.col("tau"), o), 6))
     add = lambda of: F.aggregate(of, F.lit(0.0), lambda a, x: a + x)
-    per = d.withColumn("r", off).select("oven", "vehicle", "tau", F.size("r").alias("n"), add(F.col("r")).alias("s"), add(F.transform("r", lambda x: x * x)).alias("q"))
-    w = Window.partitionBy("oven", "tau").orderBy("vehicle").rowsBetween(1 - o.window, 0)
-    per = per.withColumns({"wn": F.sum("n").over(w), "ws": F.sum("s").over(w), "wq": F.sum("q").over(w), "have": F.count(F.lit(1)).over(w)})
-    per = per.where((F.col("have") == o.window) & (F.col("wn") >= least)).withColumn("sse", F.round(F.col("wq") - F.col("ws") * F.col("ws") / F.col("wn"), 4))
-    return per.groupBy("oven", "vehicle").agg(F.min_by("tau", F.struct("sse", "tau")).alias("tau"))
+    fits = d.withColumn("r", off).select(*per, "oven", "vehicle", "tau", F.size("r").alias("n"), add(F.col("r")).alias("s"), add(F.transform("r", lambda x: x * x)).alias("q"))
+    w = Window.partitionBy(*per, "oven", "tau").orderBy("vehicle").rowsBetween(1 - o.window, 0)
+    fits = fits.withColumns({"wn": F.sum("n").over(w), "ws": F.sum("s").over(w), "wq": F.sum("q").over(w), "have": F.count(F.lit(1)).over(w)})
+    fits = fits.where((F.col("have") == o.window) & (F.col("wn") >= least)).withColumn("sse", F.round(F.col("wq") - F.col("ws") * F.col("ws") / F.col("wn"), 4))
+    return fits.groupBy(*per, "oven", "vehicle").agg(F.min_by("tau", F.struct("sse", "tau")).alias("tau"))
 
 
-def tau_alarms(fits: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(), least: tuple[int, int] = (40, 20)) -> DataFrame:
+def tau_alarms(fits: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(), least: tuple[int, int] = (40, 20), per: list[str] = ALONE) -> DataFrame:
     """Latched alarms where an oven's time constant is ``z_crit`` off its warm-up; ovens with too few fits raise none."""
-    whole = Window.partitionBy("oven")
+    whole = Window.partitionBy(*per, "oven")
     d = fits.withColumns({"_n": F.count(F.lit(1)).over(whole), "_max": F.max("vehicle").over(whole)})
     base = F.when(F.col("vehicle") <= F.least(F.lit(th.warmup), F.floor(F.col("_max") / 2)), F.col("tau"))
     d = d.withColumns({"_m": F.avg(base).over(whole), "_s": F.greatest(F.stddev_samp(base).over(whole), F.lit(1e-6)), "_b": F.count(base).over(whole)})
     d = d.where((F.col("_n") >= least[0]) & (F.col("_b") >= least[1]) & (F.col("_max") >= 3 * o.window)).withColumn("z", F.round((F.col("tau") - F.col("_m")) / F.col("_s"), 4))
-    d = S.latch(d, F.abs("z") >= o.z_crit, F.abs("z") < 0.5 * o.z_crit, ["oven"])
-    return d.where("fires").select("oven", "vehicle", F.lit("physics_thermal_violation").alias("type"), F.lit("alert").alias("severity"), F.round("tau", 4).alias("measured"), F.round(F.col("_m"), 4).alias("expected"), "z")
+    d = S.latch(d, F.abs("z") >= o.z_crit, F.abs("z") < 0.5 * o.z_crit, [*per, "oven"])
+    return d.where("fires").select(*per, "oven", "vehicle", F.lit("physics_thermal_violation").alias("type"), F.lit("alert").alias("severity"), F.round("tau", 4).alias("measured"), F.round(F.col("_m"), 4).alias("expected"), "z")

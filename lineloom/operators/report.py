@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ def latent_ranking(sc: DataFrame, station: int, parameter: str, exclude: tuple[s
     d = d.where(F.col("bad") | F.col("vehicle").between(F.col("lo") - span, F.col("hi") + span))
     kept = [p for p in parameters if p not in exclude]
     d = d.select("station", "bad", F.inline(F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(f"d_{p}").alias("d")) for p in kept)))).where("d is not null")
+    return _welch(d, ["station", "parameter"], least)
+
+
+def _welch(d: DataFrame, keys: list[str], least: tuple[int, int]) -> DataFrame:
+    """Welch's t and effect size between the ``d`` of bad and other rows, per key with enough of both."""
     bad, good = F.when(F.col("bad"), F.col("d")), F.when(~F.col("bad"), F.col("d"))
-    w = d.groupBy("station", "parameter").agg(
+    w = d.groupBy(*keys).agg(
         F.avg(bad).alias("m1"), F.avg(good).alias("m2"), F.var_samp(bad).alias("s1"), F.var_samp(good).alias("s2"), F.count(bad).alias("n1"), F.count(good).alias("n2")
     )
     gap = F.col("m1") - F.col("m2")
@@ -47,7 +54,7 @@ def latent_ranking(sc: DataFrame, station: int, parameter: str, exclude: tuple[s
         return gap / F.coalesce(F.nullif(F.sqrt(x), F.lit(0.0)), F.lit(1e-9))
 
     return w.where((F.col("n1") >= least[0]) & (F.col("n2") >= least[1])).select(
-        "station", "parameter", F.round(over(F.col("s1") / F.col("n1") + F.col("s2") / F.col("n2")), 2).alias("t_statistic"), F.round(over((F.col("s1") + F.col("s2")) / 2), 2).alias("effect_size_sigma"),
+        *keys, F.round(over(F.col("s1") / F.col("n1") + F.col("s2") / F.col("n2")), 2).alias("t_statistic"), F.round(over((F.col("s1") + F.col("s2")) / 2), 2).alias("effect_size_sigma"),
         F.round("m1", 3).alias("mean_z_failing"), F.round("m2", 3).alias("mean_z_passing"), F.col("n1").alias("n_failing"),
     )
 
@@ -95,37 +102,123 @@ def throughput_loss(ops: DataFrame, at: int, nominal: float = 40.0, top: int = 8
     return m.orderBy(F.desc("c"), "station").limit(top).select("station", F.round("c", 2).alias("cycle_s"), F.lit(nominal).alias("nominal_s"), F.round(F.col("c") - nominal, 2).alias("excess_s"))
 
 
-def state_stations(st: DataFrame, line: DataFrame, flagged: DataFrame, bots: DataFrame, at: int, recent: int = 20, near: int = 10, parameters: list[str] = PARAMETERS, weights: dict[str, float] | None = None) -> DataFrame:
-    """Status of every station as known at vehicle ``at``; manual ones without an outcome infer from their neighbours.
+def state_at(st: DataFrame, rows: DataFrame, bots: DataFrame, times: Sequence[int], recent: int = 20, near: int = 10, parameters: list[str] = PARAMETERS, weights: dict[str, float] | None = None) -> DataFrame:
+    """Every station as known at each of ``times`` (vehicles): (t, station, area, ...), for any number of times in one pass.
 
-    The health score weighs parameters by ``weights`` (1 by default).
+    ``rows`` are all operations with z and ``flags`` (null where a station has
+    no instruments), ``bots`` the constraints.  Each time is a row among a
+    station's operations, in one window order; what it sees before it is its
+    as-of join.  Manual stations without an outcome infer from their
+    neighbours' alarms.  The health score weighs parameters by ``weights`` (1
+    by default).  A station that had no vehicle by then has nulls.
     """
-    outcome = latest_operations(line, at).select("station", F.col("manual_outcome").alias("outcome"))
-
-    def seen(back: int) -> Column:
-        """Among the flags since then: true if any alerts, false if there are others, null if none."""
-        alert = F.exists("flags", lambda f: f["severity"] == "alert")
-        return F.bool_or(F.when((F.size("flags") > 0) & (F.col("vehicle") >= at - back), alert))
-
     z = [(F.abs(f"z_{p}"), (weights or {}).get(p, 1.0)) for p in parameters]
-    total = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in z), F.lit(0.0))
-    count = sum((v.isNotNull().cast("int") for v, _ in z), F.lit(0))
-    window = flagged.where(F.col("vehicle").between(at - recent, at))
-    health = F.round(F.greatest(F.lit(0.0), 100 - 16 * F.sum(total) / F.sum(count)) + 1e-9, 1)
-    own = window.groupBy("station").agg(seen(recent).alias("al"), seen(near).alias("nal"), health.alias("health_score"))
-    rb = bots.where(F.col("detected_at").between(at - recent, at)).select("station").distinct().withColumn("rb", F.lit(True))
-    sides = st.select("station", F.explode(F.array("upstream", "downstream")).alias("side"))
-    nb = sides.join(own.select(F.col("station").alias("side"), "nal"), "side").groupBy("station").agg(F.bool_or("nal").alias("nal"))
-    d = st
-    for right in (outcome, own.drop("nal"), rb, nb):
-        d = d.join(right, "station", "left")
-    d = d.withColumn("s", F.when(F.col("rb").isNotNull() | F.coalesce("al", F.lit(False)), "alert").when(F.col("al").isNotNull(), "warning").otherwise("healthy"))
+    facts = rows.select(
+        "station", "vehicle", F.lit(False).alias("asked"), F.struct("vehicle", "cycle_time", "manual_outcome").alias("op"), "cycle_time", F.coalesce("flags", F.array().cast(rows.schema["flags"].dataType)).alias("flags"),
+        sum((F.coalesce(v * w, F.lit(0.0)) for v, w in z), F.lit(0.0)).alias("zsum"), sum((v.isNotNull().cast("int") for v, _ in z), F.lit(0)).alias("zn"), F.lit(0).alias("bot"),
+    )
+    nulls = {f.name: F.lit(None).cast(f.dataType) for f in facts.schema.fields}
+    found = bots.select(*(c.alias(n) for n, c in (nulls | {"station": F.col("station"), "vehicle": F.col("detected_at"), "asked": F.lit(False), "bot": F.lit(1)}).items()))
+    asked = st.select("station", F.explode(F.array(*(F.lit(t).cast("bigint") for t in times))).alias("vehicle"))
+    asked = asked.select(*(c.alias(n) for n, c in (nulls | {"station": F.col("station"), "vehicle": F.col("vehicle"), "asked": F.lit(True)}).items()))
+    d = facts.unionByName(found).unionByName(asked).withColumn("_o", 2 * F.col("vehicle") + F.col("asked").cast("bigint"))
+    order = Window.partitionBy("station").orderBy("_o")
+    ever, lately, close = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(-2 * recent - 1, -1), order.rangeBetween(-2 * near - 1, -1)
+    # true if any alerts, false if there are other flags, null if none
+    alerting = F.when(F.size("flags") > 0, F.exists("flags", lambda f: f["severity"] == "alert"))
+    d = d.withColumn("alerting", alerting).withColumns(
+        {
+            "al": F.bool_or("alerting").over(lately), "nal": F.bool_or("alerting").over(close), "rb": F.max("bot").over(lately), "constraints": F.coalesce(F.sum("bot").over(ever), F.lit(0)), "n_flags": F.coalesce(F.sum(F.size("flags")).over(ever), F.lit(0)),
+            "last": F.last("op", ignorenulls=True).over(ever), "worst_cycle": F.max("cycle_time").over(ever), "open_flags": F.flatten(F.collect_list(F.when(F.size("flags") > 0, F.transform("flags", lambda f: F.struct(F.col("vehicle"), f["type"].alias("type"), f["severity"].alias("severity"), f["parameter"].alias("parameter"))))).over(lately)),
+            "h": F.sum("zsum").over(lately) / F.nullif(F.sum("zn").over(lately), F.lit(0)),
+        }
+    )
+    d = d.where("asked").select(F.col("vehicle").alias("t"), "station", "al", "nal", "rb", "constraints", "n_flags", "last", "worst_cycle", "open_flags", F.when(F.col("h").isNotNull(), F.round(F.greatest(F.lit(0.0), 100 - 16 * F.col("h")) + 1e-9, 1)).alias("health_score"))
+    sides = st.select("station", F.explode(F.array("upstream", "downstream")).alias("side")).where("side is not null")
+    nb = d.select("t", F.col("station").alias("side"), "nal").where("nal is not null").join(sides, "side").groupBy("t", "station").agg(F.bool_or("nal").alias("beside"))
+    d = d.drop("nal").join(st.select("station", "pos", "area", "instrumented"), "station").join(nb, ["t", "station"], "left")
+    s = F.when((F.col("rb") == 1) | F.coalesce("al", F.lit(False)), "alert").when(F.col("al").isNotNull(), "warning").otherwise("healthy")
+    d = d.withColumns({"s": s, "outcome": F.col("last.manual_outcome")})
     bad, fine = F.col("outcome").isin("fail", "rework"), (F.col("outcome") == "pass") & (F.col("s") == "healthy")
     return d.select(
-        "station", "area", "instrumented", "health_score",
+        "t", "station", "pos", "area", "instrumented", "health_score",
         F.when(F.col("instrumented"), "instrumented").when(bad | fine, "manual outcome").otherwise("adjacent-signal inference").alias("gap_method"),
-        F.when(F.col("instrumented"), F.col("s")).when(bad, "alert").when(fine, F.col("s")).when((F.col("s") == "healthy") & F.col("nal").isNotNull(), F.when(F.col("nal"), "alert").otherwise("warning")).otherwise(F.col("s")).alias("status"),
+        F.when(F.col("instrumented"), F.col("s")).when(bad, "alert").when(fine, F.col("s")).when((F.col("s") == "healthy") & F.col("beside").isNotNull(), F.when(F.col("beside"), "alert").otherwise("warning")).otherwise(F.col("s")).alias("status"),
+        F.col("last").alias("operation"), "worst_cycle", "open_flags", "n_flags", "constraints",
+    )
+
+
+def state_stations(st: DataFrame, rows: DataFrame, bots: DataFrame, at: int, **settings) -> DataFrame:
+    """Status of every station as known at vehicle ``at``."""
+    return state_at(st, rows, bots, [at], **settings).select("station", "area", "instrumented", "health_score", "gap_method", "status")
+
+
+PAGE = 200
+
+
+def state_pages(states: DataFrame, page: int = PAGE) -> DataFrame:
+    """One nested row per time and page of ``page`` stations in line order: counts by status and its stations with operation and open flags."""
+    row = F.struct("pos", "station", "area", "status", "gap_method", "health_score", F.col("operation"), "open_flags")
+    d = states.groupBy("t", F.floor(F.col("pos") / page).alias("page")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "alert").alias("alerts"), F.count_if(F.col("status") == "warning").alias("warnings"), F.sum("n_flags").alias("flags_so_far"),
+        F.array_sort(F.collect_list(row)).alias("stations"),  # a page's
+    )
+    return d.withColumn("stations", F.transform("stations", lambda x: x.dropFields("pos")))
+
+
+def line_state_at(states: DataFrame, trace: DataFrame, nominal: float = 40.0, top: int = 8) -> DataFrame:
+    """One nested row per time for the whole line: stations by status, alarms so far, line rate, largest losses and the back-trace of that time."""
+    counts = states.groupBy("t").agg(
+        F.count(F.lit(1)).alias("n_stations"), F.count_if("instrumented").alias("instrumented"), *(F.count_if(F.col("status") == s).alias(s) for s in ("alert", "warning", "healthy")),
+        F.sum("n_flags").alias("flags"), F.sum("constraints").alias("constraints"), F.max("worst_cycle").alias("takt"), F.max_by("station", F.struct("worst_cycle", -F.col("station"))).alias("constraint_station"),
     )
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("worst_cycle"), "station"))  # cut to the first few before the shuffle
+    loss = states.where(F.col("worst_cycle") > nominal).select("t", "worst_cycle", "station", rank.alias("k")).where(F.col("k") <= top)
+    loss = loss.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("k", "station", F.round("worst_cycle", 2).alias("cycle_s"), F.round(F.col("worst_cycle") - nominal, 2).alias("excess_s")))).alias("loss"))
+    found = trace.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("k", "station", "parameter", "t_statistic"))).alias("trace"))
+    empty = lambda c, of: F.coalesce(F.transform(c, lambda x: x.dropFields("k")), F.transform(F.array().cast(of.schema[c].dataType), lambda x: x.dropFields("k")))
+    d = counts.join(loss, "t", "left").join(found, "t", "left")
+    rate = F.struct(
+        F.round(3600 / F.col("takt"), 1).alias("line_uph"), F.round("takt", 2).alias("takt_s"), F.col("constraint_station"), F.lit(round(3600 / nominal, 1)).alias("nominal_uph"),
+        F.round(F.greatest(F.lit(0.0), 3600 / nominal - 3600 / F.col("takt")), 2).alias("recoverable_uph"),
+    )
+    return d.select("t", "n_stations", "instrumented", "alert", "warning", "healthy", "flags", "constraints", rate.alias("throughput"), empty("loss", loss).alias("loss"), empty("trace", found).alias("trace"))
+
+
+def latent_ranking_at(
+    sc: DataFrame, station: int, parameter: str, times: Sequence[int], exclude: tuple[str, ...] = ("quantity",), least: tuple[int, int] = (8, 30), cut: float = 2.5, width: int = 61, parameters: list[str] = PARAMETERS
+) -> DataFrame:
+    """``latent_ranking`` as it could be made at each of ``times``, all in one job: (t, station, parameter, ...).
+
+    Nothing looks ahead: signals lose the median of the last ``width`` rows
+    instead of a centered one, and the failing vehicles, their mean and their
+    span are those up to t.  Moments are summed by time before any shuffle.
+    """
+    kept = [p for p in parameters if p not in exclude]
+    asked = F.array(*(F.lit(t).cast("bigint") for t in sorted(times)))
+    # the inspection station: at each time its mean score so far, then who fails by then
+    seen = sc.where(F.col("station") == station).select("vehicle", F.col(f"z_{parameter}").alias("z"), (F.col("manual_outcome") == "fail").alias("fails"), F.explode(F.filter(asked, lambda t: t >= F.col("vehicle"))).alias("t"))
+    mean = F.round(F.avg("z").over(Window.partitionBy("t")), 9)
+    failing = seen.withColumn("_m", mean).where(F.col("fails") | (F.col("z") <= F.col("_m") - cut)).select("t", "vehicle").distinct()
+    bounds = failing.groupBy("t").agg(F.min("vehicle").alias("lo"), F.max("vehicle").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least[0])
+    bounds = bounds.agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("lo", "hi")))).alias("spans"))  # one row, an entry per time
+    bad = failing.groupBy("vehicle").agg(F.collect_set("t").alias("bad_at"))
+    d = sc.where((F.col("station") < station) & F.col("instrumented"))
+    back = S.by(["station"]).rowsBetween(1 - width, 0)
+    d = d.withColumns({f"d_{p}": F.col(f"z_{p}") - F.percentile(f"z_{p}", F.lit(0.5)).over(back) for p in kept})
+    d = d.join(bad, "vehicle", "left").crossJoin(F.broadcast(bounds))
+    span = F.filter(F.map_entries("spans"), lambda e: e["key"] >= F.col("vehicle"))
+    d = d.select("station", "vehicle", "bad_at", F.explode(span).alias("e"), *(f"d_{p}" for p in kept)).withColumn("bad", F.coalesce(F.array_contains("bad_at", F.col("e.key")), F.lit(False)))
+    lo, hi = F.col("e.value.lo"), F.col("e.value.hi")
+    d = d.where(F.col("bad") | F.col("vehicle").between(lo - (hi - lo), hi + (hi - lo)))
+    d = d.select(F.col("e.key").alias("t"), "station", "bad", F.inline(F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(f"d_{p}").alias("d")) for p in kept)))).where("d is not null")
+    return _welch(d, ["t", "station", "parameter"], least)
+
+
+def latent_trace_at(sc: DataFrame, station: int, parameter: str, times: Sequence[int], exclude: tuple[str, ...] = ("quantity",), top: int = 8) -> DataFrame:
+    """The ``top`` signals of ``latent_ranking_at`` at each time, numbered ``k``."""
+    order = Window.partitionBy("t").orderBy(F.abs("t_statistic").desc(), "station", "parameter")
+    return latent_ranking_at(sc, station, parameter, times, exclude).withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
 
 
 def alarms_of(flags: DataFrame, bots: DataFrame) -> DataFrame:
@@ -169,17 +262,36 @@ def backtest_summary(inj: DataFrame, alarms: DataFrame) -> DataFrame:
     )
 
 
-def false_alarm_profile(line: DataFrame, flags: DataFrame, bots: DataFrame, runs: int = 10) -> DataFrame:
-    """False alarms of a line without faults: its stations are dealt to ``runs``, distinct alarming stations of each counted.
+def line_false_alarms(lines: DataFrame, flags: DataFrame, bots: DataFrame, physics: DataFrame) -> DataFrame:
+    """Per line without faults: its vehicles (of the longest station), distinct stations with alarms and with constraints, and oven alarms."""
+    seen = flags.select("line", "station", F.lit("a").alias("k")).unionByName(bots.select("line", "station", F.lit("b").alias("k"))).distinct()
+    seen = seen.unionByName(physics.select("line", F.col("oven").alias("station"), F.lit("p").alias("k")))
+    counts = seen.groupBy("line").agg(*(F.count_if(F.col("k") == k).alias(n) for n, k in (("anomaly", "a"), ("bottleneck", "b"), ("physics", "p"))))
+    return lines.groupBy("line").agg(F.max("vehicle").alias("vehicles")).join(counts, "line", "left").na.fill(0)
 
-    ``vehicles_per_run`` is the longest station's number of vehicles; without any false alarm the run length to one is null.
-    """
-    run = F.pmod(F.col("station"), F.lit(runs)).alias("run")
-    seen = alarms_of(flags, bots).select("station", "is_bot").distinct().groupBy(run).agg(F.count_if(~F.col("is_bot")).alias("a"), F.count_if(F.col("is_bot")).alias("b"))
-    all_runs = line.groupBy(run).agg(F.max("vehicle").alias("v"))
-    per = all_runs.join(seen, "run", "left").na.fill(0).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.max("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    total = F.col("a") + F.col("b")
-    return per.select(
-        F.col("n").alias("runs"), F.col("v").alias("vehicles_per_run"), F.round("a", 2).alias("anomaly_false_alarms_per_run"), F.round("b", 2).alias("bottleneck_false_alarms_per_run"), F.round(total, 2).alias("total_false_alarms_per_run"),
+
+def false_alarm_profile(per_line: DataFrame) -> DataFrame:
+    """Means of ``line_false_alarms`` over the lines; without any false alarm the run length to one is null."""
+    m = per_line.agg(*(F.avg(c).alias(c) for c in ("anomaly", "bottleneck", "physics")), F.max("vehicles").alias("v"), F.count(F.lit(1)).alias("n"))
+    total = F.col("anomaly") + F.col("bottleneck") + F.col("physics")
+    return m.select(
+        F.col("n").alias("runs"), F.col("v").alias("vehicles_per_run"), *(F.round(c, 2).alias(f"{c}_false_alarms_per_run") for c in ("anomaly", "bottleneck", "physics")), F.round(total, 2).alias("total_false_alarms_per_run"),
         F.round(total * 1000 / F.col("v"), 2).alias("false_alarms_per_1000_vehicles"), F.round(F.col("v") / F.nullif(total, F.lit(0.0)), 1).alias("arl0_vehicles"),
     )
+
+
+def line_backtest(faults: DataFrame, flags: DataFrame, bots: DataFrame, lead: int = 2, tail: int = 6) -> DataFrame:
+    """Per line how its faults were found: ``faults`` (line, station, kind, first, last), flags within [first - lead, last + tail], constraints from first - lead on.
+
+    A line's alarming stations without a fault of that sort are its false
+    positives.  Percentages over nothing are null.
+    """
+    bot = F.col("kind") == "bottleneck"
+    alarms = flags.select("line", "station", F.col("vehicle").alias("at"), F.lit(False).alias("is_bot")).unionByName(bots.select("line", "station", F.col("detected_at").alias("at"), F.lit(True).alias("is_bot")))
+    both = alarms.join(faults.withColumn("tb", bot), ["line", "station"], "left")
+    same = F.coalesce(F.col("tb") == F.col("is_bot"), F.lit(False))
+    hit = same & (F.col("at") >= F.col("first") - lead) & (bot | (F.col("at") <= F.col("last") + tail))
+    per = both.groupBy("line", "station", "is_bot").agg(F.bool_or(same).alias("right"), F.min(F.when(hit, F.col("at") - F.col("first"))).alias("lag"))
+    found = per.groupBy("line").agg(F.count_if("right").alias("tp"), F.count_if(~F.col("right")).alias("fp"), F.count("lag").alias("detected"), F.round(F.percentile("lag", F.lit(0.5)), 1).alias("median_lag"))
+    out = faults.groupBy("line").agg(F.count(F.lit(1)).alias("faults")).join(found, "line", "full").na.fill(0, ["faults", "tp", "fp", "detected"])
+    return out.select("line", "faults", "detected", pct(F.col("detected"), F.col("faults")).alias("recall"), pct(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.col("fp").alias("false_positives"), "median_lag")

@@ -18,37 +18,46 @@ HORIZON = 8
 KEY = ["station"]
 
 
-def dense(df: DataFrame, upto: int | Column | None = None) -> DataFrame:
-    """Every station with every vehicle from 1 to the line's count: rows that are missing come with nulls."""
-    count = df.agg(F.max("vehicle").alias("_n"))
-    grid = df.select("station").distinct().crossJoin(F.broadcast(count)).select("station", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("vehicle"))  # one row
-    return grid.join(df, ["station", "vehicle"], "left")
+def others(keys: list[str]) -> list[str]:
+    """The keys that tell lines apart."""
+    return [k for k in keys if k != "station"]
 
 
-def features(line: DataFrame, flagged: DataFrame, thermal: DataFrame | None = None, th: Thresholds = Thresholds(), parameters: list[str] = PARAMETERS) -> DataFrame:
+def dense(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Every station with every vehicle from 1 to its line's count: rows that are missing come with nulls."""
+    per = others(keys)
+    count = F.broadcast(df.groupBy(*per).agg(F.max("vehicle").alias("_n")))  # one row, or one per line
+    stations = df.select(*keys).distinct()
+    grid = (stations.join(count, per) if per else stations.crossJoin(count)).select(*keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("vehicle"))
+    return grid.join(df, [*keys, "vehicle"], "left")
+
+
+def features(line: DataFrame, flagged: DataFrame, thermal: DataFrame | None = None, th: Thresholds = Thresholds(), parameters: list[str] = PARAMETERS, keys: list[str] = KEY, causal: bool = False) -> DataFrame:
     """The 17 columns per station and vehicle, from what is known at that vehicle.
 
     ``line`` is the wide operations with ``operator``, ``flagged`` the scored
     wide rows with their alarms, ``thermal`` optional (station, vehicle,
     residual) of the oven model.  Missing rows and readings count as 0.
+    The mean of a lot counts all its vehicles; ``causal``, those up to this one.
     """
     z = [F.abs(f"z_{p}") for p in parameters]
     here = sum((v.isNotNull().cast("int") for v in z), F.lit(0))
     total = sum((F.coalesce(v, F.lit(0.0)) for v in z), F.lit(0.0))
     severe = lambda s: F.size(F.filter("flags", lambda f: f["severity"] == s))
-    per = flagged.select("station", "vehicle", F.coalesce(F.greatest(*z), F.lit(0.0)).alias("zmax"), F.coalesce(total / F.nullif(here, F.lit(0)), F.lit(0.0)).alias("zmean"), total.alias("_t"), here.alias("_h"), severe("alert").alias("alerts"), severe("warning").alias("warnings"))  # noqa: E501
-    lots = flagged.select("supplier_lot", total.alias("_t"), here.alias("_h")).groupBy("supplier_lot").agg((F.sum("_t") / F.sum("_h")).alias("lot_mean_abs_z"))
-    facts = line.select("station", "vehicle", "supplier_lot", "variant", "operator", "cycle_time", "queue", "utilization", F.col("manual_outcome").isin("fail", "rework").cast("double").alias("rework"))
-    d = dense(facts).join(per.drop("_t", "_h"), ["station", "vehicle"], "left").join(F.broadcast(lots), "supplier_lot", "left")  # lots of 30 vehicles of one line
+    line_of = others(keys)
+    per = flagged.select(*keys, "vehicle", F.coalesce(F.greatest(*z), F.lit(0.0)).alias("zmax"), F.coalesce(total / F.nullif(here, F.lit(0)), F.lit(0.0)).alias("zmean"), total.alias("_t"), here.alias("_h"), severe("alert").alias("alerts"), severe("warning").alias("warnings"))  # noqa: E501
+    lots, lot_key = lot_means(flagged, total, here, line_of, causal)
+    facts = line.select(*keys, "vehicle", "supplier_lot", "variant", "operator", "cycle_time", "queue", "utilization", F.col("manual_outcome").isin("fail", "rework").cast("double").alias("rework"))
+    d = dense(facts, keys).join(per.drop("_t", "_h"), [*keys, "vehicle"], "left").join(lots, lot_key, "left")
     if thermal is None:
         d = d.withColumn("residual", F.lit(0.0))
     else:
-        d = d.join(thermal.select("station", "vehicle", F.abs("residual").alias("residual")), ["station", "vehicle"], "left")
+        d = d.join(thermal.select(*keys, "vehicle", F.abs("residual").alias("residual")), [*keys, "vehicle"], "left")
     zeros = ["zmax", "zmean", "alerts", "warnings", "cycle_time", "queue", "utilization", "rework", "residual", "lot_mean_abs_z"]
     d = d.na.fill(0, zeros)
     # alerts at the three stations before, vehicle by vehicle
-    d = d.withColumn("up", F.coalesce(F.sum("alerts").over(Window.partitionBy("vehicle").orderBy("station").rowsBetween(-3, -1)), F.lit(0)))
-    whole = Window.partitionBy("station")
+    d = d.withColumn("up", F.coalesce(F.sum("alerts").over(Window.partitionBy(*line_of, "vehicle").orderBy("station").rowsBetween(-3, -1)), F.lit(0)))
+    whole = Window.partitionBy(*keys)
     warm = F.col("vehicle") <= F.least(F.lit(th.warmup), F.floor(F.max("vehicle").over(whole) / 2))
     d = d.withColumn("_warm", warm)
     stats = {}
@@ -56,14 +65,14 @@ def features(line: DataFrame, flagged: DataFrame, thermal: DataFrame | None = No
         x = F.when(F.col("_warm"), F.col(c))
         stats |= {f"_m{n}": F.avg(x).over(whole), f"_s{n}": F.greatest(F.stddev_samp(x).over(whole), F.lit(1e-6))}
     d = d.withColumns(stats)
-    d = S.cusum(d, F.col("cycle_time") - F.col("_mc") - 0.5 * F.col("_sc"), KEY, out="_cusum")
-    d = S.ewma(d, "zmean", KEY, 0.2, out="_ewma")
-    d = S.padded_slope(d, "zmean", KEY, 10, out="z_slope_10")
-    d = S.rows_since(d, F.col("alerts") > 0, KEY, out="vehicles_since_alert")
+    d = S.cusum(d, F.col("cycle_time") - F.col("_mc") - 0.5 * F.col("_sc"), keys, out="_cusum")
+    d = S.ewma(d, "zmean", keys, 0.2, out="_ewma")
+    d = S.padded_slope(d, "zmean", keys, 10, out="z_slope_10")
+    d = S.rows_since(d, F.col("alerts") > 0, keys, out="vehicles_since_alert")
     d = d.withColumns(
         {
-            "max_abs_z_10": S.padded_max("zmax", KEY, 10), "mean_abs_z_10": S.padded_mean("zmean", KEY, 10), "alerts_20": S.padded_sum("alerts", KEY, 20), "warnings_20": S.padded_sum("warnings", KEY, 20),
-            "upstream_alerts_20": S.padded_sum("up", KEY, 20), "manual_rework_20": S.padded_sum("rework", KEY, 20),
+            "max_abs_z_10": S.padded_max("zmax", keys, 10), "mean_abs_z_10": S.padded_mean("zmean", keys, 10), "alerts_20": S.padded_sum("alerts", keys, 20), "warnings_20": S.padded_sum("warnings", keys, 20),
+            "upstream_alerts_20": S.padded_sum("up", keys, 20), "manual_rework_20": S.padded_sum("rework", keys, 20),
         }
     )
     index = F.coalesce(F.expr("try_cast(substr(operator, 1, 1) AS bigint)") - 1, F.lit(0))
@@ -72,13 +81,25 @@ def features(line: DataFrame, flagged: DataFrame, thermal: DataFrame | None = No
             "ewma_abs": F.abs("_ewma"), "cycle_z": (F.col("cycle_time") - F.col("_mc")) / F.col("_sc"), "queue_z": (F.col("queue") - F.col("_mq")) / F.col("_sq"), "cycle_cusum": F.col("_cusum") / F.col("_sc"),
             "thermal_residual_abs": F.col("residual"), "operator_idx": index.cast("double"), "variant_idx": F.when(F.col("variant") == "O", 1.0).otherwise(0.0),
         }
-    ).select("station", "vehicle", *(F.col(c).cast("double").alias(c) for c in FEATURES))
+    ).select(*keys, "vehicle", *(F.col(c).cast("double").alias(c) for c in FEATURES))
+
+
+def lot_means(flagged: DataFrame, total: Column, here: Column, per: list[str], causal: bool) -> tuple[DataFrame, list[str]]:
+    """Mean |z| of each lot, and the columns it is joined by: the whole lot's, or with ``causal`` at each vehicle the lot's so far."""
+    sums = [F.sum("_t").alias("_t"), F.sum("_h").alias("_h")]
+    d = flagged.select(*per, "supplier_lot", "vehicle", total.alias("_t"), here.alias("_h"))
+    mean = (F.col("_t") / F.col("_h")).alias("lot_mean_abs_z")
+    if not causal:
+        return d.groupBy(*per, "supplier_lot").agg(*sums).select(*per, "supplier_lot", mean), [*per, "supplier_lot"]
+    so_far = Window.partitionBy(*per, "supplier_lot").orderBy("vehicle").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.groupBy(*per, "supplier_lot", "vehicle").agg(*sums).withColumns({c: F.sum(c).over(so_far) for c in ("_t", "_h")})
+    return d.select(*per, "vehicle", mean), [*per, "vehicle"]
 
 
-def labels(line: DataFrame, truth: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def labels(line: DataFrame, truth: DataFrame, horizon: int = HORIZON, keys: list[str] = KEY) -> DataFrame:
     """1 where a fault is confirmed at the station within the next ``horizon`` vehicles; ``truth`` holds (station, vehicle)."""
-    d = dense(line.select("station", "vehicle")).join(F.broadcast(truth.distinct().withColumn("_g", F.lit(True))), ["station", "vehicle"], "left")  # faults of the configuration
-    return d.withColumn("label", S.ahead(F.col("_g").isNotNull(), KEY, horizon)).select("station", "vehicle", "label")
+    d = dense(line.select(*keys, "vehicle"), keys).join(truth.distinct().withColumn("_g", F.lit(True)), [*keys, "vehicle"], "left")
+    return d.withColumn("label", S.ahead(F.col("_g").isNotNull(), keys, horizon)).select(*keys, "vehicle", "label")
 
 
 def truth_of(inj: DataFrame) -> DataFrame:
@@ -121,26 +142,59 @@ def reliability(scored: DataFrame, least: int = 25) -> DataFrame:
     return d.where(F.col("n") >= least)
 
 
-def fit(frame: DataFrame, rounds: int = 40, depth: int = 4, step: float = 0.06, seed: int = 42):
-    """Boosted trees on two thirds of the stations, calibrated by isotonic regression on a sixth; ``frame`` has features and label.
+#: What a feature is about, and the family of causes it points at.
+LABELS = {
+    "max_abs_z_10": ("largest deviation of 10 vehicles", "process"), "mean_abs_z_10": ("mean deviation of 10 vehicles", "process"), "ewma_abs": ("lasting shift", "process"), "z_slope_10": ("rising deviation", "wear"),
+    "alerts_20": ("alerts of 20 vehicles", "process"), "warnings_20": ("warnings of 20 vehicles", "process"), "vehicles_since_alert": ("vehicles since an alert", "wear"), "cycle_z": ("cycle time", "pacing"),
+    "cycle_cusum": ("accumulated cycle time", "pacing"), "queue_z": ("queue", "pacing"), "utilization": ("utilization", "pacing"), "upstream_alerts_20": ("alerts upstream", "upstream"), "thermal_residual_abs": ("distance from the oven model", "thermal"),
+    "manual_rework_20": ("failed or reworked by hand", "inspection"), "operator_idx": ("operator", "operator"), "lot_mean_abs_z": ("lot", "parts"), "variant_idx": ("variant", "mix"),
+}
 
-    Returns a model that adds ``p`` to a feature frame.  The last sixth of the
-    stations is for ``metrics``.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
 
-    part = F.pmod(F.xxhash64("station"), F.lit(6))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=6, seed=seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(frame.where(part < 4))
-    raw = lambda d: model.transform(d).withColumn("margin", vector_to_array("probability")[1]).drop("prediction")
-    iso = IsotonicRegression(featuresCol="margin", labelCol="label").fit(raw(frame.where(part == 4)).select("margin", F.col("label").cast("double").alias("label")))
+class RiskModel:
+    """Boosted trees and their isotonic calibration."""
+
+    def __init__(self, trees, calibrator):
+        self.trees, self.calibrator = trees, calibrator
 
-    def predict(d: DataFrame) -> DataFrame:
-        out = iso.transform(raw(d))
+    def predict(self, frame: DataFrame) -> DataFrame:
+        """``frame`` with the calibrated probability ``p``."""
+        from pyspark.ml.functions import vector_to_array
+
+        d = self.trees.transform(_vectors(frame)).withColumn("margin", vector_to_array("probability")[1]).drop("prediction")
+        out = self.calibrator.transform(d)
         return out.withColumn("p", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("features", "rawPrediction", "probability", "prediction", "margin")
 
-    return predict, model, part
+    def importances(self) -> dict[str, float]:
+        """Shares of the trees' gain in percent."""
+        gains = self.trees.featureImportances.toArray()
+        return {f: round(float(g) / (float(gains.sum()) or 1.0) * 100, 1) for f, g in zip(FEATURES, gains, strict=True)}
+
+
+def _vectors(frame: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(frame)
+
+
+#: Of seven lines in a row four train, one calibrates, two validate. Fixed values.
+ROLES = ("train", "train", "train", "train", "calibrate", "validate", "validate")
+
+
+def role(line: Column) -> Column:
+    """What a line is used for: lines are dealt whole, never row by row."""
+    return F.element_at(F.array(*(F.lit(r) for r in ROLES)), (F.pmod(line, F.lit(len(ROLES))) + 1).cast("int"))
+
+
+def fit(frame: DataFrame, rounds: int = 40, depth: int = 4, step: float = 0.06, seed: int = 42) -> RiskModel:
+    """Boosted trees on the training lines of ``frame`` (features, label, line), calibrated by isotonic regression on others."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
+    d = _vectors(frame)
+    used = role(F.col("line"))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=6, seed=seed)
+    trees = gbt.fit(d.where(used == "train"))
+    margin = trees.transform(d.where(used == "calibrate")).select(vector_to_array("probability")[1].alias("margin"), F.col("label").cast("double").alias("label"))
+    return RiskModel(trees, IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin))

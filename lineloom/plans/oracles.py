@@ -87,6 +87,8 @@ cx AS (
          EXISTS (SELECT 1 FROM cr WHERE cr.station = pv.station AND abs(r) >= {T.cross_corr} AND list_contains(ab, pa) AND list_contains(ab, pb)) AS hit FROM pv),
 cross_ AS ({latched("cx", "hit", "n_ab = 0", "station")}),
 f_cross AS (SELECT station, array_to_string(ab, ' + ') AS parameter, vehicle, 'cross_parameter' AS type, 'alert' AS severity, CAST(NULL AS DOUBLE) AS z, printf('%d correlated parameters abnormal', n_ab) AS evidence FROM cross_)"""
+#: The same with the correlation of the vehicles up to each one.
+CAUSAL = CROSS.replace("SELECT a.station, a.parameter AS pa", "SELECT a.station, a.vehicle, a.parameter AS pa").replace("round(corr(a.z, b.z), 9) AS r", "round(corr(a.z, b.z) OVER (PARTITION BY a.station, a.parameter, b.parameter ORDER BY a.vehicle), 9) AS r").replace("f.vehicle = a.vehicle GROUP BY ALL", "f.vehicle = a.vehicle").replace("cr.station = pv.station AND", "cr.station = pv.station AND cr.vehicle = pv.vehicle AND isfinite(r) AND")
 FLAGS = SCORED + POINT + PERSIST + TREND + CROSS + """,
 flags AS (SELECT * FROM f_point UNION ALL SELECT * FROM f_pers UNION ALL SELECT * FROM f_trend UNION ALL SELECT * FROM f_cross)"""
 
@@ -114,6 +116,49 @@ st AS (
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 AT = 300
+INSPECTION = 10
+TIMES = [60, 150, 260, 300, 420]
+
+
+def state(t: int) -> str:
+    """Every station as known at vehicle ``t``."""
+    return f"""SELECT * FROM (WITH
+        lo AS (SELECT station, max(vehicle) AS vehicle, max_by(manual_outcome, vehicle) AS outcome, max(cycle_time) AS worst_cycle FROM opsl WHERE vehicle <= {t} GROUP BY station),
+        rf AS (SELECT station, bool_or(severity = 'alert') AS al, count(*) AS n_open FROM flags WHERE vehicle BETWEEN {t - 20} AND {t} GROUP BY station),
+        nf AS (SELECT station, bool_or(severity = 'alert') AS al FROM flags WHERE vehicle BETWEEN {t - 10} AND {t} GROUP BY station),
+        ff AS (SELECT station, count(*) AS n_flags FROM flags WHERE vehicle <= {t} GROUP BY station),
+        bb AS (SELECT station, count(*) AS constraints FROM bots WHERE detected_at <= {t} GROUP BY station),
+        rb AS (SELECT DISTINCT station FROM bots WHERE detected_at BETWEEN {t - 20} AND {t}),
+        nb AS (SELECT st.station, bool_or(nf.al) AS al FROM st JOIN nf ON nf.station IN (st.upstream, st.downstream) GROUP BY st.station),
+        hs AS (SELECT station, round(greatest(0, 100 - 16 * avg(abs(z))) + 1e-9, 1) AS h FROM sc WHERE vehicle BETWEEN {t - 20} AND {t} GROUP BY station),
+        own AS (SELECT st.*, vehicle, outcome, worst_cycle, coalesce(n_open, 0) AS n_open, coalesce(n_flags, 0) AS n_flags, coalesce(constraints, 0) AS constraints, h, nb.al AS nal,
+                       CASE WHEN rb.station IS NOT NULL OR rf.al THEN 'alert' WHEN rf.station IS NOT NULL THEN 'warning' ELSE 'healthy' END AS s
+                FROM st LEFT JOIN lo USING (station) LEFT JOIN rf USING (station) LEFT JOIN ff USING (station) LEFT JOIN bb USING (station) LEFT JOIN rb USING (station) LEFT JOIN nb USING (station) LEFT JOIN hs USING (station))
+        SELECT {t} AS t, station, pos, area, instrumented, h AS health_score, vehicle, outcome, worst_cycle, n_open, n_flags, constraints,
+               CASE WHEN instrumented THEN 'instrumented' WHEN outcome IN ('fail', 'rework') OR (outcome = 'pass' AND s = 'healthy') THEN 'manual outcome' ELSE 'adjacent-signal inference' END AS gap_method,
+               CASE WHEN instrumented THEN s WHEN outcome IN ('fail', 'rework') THEN 'alert' WHEN outcome = 'pass' AND s = 'healthy' THEN s
+                    WHEN s = 'healthy' AND nal IS NOT NULL THEN CASE WHEN nal THEN 'alert' ELSE 'warning' END ELSE s END AS status FROM own)"""
+
+
+def states(times: list[int]) -> str:
+    return " UNION ALL ".join(map(state, times))
+
+
+def trace(t: int) -> str:
+    """The back-trace from the table cut at ``t``, with the median of the rows before."""
+    return f"""SELECT * FROM (WITH v AS (SELECT vehicle, z FROM sc WHERE station = {INSPECTION} AND parameter = 'tax' AND vehicle <= {t}),
+        failed AS (SELECT vehicle FROM opsl WHERE station = {INSPECTION} AND manual_outcome = 'fail' AND vehicle <= {t} UNION SELECT vehicle FROM v WHERE z <= (SELECT round(avg(z), 9) FROM v) - 2.5),
+        bnd AS (SELECT min(vehicle) AS lo, max(vehicle) AS hi FROM failed HAVING count(*) >= 8),
+        dt AS (SELECT station, parameter, vehicle, z - median(z) OVER (PARTITION BY station, parameter ORDER BY vehicle ROWS 60 PRECEDING) AS d FROM sc WHERE station < {INSPECTION} AND parameter <> 'quantity' AND vehicle <= {t}),
+        pop AS (SELECT dt.*, f.vehicle IS NOT NULL AS bad FROM dt LEFT JOIN failed f USING (vehicle), bnd WHERE f.vehicle IS NOT NULL OR vehicle BETWEEN lo - (hi - lo) AND hi + (hi - lo)),
+        wt AS (
+          SELECT station, parameter, avg(d) FILTER (bad) AS m1, avg(d) FILTER (NOT bad) AS m2, var_samp(d) FILTER (bad) AS s1, var_samp(d) FILTER (NOT bad) AS s2, count(*) FILTER (bad) AS n1, count(*) FILTER (NOT bad) AS n2 FROM pop GROUP BY ALL),
+        rk AS (
+          SELECT {t} AS t, station, parameter, round((m1 - m2) / coalesce(nullif(sqrt(s1 / n1 + s2 / n2), 0), 1e-9), 2) AS t_statistic, round((m1 - m2) / coalesce(nullif(sqrt((s1 + s2) / 2), 0), 1e-9), 2) AS effect_size_sigma,
+                 round(m1, 3) AS mean_z_failing, round(m2, 3) AS mean_z_passing, n1 AS n_failing FROM wt WHERE n1 >= 8 AND n2 >= 30)
+        SELECT *, row_number() OVER (ORDER BY abs(t_statistic) DESC, station, parameter) AS k FROM rk QUALIFY k <= 8)"""
+
+
 
 ORACLES = {
     "operations": f"WITH {OPS} SELECT station, vehicle, variant, cycle_time, queue, utilization, operator, supplier_lot, manual_outcome FROM opsl",
@@ -143,19 +188,6 @@ ORACLES = {
     "deviation_heatmap": f"""WITH {FLAGS} SELECT station, max(abs(z)) FILTER (parameter = 'quantity') AS quantity, max(abs(z)) FILTER (parameter = 'extendedprice') AS extendedprice,
         max(abs(z)) FILTER (parameter = 'discount') AS discount, max(abs(z)) FILTER (parameter = 'tax') AS tax FROM flags WHERE type <> 'cross_parameter' GROUP BY station""",
     "area_counts": f"WITH {OPS}{STATIONS} SELECT area, count(*) AS n, count(*) FILTER (instrumented) AS instrumented FROM st GROUP BY area",
-    "state_stations": f"""WITH {FLAGS}{BOTS}{STATIONS},
-        lo AS (SELECT station, max_by(manual_outcome, vehicle) AS outcome FROM opsl WHERE vehicle <= {AT} GROUP BY station),
-        rf AS (SELECT station, bool_or(severity = 'alert') AS al FROM flags WHERE vehicle BETWEEN {AT - 20} AND {AT} GROUP BY station),
-        nf AS (SELECT station, bool_or(severity = 'alert') AS al FROM flags WHERE vehicle BETWEEN {AT - 10} AND {AT} GROUP BY station),
-        rb AS (SELECT DISTINCT station FROM bots WHERE detected_at BETWEEN {AT - 20} AND {AT}),
-        nb AS (SELECT st.station, bool_or(nf.al) AS al FROM st JOIN nf ON nf.station IN (st.upstream, st.downstream) GROUP BY st.station),
-        hs AS (SELECT station, round(greatest(0, 100 - 16 * avg(abs(z))) + 1e-9, 1) AS h FROM sc WHERE vehicle BETWEEN {AT - 20} AND {AT} GROUP BY station),
-        own AS (SELECT st.*, outcome, h, nb.al AS nal, CASE WHEN rb.station IS NOT NULL OR rf.al THEN 'alert' WHEN rf.station IS NOT NULL THEN 'warning' ELSE 'healthy' END AS s
-                FROM st LEFT JOIN lo USING (station) LEFT JOIN rf USING (station) LEFT JOIN rb USING (station) LEFT JOIN nb USING (station) LEFT JOIN hs USING (station))
-        SELECT station, area, instrumented, h AS health_score,
-               CASE WHEN instrumented THEN 'instrumented' WHEN outcome IN ('fail', 'rework') OR (outcome = 'pass' AND s = 'healthy') THEN 'manual outcome' ELSE 'adjacent-signal inference' END AS gap_method,
-               CASE WHEN instrumented THEN s WHEN outcome IN ('fail', 'rework') THEN 'alert' WHEN outcome = 'pass' AND s = 'healthy' THEN s
-                    WHEN s = 'healthy' AND nal IS NOT NULL THEN CASE WHEN nal THEN 'alert' ELSE 'warning' END ELSE s END AS status FROM own""",
     "backtest_scenarios": f"""WITH {FLAGS}{BOTS}
         SELECT i.id, i.kind, i.station, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) AS first_hit, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) - any_value(i.first) AS lag
         FROM inj i LEFT JOIN flags f ON i.kind <> 'bottleneck' AND f.station = i.station AND f.vehicle BETWEEN i.first - 2 AND i.last + 6
@@ -177,7 +209,6 @@ rk AS (
          round(m1, 3) AS mean_z_failing, round(m2, 3) AS mean_z_passing, n1 AS n_failing FROM wt WHERE n1 >= 8 AND n2 >= 30)"""
 ORACLES["latent_trace"] = f"WITH {SCORED}{FAILS} SELECT * FROM rk ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 8"
 
-INSPECTION = 10
 SUMMARY = """,
 al AS (SELECT station, vehicle AS at, false AS is_bot FROM flags UNION ALL SELECT station, detected_at, true FROM bots),
 hits AS (
@@ -199,23 +230,36 @@ def clean(sql: str) -> str:
 
 
 _ALARMS = f"WITH {FLAGS}{BOTS}"
-_PROFILE = f"""{clean(_ALARMS)},
-  seen AS (SELECT station % 10 AS run, count(DISTINCT station) FILTER (k = 'a') AS a, count(DISTINCT station) FILTER (k = 'b') AS b FROM (SELECT station, 'a' AS k FROM flags UNION ALL SELECT station, 'b' FROM bots) GROUP BY 1),
-  rns AS (SELECT station % 10 AS run, max(vehicle) AS v FROM opsl GROUP BY 1),
-  per AS (SELECT avg(coalesce(a, 0)) AS a, avg(coalesce(b, 0)) AS b, max(v) AS v, count(*) AS n FROM rns LEFT JOIN seen USING (run))
-  SELECT n AS runs, v AS vehicles_per_run, round(a, 2) AS anomaly_false_alarms_per_run, round(b, 2) AS bottleneck_false_alarms_per_run, round(a + b, 2) AS total_false_alarms_per_run, round((a + b) * 1000 / v, 2) AS false_alarms_per_1000_vehicles,
-         round(v / nullif(a + b, 0), 1) AS arl0_vehicles FROM per"""
-_CASE = f"""
-  sm AS ({_ALARMS}{SUMMARY} SELECT * FROM summary), fa AS ({_PROFILE}), tp AS ({ORACLES["line_throughput"]}),
-  m AS (SELECT coalesce(recall, 0) AS recall, coalesce(median_detection_lag, 0) AS lag, bottleneck_events AS ev, nominal_uph AS nom, recoverable_uph AS rec, total_false_alarms_per_run AS fa, vehicles_per_run AS vr FROM sm, tp, fa),
-  a AS (SELECT *, greatest(lag, 0) AS x, 78000 / greatest(vr, 1) AS runs FROM m),
-  b AS (SELECT *, CASE WHEN x <= 5 THEN 0.05 + x * 0.06 WHEN x <= 10 THEN 0.35 + (x - 5) * 0.05 WHEN x <= 20 THEN 0.6 + (x - 10) * 0.018 WHEN x <= 40 THEN 0.78 + (x - 20) * 0.0035 ELSE 0.85 END AS act FROM a),
-  c AS (SELECT *, 78000 * 0.021 * recall / 100 * act AS defects, least(0.5 * rec / nom * lag * ev * runs * act, 0.05 * 78000) AS veh, fa * runs * 310 AS cost FROM b),
-  cs AS (SELECT *, defects * 640 + defects * 0.06 * 4200 + veh * 1850 - cost AS net FROM c),
-  case_ AS (SELECT round(act, 3) AS actionable, round(defects) AS defects_prevented, round(defects * 640) AS rework_usd, round(defects * 0.06 * 4200) AS scrap_usd, round(veh) AS vehicles_recovered,
-       round(veh * 1850) AS throughput_usd, round(cost) AS investigation_usd, round(net) AS net_usd, round(net * 0.7) AS net_low_usd, round(net * 1.3) AS net_high_usd FROM cs)"""
+# Many lines: a line's stations get numbers of their own, so that all of the above holds for each line.
+_N = 3000000
+
+
+def by_line(sql: str) -> str:
+    """The same over many lines, a station's number being line * 3000000 + station."""
+    for a, b in (
+        ("SELECT l_suppkey AS station, row_number() OVER (PARTITION BY l_suppkey ORDER BY", f"SELECT year(l_shipdate) * {_N} + l_suppkey AS station, row_number() OVER (PARTITION BY year(l_shipdate), l_suppkey ORDER BY"),
+        ("lim AS (SELECT ", f"lim AS (SELECT station // {_N} AS ln, "), (" AS lim FROM sc)", " AS lim FROM sc GROUP BY 1)"), ("el AS (SELECT * FROM ew, lim)", f"el AS (SELECT ew.*, lim FROM ew JOIN lim ON ln = station // {_N})"),
+        ("rn0 AS (SELECT max(vehicle) AS n FROM opsl)", f"rn0 AS (SELECT station // {_N} AS ln, max(vehicle) AS n FROM opsl GROUP BY 1)"), ("FROM opsl, rn0)", f"FROM opsl JOIN rn0 ON ln = station // {_N})"),
+        ("OVER (PARTITION BY vehicle ORDER BY station ROWS", f"OVER (PARTITION BY station // {_N}, vehicle ORDER BY station ROWS"),
+    ):
+        sql = sql.replace(a, b)
+    return sql
 
 
+_START = f"(50 + (station % {_N} * 31 + station // {_N} * 17) % 15)"
+_KIND = f"CASE WHEN (station % {_N} * 7 + station // {_N} * 13) % 10 = 0 AND vehicle BETWEEN {_START} AND {_START} + 20 THEN ['trend', 'cross_parameter', 'bottleneck'][(station % {_N} + station // {_N}) % 3 + 1] END"
+
+
+def faulty_lines(sql: str) -> str:
+    """``by_line`` with the lines' faults instead of the configured ones."""
+    sql = by_line(clean(sql))
+    a, b = sql.index("SELECT r.station, vehicle, variant, supplier_lot, r.parameter,"), sql.index("vehicle BETWEEN start AND stop))") + len("vehicle BETWEEN start AND stop))")
+    shifted = f"""SELECT r.station, vehicle, variant, supplier_lot, r.parameter, value + CASE WHEN k = 'trend' AND r.parameter = 'quantity' THEN 0.15 * (vehicle - {_START.replace("station", "r.station")} + 1) * sd WHEN k = 'cross_parameter' AND r.parameter IN ('discount', 'tax') THEN 2.5 * sd ELSE 0 END AS value,
+      k AS fault FROM (SELECT *, {_KIND} AS k FROM rd0) r JOIN sd USING (station, parameter))"""
+    return (sql[:a] + shifted + sql[b:]).replace("CASE WHEN i.id IS NULL THEN 0 ELSE size * (vehicle - start) END AS cycle_time", f"CASE WHEN {_KIND.replace('station', 'o.station')} = 'bottleneck' THEN 0.8 * (vehicle - {_START.replace('station', 'o.station')} + 1) ELSE 0 END AS cycle_time")
+
+
+_LINE = f"station // {_N} AS line, station % {_N} AS station"
 def _coverage(level: int) -> str:
     manual = f"(station * 37) % 100 < {level}"
     return f"""SELECT * FROM (WITH {FLAGS.replace(MANUAL, manual)}{BOTS}{SUMMARY}
@@ -299,12 +343,56 @@ grd AS (SELECT DISTINCT station, unnest(range(1, n + 1)) AS vehicle FROM opsl, r
 lb AS (SELECT g.station, g.vehicle, CAST(coalesce(bool_or(t.vehicle IS NOT NULL), false) AS INT) AS label FROM grd g LEFT JOIN gt t ON t.station = g.station AND t.vehicle > g.vehicle AND t.vehicle <= g.vehicle + 8 GROUP BY ALL)"""
 RATED = LABELS + ", rt AS (SELECT station, vehicle, round(cycle_time / 100 + queue / 100, 6) AS p, label AS y FROM opsl JOIN lb USING (station, vehicle))"
 
+TAU_ALARMS = f""",
+t1 AS (SELECT *, count(*) OVER (PARTITION BY oven) AS n, max(vehicle) OVER (PARTITION BY oven) AS mx FROM tf), t2 AS (SELECT *, vehicle <= least({T.warmup}, mx // 2) AS b FROM t1),
+t3 AS (SELECT *, avg(tau) FILTER (b) OVER o AS m, greatest(stddev_samp(tau) FILTER (b) OVER o, 1e-6) AS s, count(*) FILTER (b) OVER o AS nb FROM t2 WINDOW o AS (PARTITION BY oven)),
+t4 AS (SELECT *, round((tau - m) / s, 4) AS z FROM t3 WHERE n >= 40 AND nb >= 20 AND mx >= 45), t5 AS ({latched("t4", "abs(z) >= 3.3", "abs(z) < 0.5 * 3.3", "oven")})"""
+_FALSE = f"""{by_line(clean(_ALARMS))}{OVEN}{TAU}{TAU_ALARMS},
+  sn AS (SELECT station // {_N} AS line, count(DISTINCT station) FILTER (k = 'a') AS anomaly, count(DISTINCT station) FILTER (k = 'b') AS bottleneck FROM (SELECT station, 'a' AS k FROM flags UNION ALL SELECT station, 'b' FROM bots) GROUP BY 1),
+  ph AS (SELECT oven // {_N // 10} AS line, count(*) AS physics FROM t5 GROUP BY 1),
+  per AS (SELECT line, vehicles, coalesce(anomaly, 0) AS anomaly, coalesce(bottleneck, 0) AS bottleneck, coalesce(physics, 0) AS physics FROM (SELECT station // {_N} AS line, max(vehicle) AS vehicles FROM opsl GROUP BY 1) LEFT JOIN sn USING (line) LEFT JOIN ph USING (line))"""
+_PROFILE = f"""{_FALSE}, av AS (SELECT avg(anomaly) AS a, avg(bottleneck) AS b, avg(physics) AS p, max(vehicles) AS v, count(*) AS n FROM per)
+  SELECT n AS runs, v AS vehicles_per_run, round(a, 2) AS anomaly_false_alarms_per_run, round(b, 2) AS bottleneck_false_alarms_per_run, round(p, 2) AS physics_false_alarms_per_run, round(a + b + p, 2) AS total_false_alarms_per_run,
+         round((a + b + p) * 1000 / v, 2) AS false_alarms_per_1000_vehicles, round(v / nullif(a + b + p, 0), 1) AS arl0_vehicles FROM av"""
+_CASE = f"""
+  sm AS ({_ALARMS}{SUMMARY} SELECT * FROM summary), fa AS ({_PROFILE}), tp AS ({ORACLES["line_throughput"]}),
+  m AS (SELECT coalesce(recall, 0) AS recall, coalesce(median_detection_lag, 0) AS lag, bottleneck_events AS ev, nominal_uph AS nom, recoverable_uph AS rec, total_false_alarms_per_run AS fa, vehicles_per_run AS vr FROM sm, tp, fa),
+  a AS (SELECT *, greatest(lag, 0) AS x, 78000 / greatest(vr, 1) AS runs FROM m),
+  b AS (SELECT *, CASE WHEN x <= 5 THEN 0.05 + x * 0.06 WHEN x <= 10 THEN 0.35 + (x - 5) * 0.05 WHEN x <= 20 THEN 0.6 + (x - 10) * 0.018 WHEN x <= 40 THEN 0.78 + (x - 20) * 0.0035 ELSE 0.85 END AS act FROM a),
+  c AS (SELECT *, 78000 * 0.021 * recall / 100 * act AS defects, least(0.5 * rec / nom * lag * ev * runs * act, 0.05 * 78000) AS veh, fa * runs * 310 AS cost FROM b),
+  cs AS (SELECT *, defects * 640 + defects * 0.06 * 4200 + veh * 1850 - cost AS net FROM c),
+  case_ AS (SELECT round(act, 3) AS actionable, round(defects) AS defects_prevented, round(defects * 640) AS rework_usd, round(defects * 0.06 * 4200) AS scrap_usd, round(veh) AS vehicles_recovered,
+       round(veh * 1850) AS throughput_usd, round(cost) AS investigation_usd, round(net) AS net_usd, round(net * 0.7) AS net_low_usd, round(net * 1.3) AS net_high_usd FROM cs)"""
+
 ORACLES |= {
+    "line_flags": f"WITH {faulty_lines(FLAGS)} SELECT {_LINE}, * EXCLUDE (station) FROM flags",
+    "line_bottlenecks": f"WITH {faulty_lines(FLAGS + BOTS)} SELECT {_LINE}, vehicle, cusum, slope_t, queue_z FROM bots",
+    "line_false_alarms": f"{_FALSE} SELECT * FROM per",
+    "line_backtest": f"""WITH {faulty_lines(FLAGS + BOTS)},
+        fa AS (SELECT station, any_value(k) AS kind, min(vehicle) AS v0, max(vehicle) AS v1 FROM (SELECT *, {_KIND} AS k FROM opsl) WHERE k IS NOT NULL GROUP BY station),
+        al AS (SELECT station, vehicle AS v, false AS is_bot FROM flags UNION ALL SELECT station, detected_at, true FROM bots),
+        pr AS (SELECT station // {_N} AS line, bool_or(coalesce((kind = 'bottleneck') = is_bot, false)) AS ok, min(v - v0) FILTER ((kind = 'bottleneck') = is_bot AND v >= v0 - 2 AND (is_bot OR v <= v1 + 6)) AS lag FROM al LEFT JOIN fa USING (station) GROUP BY station, is_bot),
+        fd AS (SELECT line, count(*) FILTER (ok) AS tp, count(*) FILTER (NOT ok) AS fp, count(lag) AS detected, round(quantile_cont(lag, 0.5), 1) AS median_lag FROM pr GROUP BY line),
+        fc AS (SELECT station // {_N} AS line, count(*) AS faults FROM fa GROUP BY 1)
+        SELECT line, coalesce(faults, 0) AS faults, coalesce(detected, 0) AS detected, round(100.0 * coalesce(detected, 0) / nullif(faults, 0), 1) AS recall, round(100.0 * tp / nullif(tp + fp, 0), 1) AS precision, coalesce(fp, 0) AS false_positives, median_lag
+        FROM fc FULL JOIN fd USING (line)""",
     "padded_rolls": f"""WITH {OPS}, o AS (SELECT *, vehicle AS rn, last_value(CASE WHEN manual_outcome = 'fail' THEN vehicle END IGNORE NULLS) OVER (PARTITION BY station ORDER BY vehicle) AS lf FROM opsl)
         SELECT station, vehicle, round({_padded("cycle_time", 20)}, 6) AS sum_20, round({_padded("cycle_time", 10)} / 10, 6) AS mean_10, round(max(cycle_time) OVER {_W.format(9)}, 6) AS max_10, round({_slope("cycle_time", 10)}, 6) + 0.0 AS slope_10,
                coalesce(least(vehicle - lf, 200), 200) AS since_fail FROM o""",
-    "state_document": f"""WITH s AS ({ORACLES["state_stations"]}) SELECT area, count(*) AS n, count(*) FILTER (status = 'alert') AS alerts,
-        '[' || string_agg('{{"station":' || station || ',"status":"' || status || '"}}', ',' ORDER BY station) || ']' AS stations FROM s GROUP BY area""",
+    "state_stations": f"WITH {FLAGS}{BOTS}{STATIONS} SELECT station, area, instrumented, health_score, gap_method, status FROM ({state(AT)})",
+    "state_at_times": f"WITH {FLAGS}{BOTS}{STATIONS} SELECT * EXCLUDE (pos, area, instrumented) FROM ({states(TIMES)})",
+    "state_document": f"""WITH {FLAGS}{BOTS}{STATIONS}, s AS ({states([150, AT])}) SELECT t, (pos - 1) // 200 AS page, count(*) AS n, count(*) FILTER (status = 'alert') AS alerts, count(*) FILTER (status = 'warning') AS warnings, CAST(sum(n_flags) AS BIGINT) AS flags_so_far,
+        CAST(to_json(list({{'station': station, 'area': area, 'status': status, 'gap_method': gap_method, 'health_score': health_score, 'vehicle': vehicle, 'open_flags': n_open}} ORDER BY pos)) AS VARCHAR) AS stations FROM s GROUP BY ALL""",
+    "latent_trace_at": f"WITH {SCORED} {' UNION ALL '.join(map(trace, TIMES))}",
+    "line_state": f"""WITH {FLAGS}{BOTS}{STATIONS}, s AS ({states(TIMES)}), trc AS ({' UNION ALL '.join(map(trace, TIMES))}),
+        c AS (SELECT t, count(*) AS n_stations, count(*) FILTER (instrumented) AS instrumented, count(*) FILTER (status = 'alert') AS alert, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'healthy') AS healthy, CAST(sum(n_flags) AS BIGINT) AS flags,
+                     CAST(sum(constraints) AS BIGINT) AS constraints, max(worst_cycle) AS takt, arg_max(station, (worst_cycle, -station)) AS constraint_station FROM s GROUP BY t),
+        l0 AS (SELECT t, station, worst_cycle, row_number() OVER (PARTITION BY t ORDER BY worst_cycle DESC, station) AS k FROM s WHERE worst_cycle > 40 QUALIFY k <= 8),
+        l AS (SELECT t, CAST(to_json(list({{'station': station, 'cycle_s': round(worst_cycle, 2), 'excess_s': round(worst_cycle - 40, 2)}} ORDER BY k)) AS VARCHAR) AS loss FROM l0 GROUP BY t),
+        r AS (SELECT t, CAST(to_json(list({{'station': station, 'parameter': parameter, 't_statistic': t_statistic}} ORDER BY k)) AS VARCHAR) AS trace FROM trc GROUP BY t)
+        SELECT c.* EXCLUDE (takt), round(3600 / takt, 1) AS line_uph, round(takt, 2) AS takt_s, round(greatest(0, 3600 / 40.0 - 3600 / takt), 2) AS recoverable_uph, coalesce(loss, '[]') AS loss, coalesce(trace, '[]') AS trace
+        FROM c LEFT JOIN l USING (t) LEFT JOIN r USING (t)""",
+    "spc_cross_causal": f"WITH {SCORED}{CAUSAL} SELECT station, parameter, vehicle, type, severity, evidence FROM f_cross",
     "backtest_summary": f"{_ALARMS}{SUMMARY} SELECT * FROM summary",
     "false_alarm_profile": _PROFILE,
     "coverage_study": _LEVELS,
@@ -325,9 +413,7 @@ ORACLES |= {
     "thermal_regression": f"WITH {OPS}{OVEN} SELECT station, round(slope, 5) + 0.0 AS slope, round(intercept, 5) + 0.0 AS intercept, round(sigma, 5) + 0.0 AS sigma, n FROM ofit",
     "thermal_residuals": f"WITH {OPS}{OVEN} SELECT station, vehicle, residual + 0.0 AS residual FROM ores",
     "oven_tau_fit": f"WITH {OPS}{OVEN}{TAU} SELECT * FROM tf",
-    "oven_tau_alarms": f"""WITH {OPS}{OVEN}{TAU}, t1 AS (SELECT *, count(*) OVER (PARTITION BY oven) AS n, max(vehicle) OVER (PARTITION BY oven) AS mx FROM tf), t2 AS (SELECT *, vehicle <= least({T.warmup}, mx // 2) AS b FROM t1),
-        t3 AS (SELECT *, avg(tau) FILTER (b) OVER o AS m, greatest(stddev_samp(tau) FILTER (b) OVER o, 1e-6) AS s, count(*) FILTER (b) OVER o AS nb FROM t2 WINDOW o AS (PARTITION BY oven)),
-        t4 AS (SELECT *, round((tau - m) / s, 4) AS z FROM t3 WHERE n >= 40 AND nb >= 20 AND mx >= 45), t5 AS ({latched("t4", "abs(z) >= 3.3", "abs(z) < 0.5 * 3.3", "oven")})
+    "oven_tau_alarms": f"""WITH {OPS}{OVEN}{TAU}{TAU_ALARMS}
         SELECT oven, vehicle, 'physics_thermal_violation' AS type, 'alert' AS severity, round(tau, 4) AS measured, round(m, 4) AS expected, z FROM t5""",
     "risk_features": f"WITH {FLAGS}{OVEN}{RISK} SELECT station, vehicle, {', '.join(f'round(CAST({c} AS DOUBLE) + 1e-9, 5) + 0.0 AS {c}' for c in _FEATURES)} FROM f4",
     "risk_labels": f"WITH {LABELS} SELECT station, vehicle, label FROM lb",
@@ -350,7 +436,9 @@ ORACLES |= {
     "ingest_truth": f"""WITH {OPS}{STATIONS}{EXPORT}, {INJ} SELECT kind, station_id, station, first AS start_vehicle, last AS end_vehicle, id AS confirmed_by, '' AS errors FROM inj JOIN en USING (station)
         UNION ALL SELECT kind, substr(e.station_id, 1, 3) || '-*', g.station, first, first, 'group', '' FROM inj JOIN en e USING (station) JOIN en g ON substr(g.station_id, 1, 3) = substr(e.station_id, 1, 3) WHERE id = 'inj1'""",
 }
-ORACLES["stream_alarms"] = f"WITH {FLAGS} SELECT station, parameter, vehicle, type, round(z, 3) AS z FROM flags WHERE type IN ('point', 'persistent')"
+ORACLES["stream_alarms"] = f"""WITH {SCORED}{POINT}{PERSIST}{TREND}{CAUSAL}{BOTS}, al AS (SELECT station, parameter, vehicle, type, z FROM f_point UNION ALL SELECT station, parameter, vehicle, type, z FROM f_pers UNION ALL SELECT station, parameter, vehicle, type, z FROM f_trend
+    UNION ALL SELECT station, parameter, vehicle, type, z FROM f_cross UNION ALL SELECT station, 'cycle_time', vehicle, 'bottleneck', cusum FROM bots) SELECT station, parameter, vehicle, type, round(z, 3) AS z FROM al"""
+ORACLES["stream_oven_alarms"] = f"WITH {OPS}{OVEN}{TAU}{TAU_ALARMS} SELECT oven, vehicle, 'physics_thermal_violation' AS type, z FROM t5"
 ORACLES["station_topology"] = """
 WITH g(g, prefix, area, n, manual, base_cycle) AS (VALUES (0, 'BIW', 'Body', 14, 4, 52.0), (1, 'PNT', 'Paint', 10, 3, 55.0), (2, 'FNL', 'Final', 16, 5, 50.0)),
 s AS (SELECT g.*, unnest(range(1, n + 1)) AS k FROM g),

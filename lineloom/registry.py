@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,16 +10,18 @@ from pyspark.sql import functions as F
 
 from .config import ADAPTED as T
 from .functions import series as S
+from .operators import attribution as X
 from .operators import business as B
 from .operators import detect as D
+from .operators import model_store as M
 from .operators import oven as O
 from .operators import report as R
 from .operators import risk as K
-from .plans.oracles import AT, INSPECTION, ORACLES
+from .plans.oracles import AT, INSPECTION, ORACLES, TIMES
 from .sources import adapters as A
 from .sources import ingest as I
-from .sources.staging import fresh_path, stage
-from .streaming import alarms as X
+from .sources.staging import fresh_path, shared_dir, stage
+from .streaming import alarms as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -188,17 +191,55 @@ def area_counts(spark, d):
     return A.stations(spark, d).groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.count_if("instrumented").alias("instrumented"))
 
 
+def _all_rows(spark, d):
+    """Every operation with its scores and alarms, those without instruments too; the scored rows are written once."""
+    sc = stage(D.score(_faulty(spark, d), T, manual=True), "scored")
+    return sc, D.with_flags(sc, T)
+
+
+def _states(spark, d, times):
+    sc, rows = _all_rows(spark, d)
+    return sc, R.state_at(A.stations(spark, d), rows, stage(_bottlenecks(spark, d), "constraints"), times)
+
+
 @query
 def state_stations(spark, d):
-    return R.state_stations(A.stations(spark, d), A.line(spark, d), _flagged(spark, d), _bottlenecks(spark, d), AT)
+    return _states(spark, d, [AT])[1].select("station", "area", "instrumented", "health_score", "gap_method", "status")
+
+
+@query
+def state_at_times(spark, d):
+    """Stations as known at several times, in one pass."""
+    _, s = _states(spark, d, TIMES)
+    return s.select("t", "station", "health_score", "gap_method", "status", F.col("operation.vehicle").alias("vehicle"), F.col("operation.manual_outcome").alias("outcome"), "worst_cycle", F.size("open_flags").alias("n_open"), "n_flags", "constraints")
 
 
 @query
 def state_document(spark, d):
-    """The state as one JSON text per area: its stations in order with status and health."""
-    s = state_stations(spark, d)
-    row = F.struct("station", "status", "gap_method", "health_score")
-    return s.groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "alert").alias("alerts"), F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["station"].alias("station"), x["status"].alias("status")))).alias("stations"))
+    """The state as one JSON text per time and page of stations."""
+    pages = R.state_pages(_states(spark, d, [150, AT])[1])
+    station = lambda x: F.struct(*(x[c].alias(c) for c in ("station", "area", "status", "gap_method", "health_score")), x["operation"]["vehicle"].alias("vehicle"), F.size(x["open_flags"]).alias("open_flags"))
+    return pages.select("t", "page", "n", "alerts", "warnings", "flags_so_far", F.to_json(F.transform("stations", station), {"ignoreNullFields": "false"}).alias("stations"))
+
+
+@query
+def line_state(spark, d):
+    """The whole line at several times: counts, rate, losses and back-trace, nested parts as JSON."""
+    sc, s = _states(spark, d, TIMES)
+    out = R.line_state_at(stage(s, "states"), R.latent_trace_at(sc, INSPECTION, "tax", TIMES))
+    return out.select("t", "n_stations", "instrumented", "alert", "warning", "healthy", "flags", "constraints", "throughput.line_uph", "throughput.takt_s", "throughput.constraint_station", "throughput.recoverable_uph", *(F.to_json(c).alias(c) for c in ("loss", "trace")))
+
+
+@query
+def latent_trace_at(spark, d):
+    """The back-trace as it was known at several times."""
+    return R.latent_trace_at(_scored(spark, d), INSPECTION, "tax", TIMES)
+
+
+@query
+def spc_cross_causal(spark, d):
+    """The cross-parameter rule with the correlations known at each vehicle."""
+    return D.flags(D.with_flags(_scored(spark, d), T, ("cross_parameter",), causal=True)).drop("z")
 
 
 @query
@@ -214,8 +255,7 @@ def backtest_summary(spark, d):
 
 @query
 def false_alarm_profile(spark, d):
-    line = A.line(spark, d)
-    return R.false_alarm_profile(line, D.flags(_clean(spark, d)), D.bottlenecks(line, T))
+    return R.false_alarm_profile(line_false_alarms(spark, d))
 
 
 @query
@@ -334,12 +374,99 @@ def risk_reliability(spark, d):
     return K.reliability(_rated(spark, d))
 
 
+LINES = ["line", "station"]
+
+
+def _lines_flagged(spark, d, causal=False):
+    """All lines with their faults, scored and with their alarms; lines go through every window by (line, station)."""
+    sc = stage(D.score(A.line_faults(A.lines(spark, d)), T, keys=LINES), "lines")
+    return D.with_flags(sc, T, keys=LINES, causal=causal)
+
+
+@query
+def line_flags(spark, d):
+    return D.flags(_lines_flagged(spark, d), LINES)
+
+
+@query
+def line_bottlenecks(spark, d):
+    return D.bottlenecks(A.line_faults(A.lines(spark, d)), T, LINES).select(*LINES, "vehicle", "cusum", "slope_t", "queue_z")
+
+
+@query
+def line_false_alarms(spark, d):
+    """Alarms of every line without its faults, all of them false."""
+    wide = A.lines(spark, d)
+    flags = D.flags(D.with_flags(stage(D.score(wide, T, keys=LINES), "lines"), T, keys=LINES), LINES)
+    physics = O.tau_alarms(O.tau_fit(O.oven_readings(wide, per=["line"]), per=["line"]), T, per=["line"])
+    return R.line_false_alarms(wide, flags, D.bottlenecks(wide, T, LINES), physics)
+
+
+@query
+def line_backtest(spark, d):
+    faults = A.line_faults(A.lines(spark, d)).where("fault is not null").groupBy(*LINES, F.col("fault").alias("kind")).agg(F.min("vehicle").alias("first"), F.max("vehicle").alias("last"))
+    return R.line_backtest(faults, line_flags(spark, d), line_bottlenecks(spark, d).withColumn("detected_at", F.col("vehicle")))
+
+
+def _risk_frame(spark, d):
+    """Features and labels of every line, staged."""
+    wide = A.with_operator(A.line_faults(A.lines(spark, d)), spark, d)
+    rd = O.oven_readings(A.lines(spark, d), per=["line"])
+    thermal = O.residuals(rd, O.thermal_regression(rd, T, per=["line"]), per=["line"])
+    feats = K.features(wide, stage(_lines_flagged(spark, d, causal=True), "flagged"), thermal, T, keys=LINES, causal=True)
+    truth = A.line_faults(A.lines(spark, d)).where("fault is not null").select(*LINES, "vehicle")
+    return stage(feats.join(K.labels(wide, truth, keys=LINES), [*LINES, "vehicle"]), "risk-frame")
+
+
+def _risk_model(spark, d, frame, rounds=40):
+    """The stored model of these settings and lines, or one that is fitted now."""
+    settings = {"thresholds": dataclasses.asdict(T), "features": K.FEATURES, "horizon": K.HORIZON, "roles": K.ROLES, "rounds": rounds, "faults": [A.ONSET, A.LENGTH, A.SLOPE, A.SHIFT, A.SLOWER]}
+    store = M.ModelStore(spark, f"{shared_dir(spark)}/lineloom-models")
+    name = M.key(settings, M.fingerprint(A.table(spark, d, "lineitem")))
+    return store, name, store.get(name, lambda: K.fit(frame, rounds))
+
+
+def _validated(spark, d):
+    """Calibrated risks of the validation lines, with the model's place."""
+    frame = _risk_frame(spark, d)
+    store, name, model = _risk_model(spark, d, frame)
+    return model, store.place(name), model.predict(frame.where(K.role(F.col("line")) == "validate"))
+
+
 @query
 def risk_scores(spark, d):
-    """Calibrated risk of each station and vehicle of the stations held out of training."""
-    frame = stage(_features(spark, d).join(risk_labels(spark, d), ["station", "vehicle"]), "risk-frame")
-    predict, _, part = K.fit(frame)
-    return predict(frame.where(part == 5)).select("station", "vehicle", F.round("p", 6).alias("risk"), "label")
+    """Calibrated risk of each line, station and vehicle of the lines that neither trained nor calibrated."""
+    return _validated(spark, d)[2].select(*LINES, "vehicle", F.round("p", 6).alias("risk"), "label")
+
+
+@query
+def risk_drivers(spark, d):
+    """The three features that moved each of these scores most, with all that the model adds up to."""
+    _, place, scored = _validated(spark, d)
+    out = X.attribute(scored, X.stored_ensemble(spark, f"{place}/trees"), K.FEATURES, labels=K.LABELS)
+    return out.select(*LINES, "vehicle", F.round("p", 6).alias("risk"), F.round("margin", 9).alias("margin"), F.round("base", 9).alias("base"), "drivers")
+
+
+@query
+def risk_documents(spark, d):
+    """Per line and station its scores and their drivers by vehicle, as maps."""
+    s = risk_drivers(spark, d)
+    by_vehicle = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("vehicle", c))))  # noqa: E731  a station's vehicles of one line
+    share = F.round(100 * F.col("risk"), 1).alias("risk_pct")
+    named = F.transform("drivers", lambda x: F.struct(x["label"].alias("label"), x["family"].alias("family"), F.round(x["contribution"], 3).alias("contribution"))).alias("causes")
+    return s.select(*LINES, "vehicle", share, named).groupBy(*LINES).agg(F.max("risk_pct").alias("peak_risk_pct"), F.max_by("vehicle", F.struct("risk_pct", -F.col("vehicle"))).alias("peak_vehicle"), by_vehicle("risk_pct").alias("scores"), by_vehicle("causes").alias("drivers"))
+
+
+@query
+def risk_model_card(spark, d):
+    """One row on the model: where it comes from, what it is for, how it did on the validation lines."""
+    model, place, scored = _validated(spark, d)
+    rated = stage(scored.select("line", "station", "vehicle", "p", F.col("label").alias("y")), "rated")
+    curve = K.reliability(rated).agg(F.array_sort(F.collect_list(F.struct("bin", "predicted", "observed", "n"))).alias("reliability"))  # ten at most
+    used = {r: sum(x == r for x in K.ROLES) for r in ("train", "calibrate", "validate")}
+    card = {"model": f"{model.trees.getNumTrees} boosted trees", "key": place.rpartition("-")[2], "target": f"a fault at the station within {K.HORIZON} vehicles", "attribution": "Shapley values of the margin", "calibration": "isotonic", "split": ", ".join(f"{n} of {len(K.ROLES)} lines {r}" for r, n in used.items())}
+    importances = F.create_map(*(x for f, g in model.importances().items() for x in (F.lit(f), F.lit(g))))
+    return K.metrics(rated).crossJoin(F.broadcast(curve)).select(*(F.lit(v).alias(k) for k, v in card.items()), importances.alias("importances"), "*")  # one row each
 
 
 @query
@@ -396,10 +523,20 @@ def ingest_truth(spark, d):
 
 @query
 def stream_alarms(spark, d):
-    """The point and persistent rules as a stream, in three deliveries."""
-    sc = stage(_scored(spark, d), "scored")
+    """Every rule of a station as a stream, delivered out of order and restarted between deliveries."""
+    wide = A.slowed(_faulty(spark, d), A.by_station(spark, SLOW))
+    sc = stage(D.score(wide, T, manual=True), "scored")
     limit = D.ewma_limit(sc, T).first()[0]
-    return X.replay(sc, limit, T, (150, 400)).withColumn("z", F.round("z", 3))
+    alarms, _ = W.replay(W.station_rows(sc, D.constraint_series(sc, T)), W.StationAlarms(limit, T, A.PARAMETERS))
+    return alarms.select(F.col("key").alias("station"), "parameter", "vehicle", "type", F.round("z", 3).alias("z"))
+
+
+@query
+def stream_oven_alarms(spark, d):
+    """The oven's time constant as a stream."""
+    rd = stage(O.oven_readings(A.line(spark, d)), "oven")
+    alarms, _ = W.replay(W.oven_rows(rd, stage(O.tau_fit(rd), "tau"), T, 10), W.OvenAlarms(O.Oven(), 10))
+    return alarms.select(F.col("key").alias("oven"), "vehicle", "type", "z")
 
 
 ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}

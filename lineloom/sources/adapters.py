@@ -32,9 +32,13 @@ def line(spark: SparkSession, sf_dir: str, rule=instrumented) -> DataFrame:
     one shuffle by station: all that follows by station needs none.
     """
     vehicle = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER)).cast("bigint")
-    items = table(spark, sf_dir, "lineitem").withColumn("vehicle", vehicle)
+    return _wide(table(spark, sf_dir, "lineitem").withColumn("vehicle", vehicle), rule)
+
+
+def _wide(items: DataFrame, rule, *keys: str) -> DataFrame:
     reads = lambda c: F.when(rule(F.col("l_suppkey")), F.col(f"l_{c}")).alias(c)
     return items.select(
+        *keys,
         F.col("l_suppkey").alias("station"),
         "vehicle",
         F.col("l_linestatus").alias("variant"),
@@ -49,10 +53,45 @@ def line(spark: SparkSession, sf_dir: str, rule=instrumented) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str, rule=instrumented) -> DataFrame:
+    """Many lines in one table: each year of shipping is a run of the plant, ``line``, with vehicles counted anew at its stations.
+
+    As in ``line`` one scan and one shuffle, by line and station.
+    """
+    items = table(spark, sf_dir, "lineitem").withColumn("line", F.year("l_shipdate").cast("bigint"))
+    return _wide(items.withColumn("vehicle", F.row_number().over(Window.partitionBy("line", "l_suppkey").orderBy(*ORDER)).cast("bigint")), rule, "line")
+
+
+#: A fault's onset, its length, and how far it goes (trend per vehicle, shift, cycle per vehicle), of the lines' faults. Fixed values.
+ONSET, LENGTH, SLOPE, SHIFT, SLOWER = (50, 15), 20, 0.15, 2.5, 0.8
+
+
+def line_faults(wide: DataFrame, parameters: list[str] = PARAMETERS) -> DataFrame:
+    """Faults that differ from line to line, by rule: one station in ten of each line has one, of one of three kinds.
+
+    Adds ``fault`` (trend of the first parameter, cross_parameter shift of the
+    last two, bottleneck; null elsewhere and outside the fault's vehicles) and
+    changes readings and cycle times.
+    """
+    here = (F.col("station") * 7 + F.col("line") * 13) % 10 == 0
+    start = ONSET[0] + (F.col("station") * 31 + F.col("line") * 17) % ONSET[1]
+    kind = F.element_at(F.array(F.lit("trend"), F.lit("cross_parameter"), F.lit("bottleneck")), ((F.col("station") + F.col("line")) % 3 + 1).cast("int"))
+    df = wide.withColumn("fault", F.when(here & F.col("vehicle").between(start, start + LENGTH), kind)).withColumn("_into", F.col("vehicle") - start + 1)
+    whole = Window.partitionBy("line", "station")
+    size = {parameters[0]: ("trend", SLOPE * F.col("_into")), parameters[-2]: ("cross_parameter", F.lit(SHIFT)), parameters[-1]: ("cross_parameter", F.lit(SHIFT))}
+    moved = {p: F.col(p) + F.when(F.col("fault") == k, by * F.stddev_samp(p).over(whole)).otherwise(0.0) for p, (k, by) in size.items()}
+    moved["cycle_time"] = F.col("cycle_time") + F.when(F.col("fault") == "bottleneck", SLOWER * F.col("_into")).otherwise(0.0)
+    return df.withColumns(moved).drop("_into")
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line`` with the operator, which stands in the order (every line item has one)."""
+    return with_operator(line(spark, sf_dir), spark, sf_dir)
+
+
+def with_operator(wide: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("operator"))
-    return line(spark, sf_dir).join(orders, "order_key")
+    return wide.join(orders, "order_key")
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
