@@ -83,7 +83,7 @@ def votes(c: Column) -> Column:
         F.when(k.isin("email", "handle"), _vote(tld.isin(TLDS), F.lit(True)))
         .when(k == "iban", _vote(F.substring(v, 1, 2).isin(COUNTRIES), F.lit(True)))
         .when(k == "card", _vote(v.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), F.lit(True)))
-        .when(k == "phone", _vote(v.rlike(r"^\+(?:1|33|34|44|49|39|41|43)(?![0-9]{0,0}[A-Za-z])"), F.lit(True)))
+        .when(k == "phone", _vote(v.rlike(r"^\+(?:1|33|34|44|49|39|41|43)"), F.lit(True)))
         .otherwise(F.lit(0))
     )
     cue = _vote(c["before"].rlike(CUES), F.length(c["before"]) >= 8)
@@ -149,10 +149,14 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", threshold: float =
     repeated rows each get theirs; with no candidates at all nothing is added.
     Candidates are staged once (no text in them) and read for the vote counts
     and for the result.
+    Kept columns may have any name: they come first, in the order given.  Texts
+    are taken whole; spans of a long one grow with its matches.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = [f"k{i}" for i in range(len(keep_cols))]
+    text = F.coalesce(F.col("t"), F.lit(""))
+    plain = docs.select(*(F.col(c).alias(k) for c, k in zip(keep_cols, kept, strict=True)), F.col(text_col).alias("t"))
     extras = F.concat(*[match_spans(text, p, k, context=context) for p, k in ((NUMBER, "number"), (IBAN, "iban"), (HANDLE, "handle"))])
-    found = stage(docs.select(*keep_cols, base_spans(text, context).alias("_base"), extras.alias("_more")), "pii")
+    found = stage(plain.select(*kept, base_spans(text, context).alias("_base"), extras.alias("_more")), "pii")
     clear = F.filter("_more", lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     found = found.withColumn("_more", clear)
     voted = (
@@ -162,6 +166,7 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", threshold: float =
         .count()
         .collect()
     )
+    voted.sort(key=str)  # one order of the sums, whatever the shuffle's
     patterns: dict = {}
     for r in voted:
         key = tuple(r["v"])
@@ -186,4 +191,4 @@ def personal_data(docs: DataFrame, *, text_col: str = "text", threshold: float =
 
     cut = math.log(threshold / (1 - threshold))
     added = F.filter("_more", lambda c: score(c) > cut)
-    return found.select(*keep_cols, in_order(F.concat("_base", added), KINDS).alias("spans"))
+    return found.select(*kept, in_order(F.concat("_base", added), KINDS).alias("spans")).toDF(*keep_cols, "spans")

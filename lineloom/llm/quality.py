@@ -111,11 +111,14 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "s
     it is kept unless the host is rejected.  Null and empty texts have no words
     and fail; repeated rows each get their row; an empty table gives no rows.
     Measures are staged once and read twice; the join to hosts carries no text.
+    Kept columns come first, in the order given; one with the name of an output
+    is left out, other names don't matter.  Texts are measured whole.
     """
-    cols = ["doc_id"] if keep_cols is None else keep_cols
-    facts = stage(
-        measure(docs.select(*cols, F.col(host_col).alias("_host"), F.col(text_col).alias("_text")), text_col="_text").drop("_text"), "quality"
-    )
+    outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept"]
+    names = [c for c in (["doc_id"] if keep_cols is None else keep_cols) if c not in outputs]
+    cols = [f"k{i}" for i in range(len(names))]
+    plain = docs.select(*(F.col(c).alias(k) for c, k in zip(names, cols, strict=True)), F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
+    facts = stage(measure(plain, text_col="_text").drop("_text"), "quality")
     hosts = host_verdicts(facts, host_col="_host", reject_rate=reject_rate).select(F.col("host").alias("_h"), F.col("rejected").alias("_rejected"))
     rules = failures()
     return (
@@ -123,7 +126,8 @@ def quality_rules(docs: DataFrame, *, text_col: str = "text", host_col: str = "s
         .withColumn("base_failed", rules["few_words"] | rules["repeats"])
         .withColumn("host_rejected", F.coalesce("_rejected", F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-        .select(*cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+        .select(*cols, *outputs)
+        .toDF(*names, *outputs)
     )
 
 

@@ -117,16 +117,20 @@ def secret_scan(docs: DataFrame, *, text_col: str = "text", samples: DataFrame |
     mean log-likelihood ratio is over ``threshold`` and it touches no rule span.
     Null and empty texts have no spans; repeated rows each get theirs; an empty
     table trains on the generated strings alone.  Row-local apart from training.
+    Kept columns may have any name: they come first, in the order given.  Texts
+    are taken whole; spans of a long one grow with its matches.
     """
     table = train(samples if samples is not None else labelled_samples(docs, text_col=text_col))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(*keep_cols, base_spans(text).alias("_base"), match_spans(text, TOKEN, "random").alias("_tokens"))
+    kept = [f"k{i}" for i in range(len(keep_cols))]
+    text = F.coalesce(F.col("t"), F.lit(""))
+    plain = docs.select(*(F.col(c).alias(k) for c, k in zip(keep_cols, kept, strict=True)), F.col(text_col).alias("t"))
+    found = plain.select(*kept, base_spans(text).alias("_base"), match_spans(text, TOKEN, "random").alias("_tokens"))
     extra = F.filter(
         F.col("_tokens"),
         lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (llr(t["value"], table) > threshold),
     )
     both = F.when(F.size("_base") + F.size("_tokens") == 0, F.expr(EMPTY_SPANS)).otherwise(F.concat("_base", extra))
-    return found.select(*keep_cols, in_order(both, KINDS).alias("spans"))
+    return found.select(*kept, in_order(both, KINDS).alias("spans")).toDF(*keep_cols, "spans")
 
 
 def digest(found: DataFrame, base_kinds: list[str]) -> DataFrame:

@@ -54,11 +54,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", pref
     prefix is dealt to several tasks.  Longest host, then longest path wins;
     of equal rules ``block`` wins.  Null or malformed urls, and urls that fit
     no rule, get ``default``.  Repeated rows each get their row; columns of
-    ``pages`` named host, path, rule or verdict are replaced.  The path-prefix
+    ``pages`` named host, path, rule or verdict are replaced, other names don't
+    matter; a long url is compared as far as the longest rule path.  The path-prefix
     lengths in use are gathered to the driver (bounded by the longest path).
     """
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
-    base = with_host_and_path(pages.drop("host", "path", "rule", "verdict"), url_col)
+    pages = pages.drop("host", "path", "rule", "verdict")
+    names = pages.columns
+    plain = pages.toDF(*(f"c{i}" for i in range(len(names))))  # no name of a column matters
+    base = with_host_and_path(plain, f"c{names.index(url_col)}")
     longest = max(lengths, default=0)
     key = F.struct(F.col("host").alias("host"), F.substring(F.col("path"), 1, longest).alias("head"))
     keys = base.select(key.alias("k")).distinct()
@@ -96,7 +100,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", pref
         .select(F.col("k.host").alias("_h"), F.col("k.head").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_v"))
     )
     joined = base.join(hits, (F.col("host") == F.col("_h")) & (F.substring(F.col("path"), 1, longest) == F.col("_p")), "left")
-    return joined.withColumn("verdict", F.coalesce("_v", F.lit(default))).drop("_h", "_p", "_v")
+    return joined.withColumn("verdict", F.coalesce("_v", F.lit(default))).select(*plain.columns, "host", "path", "rule", "verdict").toDF(*names, "host", "path", "rule", "verdict")
 
 
 ORACLE = r"""

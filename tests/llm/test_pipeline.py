@@ -98,3 +98,13 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert {40, 41, 50, 53}.isdisjoint(final) and 20 in final and {0, 1, 2, -1} <= set(final) and len({30, 31, 32, 3} & set(final)) == 1
     for r in got:
         assert r.ids == sp.encode(final[-1 if r.doc_id is None else r.doc_id] or "") and r.round_trip
+
+
+def test_quality_stage_judges_equal_rows_by_their_own_hosts(spark):
+    ship(spark)
+    good, short = text(1), [(i, "few words", "en", "bad", 9) for i in range(10, 60)]
+    rows = [(1, good, "en", "bad", 1), (1, good, "en", "fine", 1), (None, good, "en", None, 1), *((i, text(i), "en", "fine", 1) for i in range(2, 6)), (7, None, "en", "fine", 0), *short]
+    got = C.quality_rules(spark, spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as _rk", "2 as kept"), "").collect()
+    assert {(r.doc_id, r.source) for r in got} == {(1, "fine"), (None, None), (2, "fine"), (3, "fine"), (4, "fine"), (5, "fine")}
+    assert got[0].__fields__ == C.COLUMNS
+    assert C.quality_rules(spark, spark.createDataFrame([], SCHEMA), "").count() == 0

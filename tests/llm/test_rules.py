@@ -2,6 +2,7 @@
 
 import pytest
 from brute import digest, personal, secrets, words
+from pyspark.sql import functions as F
 
 from lineloom.llm import pii, quality, urls
 from lineloom.llm import secrets as scan
@@ -110,3 +111,23 @@ def test_url_rules(spark):
     assert len(out) == len(rows)
     for r in out:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == cases[r["url"]]
+
+
+def test_no_name_of_a_kept_column_matters(spark):
+    text = "password=abcdef123 mail a.b@c.org " + " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "s", 5, 6)], "doc_id bigint, text string, source string, x int, y int")
+    for f, names, outputs in (
+        (scan.secret_scan, ("_base", "_tokens"), ["spans"]), (scan.secret_scan, ("spans", "t"), ["spans"]), (pii.personal_data, ("_more", "_base"), ["spans"]), (pii.personal_data, ("k0", "c"), ["spans"]),
+    ):
+        out = f(docs.toDF("doc_id", "text", "source", *names), keep_cols=("doc_id", *names))
+        assert out.columns == ["doc_id", *names, *outputs] and tuple(out.first())[:3] == (1, 5, 6) and len(out.first()[-1]) == 1
+    for names in (("_w", "_h"), ("_host", "_rank"), ("k1", "host")):
+        out = quality.quality_rules(docs.toDF("doc_id", "text", "source", *names), keep_cols=["doc_id", *names])
+        assert out.columns[:3] == ["doc_id", *names] and tuple(out.first())[:4] == (1, 5, 6, 63)
+    out = quality.quality_rules(docs.toDF("doc_id", "text", "source", "n_words", "kept"), keep_cols=["doc_id", "n_words", "kept"])
+    assert out.columns.count("n_words") == 1 and out.first().n_words == 63 and out.first().kept
+    pages = spark.createDataFrame([(1, "http://A.example.com/en/7?x", 3, 4)], "page_id bigint, url string, _h int, c0 int")
+    out = urls.url_filter(pages, urls.rules_table(spark))
+    assert out.columns == ["page_id", "url", "_h", "c0", "host", "path", "rule", "verdict"]
+    assert tuple(out.first()) == (1, "http://A.example.com/en/7?x", 3, 4, "a.example.com", "/en/7", "example.com/en/7", "allow")
+    assert urls.url_filter(pages.withColumn("url", F.lit("http://com/en/" + "z" * 500_000)), urls.rules_table(spark)).first().verdict == "block"
