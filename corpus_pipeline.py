@@ -17,10 +17,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the document rules and the host verdicts keep."""
-    facts = quality.quality_rules(docs.withColumn("_rk", F.xxhash64("doc_id", "text")), keep_cols=["doc_id", "_rk"])
-    kept = facts.where("kept").select(F.col("doc_id").alias("_id"), F.col("_rk").alias("_k")).distinct()
-    return docs.withColumn("_rk", F.xxhash64("doc_id", "text")).join(kept, (F.col("_rk") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(COLUMNS)
+    """Keeps what the document rules and the host verdicts keep; rows equal in id and text are judged by their own hosts.
+
+    Null, empty and short texts go, a null host is a host like any other,
+    repeated rows stay or go together, an empty table stays empty; only the
+    columns of documents count.
+    """
+    rows = docs.select(COLUMNS).withColumn("_rk", F.xxhash64("doc_id", "text"))
+    facts = quality.quality_rules(rows, keep_cols=["doc_id", "_rk", "source"])
+    kept = facts.where("kept").select(F.col("doc_id").alias("_id"), F.col("_rk").alias("_k"), F.col("source").alias("_host")).distinct()
+    same = (F.col("_rk") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host"))
+    return rows.join(kept, same, "left_semi").select(COLUMNS)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +51,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark items."""
+    """Drops documents that hold benchmark items.
+
+    Null and empty texts hold none and stay, as do all rows where the benchmark
+    is empty; null ids and repeated rows are judged by their texts.
+    """
     return decontam.decontaminate(docs.select(COLUMNS), read_table(spark, sf_dir, "benchmark")).where("not contaminated").select(COLUMNS)
 
 
 def subword_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text and of two sampled segmentations with their scores."""
+    """Piece ids of every text and of two sampled segmentations with their scores, a row for each row; null and empty texts have no pieces."""
     out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
     return out.selectExpr(
         "doc_id", "n_pieces", "ids", "ids_hash", "round_trip",
