@@ -7,6 +7,8 @@ import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +58,7 @@ class ModelStore:
             return None
         try:
             return RiskModel(GBTClassificationModel.load(f"{self.place(name)}/trees"), IsotonicRegressionModel.load(f"{self.place(name)}/calibrator"))
-        except Exception as e:  # a damaged model is as good as none: it's fitted anew
-            if "java." not in str(e) and "Path does not exist" not in str(e):
-                raise
+        except (PySparkException, Py4JError):  # a damaged model is as good as none: it's fitted anew
             return None
 
     def save(self, name: str, model: RiskModel) -> str:

@@ -57,7 +57,7 @@ def test_interp_and_economics(spark):
 
 QUICK = [
     "bottlenecks", "scored_readings", "baseline_cells", "injected_readings", "flags_union", "parameter_correlation", "padded_rolls", "line_throughput", "latent_trace", "latent_exposure", "station_topology", "latest_operations", "cusum_series", "rolling_ols",
-    "state_stations", "state_document", "backtest_summary", "false_alarm_profile", "calibration_sweep", "economics", "thermal_regression", "oven_tau_alarms", "risk_features", "risk_labels", "risk_metrics", "risk_reliability",
+    "state_stations", "state_at_times", "state_document", "line_state", "spc_cross_causal", "line_flags", "line_bottlenecks", "line_false_alarms", "line_backtest", "stream_alarms", "stream_oven_alarms", "backtest_summary", "false_alarm_profile", "calibration_sweep", "economics", "thermal_regression", "oven_tau_alarms", "risk_features", "risk_labels", "risk_metrics", "risk_reliability",
     "export_rows", "export_truth", "ingest_operations", "ingest_readings", "ingest_errors", "ingest_truth",
 ]
 
@@ -72,8 +72,8 @@ def test_entry(spark):
     assert len(rows) == 12 and {r["vehicle"] == r["detected_at"] for r in rows} == {True}
 
 
-def test_every_query_has_sql_but_the_model(spark):
-    assert set(registry.QUERIES) - set(entry.oracle_sql()) == {"risk_scores"}
+def test_every_query_has_sql_but_those_of_the_model(spark):
+    assert set(registry.QUERIES) - set(entry.oracle_sql()) == {"risk_scores", "risk_drivers", "risk_documents", "risk_model_card"}
 
 
 def test_settings_from_json():
@@ -100,7 +100,7 @@ def test_cells_of_few_readings_fall_back_to_the_specification(spark):
 
 def test_scans_of_the_plans(spark):
     """One scan of the line items for the scores, two for the alarms (the second for the one-row limit)."""
-    for name, most in (("scored_readings", 1), ("flags_union", 2), ("state_stations", 6)):
+    for name, most in (("scored_readings", 1), ("flags_union", 2)):
         plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         scans = [x for x in plan.split("\n") if "FileScan" in x and "l_suppkey" in x]
         assert len(scans) <= most, (name, len(scans))
@@ -132,8 +132,3 @@ def test_csv_rules(spark, tmp_path):
         with pytest.raises(ingest.DatasetError, match=text):
             read(body, f"bad{len(body)}.csv")
 
-
-@pytest.mark.parametrize("name", ["risk_scores"])
-def test_model_ranks_faults_first(spark, name):
-    rows = registry.QUERIES[name](spark, FOLDER).collect()
-    assert rows and all(0 <= r["risk"] <= 1 for r in rows)
