@@ -77,6 +77,20 @@ INJECTIONS = [
     ("inj6", "bottleneck", 9, ["cycle_time"], 310, 450, None, 0.04),
 ]
 
+@dataclass(frozen=True)
+class Parameter:
+    """What the plant says of a parameter: the model that scores it, its weight in a station's health, whether back-traces use it, its specification."""
+
+    model: str | None = None
+    weight: float = 1.0
+    traced: bool = True
+    spec: tuple[float, float] | None = None
+
+
+THERMAL = "thermal_first_order"
+#: The adapted line's parameters; temperatures are read in the ovens of even number, their own shop. Fixed values.
+PLANT = {"quantity": Parameter(traced=False), "extendedprice": Parameter(), "discount": Parameter(), "tax": Parameter(), "temperature": Parameter(model=THERMAL, weight=1.4)}
+
 #: Station groups: prefix, area, stations, instrumented share, base cycle. Fixed values.
 GROUPS = [("BIW", "Body", 14, 0.72, 52.0), ("PNT", "Paint", 10, 0.70, 55.0), ("FNL", "Final", 16, 0.69, 50.0)]
 

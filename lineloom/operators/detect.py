@@ -13,9 +13,10 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Thresholds
+from ..config import THERMAL, Oven, Thresholds
 from ..functions import series as S
 from ..sources.adapters import PARAMETERS, readings
+from .oven import predicted
 
 STATION = ["station"]
 
@@ -39,6 +40,8 @@ def score(
     wide: DataFrame, th: Thresholds = Thresholds(), enough: int = 36, least: int = 12, parameters: list[str] = PARAMETERS, spec: dict[str, tuple[float, float]] | None = None,
     keys: list[str] = STATION,
     manual: bool = False,
+    models: dict[str, str] | None = None,
+    oven: Oven = Oven(),
 ) -> DataFrame:
     """Adds z_<p> (3 decimals), source_<p> and n_<p> for each parameter: the reading against its variant's mean, shrunk toward
     the pooled one, and the pooled spread.
@@ -47,6 +50,11 @@ def score(
     parameter's ``spec`` (mean, standard deviation) if it has one.  Without
     any, z is 0 and the source unavailable.  Stations without instruments go,
     or with ``manual`` stay with nulls.
+
+    A parameter that ``models`` tags as thermal is scored by its distance from
+    the oven model and the station's warm-up regression on the surroundings
+    (columns dwell and ambient), in that regression's spread; it has no baseline
+    size.  Where there are too few warm-up readings for one, it is scored as others are.
     """
     df = (wide if manual else wide.where("instrumented")).withColumn("_early", early(th, keys=keys)).withColumns({f"_w_{p}": F.when(F.col("_early"), F.col(p)) for p in parameters})
     cells = {}
@@ -56,6 +64,8 @@ def score(
             v = F.col(f"_w_{p}")
             cells |= {f"_m{name}_{p}": F.avg(v).over(w), f"_s{name}_{p}": F.stddev_samp(v).over(w), f"_n{name}_{p}": F.count(v).over(w)}
     df = df.withColumns(cells)
+    fits = {p: _thermal_fit(p, keys, oven) for p in parameters if (models or {}).get(p) == THERMAL}
+    df = df.withColumns({f"_{c}_{p}": v for p, fit in fits.items() for c, v in fit.items()})
     out = {}
     for p in parameters:
         given = (spec or {}).get(p, (None, None))
@@ -76,7 +86,24 @@ def score(
         out[f"z_{p}"] = F.when(there, F.when(mean.isNull(), F.lit(0.0)).otherwise(F.round((F.col(p) - mean) / std, 3)))
         out[f"source_{p}"] = F.when(there, F.when(mixed, F.concat(cw, F.lit("+shrunk_variant"))).otherwise(F.coalesce(cw, pw, F.lit("unavailable"))))
         out[f"n_{p}"] = F.when(there, F.when(mixed, pn).otherwise(F.coalesce(cn, pn, F.lit(0))))
-    return df.withColumns(out).drop("_early", *cells, *(f"_w_{p}" for p in parameters))
+        if p in fits:
+            modelled = F.col(f"_tn_{p}") >= 20
+            out[f"z_{p}"] = F.when(there & modelled, F.round((F.col(f"_off_{p}") - F.col(f"_intercept_{p}") - F.col(f"_slope_{p}") * F.col("ambient")) / F.col(f"_sigma_{p}"), 3)).otherwise(out[f"z_{p}"])
+            out[f"source_{p}"] = F.when(there & modelled, "physics_model_residual").otherwise(out[f"source_{p}"])
+            out[f"n_{p}"] = F.when(there & modelled, F.lit(0).cast("bigint")).otherwise(out[f"n_{p}"])
+    return df.withColumns(out).drop("_early", *cells, *(f"_w_{p}" for p in parameters), *(f"_{c}_{p}" for p, fit in fits.items() for c in fit))
+
+
+def _thermal_fit(p: str, keys: list[str], o: Oven) -> dict[str, Column]:
+    """What the oven model leaves of a reading, and over the warm-up its regression on the ambient: slope 0 if that stands still."""
+    w = Window.partitionBy(*keys)
+    off = F.col(p) - predicted(F.col("dwell"), F.lit(o.tau), o)
+    y, x = F.when(F.col("_early"), off), F.when(F.col("_early") & off.isNotNull(), F.col("ambient"))
+    n, sxx, sxy, syy = F.count(y).over(w), F.regr_sxx(y, x).over(w), F.regr_sxy(y, x).over(w), F.regr_syy(y, x).over(w)
+    flat = sxx / n <= 1e-18
+    slope = F.when(flat, 0.0).otherwise(sxy / F.nullif(sxx, F.lit(0.0)))
+    left = F.when(flat, syy).otherwise(F.greatest(F.lit(0.0), syy - sxy * sxy / F.nullif(sxx, F.lit(0.0))))
+    return {"off": off, "tn": n, "slope": slope, "intercept": F.avg(y).over(w) - slope * F.avg(x).over(w), "sigma": F.greatest(F.sqrt(left / F.nullif(n - 1, F.lit(0))), F.lit(1e-6))}
 
 
 def scored_readings(sc: DataFrame, parameters: list[str] = PARAMETERS) -> DataFrame:

@@ -20,6 +20,12 @@ def oven_readings(line: DataFrame, o: Oven = Oven(), drift: tuple[int, int, floa
     linearly to ``drift[2]`` in the given vehicles at every oven of even number.
     ``per`` are the columns that tell lines apart, here and in what follows.
     """
+    c = oven_columns(o, drift, size, ambient_swing, period)
+    return line.where("instrumented").select(*per, "station", c["oven"].alias("oven"), "vehicle", *(c[x].alias(x) for x in ("dwell", "ambient", "temperature")))
+
+
+def oven_columns(o: Oven = Oven(), drift: tuple[int, int, float] = (240, 350, 55.0), size: int = 10, ambient_swing: float = 4.0, period: int = 120) -> dict[str, Column]:
+    """Oven, dwell, ambient and temperature of a wide row."""
     oven = F.floor((F.col("station") - 1) / size)
     dwell = o.dwell_base + o.dwell_step * ((F.col("station") - 1) % size)
     a, b, end = drift
@@ -27,7 +33,14 @@ def oven_readings(line: DataFrame, o: Oven = Oven(), drift: tuple[int, int, floa
     ambient = F.round(ambient_swing * F.sin(2 * 3.141592653589793 * F.col("vehicle") / period), 6)
     noise = (F.col("discount") - 0.05) * 10 + (F.col("tax") - 0.04) * 10
     temperature = F.round(predicted(dwell, tau, o) + 0.35 * ambient + noise, 4)
-    return line.where("instrumented").select(*per, "station", oven.alias("oven"), "vehicle", dwell.alias("dwell"), ambient.alias("ambient"), temperature.alias("temperature"))
+    return {"oven": oven, "dwell": dwell, "ambient": ambient, "temperature": temperature}
+
+
+def with_ovens(line: DataFrame, o: Oven = Oven()) -> DataFrame:
+    """Adds dwell, ambient and temperature to the rows of the ovens' shop (ovens of even number); null elsewhere and where nothing is read."""
+    c = oven_columns(o)
+    there = F.col("instrumented") & (c["oven"] % 2 == 0)
+    return line.withColumns({x: F.when(there, c[x]) for x in ("dwell", "ambient", "temperature")})
 
 
 def predicted(dwell: Column, tau: Column, o: Oven) -> Column:
@@ -86,3 +99,9 @@ def tau_alarms(fits: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(),
     d = d.where((F.col("_n") >= least[0]) & (F.col("_b") >= least[1]) & (F.col("_max") >= 3 * o.window)).withColumn("z", F.round((F.col("tau") - F.col("_m")) / F.col("_s"), 4))
     d = S.latch(d, F.abs("z") >= o.z_crit, F.abs("z") < 0.5 * o.z_crit, [*per, "oven"])
     return d.where("fires").select(*per, "oven", "vehicle", F.lit("physics_thermal_violation").alias("type"), F.lit("alert").alias("severity"), F.round("tau", 4).alias("measured"), F.round(F.col("_m"), 4).alias("expected"), "z")
+
+
+def tau_flags(alarms: DataFrame, size: int = 10) -> DataFrame:
+    """``tau_alarms`` as alarm rows, under the first station of the oven."""
+    text = F.format_string("time constant %.4f s, %.4f s in the warm-up; no single zone need be off", "measured", "expected")
+    return alarms.select((F.col("oven") * size + 1).alias("station"), F.lit("oven_tau").alias("parameter"), "vehicle", "type", "severity", F.round("z", 3).alias("z"), text.alias("evidence"))

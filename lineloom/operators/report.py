@@ -59,16 +59,16 @@ def _welch(d: DataFrame, keys: list[str], least: tuple[int, int]) -> DataFrame:
     )
 
 
-def latent_trace(sc: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), top: int = 8) -> DataFrame:
-    return latent_ranking(sc, station, parameter, exclude).orderBy(F.abs("t_statistic").desc(), "station", "parameter").limit(top)
+def latent_trace(sc: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), top: int = 8, parameters: list[str] = PARAMETERS) -> DataFrame:
+    return latent_ranking(sc, station, parameter, exclude, parameters=parameters).orderBy(F.abs("t_statistic").desc(), "station", "parameter").limit(top)
 
 
-def latent_exposure(sc: DataFrame, alarms: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), least: int = 8) -> DataFrame:
+def latent_exposure(sc: DataFrame, alarms: DataFrame, station: int, parameter: str, exclude: tuple[str, ...] = ("quantity",), least: int = 8, parameters: list[str] = PARAMETERS) -> DataFrame:
     """One row: whether a back-trace is available, its origin, how far it stands out, and what left the line before a local alarm."""
     failed = inspection_failures(sc.where(F.col("station") == station), parameter)
     count = failed.agg(F.count(F.lit(1)).alias("failures"), F.min("vehicle").alias("first_failure"), F.collect_list("vehicle").alias("_failed"))  # vehicles of one station
     by_t = F.array_sort(F.collect_list(F.struct((-F.abs("t_statistic")).alias("k"), "station", "parameter")))
-    two = latent_ranking(sc, station, parameter, exclude).orderBy(F.abs("t_statistic").desc(), "station", "parameter").limit(2).agg(by_t.alias("r"))
+    two = latent_ranking(sc, station, parameter, exclude, parameters=parameters).orderBy(F.abs("t_statistic").desc(), "station", "parameter").limit(2).agg(by_t.alias("r"))
     first, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
     d = count.crossJoin(F.broadcast(two)).withColumn("origin", first["station"]).withColumn("origin_parameter", first["parameter"]).withColumn("separation_margin_t", F.round(second["k"] - first["k"], 2))
     local = alarms.select(F.col("station").alias("_s"), F.col("vehicle").alias("_v"))
@@ -215,10 +215,10 @@ def latent_ranking_at(
     return _welch(d, ["t", "station", "parameter"], least)
 
 
-def latent_trace_at(sc: DataFrame, station: int, parameter: str, times: Sequence[int], exclude: tuple[str, ...] = ("quantity",), top: int = 8) -> DataFrame:
+def latent_trace_at(sc: DataFrame, station: int, parameter: str, times: Sequence[int], exclude: tuple[str, ...] = ("quantity",), top: int = 8, parameters: list[str] = PARAMETERS) -> DataFrame:
     """The ``top`` signals of ``latent_ranking_at`` at each time, numbered ``k``."""
     order = Window.partitionBy("t").orderBy(F.abs("t_statistic").desc(), "station", "parameter")
-    return latent_ranking_at(sc, station, parameter, times, exclude).withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
+    return latent_ranking_at(sc, station, parameter, times, exclude, parameters=parameters).withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
 
 
 def alarms_of(flags: DataFrame, bots: DataFrame) -> DataFrame:

@@ -34,7 +34,18 @@ cells AS (
   SELECT station, parameter, variant, avg(value) AS mean, greatest(stddev_samp(value), 1e-6) AS std, count(*) AS n, grouping(variant) AS pooled
   FROM wm WHERE vehicle <= least({T.warmup}, greatest(30, nmax // 2)) GROUP BY GROUPING SETS ((station, parameter, variant), (station, parameter)) HAVING count(*) >= 12)"""
 
-SCORED = CELLS + """,
+OVEN = f""",
+ov AS (
+  SELECT station, (station - 1) // 10 AS oven, vehicle, 25.0 + 19.0 * ((station - 1) % 10) AS dwell, round(4.0 * sin(2 * 3.141592653589793 * vehicle / 120), 6) AS ambient, discount, tax,
+         CASE WHEN (station - 1) // 10 % 2 = 0 AND vehicle BETWEEN 240 AND 350 THEN 42.0 + (55.0 - 42.0) * (vehicle - 240) / 110 ELSE 42.0 END AS tau FROM opsl WHERE {MANUAL}),
+ort AS (SELECT *, round(25.0 + 153.0 * (1 - exp(-dwell / tau)) + 0.35 * ambient + ((discount - 0.05) * 10 + (tax - 0.04) * 10), 4) AS temperature FROM ov),
+ow AS (SELECT *, temperature - (25.0 + 153.0 * (1 - exp(-dwell / 42.0))) AS r, max(vehicle) OVER (PARTITION BY station) AS nv FROM ort),
+og AS (
+  SELECT station, count(*) AS n, regr_sxx(r, ambient) AS sxx, regr_sxy(r, ambient) AS sxy, regr_syy(r, ambient) AS syy, avg(r) AS my, avg(ambient) AS mx FROM ow
+  WHERE vehicle <= least({T.warmup}, greatest(30, nv // 2)) GROUP BY station HAVING count(*) >= 20),
+ofit AS (SELECT station, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, greatest(sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 1)), 1e-6) AS sigma, n FROM og),
+ores AS (SELECT station, vehicle, round((r - intercept - slope * ambient) / sigma, 3) AS residual FROM ow JOIN ofit USING (station))"""
+SCORED = CELLS + OVEN + """,
 sc0 AS (
   SELECT r.*, c.mean AS cm, c.std AS cs, c.n AS cn, p.mean AS pm, p.std AS ps, p.n AS pn,
          c.mean IS NOT NULL AND p.mean IS NOT NULL AND p.n >= 36 AS mixed
@@ -45,7 +56,8 @@ sc AS (
          CASE WHEN mixed THEN round((value - (pm + (cm - pm) * greatest(0, 1 - (ps * ps / greatest(cn, 1)) / greatest((cm - pm) * (cm - pm), 1e-12)))) / ps, 3)
               WHEN coalesce(cm, pm) IS NULL THEN 0 ELSE round((value - coalesce(cm, pm)) / coalesce(cs, ps), 3) END AS z,
          CASE WHEN mixed THEN 'empirical+shrunk_variant' WHEN coalesce(cm, pm) IS NOT NULL THEN 'empirical' ELSE 'unavailable' END AS baseline_source,
-         CASE WHEN mixed THEN pn ELSE coalesce(cn, pn, 0) END AS baseline_n FROM sc0)"""
+         CASE WHEN mixed THEN pn ELSE coalesce(cn, pn, 0) END AS baseline_n FROM sc0
+  UNION ALL SELECT station, vehicle, variant, supplier_lot, 'temperature', temperature, NULL, residual, 'physics_model_residual', 0 FROM ores JOIN ort USING (station, vehicle) JOIN opsl USING (station, vehicle) WHERE oven % 2 = 0)"""
 
 
 def latched(src: str, opens: str, closes: str, key: str = "station, parameter") -> str:
@@ -115,6 +127,16 @@ st AS (
   SELECT s_suppkey AS station, s_suppkey AS pos, r_name AS area, s_suppkey % 3 <> 0 AS instrumented, lag(s_suppkey) OVER (ORDER BY s_suppkey) AS upstream, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS downstream
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+TAU = """,
+tg AS (SELECT round(0.6 * 42.0 + i * (1.2 * 42.0 / 399), 6) AS tau FROM range(400) t(i)),
+tp AS (SELECT oven, vehicle, tg.tau, count(*) AS n, sum(round(temperature - (25.0 + 153.0 * (1 - exp(-dwell / tg.tau))), 6)) AS s, sum(pow(round(temperature - (25.0 + 153.0 * (1 - exp(-dwell / tg.tau))), 6), 2)) AS q FROM ort, tg GROUP BY ALL),
+tw AS (SELECT oven, vehicle, tau, sum(n) OVER w AS wn, sum(s) OVER w AS ws, sum(q) OVER w AS wq, count(*) OVER w AS have FROM tp WINDOW w AS (PARTITION BY oven, tau ORDER BY vehicle ROWS 14 PRECEDING)),
+tf AS (SELECT oven, vehicle, arg_min(tau, (round(wq - ws * ws / wn, 4), tau)) AS tau FROM tw WHERE have = 15 AND wn >= 6 GROUP BY ALL)"""
+TAU_ALARMS = f""",
+t1 AS (SELECT *, count(*) OVER (PARTITION BY oven) AS n, max(vehicle) OVER (PARTITION BY oven) AS mx FROM tf), t2 AS (SELECT *, vehicle <= least({T.warmup}, mx // 2) AS b FROM t1),
+t3 AS (SELECT *, avg(tau) FILTER (b) OVER o AS m, greatest(stddev_samp(tau) FILTER (b) OVER o, 1e-6) AS s, count(*) FILTER (b) OVER o AS nb FROM t2 WINDOW o AS (PARTITION BY oven)),
+t4 AS (SELECT *, round((tau - m) / s, 4) AS z FROM t3 WHERE n >= 40 AND nb >= 20 AND mx >= 45), t5 AS ({latched("t4", "abs(z) >= 3.3", "abs(z) < 0.5 * 3.3", "oven")})"""
+
 AT = 300
 INSPECTION = 10
 TIMES = [60, 150, 260, 300, 420]
@@ -130,7 +152,7 @@ def state(t: int) -> str:
         bb AS (SELECT station, count(*) AS constraints FROM bots WHERE detected_at <= {t} GROUP BY station),
         rb AS (SELECT DISTINCT station FROM bots WHERE detected_at BETWEEN {t - 20} AND {t}),
         nb AS (SELECT st.station, bool_or(nf.al) AS al FROM st JOIN nf ON nf.station IN (st.upstream, st.downstream) GROUP BY st.station),
-        hs AS (SELECT station, round(greatest(0, 100 - 16 * avg(abs(z))) + 1e-9, 1) AS h FROM sc WHERE vehicle BETWEEN {t - 20} AND {t} GROUP BY station),
+        hs AS (SELECT station, round(greatest(0, 100 - 16 * avg(abs(z) * CASE parameter WHEN 'temperature' THEN 1.4 ELSE 1 END)) + 1e-9, 1) AS h FROM sc WHERE vehicle BETWEEN {t - 20} AND {t} GROUP BY station),
         own AS (SELECT st.*, vehicle, outcome, worst_cycle, coalesce(n_open, 0) AS n_open, coalesce(n_flags, 0) AS n_flags, coalesce(constraints, 0) AS constraints, h, nb.al AS nal,
                        CASE WHEN rb.station IS NOT NULL OR rf.al THEN 'alert' WHEN rf.station IS NOT NULL THEN 'warning' ELSE 'healthy' END AS s
                 FROM st LEFT JOIN lo USING (station) LEFT JOIN rf USING (station) LEFT JOIN ff USING (station) LEFT JOIN bb USING (station) LEFT JOIN rb USING (station) LEFT JOIN nb USING (station) LEFT JOIN hs USING (station))
@@ -170,7 +192,7 @@ ORACLES = {
     "spc_persistent": f"WITH {SCORED}{PERSIST} SELECT * FROM f_pers",
     "spc_trend": f"WITH {SCORED}{TREND} SELECT * FROM f_trend",
     "spc_cross": f"WITH {SCORED}{CROSS} SELECT station, parameter, vehicle, type, severity, evidence FROM f_cross",
-    "flags_union": f"WITH {FLAGS} SELECT * FROM flags",
+    "flags_union": f"WITH {FLAGS}{TAU}{TAU_ALARMS} SELECT * FROM flags UNION ALL SELECT oven * 10 + 1, 'oven_tau', vehicle, 'physics_thermal_violation', 'alert', round(z, 3), printf('time constant %.4f s, %.4f s in the warm-up; no single zone need be off', tau, m) FROM t5",
     "cusum_series": f"WITH {OPS}{BOTS} SELECT station, vehicle, cs AS cusum FROM b4",
     "rolling_ols": f"WITH {OPS}{BOTS} SELECT station, vehicle, t6 AS slope_t FROM b4 WHERE t6 IS NOT NULL",
     "bottlenecks": f"WITH {OPS}{BOTS}{STATIONS} SELECT bots.*, CASE WHEN downstream IS NULL THEN [] ELSE [downstream] END AS starving_downstream FROM bots JOIN st USING (station)",
@@ -186,7 +208,7 @@ ORACLES = {
     "flags_since": f"WITH {FLAGS} SELECT * FROM flags WHERE vehicle BETWEEN 200 AND {AT}",
     "visible_bottlenecks": f"WITH {OPS}{BOTS} SELECT station, detected_at FROM bots WHERE detected_at <= {AT}",
     "deviation_heatmap": f"""WITH {FLAGS} SELECT station, max(abs(z)) FILTER (parameter = 'quantity') AS quantity, max(abs(z)) FILTER (parameter = 'extendedprice') AS extendedprice,
-        max(abs(z)) FILTER (parameter = 'discount') AS discount, max(abs(z)) FILTER (parameter = 'tax') AS tax FROM flags WHERE type <> 'cross_parameter' GROUP BY station""",
+        max(abs(z)) FILTER (parameter = 'discount') AS discount, max(abs(z)) FILTER (parameter = 'tax') AS tax, max(abs(z)) FILTER (parameter = 'temperature') AS temperature FROM flags WHERE type <> 'cross_parameter' GROUP BY station""",
     "area_counts": f"WITH {OPS}{STATIONS} SELECT area, count(*) AS n, count(*) FILTER (instrumented) AS instrumented FROM st GROUP BY area",
     "backtest_scenarios": f"""WITH {FLAGS}{BOTS}
         SELECT i.id, i.kind, i.station, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) AS first_hit, min(CASE WHEN i.kind = 'bottleneck' THEN b.detected_at ELSE f.vehicle END) - any_value(i.first) AS lag
@@ -291,22 +313,6 @@ def _slope(v: str, w: int) -> str:
     return f"list_sum(list_transform(list_zip({xs}, {ys}), lambda p: p[1] * p[2])) / {w * (w * w - 1) / 12}"
 
 
-OVEN = f""",
-ov AS (
-  SELECT station, (station - 1) // 10 AS oven, vehicle, 25.0 + 19.0 * ((station - 1) % 10) AS dwell, round(4.0 * sin(2 * 3.141592653589793 * vehicle / 120), 6) AS ambient, discount, tax,
-         CASE WHEN (station - 1) // 10 % 2 = 0 AND vehicle BETWEEN 240 AND 350 THEN 42.0 + (55.0 - 42.0) * (vehicle - 240) / 110 ELSE 42.0 END AS tau FROM opsl WHERE {MANUAL}),
-ort AS (SELECT *, round(25.0 + 153.0 * (1 - exp(-dwell / tau)) + 0.35 * ambient + ((discount - 0.05) * 10 + (tax - 0.04) * 10), 4) AS temperature FROM ov),
-ow AS (SELECT *, temperature - (25.0 + 153.0 * (1 - exp(-dwell / 42.0))) AS r, max(vehicle) OVER (PARTITION BY station) AS nv FROM ort),
-og AS (
-  SELECT station, count(*) AS n, regr_sxx(r, ambient) AS sxx, regr_sxy(r, ambient) AS sxy, regr_syy(r, ambient) AS syy, avg(r) AS my, avg(ambient) AS mx FROM ow
-  WHERE vehicle <= least({T.warmup}, greatest(30, nv // 2)) GROUP BY station HAVING count(*) >= 20),
-ofit AS (SELECT station, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, greatest(sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 1)), 1e-6) AS sigma, n FROM og),
-ores AS (SELECT station, vehicle, round((r - intercept - slope * ambient) / sigma, 3) AS residual FROM ow JOIN ofit USING (station))"""
-TAU = """,
-tg AS (SELECT round(0.6 * 42.0 + i * (1.2 * 42.0 / 399), 6) AS tau FROM range(400) t(i)),
-tp AS (SELECT oven, vehicle, tg.tau, count(*) AS n, sum(round(temperature - (25.0 + 153.0 * (1 - exp(-dwell / tg.tau))), 6)) AS s, sum(pow(round(temperature - (25.0 + 153.0 * (1 - exp(-dwell / tg.tau))), 6), 2)) AS q FROM ort, tg GROUP BY ALL),
-tw AS (SELECT oven, vehicle, tau, sum(n) OVER w AS wn, sum(s) OVER w AS ws, sum(q) OVER w AS wq, count(*) OVER w AS have FROM tp WINDOW w AS (PARTITION BY oven, tau ORDER BY vehicle ROWS 14 PRECEDING)),
-tf AS (SELECT oven, vehicle, arg_min(tau, (round(wq - ws * ws / wn, 4), tau)) AS tau FROM tw WHERE have = 15 AND wn >= 6 GROUP BY ALL)"""
 EXPORT = """,
 en AS (SELECT station, substr(area, 1, 3) || '-' || printf('%04d', station) AS station_id, instrumented FROM st),
 ex AS (
@@ -343,11 +349,7 @@ grd AS (SELECT DISTINCT station, unnest(range(1, n + 1)) AS vehicle FROM opsl, r
 lb AS (SELECT g.station, g.vehicle, CAST(coalesce(bool_or(t.vehicle IS NOT NULL), false) AS INT) AS label FROM grd g LEFT JOIN gt t ON t.station = g.station AND t.vehicle > g.vehicle AND t.vehicle <= g.vehicle + 8 GROUP BY ALL)"""
 RATED = LABELS + ", rt AS (SELECT station, vehicle, round(cycle_time / 100 + queue / 100, 6) AS p, label AS y FROM opsl JOIN lb USING (station, vehicle))"
 
-TAU_ALARMS = f""",
-t1 AS (SELECT *, count(*) OVER (PARTITION BY oven) AS n, max(vehicle) OVER (PARTITION BY oven) AS mx FROM tf), t2 AS (SELECT *, vehicle <= least({T.warmup}, mx // 2) AS b FROM t1),
-t3 AS (SELECT *, avg(tau) FILTER (b) OVER o AS m, greatest(stddev_samp(tau) FILTER (b) OVER o, 1e-6) AS s, count(*) FILTER (b) OVER o AS nb FROM t2 WINDOW o AS (PARTITION BY oven)),
-t4 AS (SELECT *, round((tau - m) / s, 4) AS z FROM t3 WHERE n >= 40 AND nb >= 20 AND mx >= 45), t5 AS ({latched("t4", "abs(z) >= 3.3", "abs(z) < 0.5 * 3.3", "oven")})"""
-_FALSE = f"""{by_line(clean(_ALARMS))}{OVEN}{TAU}{TAU_ALARMS},
+_FALSE = f"""{by_line(clean(_ALARMS))}{TAU}{TAU_ALARMS},
   sn AS (SELECT station // {_N} AS line, count(DISTINCT station) FILTER (k = 'a') AS anomaly, count(DISTINCT station) FILTER (k = 'b') AS bottleneck FROM (SELECT station, 'a' AS k FROM flags UNION ALL SELECT station, 'b' FROM bots) GROUP BY 1),
   ph AS (SELECT oven // {_N // 10} AS line, count(*) AS physics FROM t5 GROUP BY 1),
   per AS (SELECT line, vehicles, coalesce(anomaly, 0) AS anomaly, coalesce(bottleneck, 0) AS bottleneck, coalesce(physics, 0) AS physics FROM (SELECT station // {_N} AS line, max(vehicle) AS vehicles FROM opsl GROUP BY 1) LEFT JOIN sn USING (line) LEFT JOIN ph USING (line))"""
@@ -415,7 +417,7 @@ ORACLES |= {
     "oven_tau_fit": f"WITH {OPS}{OVEN}{TAU} SELECT * FROM tf",
     "oven_tau_alarms": f"""WITH {OPS}{OVEN}{TAU}{TAU_ALARMS}
         SELECT oven, vehicle, 'physics_thermal_violation' AS type, 'alert' AS severity, round(tau, 4) AS measured, round(m, 4) AS expected, z FROM t5""",
-    "risk_features": f"WITH {FLAGS}{OVEN}{RISK} SELECT station, vehicle, {', '.join(f'round(CAST({c} AS DOUBLE) + 1e-9, 5) + 0.0 AS {c}' for c in _FEATURES)} FROM f4",
+    "risk_features": f"WITH {FLAGS}{RISK} SELECT station, vehicle, {', '.join(f'round(CAST({c} AS DOUBLE) + 1e-9, 5) + 0.0 AS {c}' for c in _FEATURES)} FROM f4",
     "risk_labels": f"WITH {LABELS} SELECT station, vehicle, label FROM lb",
     "risk_metrics": f"""WITH {RATED}, tot AS (SELECT count(*) AS n, sum(y) AS pos, round(avg(pow(p - y, 2)), 4) AS brier FROM rt),
         ds AS (SELECT p, count(*) AS k, sum(y) AS y FROM rt GROUP BY p), cm AS (SELECT *, sum(k) OVER (ORDER BY p DESC) AS ck, sum(y) OVER (ORDER BY p DESC) AS cy FROM ds),

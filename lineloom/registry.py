@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import ADAPTED as T
+from .config import PLANT
 from .functions import series as S
 from .operators import attribution as X
 from .operators import business as B
@@ -34,16 +35,23 @@ def query(f):
     return f
 
 
+#: All parameters that are scored, and of them those of the oven model, weights in the health score, those kept out of back-traces.
+P = list(PLANT)
+MODELS = {p: x.model for p, x in PLANT.items() if x.model}
+WEIGHTS = {p: x.weight for p, x in PLANT.items()}
+UNTRACED = tuple(p for p, x in PLANT.items() if not x.traced)
+
+
 def _faulty(spark, d, rule=A.instrumented):
-    return A.with_faults(A.line(spark, d, rule), A.by_station(spark, ANY))
+    return A.with_faults(O.with_ovens(A.line(spark, d, rule)), A.by_station(spark, ANY))
 
 
 def _scored(spark, d, rule=A.instrumented):
-    return D.score(_faulty(spark, d, rule), T)
+    return D.score(_faulty(spark, d, rule), T, parameters=P, models=MODELS)
 
 
 def _flagged(spark, d, rules=(*D.RULES, "cross_parameter")):
-    return D.with_flags(_scored(spark, d), T, rules)
+    return D.with_flags(_scored(spark, d), T, rules, P)
 
 
 def _slowed(spark, d):
@@ -54,11 +62,6 @@ def _bottlenecks(spark, d):
     return D.bottlenecks(_slowed(spark, d), T)
 
 
-def _clean(spark, d):
-    """The line without any fault, scored and with its alarms."""
-    return D.with_flags(D.score(A.line(spark, d), T), T)
-
-
 @query
 def operations(spark, d):
     return A.operations(spark, d).drop("order_key", "instrumented", *A.PARAMETERS)
@@ -78,13 +81,13 @@ def baseline_cells(spark, d):
 
 @query
 def scored_readings(spark, d):
-    return D.scored_readings(_scored(spark, d)).select("station", "vehicle", "parameter", "z", "baseline_source", "baseline_n")
+    return D.scored_readings(_scored(spark, d), P).select("station", "vehicle", "parameter", "z", "baseline_source", "baseline_n")
 
 
 @query
 def ewma_series(spark, d):
-    e = S.ewma(_scored(spark, d), {f"e_{p}": f"z_{p}" for p in A.PARAMETERS}, D.STATION, T.lam)
-    return A.readings(e, {"ewma": "e_"}).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9) + 1e-10, 6).alias("ewma"))
+    e = S.ewma(_scored(spark, d), {f"e_{p}": f"z_{p}" for p in P}, D.STATION, T.lam)
+    return A.readings(e.withColumns({f"e_{p}": F.when(F.col(f"z_{p}").isNotNull(), F.col(f"e_{p}")) for p in P}), {"ewma": "e_"}, P).select("station", "parameter", "vehicle", F.round(F.round("ewma", 9) + 1e-10, 6).alias("ewma"))
 
 
 @query
@@ -109,6 +112,12 @@ def spc_cross(spark, d):
 
 @query
 def flags_union(spark, d):
+    """All alarms of the line: the rules on every score, and the ovens' time constants."""
+    physics = O.tau_flags(O.tau_alarms(O.tau_fit(O.oven_readings(A.line(spark, d))), T))
+    return _rules(spark, d).unionByName(physics)
+
+
+def _rules(spark, d):
     return D.flags(_flagged(spark, d))
 
 
@@ -129,13 +138,13 @@ def bottlenecks(spark, d):
 
 @query
 def parameter_correlation(spark, d):
-    return D.correlations(_scored(spark, d)).withColumn("r", F.round("r", 6))
+    return D.correlations(_scored(spark, d), P).withColumn("r", F.round("r", 6))
 
 
 @query
 def rolling_median(spark, d):
-    m = _scored(spark, d).withColumns({f"m_{p}": F.round(F.col(f"z_{p}") - S.rolling_median(f"z_{p}", D.STATION, T.detrend), 6) for p in A.PARAMETERS})
-    return A.readings(m, {"detrended": "m_"}).select("station", "parameter", "vehicle", "detrended")
+    m = _scored(spark, d).withColumns({f"m_{p}": F.round(F.col(f"z_{p}") - S.rolling_median(f"z_{p}", D.STATION, T.detrend), 6) for p in P})
+    return A.readings(m, {"detrended": "m_"}, P).select("station", "parameter", "vehicle", "detrended")
 
 
 @query
@@ -166,7 +175,7 @@ def latest_operations(spark, d):
 def station_series(spark, d):
     """The last 120 readings of each parameter of one station."""
     w = Window.partitionBy("parameter").orderBy(F.desc("vehicle"))
-    sc = D.scored_readings(_scored(spark, d).where((F.col("station") == 5) & (F.col("vehicle") <= AT)))
+    sc = D.scored_readings(_scored(spark, d).where((F.col("station") == 5) & (F.col("vehicle") <= AT)), P)
     return sc.withColumn("_k", F.row_number().over(w)).where("_k <= 120").select("parameter", "vehicle", "z")
 
 
@@ -183,7 +192,7 @@ def visible_bottlenecks(spark, d):
 @query
 def deviation_heatmap(spark, d):
     f = D.flags(_flagged(spark, d, D.RULES))
-    return f.groupBy("station").pivot("parameter", A.PARAMETERS).agg(F.max(F.abs("z")))
+    return f.groupBy("station").pivot("parameter", P).agg(F.max(F.abs("z")))
 
 
 @query
@@ -193,13 +202,13 @@ def area_counts(spark, d):
 
 def _all_rows(spark, d):
     """Every operation with its scores and alarms, those without instruments too; the scored rows are written once."""
-    sc = stage(D.score(_faulty(spark, d), T, manual=True), "scored")
-    return sc, D.with_flags(sc, T)
+    sc = stage(D.score(_faulty(spark, d), T, parameters=P, models=MODELS, manual=True), "scored")
+    return sc, D.with_flags(sc, T, parameters=P)
 
 
 def _states(spark, d, times):
     sc, rows = _all_rows(spark, d)
-    return sc, R.state_at(A.stations(spark, d), rows, stage(_bottlenecks(spark, d), "constraints"), times)
+    return sc, R.state_at(A.stations(spark, d), rows, stage(_bottlenecks(spark, d), "constraints"), times, parameters=P, weights=WEIGHTS)
 
 
 @query
@@ -226,30 +235,30 @@ def state_document(spark, d):
 def line_state(spark, d):
     """The whole line at several times: counts, rate, losses and back-trace, nested parts as JSON."""
     sc, s = _states(spark, d, TIMES)
-    out = R.line_state_at(stage(s, "states"), R.latent_trace_at(sc, INSPECTION, "tax", TIMES))
+    out = R.line_state_at(stage(s, "states"), R.latent_trace_at(sc, INSPECTION, "tax", TIMES, UNTRACED, parameters=P))
     return out.select("t", "n_stations", "instrumented", "alert", "warning", "healthy", "flags", "constraints", "throughput.line_uph", "throughput.takt_s", "throughput.constraint_station", "throughput.recoverable_uph", *(F.to_json(c).alias(c) for c in ("loss", "trace")))
 
 
 @query
 def latent_trace_at(spark, d):
     """The back-trace as it was known at several times."""
-    return R.latent_trace_at(_scored(spark, d), INSPECTION, "tax", TIMES)
+    return R.latent_trace_at(_scored(spark, d), INSPECTION, "tax", TIMES, UNTRACED, parameters=P)
 
 
 @query
 def spc_cross_causal(spark, d):
     """The cross-parameter rule with the correlations known at each vehicle."""
-    return D.flags(D.with_flags(_scored(spark, d), T, ("cross_parameter",), causal=True)).drop("z")
+    return D.flags(D.with_flags(_scored(spark, d), T, ("cross_parameter",), P, causal=True)).drop("z")
 
 
 @query
 def backtest_scenarios(spark, d):
-    return R.backtest_scenarios(A.injections(spark), R.alarms_of(flags_union(spark, d), _bottlenecks(spark, d)))
+    return R.backtest_scenarios(A.injections(spark), R.alarms_of(_rules(spark, d), _bottlenecks(spark, d)))
 
 
 @query
 def backtest_summary(spark, d):
-    alarms = stage(R.alarms_of(flags_union(spark, d), _bottlenecks(spark, d)), "alarms")
+    alarms = stage(R.alarms_of(_rules(spark, d), _bottlenecks(spark, d)), "alarms")
     return R.backtest_summary(A.injections(spark), alarms)
 
 
@@ -265,7 +274,7 @@ def coverage_study(spark, d):
     parts = []
     for level in (0.7, 0.5, 0.3):
         rule = A.covered(level)
-        flags = D.flags(D.with_flags(_scored(spark, d, rule), T))
+        flags = D.flags(D.with_flags(_scored(spark, d, rule), T, parameters=P))
         summary = R.backtest_summary(A.injections(spark), stage(R.alarms_of(flags, bots), "alarms"))
         n = A.stations(spark, d).agg(F.count_if(rule(F.col("station"))).alias("instrumented_stations"), F.count_if(~rule(F.col("station"))).alias("manual_stations"))
         parts.append(summary.select(F.lit(level).alias("level"), "recall", "precision", "bottleneck_recall", "median_detection_lag").crossJoin(F.broadcast(n)))  # one row each
@@ -274,7 +283,7 @@ def coverage_study(spark, d):
 
 @query
 def calibration_sweep(spark, d):
-    peaks = stage(B.peaks(D.score(A.line(spark, d), T), D.constraint_series(A.line(spark, d), T), A.PARAMETERS, T.lam, 10), "peaks")
+    peaks = stage(B.peaks(D.score(O.with_ovens(A.line(spark, d)), T, parameters=P, models=MODELS), D.constraint_series(A.line(spark, d), T), P, T.lam, 10), "peaks")
     return B.calibration(peaks, {"ewma": (0.5, 0.05, 60), "cusum": (2.0, 0.25, 233)}, 1.0 / 3)
 
 
@@ -285,17 +294,17 @@ def inspection_failures(spark, d):
 
 @query
 def latent_trace(spark, d):
-    return R.latent_trace(_scored(spark, d), INSPECTION, "tax")
+    return R.latent_trace(_scored(spark, d), INSPECTION, "tax", UNTRACED, parameters=P)
 
 
 @query
 def latent_exposure(spark, d):
-    return R.latent_exposure(_scored(spark, d), flags_union(spark, d), INSPECTION, "tax")
+    return R.latent_exposure(_scored(spark, d), _rules(spark, d), INSPECTION, "tax", UNTRACED, parameters=P)
 
 
 @query
 def lot_mean_abs_z(spark, d):
-    sc = D.scored_readings(_scored(spark, d))
+    sc = D.scored_readings(_scored(spark, d), P)
     return sc.groupBy("supplier_lot").agg(F.round(F.avg(F.abs("z")) + 1e-9, 6).alias("lot_mean_abs_z"), F.count(F.lit(1)).alias("n"))
 
 
@@ -344,7 +353,7 @@ def oven_tau_alarms(spark, d):
 
 def _features(spark, d):
     rd = O.oven_readings(A.line(spark, d))
-    return K.features(A.operations(spark, d), stage(_flagged(spark, d), "flagged"), O.residuals(rd, O.thermal_regression(rd, T)), T)
+    return K.features(A.operations(spark, d), stage(_flagged(spark, d), "flagged"), O.residuals(rd, O.thermal_regression(rd, T)), T, P)
 
 
 @query
@@ -379,8 +388,8 @@ LINES = ["line", "station"]
 
 def _lines_flagged(spark, d, causal=False):
     """All lines with their faults, scored and with their alarms; lines go through every window by (line, station)."""
-    sc = stage(D.score(A.line_faults(A.lines(spark, d)), T, keys=LINES), "lines")
-    return D.with_flags(sc, T, keys=LINES, causal=causal)
+    sc = stage(D.score(A.line_faults(O.with_ovens(A.lines(spark, d))), T, parameters=P, models=MODELS, keys=LINES), "lines")
+    return D.with_flags(sc, T, parameters=P, keys=LINES, causal=causal)
 
 
 @query
@@ -397,7 +406,7 @@ def line_bottlenecks(spark, d):
 def line_false_alarms(spark, d):
     """Alarms of every line without its faults, all of them false."""
     wide = A.lines(spark, d)
-    flags = D.flags(D.with_flags(stage(D.score(wide, T, keys=LINES), "lines"), T, keys=LINES), LINES)
+    flags = D.flags(D.with_flags(stage(D.score(O.with_ovens(wide), T, parameters=P, models=MODELS, keys=LINES), "lines"), T, parameters=P, keys=LINES), LINES)
     physics = O.tau_alarms(O.tau_fit(O.oven_readings(wide, per=["line"]), per=["line"]), T, per=["line"])
     return R.line_false_alarms(wide, flags, D.bottlenecks(wide, T, LINES), physics)
 
@@ -413,7 +422,7 @@ def _risk_frame(spark, d):
     wide = A.with_operator(A.line_faults(A.lines(spark, d)), spark, d)
     rd = O.oven_readings(A.lines(spark, d), per=["line"])
     thermal = O.residuals(rd, O.thermal_regression(rd, T, per=["line"]), per=["line"])
-    feats = K.features(wide, stage(_lines_flagged(spark, d, causal=True), "flagged"), thermal, T, keys=LINES, causal=True)
+    feats = K.features(wide, stage(_lines_flagged(spark, d, causal=True), "flagged"), thermal, T, P, keys=LINES, causal=True)
     truth = A.line_faults(A.lines(spark, d)).where("fault is not null").select(*LINES, "vehicle")
     return stage(feats.join(K.labels(wide, truth, keys=LINES), [*LINES, "vehicle"]), "risk-frame")
 
@@ -525,9 +534,9 @@ def ingest_truth(spark, d):
 def stream_alarms(spark, d):
     """Every rule of a station as a stream, delivered out of order and restarted between deliveries."""
     wide = A.slowed(_faulty(spark, d), A.by_station(spark, SLOW))
-    sc = stage(D.score(wide, T, manual=True), "scored")
-    limit = D.ewma_limit(sc, T).first()[0]
-    alarms, _ = W.replay(W.station_rows(sc, D.constraint_series(sc, T)), W.StationAlarms(limit, T, A.PARAMETERS))
+    sc = stage(D.score(wide, T, parameters=P, models=MODELS, manual=True), "scored")
+    limit = D.ewma_limit(sc, T, P).first()[0]
+    alarms, _ = W.replay(W.station_rows(sc, D.constraint_series(sc, T), P), W.StationAlarms(limit, T, P))
     return alarms.select(F.col("key").alias("station"), "parameter", "vehicle", "type", F.round("z", 3).alias("z"))
 
 
