@@ -28,8 +28,8 @@ from .textnp import AS_IS, BLOCK, mix, words
 
 MARK = "▁"
 #: Texts that share one table of distinct units (a longer text is a block of its own), and occurrences that share a lattice.
-BLOCK_BYTES = 3 << 20
-RANGE_UNITS = 800_000
+BLOCK_BYTES = 3 << 19
+RANGE_UNITS = 400_000
 DENSE = 128  # columns of the trie's table
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
