@@ -60,12 +60,18 @@ def retrofit(case: DataFrame, slope: DataFrame, n_stations: DataFrame, plan=SENS
     return d.select("item", "station_count", "total_cost_usd", F.round(gain, 6).alias("coverage_gain"), F.round(value).alias("annual_value_usd"), F.when(value > 0, F.round(F.col("total_cost_usd") / (value / 12), 1)).alias("payback_months"))
 
 
-def peaks(flagless: DataFrame, constraint: DataFrame, parameters: list[str], lam: float, runs: int) -> DataFrame:
-    """Per station of a fault-free line its largest |EWMA| and CUSUM, with the run it is dealt to; even runs fit, odd ones validate."""
-    e = S.ewma(flagless, {f"_e_{p}": f"z_{p}" for p in parameters}, ["station"], lam)
-    ew = e.groupBy("station").agg(F.round(F.max(F.greatest(*(F.abs(F.round(f"_e_{p}", 9)) for p in parameters))), 6).alias("peak")).select("station", F.lit("ewma").alias("kind"), "peak")
-    cu = constraint.groupBy("station").agg(F.max("cusum_sigma").alias("peak")).select("station", F.lit("cusum").alias("kind"), "peak")
-    return ew.unionByName(cu).withColumn("run", F.pmod("station", F.lit(runs)))
+def peaks(scored: DataFrame, sigma: DataFrame, constraint: DataFrame, taus: DataFrame, parameters: list[str], lam: float) -> DataFrame:
+    """(run, kind, peak) of lines without faults: per station its largest |EWMA| in the line's ``sigma`` (line, ewma_limit) and
+    its largest CUSUM, per oven the largest |z| of its time constant.  As alarms latch, a limit raises one if and only if the
+    peak is over it.  Lines of even number fit, odd ones validate."""
+    e = S.ewma(scored, {f"_e_{p}": f"z_{p}" for p in parameters}, ["line", "station"], lam)
+    ew = e.groupBy("line", "station").agg(F.max(F.greatest(*(F.abs(F.round(f"_e_{p}", 9)) for p in parameters))).alias("m")).join(F.broadcast(sigma), "line")  # a row per line
+    parts = [
+        ew.select("line", F.lit("ewma").alias("kind"), F.round(F.col("m") / F.col("ewma_limit"), 6).alias("peak")),
+        constraint.groupBy("line", "station").agg(F.max("cusum_sigma").alias("peak")).select("line", F.lit("cusum").alias("kind"), "peak"),
+        taus.groupBy("line", "oven").agg(F.max(F.abs("z")).alias("peak")).select("line", F.lit("tau").alias("kind"), "peak"),
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("line", "run")
 
 
 def _grid(start: float, step: float, n: int) -> Column:

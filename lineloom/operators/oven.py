@@ -92,13 +92,17 @@ def tau_fit(rd: DataFrame, o: Oven = Oven(), least: int = 6, per: list[str] = AL
 
 def tau_alarms(fits: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(), least: tuple[int, int] = (40, 20), per: list[str] = ALONE) -> DataFrame:
     """Latched alarms where an oven's time constant is ``z_crit`` off its warm-up; ovens with too few fits raise none."""
+    d = S.latch(tau_scores(fits, th, o, least, per), F.abs("z") >= o.z_crit, F.abs("z") < 0.5 * o.z_crit, [*per, "oven"])
+    return d.where("fires").select(*per, "oven", "vehicle", F.lit("physics_thermal_violation").alias("type"), F.lit("alert").alias("severity"), F.round("tau", 4).alias("measured"), F.round(F.col("_m"), 4).alias("expected"), "z")
+
+
+def tau_scores(fits: DataFrame, th: Thresholds = Thresholds(), o: Oven = Oven(), least: tuple[int, int] = (40, 20), per: list[str] = ALONE) -> DataFrame:
+    """Fits with their distance ``z`` from the oven's warm-up, of ovens with enough of them."""
     whole = Window.partitionBy(*per, "oven")
     d = fits.withColumns({"_n": F.count(F.lit(1)).over(whole), "_max": F.max("vehicle").over(whole)})
     base = F.when(F.col("vehicle") <= F.least(F.lit(th.warmup), F.floor(F.col("_max") / 2)), F.col("tau"))
     d = d.withColumns({"_m": F.avg(base).over(whole), "_s": F.greatest(F.stddev_samp(base).over(whole), F.lit(1e-6)), "_b": F.count(base).over(whole)})
-    d = d.where((F.col("_n") >= least[0]) & (F.col("_b") >= least[1]) & (F.col("_max") >= 3 * o.window)).withColumn("z", F.round((F.col("tau") - F.col("_m")) / F.col("_s"), 4))
-    d = S.latch(d, F.abs("z") >= o.z_crit, F.abs("z") < 0.5 * o.z_crit, [*per, "oven"])
-    return d.where("fires").select(*per, "oven", "vehicle", F.lit("physics_thermal_violation").alias("type"), F.lit("alert").alias("severity"), F.round("tau", 4).alias("measured"), F.round(F.col("_m"), 4).alias("expected"), "z")
+    return d.where((F.col("_n") >= least[0]) & (F.col("_b") >= least[1]) & (F.col("_max") >= 3 * o.window)).withColumn("z", F.round((F.col("tau") - F.col("_m")) / F.col("_s"), 4))
 
 
 def tau_flags(alarms: DataFrame, size: int = 10) -> DataFrame:

@@ -262,6 +262,34 @@ def backtest_summary(inj: DataFrame, alarms: DataFrame) -> DataFrame:
     )
 
 
+def validation(summary: DataFrame, inj: DataFrame, alarms: DataFrame, exposure: DataFrame) -> DataFrame:
+    """``backtest_summary`` with latent defects, found by the back-trace, among the events, and the falsely alarming stations in order."""
+    latent = inj.agg(F.count_if(F.col("kind") == "latent_defect").alias("latent_defect_scenarios"))
+    truth = inj.where("kind <> 'bottleneck'").select("station").distinct()
+    wrong = alarms.where("not is_bot").select("station").distinct().join(truth, "station", "left_anti").agg(F.array_sort(F.collect_list("station")).alias("false_positive_stations"))  # stations of a line
+    found = exposure.select((F.col("available") & F.col("origin").isNotNull()).alias("_found"), F.col("origin").alias("latent_origin_station"))
+    d = summary.crossJoin(F.broadcast(latent)).crossJoin(F.broadcast(wrong)).crossJoin(F.broadcast(found))  # one row each
+    named = [c for c in summary.columns if c not in ("evaluated_events", "detected_events")]
+    identified = (F.col("latent_defect_scenarios") > 0) & F.col("_found")
+    return d.select(
+        *named, "false_positive_stations", "latent_defect_scenarios", identified.alias("latent_origin_identified"), "latent_origin_station",
+        (F.col("evaluated_events") + F.col("latent_defect_scenarios")).alias("evaluated_events"), (F.col("detected_events") + identified.cast("int")).alias("detected_events"),
+    )
+
+
+def report(valid: DataFrame, false_alarms: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """One row: the validation as one JSON document and as text."""
+    whole = lambda d: d.select(F.struct(*d.columns))
+    limits = calibrated.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "limit")))).alias("l"))  # a row per detector
+    d = whole(valid).toDF("v").crossJoin(F.broadcast(whole(false_alarms).toDF("f"))).crossJoin(F.broadcast(limits))  # one row each
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("precision "), some("v.precision"), F.lit(" %, recall "), some("v.recall"), F.lit(" %")), F.concat(F.lit("constraints: precision "), some("v.bottleneck_precision"), F.lit(" %, recall "), some("v.bottleneck_recall"), F.lit(" %")),
+        F.concat(F.lit("events found "), some("v.detected_events"), F.lit(" of "), some("v.evaluated_events")), F.concat(F.lit("false alarms per run "), some("f.total_false_alarms_per_run"), F.lit(", run length to one "), some("f.arl0_vehicles")),
+    )
+    return d.select(F.to_json(F.struct(F.col("v").alias("validation"), F.col("f").alias("false_alarms"), F.col("l").alias("limits")), {"ignoreNullFields": "false"}).alias("document"), text.alias("text"))
+
+
 def line_false_alarms(lines: DataFrame, flags: DataFrame, bots: DataFrame, physics: DataFrame) -> DataFrame:
     """Per line without faults: its vehicles (of the longest station), distinct stations with alarms and with constraints, and oven alarms."""
     seen = flags.select("line", "station", F.lit("a").alias("k")).unionByName(bots.select("line", "station", F.lit("b").alias("k"))).distinct()

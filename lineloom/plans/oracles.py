@@ -299,6 +299,20 @@ def _grid(kind: str, start: float, step: float, n: int) -> str:
         FROM pk, (SELECT round({start} + i * {step}, 4) AS lim FROM range({n}) t(i)) WHERE kind = '{kind}' GROUP BY lim))"""
 
 
+CALIBRATED = f"""{by_line(clean(SCORED + PERSIST + BOTS))}{TAU}{TAU_ALARMS},
+pk AS (SELECT station // {_N} AS run, 'ewma' AS kind, round(max(abs(e)) / (any_value(lim) / {T.ewma_l}), 6) AS peak FROM el GROUP BY station UNION ALL SELECT station // {_N}, 'cusum', max(cs) FROM b4 GROUP BY station
+  UNION ALL SELECT oven // {_N // 10}, 'tau', max(abs(z)) FROM t4 GROUP BY oven),
+cal AS ({_grid("ewma", 1.5, 0.1, 126)} UNION ALL {_grid("cusum", 2.0, 0.25, 233)} UNION ALL {_grid("tau", 2.0, 0.1, 121)})"""
+VALID = f"""{FAILS},
+og_ AS (SELECT (SELECT station FROM rk ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 1) AS origin, (SELECT count(*) FROM failed) >= 8 AS available),
+fps AS (SELECT coalesce(list(station ORDER BY station), []) AS fps FROM (SELECT DISTINCT station FROM flags WHERE station NOT IN (SELECT station FROM inj WHERE kind <> 'bottleneck'))),
+ld AS (SELECT count(*) AS n FROM inj WHERE kind = 'latent_defect'),
+valid AS (
+  SELECT precision, recall, false_positives, bottleneck_precision, bottleneck_recall, bottleneck_false_positives, mean_detection_lag, median_detection_lag, p90_detection_lag, bottleneck_events, fps AS false_positive_stations, n AS latent_defect_scenarios,
+         n > 0 AND available AND origin IS NOT NULL AS latent_origin_identified, origin AS latent_origin_station, evaluated_events + n AS evaluated_events, detected_events + CASE WHEN n > 0 AND available AND origin IS NOT NULL THEN 1 ELSE 0 END AS detected_events
+  FROM summary, og_, fps, ld)"""
+
+
 _W = "(PARTITION BY station ORDER BY vehicle ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 
 
@@ -398,9 +412,16 @@ ORACLES |= {
     "backtest_summary": f"{_ALARMS}{SUMMARY} SELECT * FROM summary",
     "false_alarm_profile": _PROFILE,
     "coverage_study": _LEVELS,
-    "calibration_sweep": f"""WITH {clean(SCORED)}{EWMA}{clean(BOTS)},
-        pk AS (SELECT station, station % 10 AS run, 'ewma' AS kind, round(max(abs(e)), 6) AS peak FROM ew GROUP BY ALL UNION ALL SELECT station, station % 10, 'cusum', max(cs) FROM b4 GROUP BY ALL)
-        {_grid("ewma", 0.5, 0.05, 60)} UNION ALL {_grid("cusum", 2.0, 0.25, 233)}""",
+    "calibration_sweep": f"WITH {CALIBRATED} SELECT * FROM cal",
+    "calibrated_bottlenecks": f"""WITH {OPS}{BOTS}, lm AS (SELECT "limit" AS h FROM (WITH {CALIBRATED} SELECT * FROM cal) WHERE kind = 'cusum'), b5 AS (SELECT b4.*, h FROM b4, lm),
+        b6 AS ({latched("b5", f"rn > nw AND cs > h AND t6 IS NOT NULL AND (t6 >= {T.slope_t} OR qz >= {T.queue_z})", f"rn > nw AND cs < h * {T.release}", "station")}) SELECT station, vehicle, round(cs, 4) AS cusum FROM b6""",
+    "validation": f"{_ALARMS}{SUMMARY}{VALID} SELECT * FROM valid",
+    "validation_report": f"""WITH vd AS ({_ALARMS}{SUMMARY}{VALID} SELECT * FROM valid), fa AS ({_PROFILE}), cl AS (SELECT map(list(kind ORDER BY kind), list("limit" ORDER BY kind)) AS limits FROM (WITH {CALIBRATED} SELECT * FROM cal))
+        SELECT CAST(to_json({{'validation': vd, 'false_alarms': fa, 'limits': limits}}) AS VARCHAR) AS document,
+               'precision ' || coalesce(CAST(vd.precision AS VARCHAR), '-') || ' %, recall ' || coalesce(CAST(vd.recall AS VARCHAR), '-') || ' %' || chr(10) || 'constraints: precision ' || coalesce(CAST(bottleneck_precision AS VARCHAR), '-') || ' %, recall ' || coalesce(CAST(bottleneck_recall AS VARCHAR), '-') || ' %' || chr(10)
+               || 'events found ' || detected_events || ' of ' || evaluated_events || chr(10) || 'false alarms per run ' || total_false_alarms_per_run || ', run length to one ' || coalesce(CAST(arl0_vehicles AS VARCHAR), '-') AS text FROM vd, fa, cl""",
+    "alarm_window": f"WITH {FLAGS} SELECT * FROM flags WHERE station = 5 AND vehicle BETWEEN 200 AND {AT}",
+    "alarm_windows": f"WITH {FLAGS} SELECT t, station, parameter, vehicle, type FROM flags, (SELECT unnest({TIMES}) AS t) WHERE vehicle BETWEEN t - 20 AND t",
     "latent_exposure": f"""WITH {FLAGS}{FAILS}, r2 AS (SELECT * FROM rk ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 2), r1 AS (SELECT * FROM r2 ORDER BY abs(t_statistic) DESC, station, parameter LIMIT 1),
         fc AS (SELECT count(*) AS failures, min(vehicle) AS ff FROM failed), la AS (SELECT min(vehicle) AS la FROM flags, fc WHERE station = (SELECT station FROM r1) AND vehicle >= ff)
         SELECT failures >= 8 AS available, CASE WHEN failures < 8 THEN 'Only ' || failures || ' inspection failures; need 8 to attribute.' END AS reason, failures, (SELECT station FROM r1) AS origin, (SELECT parameter FROM r1) AS origin_parameter,

@@ -14,10 +14,12 @@ from .functions import series as S
 from .operators import attribution as X
 from .operators import business as B
 from .operators import detect as D
+from .operators import limits as L
 from .operators import model_store as M
 from .operators import oven as O
 from .operators import report as R
 from .operators import risk as K
+from .operators.alarm_index import AlarmIndex
 from .plans.oracles import AT, INSPECTION, ORACLES, TIMES
 from .sources import adapters as A
 from .sources import ingest as I
@@ -281,10 +283,54 @@ def coverage_study(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _peaks(spark, d):
+    wide = A.lines(spark, d)
+    sc = stage(D.score(O.with_ovens(wide), T, parameters=P, models=MODELS, keys=LINES), "lines")
+    sigma = D.ewma_limit(sc, dataclasses.replace(T, ewma_l=1.0), P, ["line"])
+    taus = O.tau_scores(O.tau_fit(O.oven_readings(wide, per=["line"]), per=["line"]), T, per=["line"])
+    return B.peaks(sc, sigma, D.constraint_series(wide, T, LINES), taus, P, T.lam)
+
+
 @query
 def calibration_sweep(spark, d):
-    peaks = stage(B.peaks(D.score(O.with_ovens(A.line(spark, d)), T, parameters=P, models=MODELS), D.constraint_series(A.line(spark, d), T), P, T.lam, 10), "peaks")
-    return B.calibration(peaks, {"ewma": (0.5, 0.05, 60), "cusum": (2.0, 0.25, 233)}, 1.0 / 3)
+    """Of each detector the lowest limit that keeps false alarms within a third of one per line, on fitting and on validating lines."""
+    grids = {"ewma": (1.5, 0.1, 126), "cusum": (2.0, 0.25, 233), "tau": (2.0, 0.1, 121)}
+    return B.calibration(stage(_peaks(spark, d), "peaks"), grids, 1.0 / 3)
+
+
+@query
+def calibrated_bottlenecks(spark, d):
+    """The constraints under the limits that the calibration has written and the detector has read back."""
+    path = fresh_path(spark, "limits")
+    L.append(spark, path, calibration_sweep(spark, d))
+    th, _ = L.thresholds(L.latest(spark, path), T, O.Oven())
+    return D.bottlenecks(_slowed(spark, d), th).select("station", "vehicle", "cusum")
+
+
+@query
+def validation(spark, d):
+    inj = A.injections(spark)
+    alarms = stage(R.alarms_of(_rules(spark, d), _bottlenecks(spark, d)), "alarms")
+    return R.validation(R.backtest_summary(inj, alarms), inj, alarms, latent_exposure(spark, d))
+
+
+@query
+def validation_report(spark, d):
+    """The validation with the false alarms and the calibrated limits, as one document."""
+    return R.report(validation(spark, d), false_alarm_profile(spark, d), calibration_sweep(spark, d))
+
+
+@query
+def alarm_window(spark, d):
+    """Alarms of one station in a range of vehicles, from the stored index."""
+    return AlarmIndex.write(D.flags(_flagged(spark, d))).window(5, 200, AT)
+
+
+@query
+def alarm_windows(spark, d):
+    """Open alarms of all stations at several times, from the stored index."""
+    asked = A.stations(spark, d).select("station", F.explode(F.array(*(F.lit(t) for t in TIMES))).alias("t"))
+    return AlarmIndex.write(D.flags(_flagged(spark, d))).windows(asked, 20).select("t", "station", "parameter", "vehicle", "type")
 
 
 @query

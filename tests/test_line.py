@@ -57,7 +57,7 @@ def test_interp_and_economics(spark):
 
 QUICK = [
     "bottlenecks", "scored_readings", "baseline_cells", "injected_readings", "flags_union", "parameter_correlation", "padded_rolls", "line_throughput", "latent_trace", "latent_exposure", "station_topology", "latest_operations", "cusum_series", "rolling_ols",
-    "state_stations", "state_at_times", "state_document", "line_state", "spc_cross_causal", "line_flags", "line_bottlenecks", "line_false_alarms", "line_backtest", "stream_alarms", "stream_oven_alarms", "backtest_summary", "false_alarm_profile", "calibration_sweep", "economics", "thermal_regression", "oven_tau_alarms", "risk_features", "risk_labels", "risk_metrics", "risk_reliability",
+    "state_stations", "state_at_times", "state_document", "line_state", "spc_cross_causal", "line_flags", "line_bottlenecks", "line_false_alarms", "line_backtest", "stream_alarms", "stream_oven_alarms", "backtest_summary", "false_alarm_profile", "calibration_sweep", "calibrated_bottlenecks", "validation", "validation_report", "alarm_window", "alarm_windows", "economics", "thermal_regression", "oven_tau_alarms", "risk_features", "risk_labels", "risk_metrics", "risk_reliability",
     "export_rows", "export_truth", "ingest_operations", "ingest_readings", "ingest_errors", "ingest_truth",
 ]
 
@@ -128,7 +128,7 @@ def test_csv_rules(spark, tmp_path):
     ):
         with pytest.raises(ingest.DatasetError, match=rule):
             ingest.load(read(head + row + "\n", f"{rule}.csv"), st)
-    for body, text in ((head, "no data rows"), ("vehicle_id,station_id\nA,B\n", "product_variant"), (head.encode() + b"1,A\xff,X,ASI-0001,,,,,,\n", "UTF-8")):
+    for body, text in ((head, "no rows"), ("vehicle_id,station_id\nA,B\n", "product_variant"), (head.encode() + b"1,A\xff,X,ASI-0001,,,,,,\n", "UTF-8")):
         with pytest.raises(ingest.DatasetError, match=text):
             read(body, f"bad{len(body)}.csv")
 
