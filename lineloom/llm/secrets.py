@@ -110,17 +110,39 @@ def llr(token: Column, table: list[float]) -> Column:
     )
 
 
-def secret_scan(docs: DataFrame, *, text_col: str = "text", samples: DataFrame | None = None, threshold: float = 2.0, keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fit_threshold(samples: DataFrame, table: list[float], recall: float = 0.98, default: float = 2.0) -> tuple[float, float, float]:
+    """The highest ratio that still finds ``recall`` of held-out random strings, then the shares of random and of ordinary ones over it.
+
+    Ratios are counted in steps of 0.05; those few hundred counts reach the
+    driver.  Without random strings it is ``default``.
+    """
+    step = F.floor(llr(F.col("sample"), table) * 20).cast("int")
+    rows = samples.where(F.length("sample") >= 16).groupBy(step.alias("b")).agg(F.count_if("is_random").alias("t"), F.count_if(~F.col("is_random")).alias("f")).orderBy(F.desc("b")).collect()
+    n_t, n_f, over_t, over_f = sum(r["t"] for r in rows), sum(r["f"] for r in rows), 0, 0
+    if not n_t:
+        return default, math.nan, math.nan
+    for r in rows:  # at b / 20 all from there on are over
+        over_t, over_f = over_t + r["t"], over_f + r["f"]
+        if over_t >= recall * n_t:
+            return r["b"] / 20, over_t / n_t, over_f / max(n_f, 1)
+
+
+def secret_scan(docs: DataFrame, *, text_col: str = "text", samples: DataFrame | None = None, threshold: float | None = None, keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep_cols`` and ``spans`` (array of start, end, kind; code points, in order) for every row.
 
     Rule spans always stay; a model token (kind ``random``) is added where its
     mean log-likelihood ratio is over ``threshold`` and it touches no rule span.
+    The threshold is fitted to a fifth of the samples that don't train, if none
+    is given.
     Null and empty texts have no spans; repeated rows each get theirs; an empty
     table trains on the generated strings alone.  Row-local apart from training.
     Kept columns may have any name: they come first, in the order given.  Texts
     are taken whole; spans of a long one grow with its matches.
     """
-    table = train(samples if samples is not None else labelled_samples(docs, text_col=text_col))
+    labelled = samples if samples is not None else labelled_samples(docs, text_col=text_col)
+    taught = F.pmod(F.xxhash64("sample"), F.lit(5)) != 0
+    table = train(labelled.where(taught))
+    threshold = fit_threshold(labelled.where(~taught), table)[0] if threshold is None else threshold
     kept = [f"k{i}" for i in range(len(keep_cols))]
     text = F.coalesce(F.col("t"), F.lit(""))
     plain = docs.select(*(F.col(c).alias(k) for c, k in zip(keep_cols, kept, strict=True)), F.col(text_col).alias("t"))
