@@ -120,7 +120,8 @@ def flags_union(spark, d):
 
 
 def _rules(spark, d):
-    return D.flags(_flagged(spark, d))
+    """The rules' alarms; scores are written once and read for the limit and for the rules."""
+    return D.flags(D.with_flags(stage(_scored(spark, d), "scored"), T, parameters=P))
 
 
 @query
