@@ -26,7 +26,7 @@ from .toxicity import held_out
 
 ORDER = 4  # bytes of the longest context
 NODES = 200_000
-#: Entries of the trees of all languages that travel with one pass over the texts.
+#: Nodes times languages of the trees that travel with one pass over the texts (a number each); one language always does.
 PASS_ENTRIES = 8_000_000
 FLUSH = 1_500_000
 UNKNOWN = "und"
@@ -162,13 +162,13 @@ def train(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", la
     taught = docs.where(~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     kept = stage(nodes(stage(counts(taught, order), "language-counts"), order, most), "language-nodes")
     parts: list[list[str]] = []
-    room = 0
+    entries = 0
     for r in kept.groupBy("lang").count().orderBy("lang").collect():  # a row per language
-        if room < r["count"]:
+        if not parts or (entries + r["count"]) * (len(parts[-1]) + 1) > PASS_ENTRIES:
             parts.append([])
-            room = PASS_ENTRIES
+            entries = 0
         parts[-1].append(r["lang"])
-        room -= r["count"]
+        entries += r["count"]
     out = []
     for langs in parts:
         t = kept.where(F.col("lang").isin(langs)).toArrow()
