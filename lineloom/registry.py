@@ -476,7 +476,7 @@ def _risk_frame(spark, d):
 
 def _risk_model(spark, d, frame, rounds=40):
     """The stored model of these settings and lines, or one that is fitted now."""
-    settings = {"thresholds": dataclasses.asdict(T), "features": K.FEATURES, "horizon": K.HORIZON, "roles": K.ROLES, "rounds": rounds, "faults": [A.ONSET, A.LENGTH, A.SLOPE, A.SHIFT, A.SLOWER]}
+    settings = {"thresholds": dataclasses.asdict(T), "parameters": {p: dataclasses.asdict(x) for p, x in PLANT.items()}, "oven": dataclasses.asdict(O.Oven()), "features": K.FEATURES, "horizon": K.HORIZON, "roles": K.ROLES, "rounds": rounds, "faults": [A.ONSET, A.LENGTH, A.SLOPE, A.SHIFT, A.SLOWER]}
     store = M.ModelStore(spark, f"{shared_dir(spark)}/lineloom-models")
     name = M.key(settings, M.fingerprint(A.table(spark, d, "lineitem")))
     return store, name, store.get(name, lambda: K.fit(frame, rounds))
