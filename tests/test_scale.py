@@ -2,8 +2,13 @@
 
 import math
 
+import duckdb
+from pyspark.sql import functions as F
+
+from lineloom import registry
 from lineloom.config import Oven
-from lineloom.operators import oven
+from lineloom.functions import series as S
+from lineloom.operators import oven, report
 
 
 def test_time_constants_shuffle_readings_not_candidates(spark):
@@ -28,3 +33,41 @@ def test_time_constants_shuffle_readings_not_candidates(spark):
 
         want.append((7, vehicles[i], min(grid, key=lambda tau: (sse(tau), tau))))
     assert sorted(map(tuple, fits.collect())) == want
+
+
+def test_cusums_of_four_digits_round_to_three_as_in_the_sql(spark):
+    values = [x / 10000 for x in range(40005, 42000, 10)] + [-4.0535, 0.0, 4.1]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "z double").select(S.rounded("z", 3)).collect()]
+    assert got == [duckdb.execute("select round(?::double, 3)", [v]).fetchall()[0][0] for v in values]
+    assert got[values.index(4.0535)] == 4.053
+
+
+def test_pages_count_positions_from_the_given_first(spark):
+    """As the SQL of state_document: (pos - 1) // 200, where position 0 is on page 0 too."""
+    cols = "t int, pos bigint, station bigint, area string, status string, gap_method string, health_score double, operation int, open_flags array<int>, n_flags bigint"
+    states = spark.createDataFrame([(1, p, p, "a", "healthy", "m", 1.0, 0, [], 0) for p in range(401)], cols)
+    pages = {r.page: r.n for r in report.state_pages(states, first=1).select("page", F.col("n")).collect()}
+    assert pages == {0: 201, 1: 200}
+
+
+def test_composite_queries_run_shared_steps_once(spark, monkeypatch):
+    """Scores of the coverage levels, and the alarms and oven fits of the validation report, are made once."""
+    calls = dict.fromkeys(("score", "tau_fit", "with_flags"), 0)
+
+    def counted(module, name):
+        real = getattr(module, name)
+
+        def run(*args, **kwargs):
+            calls[name] += 1
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, run)
+
+    counted(registry.D, "score")
+    counted(registry.D, "with_flags")
+    counted(registry.O, "tau_fit")
+    registry.QUERIES["coverage_study"](spark, "/root/testdata/sf0.001")
+    assert calls["score"] == 1
+    calls.update(dict.fromkeys(calls, 0))
+    registry.QUERIES["validation_report"](spark, "/root/testdata/sf0.001")
+    assert calls["tau_fit"] == 1 and calls["with_flags"] == 2
