@@ -63,6 +63,8 @@ def test_composite_queries_run_shared_steps_once(spark, monkeypatch):
 
         monkeypatch.setattr(module, name, run)
 
+    # plans only: a staged table is an empty one
+    monkeypatch.setattr(registry, "stage", lambda df, name: spark.createDataFrame([], df.schema))
     counted(registry.D, "score")
     counted(registry.D, "with_flags")
     counted(registry.O, "tau_fit")
