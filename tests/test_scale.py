@@ -73,3 +73,17 @@ def test_composite_queries_run_shared_steps_once(spark, monkeypatch):
     calls.update(dict.fromkeys(calls, 0))
     registry.QUERIES["validation_report"](spark, "/root/testdata/sf0.001")
     assert calls["tau_fit"] == 1 and calls["with_flags"] == 2
+
+
+def test_queries_keep_to_methods_that_the_jvm_compiles(spark):
+    """The scores' projection is one method of some 30,000 bytes; the JVM interprets what has more than 8,000."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(limit)
+    try:
+        registry.QUERIES["scored_readings"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(limit)) == 8000
+        spark.conf.set(limit, 5000)
+        registry.QUERIES["scored_readings"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(limit)) == 5000
+    finally:
+        spark.conf.unset(limit)
