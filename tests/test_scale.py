@@ -87,3 +87,9 @@ def test_queries_keep_to_methods_that_the_jvm_compiles(spark):
         assert int(spark.conf.get(limit)) == 5000
     finally:
         spark.conf.unset(limit)
+
+
+def test_exported_rows_need_no_join_with_their_readings(spark):
+    """The line items are read and shuffled once."""
+    plan = registry.QUERIES["export_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_suppkey") and plan.count("Window") == 1
