@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineloom import registry
 from lineloom.config import Oven
 from lineloom.functions import series as S
-from lineloom.operators import oven, report
+from lineloom.operators import oven, report, risk
 
 
 def test_time_constants_shuffle_readings_not_candidates(spark):
@@ -93,3 +93,22 @@ def test_exported_rows_need_no_join_with_their_readings(spark):
     """The line items are read and shuffled once."""
     plan = registry.QUERIES["export_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_suppkey") and plan.count("Window") == 1
+
+
+def test_alerts_upstream_without_a_vehicle_s_whole_line(spark):
+    """Against plain Python, with gaps in the stations; no window over a vehicle's stations is left in the features."""
+    seats = [1, 2, 4, 7, 8, 20]
+    rows = [(line, s, v, (s * v + line) % 4) for line in (1, 2) for s in seats for v in range(1, 9)]
+    df = spark.createDataFrame(rows, "line bigint, station bigint, vehicle bigint, alerts bigint")
+    got = {(r.line, r.station, r.vehicle): r.up for r in risk.upstream(df.where("alerts > 0"), df, ["line", "station"]).collect()}
+    n = {r[:3]: r[3] for r in rows}
+    want = {(x, s, v): sum(n[x, t, v] for t in seats[max(0, i - 3) : i]) for x in (1, 2) for i, s in enumerate(seats) for v in range(1, 9)}
+    assert got == {k: v for k, v in want.items() if v}
+    plan = registry.K.features(*_frames(spark), parameters=["discount", "quantity"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(vehicle" not in plan
+
+
+def _frames(spark):
+    line = "station bigint, vehicle bigint, supplier_lot bigint, variant string, operator string, cycle_time double, queue bigint, utilization double, manual_outcome string"
+    flagged = "station bigint, vehicle bigint, supplier_lot bigint, z_discount double, z_quantity double, flags array<struct<severity:string>>"
+    return spark.createDataFrame([], line), spark.createDataFrame([], flagged)
