@@ -64,7 +64,7 @@ def subword_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = subwords.encode_and_sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
     return out.selectExpr(
         "doc_id", "n_pieces", "ids", "ids_hash", "round_trip",
-        "transform(samples, s -> s.ids) as sample_ids", "transform(samples, s -> s.hash) as sample_hashes", "transform(samples, s -> s.log_inclusion) as log_inclusion",
+        "samples.ids as sample_ids", "samples.hash as sample_hashes", "samples.log_inclusion as log_inclusion",
     )
 
 

@@ -67,10 +67,10 @@ def op10_sampled_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ids",
         "ids_hash",
         "round_trip",
-        "transform(samples, s -> s.hash) as sample_hashes",
-        "transform(samples, s -> s.ids) as sample_ids",
-        "transform(samples, s -> s.pieces) as sample_pieces",
-        "transform(samples, s -> s.log_inclusion) as log_inclusion",
+        "samples.hash as sample_hashes",
+        "samples.ids as sample_ids",
+        "samples.pieces as sample_pieces",
+        "samples.log_inclusion as log_inclusion",
     )
 
 

@@ -24,13 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import AS_IS, BLOCK, mix, words
+from .textnp import AS_IS, BLOCK, give_back, mix, words
 
 MARK = "▁"
 #: Texts that share one table of distinct units (a longer text is a block of its own), and occurrences that share a lattice.
 BLOCK_BYTES = 3 << 19
 RANGE_UNITS = 400_000
-DENSE = 128  # columns of the trie's table
+KNOWN = 500_000  # units whose ids a worker remembers, some 20 MB
+DENSE = 128  # columns of the trie's table, a power of two
 _U = np.uint64
 _K1, _K2, _K3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
@@ -87,10 +88,10 @@ class Units:
         with np.errstate(over="ignore"):
             key = mix(h ^ (marks.astype(_U) * _K1))
         order = np.argsort(key)
-        key = key[order]
+        key, self.order = key[order], order.astype(np.int32)  # equal units side by side
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        first = order[new]
+        first, self.keys = order[new], key[new]
         self.kind = np.empty(len(key), np.int32)
         self.kind[order] = np.cumsum(new) - 1
         blob = raw.tobytes()
@@ -144,24 +145,21 @@ class Vocabulary:
         common = char[np.argsort(-often, kind="stable")[: DENSE - 1]]
         self.column = np.zeros(1 << 21, np.uint8)
         self.column[common] = np.arange(1, len(common) + 1)
-        self.table = np.zeros((count, DENSE), np.int32)
+        table = np.zeros((count, DENSE), np.int32)
         inner = self.column[self.keys & ((1 << 21) - 1)]
-        self.table[self.keys >> 21, inner] = self.to
-        self.table[:, 0] = 0
+        table[self.keys >> 21, inner] = self.to
+        table[:, 0] = 0
+        self.flat, self.bits = table.ravel(), DENSE.bit_length() - 1  # a node's row begins at node << bits
         # by piece id, and for id -1 - code point, which stands for a character's bytes
         self.chars = np.array([len(x) for x in self.piece], np.int32)
         self.byte_logp = float(self.logp[self.byte_id[0]])
+        self.known = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Where the trie's ``node`` goes by a character; 0 for nowhere."""
-        column = self.column[code]
-        out = self.table[node, column]
-        rare = np.flatnonzero((column == 0) & (code > 0))
-        if len(rare):
-            want = (node[rare].astype(np.int64) << 21) | code[rare]
-            k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            out[rare] = np.where(self.keys[k] == want, self.to[k], 0)
-        return out
+    def search(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Where the trie's ``node`` goes by a character that has no column; 0 for nowhere."""
+        want = (node.astype(np.int64) << 21) | code
+        k = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[k] == want, self.to[k], 0)
 
     def logp_of(self, pid: np.ndarray) -> np.ndarray:
         out = self.logp[np.maximum(pid, 0)]
@@ -191,6 +189,26 @@ class Vocabulary:
         lone = [self.sp.piece_to_id(MARK)]
         return [lone if u == MARK else x for u, x in zip(units, self.sp.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1), strict=True)]
 
+    def encode(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, begins and lengths of a block's distinct units; a worker remembers up to KNOWN of those it has met."""
+        keys, flat, begin, long = self.known
+        at = np.minimum(np.searchsorted(keys, units.keys), max(0, len(keys) - 1))
+        have = keys[at] == units.keys if len(keys) else np.zeros(len(units.keys), bool)
+        new = np.flatnonzero(~have)
+        lists = self.encode_units([units.types[i] for i in new.tolist()])
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        fresh = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum()))
+        del lists
+        all_ids, all_size, all_begin = np.concatenate([flat, fresh]), np.empty(len(have), np.int32), np.empty(len(have), np.int64)
+        start = len(flat) + np.cumsum(size, dtype=np.int64) - size
+        old = at[have]
+        all_size[have], all_begin[have] = long[old], begin[old]
+        all_size[new], all_begin[new] = size, start
+        if len(keys) + len(new) <= KNOWN:
+            to = np.searchsorted(keys, units.keys[new])
+            self.known = np.insert(keys, to, units.keys[new]), all_ids, np.insert(begin, to, start), np.insert(long, to, size)
+        return all_ids, all_begin, all_size
+
     def decode_unit(self, ids: list[int]) -> str:
         text = "".join([self.piece[i] for i in ids])
         return text if "<0x" not in text else MARK + self.decode(ids).replace(" ", MARK)
@@ -208,93 +226,103 @@ def vocabulary(path: str) -> Vocabulary:
 class Lattice:
     """All segmentations of a list of distinct units, as one edge table.
 
-    Nodes are character positions; edges are sorted by source, shorter pieces
-    first.  ``back`` is the log-mass from a node to its unit's end, ``cum`` the
-    running probabilities of a node's edges given that it is reached.
+    Nodes are character positions, numbered by their distance from the unit's
+    end (closing nodes first), longer units first among equals; edges are sorted
+    by source, shorter pieces first.  ``back`` is the log-mass from a node to its
+    unit's end, ``low`` the probability of a node's edges before this one, given
+    that the node is reached.
     """
 
     def __init__(self, voc: Vocabulary, units: list[str]):
-        self.voc = voc
-        size = np.array([len(u) for u in units], np.int64)
-        self.origin = np.concatenate([[0], np.cumsum(size + 1)])[:-1].astype(np.int32)  # one closing node per unit
-        self.close = (self.origin + size).astype(np.int32)
-        n_nodes = int(self.close[-1]) + 1 if len(units) else 0
-        code = np.zeros(n_nodes + 1, np.int32)  # 0 at closing nodes
-        inside = np.ones(n_nodes + 1, bool)
-        inside[self.close] = False
-        inside[-1] = False
+        self.voc, n = voc, len(units)
+        size = np.fromiter(map(len, units), np.int64, n)
+        longest = int(size.max(initial=0))
+        self.rank = np.empty(n, np.int32)
+        self.rank[np.argsort(-size, kind="stable")] = np.arange(n, dtype=np.int32)
+        width = n - np.searchsorted(np.sort(size), np.arange(longest + 1), "left")  # units of that many characters at least
+        level = self.level = np.concatenate([[0], np.cumsum(width)])
+        self.size, self.close = size, self.rank
+        self.origin = (level[size] + self.rank).astype(np.int32)
+        n_nodes = int(level[-1])
+        # characters in the order of the text, a place without one after each unit
+        head = np.cumsum(size + 1) - size - 1
+        code = np.zeros(n_nodes, np.int32)
+        inside = np.ones(n_nodes, bool)
+        inside[head + size] = False
         code[inside] = np.frombuffer("".join(units).encode("utf-32-le"), np.int32)
         code[inside & (code == 0)] = -1  # no piece holds a zero byte
+        left = np.repeat(head + size, size + 1) - np.arange(n_nodes)
+        name = (level[left] + np.repeat(self.rank, size + 1)).astype(np.int32)  # each place's node
+        del left
+        column = voc.column[code]
+        rare = (column == 0) & (code > 0)
+        some = bool(rare.any())
         found = []
-        here = np.flatnonzero(inside).astype(np.int32)
-        node, at = np.zeros(len(here), np.int32), here
+        at = np.flatnonzero(inside).astype(np.int32)
+        here, node = name[at], np.zeros(len(at), np.int32)
         degree = np.zeros(n_nodes + 1, np.int32)
         while len(here):
-            node = voc.step(node, code[at])
-            ok = node > 0
+            node = voc.flat[(node << voc.bits) + column[at]]
+            if some:
+                r = np.flatnonzero(rare[at])
+                node[r] = voc.search(before[r] if len(found) else np.zeros(len(r), np.int32), code[at[r]])
+            ok = np.flatnonzero(node)
             here, node, at = here[ok], node[ok], at[ok] + 1
+            before = node
             pid = voc.end[node]
-            done = pid >= 0
-            found.append((here[done], at[done], pid[done]))
-            degree[here[done]] += 1
+            done = np.flatnonzero(pid >= 0)
+            src = here[done]
+            found.append((src, name[at[done]], pid[done]))
+            degree[src] += 1
             if len(found) == 1:  # characters without a piece fall back to bytes: id -1 - code point
-                single = np.zeros(n_nodes + 1, bool)
-                single[here[done]] = True
-                lone = np.flatnonzero(inside & ~single).astype(np.int32)
-                found.append((lone, lone + 1, -1 - np.maximum(code[lone], 0)))
-                degree[lone] += 1
-        self.first = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32)[: n_nodes + 1]
+                alone = inside.copy()
+                alone[at[done] - 1] = False
+                lone = np.flatnonzero(alone)
+                src = name[lone]
+                found.append((src, name[lone + 1], -1 - np.maximum(code[lone], 0)))
+                degree[src] += 1
+        self.first = np.concatenate([[0], np.cumsum(degree[:n_nodes])]).astype(np.int32)
         self.degree = degree[:n_nodes]
-        total = int(degree.sum())
+        total = int(self.first[-1])
         self.dst, self.pid = np.empty(total, np.int32), np.empty(total, np.int32)
         place = self.first[:n_nodes].copy()
         for src, dst, pid in found:  # sources are distinct in each part
             e = place[src]
             self.dst[e], self.pid[e] = dst, pid
             place[src] = e + 1
-        del found, place, code, inside
+        del found, place, code, inside, column, rare, name
         self.logp = voc.logp_of(self.pid)
-        # backward sums, nodes at equal distance from their unit's end together
-        self.back = np.zeros(n_nodes + 1)
-        ends = self.close[np.argsort(-size, kind="stable")]
-        reach = np.searchsorted(np.sort(size), np.arange(int(size.max(initial=0)) + 2), "left")
-        for d in range(1, int(size.max(initial=0)) + 1):
-            s = ends[: len(units) - int(reach[d])] - d
-            e = self.first[s]
-            sums = self.logp[e] + self.back[self.dst[e]]
-            more, left = np.arange(len(s)), self.degree[s]
-            j = 1
-            while True:
-                deep = left > j
-                more, left = more[deep], left[deep]
-                if not len(more):
-                    break
-                e = self.first[s[more]] + j
-                sums[more] = np.logaddexp(sums[more], self.logp[e] + self.back[self.dst[e]])
-                j += 1
-            self.back[s] = sums
-        self.cum = self.back[self.dst]
-        self.cum += self.logp
-        self.cum -= np.repeat(self.back[:n_nodes], self.degree)
-        np.exp(self.cum, out=self.cum)
+        # backward sums, nodes at equal distance from their unit's end together: their edges are side by side
+        self.back, cum = np.zeros(n_nodes), np.empty(total + 1)
+        for a, z in zip(level[1:-1].tolist(), level[2:].tolist(), strict=True):
+            first, times = self.first[a:z], self.degree[a:z]
+            e = slice(int(first[0]), int(self.first[z]))
+            x = self.back[self.dst[e]]
+            x += self.logp[e]
+            heads = first - first[0]
+            top = np.maximum.reduceat(x, heads)
+            x -= np.repeat(top, times)
+            np.exp(x, out=x)
+            sums = np.add.reduceat(x, heads)
+            x /= np.repeat(sums, times)
+            cum[e.start + 1 : e.stop + 1] = x
+            self.back[a:z] = top + np.log(sums)
         more, j = np.flatnonzero(self.degree > 1), 1
         while len(more):
             e = self.first[more] + j
-            self.cum[e] += self.cum[e - 1]
+            cum[e + 1] += cum[e]
             j += 1
             more = more[self.degree[more] > j]
-        last = self.first[1:][self.degree[: len(self.first) - 1] > 0] - 1 if n_nodes else np.zeros(0, np.int32)
-        self.cum[last] = np.inf
-        if n_nodes:
-            self.cum[total - 1 :] = np.inf
+        self.low = cum[:-1]
+        self.low[self.first[:-1][self.degree > 0]] = 0.0
 
     def chance(self, e: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Probability of edges given that their nodes are reached."""
         return np.exp(self.logp[e] + self.back[self.dst[e]] - self.back[node])
 
-    def draw(self, kind: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def draw(self, kind: np.ndarray, base: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """One segmentation of each unit: its pieces in one list, where it begins there, how many pieces, log-probability."""
-        order = np.argsort(kind)  # equal units side by side
+        order = np.argsort(kind) if order is None else order  # equal units side by side
         kinds, base = kind[order], base[order]
         flat, begin, long = self.walk(self.origin[kinds], self.close[kinds], base, 0)
         logq = (np.add.reduceat(self.voc.logp_of(flat), begin) if len(kind) else np.zeros(0)) - self.back[self.origin[kinds]]
@@ -310,11 +338,11 @@ class Lattice:
         who, here, goal, base = who[going], here[going], goal[going], base[going]
         while len(who):
             u = _uniform(base, step + len(steps))
-            e = self.first[here]
-            up = np.flatnonzero(u >= self.cum[e])
-            while len(up):
-                e[up] += 1
-                up = up[u[up] >= self.cum[e[up]]]
+            e = self.first[here + 1] - 1  # long pieces hold most of the mass
+            down = np.flatnonzero(u < self.low[e])
+            while len(down):
+                e[down] -= 1
+                down = down[u[down] < self.low[e[down]]]
             steps.append((who, self.pid[e]))
             long[who] += 1
             here = self.dst[e]
@@ -332,7 +360,7 @@ class Lattice:
         unit = np.repeat(np.arange(len(kind)), long)
         head = np.cumsum(long, dtype=np.int64) - long
         chars = np.cumsum(self.voc.chars_of(pid)) - self.voc.chars_of(pid)
-        node = (self.origin[kind][unit] + chars - chars[head][unit]).astype(np.int32)
+        node = (self.level[self.size[kind][unit] - chars + chars[head][unit]] + self.rank[kind][unit]).astype(np.int32)
         other, own, more, j = np.zeros(len(pid)), np.zeros(len(pid)), np.arange(len(pid)), 0
         while len(more):
             e = self.first[node[more]] + j
@@ -436,9 +464,9 @@ class Others:
             node, state = edge[1], edge[3]
         lat = self.lat
         while node != self.goal:
-            u, e = next(uniforms), int(lat.first[node])
-            while u >= lat.cum[e]:
-                e += 1
+            u, e = next(uniforms), int(lat.first[node + 1]) - 1
+            while u < lat.low[e]:
+                e -= 1
             out.append(int(lat.pid[e]))
             node = int(lat.dst[e])
         return tuple(out)
@@ -524,7 +552,7 @@ def samples(voc: Vocabulary, units: Units, keys: np.ndarray, k: int, want_ids: b
                 if len(at):
                     number, lat = lattice(a, z)
                     kinds = number[kind[at]]
-                    got = lat.draw(kinds, stream(keys[doc[at]], unit[at], sample))
+                    got = lat.draw(kinds, stream(keys[doc[at]], unit[at], sample), units.order if len(at) == n else None)
                     self.rest[at] = lat.log_rest(kinds, *got)
                     self.add(at, *got)
 
@@ -681,6 +709,7 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
+        give_back()
         for b in batches:
             n, at = b.num_columns, 0
             size = pc.fill_null(pc.binary_length(b.column(n - 1)), 0).to_numpy(zero_copy_only=False).cumsum()
@@ -690,18 +719,18 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
                 at = end
                 units = Units([t or "" for t in part.column(n - 1).to_pylist()])
                 keys = mix(part.column(n - 2).to_numpy().view(_U))
-                per_type = voc.encode_units(units.types)
-                right = None if with_ids else np.array([voc.decode_unit(x) == u for x, u in zip(per_type, units.types, strict=True)], bool)
-                length = np.array([len(x) for x in per_type], np.int64)
-                flat = np.fromiter(itertools.chain.from_iterable(per_type), np.int32, int(length.sum()))
+                flat, begin, length = voc.encode(units)
+                right = None if with_ids else np.array([voc.decode_unit(flat[a : a + m].tolist()) == u for a, m, u in zip(begin.tolist(), length.tolist(), units.types, strict=True)], bool)
                 size_of, reach = length[units.kind], np.concatenate([[0], np.cumsum(units.counts)])
-                cuts = np.concatenate([[0], np.cumsum(size_of)])[reach]
-                ids = flat[_spread((np.cumsum(length) - length)[units.kind], size_of)]
+                cuts = np.concatenate([[0], np.cumsum(size_of, dtype=np.int64)])[reach]
+                ids = flat[_spread(begin[units.kind], size_of)]
                 hashes = _hashes(ids, cuts)
-                del per_type, length, flat, size_of
-                if with_ids:  # whole documents' ids decode to the text
-                    back = (voc.decode(ids[a:z].tolist()) for a, z in zip(cuts[:-1], cuts[1:], strict=True))
-                    whole = np.array([x == (t or "").replace(MARK, " ") for x, t in zip(back, part.column(n - 1).to_pylist(), strict=True)], bool)
+                del flat, begin, length
+                if with_ids:  # whole documents' ids give the text's bytes, spaces as marks
+                    raw, bytes_of, reach = ids.tolist(), voc.raw.__getitem__, cuts.tolist()
+                    want = ((MARK + t.replace(" ", MARK)).encode() if t else b"" for t in part.column(n - 1).to_pylist())
+                    whole = np.array([b"".join(map(bytes_of, raw[a:z])) == t for a, z, t in zip(reach[:-1], reach[1:], want, strict=True)], bool)
+                    del raw
                 else:
                     whole = np.diff(np.concatenate([[0], np.cumsum(~right[units.kind])])[reach]) == 0
                 yield pa.RecordBatch.from_arrays(
@@ -715,6 +744,8 @@ def encode_and_sample(docs: DataFrame, model_path: str, *, k: int = 2, with_ids:
                     ],
                     names=names,
                 )
+                del units, ids, part, size_of
+                give_back()
 
     return src.mapInArrow(run, f"{head}n_pieces bigint, ids array<int>, ids_hash bigint, round_trip boolean, samples array<{SAMPLE}>")
 

@@ -111,3 +111,25 @@ def test_ranges_of_a_block_change_nothing(monkeypatch):
     whole = S.sample_block(voc, S.Units(texts), keys, 6, True)
     monkeypatch.setattr(S, "RANGE_UNITS", 2)
     assert S.sample_block(voc, S.Units(texts), keys, 6, True) == whole
+
+
+def test_known_units_change_nothing():
+    """What a worker remembers of units: the ids are the library's, before, with and past the memory's bound."""
+    voc = S.Vocabulary(PATH)
+    for texts in (["some words here", "é▁x ▁", "\U0001f600  b"], ["words here again some", "", "new \U0001f600"], ["more"]):
+        for _ in range(2):
+            units = S.Units(texts)
+            flat, begin, long = voc.encode(units)
+            assert [flat[a : a + n].tolist() for a, n in zip(begin, long, strict=True)] == voc.encode_units(units.types)
+    keys = voc.known[0]
+    assert len(np.unique(keys)) == len(keys) == 11 and (np.diff(keys.astype(object)) > 0).all()
+
+
+def test_each_distinct_unit_is_encoded_once_per_worker(monkeypatch):
+    voc, asked = S.Vocabulary(PATH), []
+    monkeypatch.setattr(voc, "encode_units", lambda units, f=voc.encode_units: asked.extend(units) or f(units))
+    for _ in range(3):
+        voc.encode(S.Units(["a b c d", "c d e"]))
+    assert sorted(asked) == sorted(set(asked))
+    monkeypatch.setattr(S, "KNOWN", 0)
+    assert len(voc.encode(S.Units(["f g"]))[2]) == 2 and len(voc.known[0]) == 5
