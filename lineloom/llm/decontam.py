@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words of the benchmark form the vocabulary; their document frequencies are
-counted over all documents.  A randomised SVD of TF-IDF passages (a bounded
-document sample plus the benchmark) gives the latent basis.  Every passage of
+counted over all documents.  A one-pass randomised sketch of the TF-IDF
+passages of all documents and of the benchmark gives the latent basis.  Every passage of
 every document is compared with every item by cosine; candidates are confirmed
 by the longest common subsequence of words and, where that is only fair, by
 whether the item's answer (its last sentence) is there too.
@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import stage
 from .toxicity import _OUTSIDE, _STOP
 
 CHUNK = 12  # words; a passage is two chunks
@@ -69,6 +68,7 @@ def _frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> tuple[int
     n = len(vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textnp.give_back()
         df, rows = np.zeros(n, np.int64), 0
         for b in batches:
             rows += b.num_rows
@@ -91,7 +91,7 @@ def _frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> tuple[int
 
 
 def _sample(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """(t): the ``n`` distinct texts of least hash; copies of one text are one."""
+    """(t): the ``n`` distinct texts of least hash; copies of one text are one.  For trials; ``decontaminate`` reads all rows."""
     texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where("t is not null")
     least = texts.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return texts.where(F.col("h") <= least).select("t").distinct().orderBy(F.xxhash64("t"), "t").limit(n)
@@ -119,52 +119,51 @@ def _pair(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _add_rows(out: np.ndarray, at: np.ndarray, source: np.ndarray, row: np.ndarray, weight: np.ndarray, step: int = 8192) -> None:
-    """out[at[i]] += source[row[i]] * weight[i], a slice at a time, rows of one target summed together."""
+def _add_rows(out: np.ndarray, at: np.ndarray, source: np.ndarray, row: np.ndarray, step: int = 4096) -> None:
+    """out[at[i]] += source[row[i]], a slice at a time, rows of one target summed together."""
     order = np.argsort(at, kind="stable")
     for a in range(0, len(order), step):
         part = order[a : a + step]
         to = at[part]
         heads = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-        out[to[heads]] += np.add.reduceat(source[row[part]] * weight[part, None], heads, axis=0)
+        out[to[heads]] += np.add.reduceat(source[row[part]], heads, axis=0)
 
 
-def fit_basis(sample: DataFrame, items: Items, idf: np.ndarray, other: float, rank: int, weight: float, oversample: int = 16) -> np.ndarray:
-    """Vocabulary x rank basis of the passages' TF-IDF matrix, by a randomised range finder.
+def fit_basis(texts: DataFrame, items: Items, idf: np.ndarray, other: float, rank: int, weight: float, oversample: int = 16) -> np.ndarray:
+    """Vocabulary x rank basis of the passages' TF-IDF matrix A, by a one-pass Nystroem sketch of A'A.
 
-    Both passes sum a fixed-size matrix per task; the driver factors a
-    vocabulary x (rank + oversample) matrix and a small Gram matrix.
+    The sketch A'A S sums passages of every row of ``texts``: a vocabulary x
+    (rank + oversample) matrix per task, whatever the corpus.  Each column of the
+    orthonormal S holds a random share of the words with random signs, so a
+    passage times S costs an addition per word.
     """
     vocab, n = items.vocab, len(items.vocab)
     width = min(n, rank + oversample)
-
-    def rows_of(raw: np.ndarray, off: np.ndarray, basis: np.ndarray):
-        """Passages times ``basis``, and what is needed to go back: chunk of each word, words, norms."""
+    rng = np.random.default_rng(0)
+    column = rng.permutation(n) % width
+    entry = rng.choice([-1.0, 1.0], n) / np.sqrt(np.bincount(column, minlength=width))[column]
+    sketch = np.zeros((n, width))
+    sketch[np.arange(n), column] = entry
+
+    def gather(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, width), np.float32)
         idx, _, wb, _, _ = _bag(raw, off, vocab)
         first, doc, total, _ = _passages(idx, wb, idf, other)
         if not len(first):
-            return None
-        chunk = np.searchsorted(first, np.arange(len(idx)), "right") - 1
+            return out
+        chunk = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(idx))))
         keep = idx >= 0
-        y = np.zeros((len(first), basis.shape[1]))
-        _add_rows(y, chunk[keep], basis, idx[keep], idf[idx[keep]])
-        norm = np.sqrt(np.maximum(_pair(total, doc), 1e-12))[:, None]
-        return _pair(y, doc) / norm, norm, chunk[keep], idx[keep], doc
-
-    def gather(raw: np.ndarray, off: np.ndarray, basis: np.ndarray, back: bool) -> np.ndarray:
-        got = rows_of(raw, off, basis)
-        if got is None:
-            return np.zeros((n if back else basis.shape[1], basis.shape[1]))
-        y, norm, chunk, idx, doc = got
-        if not back:
-            return y.T @ y
-        z = y / norm
+        chunk, idx = chunk[keep], idx[keep]
+        y = np.bincount(chunk * width + column[idx], entry[idx] * idf[idx], len(first) * width).astype(np.float32).reshape(-1, width)
+        z = _pair(y, doc)
+        del y
+        z /= np.maximum(_pair(total, doc), 1e-12).astype(np.float32)[:, None]
         both = z.copy()
         same = doc[1:] == doc[:-1]
         both[1:][same] += z[:-1][same]
-        out = np.zeros((n, basis.shape[1]))
-        _add_rows(out, idx, both, chunk, idf[idx])
-        return out
+        del z
+        _add_rows(out, idx, both, chunk)
+        return out * idf.astype(np.float32)[:, None]
 
     # the items' rows as (item, word, weight): both sources weigh the same in the basis
     row = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])
@@ -173,41 +172,32 @@ def fit_basis(sample: DataFrame, items: Items, idf: np.ndarray, other: float, ra
     row, col = np.divmod(cell, n)
     value = times * idf[col]
     value *= weight / np.sqrt(np.maximum(np.bincount(row, value**2), 1e-24))[row]
+    own = np.bincount(row * width + column[col], entry[col] * value, len(items.words) * width).reshape(-1, width)
 
-    def own(basis: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(items.words), basis.shape[1]))
-        _add_rows(out, row, basis, col, value)
-        return out
-
-    def own_back(y: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, y.shape[1]))
-        _add_rows(out, col, y, row, value)
-        return out
-
-    def over_sample(basis: np.ndarray, back: bool) -> np.ndarray:
-        shape = (n if back else basis.shape[1], basis.shape[1])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shape)
-            for b in batches:
-                for _, _, raw, off in textnp.blocks(b.column(0)):
-                    total += gather(raw, off, basis, back)
-            parts = np.array_split(total.astype(np.float32), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["i", "v"])
-
-        def add(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t.column("v"))
-            return pa.table({"i": t.column("i").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
-
-        got = {r["i"]: np.frombuffer(r["v"]) for r in sample.mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").collect()}
-        return np.concatenate([got[i] for i in range(SLICES)]).reshape(shape) if got else np.zeros(shape)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textnp.give_back()
+        sums = np.zeros((n, width))
+        for b in batches:
+            for _, _, raw, off in textnp.blocks(b.column(0), textnp.BLOCK >> 1):
+                sums += gather(raw, off)
+        parts = np.array_split(sums.astype(np.float32), SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["i", "v"])
 
-    start = np.random.default_rng(0).standard_normal((n, width))
-    spread, _ = np.linalg.qr(over_sample(start, True) + own_back(own(start)))
-    mine = own(spread)
-    gram = over_sample(spread, False) + mine.T @ mine
-    values, vectors = np.linalg.eigh(gram)
-    return (spread @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
+    def add(t: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in t.column("v"))
+        return pa.table({"i": t.column("i").slice(0, 1), "v": pa.array([sums.tobytes()], pa.binary())})
+
+    got = {r["i"]: np.frombuffer(r["v"]) for r in texts.mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(add, "i int, v binary").collect()}
+    total = np.concatenate([got[i] for i in range(SLICES)]).reshape(n, width) if got else np.zeros((n, width))
+    for a in range(0, len(row), 1 << 16):
+        part = slice(a, a + (1 << 16))
+        np.add.at(total, col[part], own[row[part]] * value[part, None])
+    # A'A is about Y (S'Y)^-1 Y' for Y = A'A S, a little shifted so that the root exists
+    total += max(1e-5 * float(np.linalg.norm(total)), 1e-12) * sketch
+    core = sketch.T @ total
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    half = total @ (vectors / np.sqrt(np.maximum(values, 1e-9 * max(float(values[-1]), 1e-12))))
+    return np.linalg.svd(half, full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -280,7 +270,7 @@ MATCH = "struct<item_id:bigint,ratio:double>"
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", rank: int = 192, sample_docs: int = 2000, cosine: float = 0.2,
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", rank: int = 192, cosine: float = 0.2,
     sure: float = 0.8, fair: float = 0.6, answer: float = 0.8, max_bytes: int = 256 << 20, exact: bool = True,
 ) -> DataFrame:
     """``docs`` plus ``matches`` (item_id and share of its words found in order, best first) and ``contaminated``.
@@ -291,9 +281,8 @@ def decontaminate(
     the basis then.
     A candidate matches if the item's longest common subsequence with the words around
     holds ``sure`` of the item, or ``fair`` of it and ``answer`` of its answer.
-    All documents' frequencies count, every passage is searched; only the basis
-    is fitted on ``sample_docs`` distinct texts (those of least hash).  The
-    benchmark is held in memory (checked against ``max_bytes``).  Null, empty
+    All documents' frequencies count, the basis is fitted on every passage of all
+    rows, every passage is searched.  The benchmark is held in memory (checked against ``max_bytes``).  Null, empty
     and word-less texts match nothing, an empty benchmark matches nobody,
     repeated rows each get their row, columns of ``docs`` named matches or
     contaminated are replaced.  Row-local but for counts and basis.
@@ -310,9 +299,9 @@ def decontaminate(
     if rows:
         idf = np.log((1 + rows) / (1 + df)) + 1
         other = float(np.log(1 + rows)) * 0.75
-        sample = stage(_sample(docs, text_col, sample_docs), "passages")
-        passages = sample.agg(F.sum(F.length("t"))).first()[0] or 0
-        basis = fit_basis(sample, items, idf, other, rank, max(1.0, (passages / 6 / CHUNK / len(items.ids)) ** 0.5))
+        texts = docs.select(text_col)
+        passages = texts.agg(F.sum(F.length(text_col))).first()[0] or 0
+        basis = fit_basis(texts, items, idf, other, rank, max(1.0, (passages / 6 / CHUNK / len(items.ids)) ** 0.5))
         query = np.zeros((len(items.ids), basis.shape[1]), np.float32)
         for i, w in enumerate(items.words):
             v = np.searchsorted(vocab, w)
@@ -397,6 +386,7 @@ def decontaminate(
             yield int(live[p]), int(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textnp.give_back()
         for b in batches:
             found = [x for _, _, raw, off in textnp.blocks(b.column(at)) for x in search(raw, off)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind), pa.array([bool(x) for x in found], pa.bool_())], names=[*names, "matches", "contaminated"])

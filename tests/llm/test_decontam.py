@@ -2,7 +2,9 @@
 
 import random
 
-from lineloom.llm import decontam
+import numpy as np
+
+from lineloom.llm import decontam, textnp
 from lineloom.llm.common import ship
 
 ITEM = "doc_id bigint, text string, matches string"
@@ -130,3 +132,33 @@ def test_paraphrases_equal_brute_force_over_all_passages(spark):
         assert got == want
     found = sum(i in want.get(d, ()) for d, i in light)
     assert found >= 0.9 * len(light)
+
+
+def test_basis_comes_from_every_row(spark, monkeypatch):
+    """It spans what the passages of all rows span, rows beyond the 2,000 of least hash and copies included."""
+    ship(spark)
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(120)]
+    themes = [words[i : i + 20] for i in range(0, 120, 20)]
+    texts = [" ".join(rng.choices(themes[i % 6], k=24)) for i in range(2600)]
+    benchmark = spark.createDataFrame([(0, " ".join(words))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string").repartition(3)
+    seen, fit = [], decontam.fit_basis
+    monkeypatch.setattr(decontam, "fit_basis", lambda texts, *a: seen.append(texts.where("text <> ''").count()) or fit(texts, *a))
+    decontam.decontaminate(docs, benchmark)
+    assert seen == [2600]
+    items = decontam.Items.load(benchmark, 1 << 20)
+    basis = fit(docs, items, np.ones(120), 1.0, 6, 1.0)
+    place = {w: np.searchsorted(items.vocab, textnp.words(*bytes_of(w))[0])[0] for w in words}
+    rows = np.zeros((2600, 120))
+    for i, t in enumerate(texts):
+        for w in t.split():
+            rows[i, place[w]] += 1
+    assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-4)
+    best = np.linalg.svd(rows, full_matrices=False)[1]
+    assert (np.linalg.norm(rows @ basis) / np.linalg.norm(rows)) ** 2 > 0.9 * (best[:6] ** 2).sum() / (best**2).sum()
+
+
+def bytes_of(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
