@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,39 @@ from .toxicity import _OUTSIDE, _STOP
 CHUNK = 12  # words; a passage is two chunks
 SLICES = 16  # groups of rows that sum the tasks' matrices
 _U = np.uint64
+_SLOT = _U(64 - 18)
+MARKS = 1 << 24  # cells of a table of documents by words
 
 
 def _bag(raw: np.ndarray, off: np.ndarray, vocab: np.ndarray):
     """Vocabulary index (-1: other) and hash of each word, and word offsets of each text."""
     h, start, end, wb = textnp.words(raw, off, space=_OUTSIDE)
-    at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
-    return (np.where(vocab[at] == h, at, -1) if len(vocab) else np.full(len(h), -1)), h, wb, start, end
+    return _place(h, vocab), h, wb, start, end
+
+
+def _place(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Index of each hash in the sorted vocabulary (-1: not there): by its leading bits, searched where several begin alike."""
+    if not len(vocab):
+        return np.full(len(h), -1)
+    slot = h >> _SLOT
+    first, several = _slots(vocab.tobytes())
+    at = first[slot]
+    idx = np.where(vocab[at] == h, at, -1)
+    rest = np.flatnonzero(several[slot])
+    if len(rest):
+        k = np.minimum(np.searchsorted(vocab, h[rest]), len(vocab) - 1)
+        idx[rest] = np.where(vocab[k] == h[rest], k, -1)
+    return idx
+
+
+@lru_cache(maxsize=2)
+def _slots(vocab: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By leading bits of a hash: the first word of the vocabulary with them (0 if none), whether there are more."""
+    slot = np.frombuffer(vocab, _U) >> _SLOT
+    first, several = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, bool)
+    first[slot[::-1]] = np.arange(len(slot))[::-1]
+    several[slot[1:][slot[1:] == slot[:-1]]] = True
+    return first, several
 
 
 @dataclass
@@ -75,6 +102,11 @@ def _frequencies(docs: DataFrame, text_col: str, vocab: np.ndarray) -> tuple[int
             for _, _, raw, off in textnp.blocks(b.column(0)):
                 idx, _, wb, _, _ = _bag(raw, off, vocab)
                 doc = np.repeat(np.arange(len(wb) - 1), np.diff(wb))
+                if (len(wb) - 1) * n <= MARKS:
+                    held = np.zeros((len(wb) - 1, n), bool)
+                    held[doc[idx >= 0], idx[idx >= 0]] = True
+                    df += held.sum(axis=0)
+                    continue
                 pair = np.unique(doc[idx >= 0] * np.int64(max(1, n)) + idx[idx >= 0])
                 df += np.bincount(pair % max(1, n), minlength=n)[:n] if n else 0
         parts = np.array_split(df, 16)
@@ -104,7 +136,7 @@ def _passages(idx: np.ndarray, wb: np.ndarray, idf: np.ndarray, other: float):
     doc = np.repeat(np.arange(len(n)), per)
     within = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     first = wb[:-1][doc] + within * CHUNK
-    w2 = np.where(idx >= 0, idf[np.maximum(idx, 0)] ** 2 if len(idf) else 0.0, other**2)
+    w2 = np.append(idf**2, other**2)[idx]  # -1 is the last
     known = np.where(idx >= 0, w2, 0.0)
     total = np.add.reduceat(w2, first) if len(first) else np.zeros(0)
     inside = np.add.reduceat(known, first) if len(first) else np.zeros(0)
@@ -114,11 +146,15 @@ def _passages(idx: np.ndarray, wb: np.ndarray, idf: np.ndarray, other: float):
 def _pair(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Each chunk with the next one of its text."""
     out = x.copy()
-    same = doc[1:] == doc[:-1]
-    out[:-1][same] += x[1:][same]
+    out[:-1] += x[1:] * _same(doc, x)
     return out
 
 
+def _same(doc: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """1 where the next chunk is of the same text."""
+    return (doc[1:] == doc[:-1]).astype(like.dtype).reshape(-1, *[1] * (like.ndim - 1))
+
+
 def _add_rows(out: np.ndarray, at: np.ndarray, source: np.ndarray, row: np.ndarray, step: int = 4096) -> None:
     """out[at[i]] += source[row[i]], a slice at a time, rows of one target summed together."""
     order = np.argsort(at, kind="stable")
@@ -142,6 +178,7 @@ def fit_basis(texts: DataFrame, items: Items, idf: np.ndarray, other: float, ran
     rng = np.random.default_rng(0)
     column = rng.permutation(n) % width
     entry = rng.choice([-1.0, 1.0], n) / np.sqrt(np.bincount(column, minlength=width))[column]
+    weighed = entry * idf
     sketch = np.zeros((n, width))
     sketch[np.arange(n), column] = entry
 
@@ -154,13 +191,12 @@ def fit_basis(texts: DataFrame, items: Items, idf: np.ndarray, other: float, ran
         chunk = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(idx))))
         keep = idx >= 0
         chunk, idx = chunk[keep], idx[keep]
-        y = np.bincount(chunk * width + column[idx], entry[idx] * idf[idx], len(first) * width).astype(np.float32).reshape(-1, width)
+        y = np.bincount(chunk * width + column[idx], weighed[idx], len(first) * width).astype(np.float32).reshape(-1, width)
         z = _pair(y, doc)
         del y
         z /= np.maximum(_pair(total, doc), 1e-12).astype(np.float32)[:, None]
         both = z.copy()
-        same = doc[1:] == doc[:-1]
-        both[1:][same] += z[:-1][same]
+        both[1:] += z[:-1] * _same(doc, z)
         del z
         _add_rows(out, idx, both, chunk)
         return out * idf.astype(np.float32)[:, None]

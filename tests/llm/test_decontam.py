@@ -162,3 +162,13 @@ def test_basis_comes_from_every_row(spark, monkeypatch):
 def bytes_of(text):
     data = np.frombuffer(text.encode(), np.uint8)
     return data, np.array([0, len(data)])
+
+
+def test_words_are_placed_as_by_search():
+    rng = np.random.default_rng(1)
+    vocab = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    vocab = np.unique(np.concatenate([vocab, vocab[:50] + np.uint64(3)]))  # words that begin alike
+    h = np.concatenate([vocab, vocab + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+    assert (decontam._place(h, vocab) == np.where(vocab[at] == h, at, -1)).all()
+    assert (decontam._place(h, vocab[:0]) == -1).all()
