@@ -2,13 +2,16 @@
 
 Documents with the same shingle sequence collapse into one class.  Two sets
 that link share one of the first ``n - ceil(0.75 n) + 1`` tokens of a common
-order (corpus-frequent tokens last), so only those prefixes are compared:
-
-1. per prefix token, every class is paired with the token's centre; pairs whose
-   largest possible overlap (sizes and bitmaps) is too small are dropped, the
-   others verified exactly, and linked classes merge into components; this is
-   repeated with other centres as long as it merges much;
-2. tokens that still hold several components are joined by signature trees:
+order (corpus-frequent tokens last), so only those prefixes are compared.  The
+first token that they share leaves no more of either set than its room, what
+comes from it on; so a pair counts in a token only if 7 times the smaller room
+is at least 3 times both sizes:
+
+1. tokens of up to ``NEAR`` classes pair them all, larger ones each class with
+   the token's centre; pairs whose largest possible overlap (bitmaps) is too
+   small are dropped, the others verified exactly, and linked classes merge into
+   components; larger tokens repeat it with other centres as long as it merges much;
+2. larger tokens that still hold several components are joined by signature trees:
    nodes carry OR- and AND-combined bitmaps, size ranges and the component; a
    dual traversal drops node pairs inside one component and those whose largest
    possible overlap is too small.  Surviving leaf pairs are verified exactly.
@@ -32,9 +35,10 @@ from .common import discard, stage
 
 SIZE = 5
 #: Tokens that this share of all documents has come last in the common order, so passages that many share pair few documents.
-HOT_SHARE = 0.0002
+HOT_SHARE = 0.00005
 BITMAP = 16  # 64-bit words of a signature
 _U = np.uint64
+ROW, PART = 200, 4 << 20  # bytes of a row in a tree, and of the rows dealt to one task
 GROUP = 2048  # rows of one token joined in one block; larger tokens are dealt out as pairs of blocks
 
 
@@ -140,8 +144,40 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([lo[new], hi[new]], axis=1)
 
 
-_POSTING = np.dtype([("token", "<u8"), ("k", "<i8"), ("n", "<i4"), ("whole", "<i4")])
-LOCAL = 2  # classes of one map batch that a token sends on; from more it sends one, and the batch pairs them
+_POSTING = np.dtype([("token", "<u8"), ("k", "<i8"), ("n", "<i4"), ("room", "<i4")])
+NEAR = 16  # classes of a token that are paired all with all
+CENTRES = 4  # a class meets up to so many centres at once, by its tokens
+
+
+def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sizes and rooms of postings of one token leave place for a link that begins there."""
+    both = 3 * (x["n"].astype(np.int64) + y["n"])
+    return 7 * np.minimum(x["room"], y["room"]).astype(np.int64) >= both
+
+
+def _met(post: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of the postings' tokens (all of small tokens, those with the centre of larger ones), and the larger tokens' postings."""
+    post = post[np.lexsort((post["k"], post["token"]))]
+    post = post[_runs(post["token"], post["k"])]
+    head = np.flatnonzero(_runs(post["token"]))
+    count = np.diff(np.append(head, len(post)))
+    large = np.repeat(count > NEAR, count)
+    small, far = post[~large], post[large]
+    first, second = [], []
+    for step in range(1, NEAR):
+        at = np.flatnonzero(small["token"][:-step] == small["token"][step:])
+        if not len(at):
+            break
+        at = at[_fits(small[at], small[at + step])]
+        first.append(small["k"][at])
+        second.append(small["k"][at + step])
+    by = textnp.mix(far["k"].view(_U) ^ textnp.mix(far["token"] % _U(CENTRES))) if len(far) else np.zeros(0, _U)
+    far = far[np.lexsort((by, far["token"]))]
+    start = _runs(far["token"])
+    centre = far[start][np.cumsum(start) - 1]
+    ok = _fits(far, centre)
+    none = [np.zeros(0, np.int64)]
+    return _distinct_pairs(np.concatenate([*first, far["k"][ok], *none]), np.concatenate([*second, centre["k"][ok], *none])), far
 
 
 def _runs(*sorted_by: np.ndarray) -> np.ndarray:
@@ -161,24 +197,22 @@ def _dealt(rows: np.ndarray, token: np.ndarray, buckets: int) -> Iterator[tuple[
         yield i, rows[order[cuts[i] : cuts[i + 1]]].tobytes()
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary())])
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("room", pa.int64()), ("sig", pa.binary()), ("wide", pa.binary())])
 
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sig: list[bytes] | None = None, wide: list[bytes] | None = None) -> pa.Table:
+def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, room: np.ndarray | None = None, sig: list[bytes] | None = None, wide: list[bytes] | None = None) -> pa.Table:
     m = len(a)
+    counts = (pa.nulls(m, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (n, room))
     blobs = (pa.nulls(m, pa.binary()) if x is None else pa.array(x, pa.binary()) for x in (sig, wide))
-    return pa.table([pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(m, pa.int64()) if n is None else pa.array(n.astype(np.int64)), *blobs], schema=_FOUND)
+    return pa.table([pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), *counts, *blobs], schema=_FOUND)
 
 
 PAIR, POSTING, CLASS = 0, 1, 2
 
 
 def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
-    """PAIR (a, b): every class with the centres of its prefix tokens; POSTING (token a, class b, size n) of tokens that several
-    classes have; CLASS (a, size n, bitmaps) of each class.
-
-    Map batches pair the classes of a frequent token themselves and send one of
-    them on, so a token held by a third of all documents sends a row per batch.
+    """PAIR (a, b): classes that meet in a prefix token, all or with its centre; POSTING (token a, class b, size n, room) of
+    larger tokens; CLASS (a, size n, bitmaps) of each class.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,21 +231,10 @@ def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.nd
             long = np.array([len(p) for p in prefixes])
             post = np.zeros(int(long.sum()), _POSTING)
             post["token"], post["k"], post["n"] = np.concatenate(prefixes), np.repeat(np.array(keys, np.int64), long), np.repeat(np.array(sizes, np.int32), long)
+            post["room"] = post["n"] - (np.arange(len(post)) - np.repeat(np.cumsum(long) - long, long))
             del prefixes
-            post = post[np.lexsort((post["k"], post["token"]))]
-            head = np.flatnonzero(_runs(post["token"]))
-            count = np.diff(np.append(head, len(post)))
-            many = count > LOCAL
-            inside = np.repeat(many, count)
-            local, first = post[inside], np.repeat(post["k"][head], count)[inside]
-            pairs = _distinct_pairs(local["k"], first)
-            ambassador = post[head[many]]
-            ambassador["whole"] = 1
-            post = np.concatenate([post[~inside], ambassador])
             by = lambda x: textnp.mix(np.ascontiguousarray(x).view(_U))
             out = [(i, x, 0) for i, x in _dealt(post, post["token"], buckets)]
-            out += [(i, x, 1) for i, x in _dealt(pairs, by(pairs[:, 0]), buckets)]
-            out += [(i, x, 2) for i, x in _dealt(local, local["token"], buckets)]
             m, home = len(out), ((by(np.array(keys, np.int64)) >> _U(40)).astype(np.int64) % buckets).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -222,20 +245,8 @@ def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.nd
             )
 
     def meet(table: pa.Table) -> pa.Table:
-        def part(what: int, dtype) -> np.ndarray:
-            rows = table.filter(pa.array(table.column("what").to_numpy() == what)).column("rows")
-            return np.frombuffer(b"".join(rows.to_pylist()), dtype)
-
-        post = part(0, _POSTING)
-        post = post[np.lexsort((post["whole"], post["k"], post["token"]))]
-        head = _runs(post["token"])
-        centre = post["k"][head][np.cumsum(head) - 1]
-        done = part(1, np.int64).reshape(-1, 2)
-        pairs = _distinct_pairs(np.concatenate([post["k"], done[:, 0]]), np.concatenate([centre, done[:, 1]]))
-        fresh = _runs(post["token"], post["k"]).astype(np.int64)
-        per = np.add.reduceat(fresh, np.flatnonzero(head)) if len(post) else np.zeros(0, np.int64)
-        sent = post[(per[np.cumsum(head) - 1] > 1) & (fresh > 0) & (post["whole"] == 0)] if len(post) else post
-        shared = np.concatenate([sent, part(2, _POSTING)])
+        rows = table.filter(pa.array(table.column("what").to_numpy() == 0)).column("rows")
+        pairs, far = _met(np.frombuffer(b"".join(rows.to_pylist()), _POSTING))
         classes = table.filter(pa.array(table.column("what").to_numpy() == 3))
         ks, one = np.unique(classes.column("k").to_numpy(), return_index=True)
         classes = classes.take(pa.array(one))
@@ -243,20 +254,19 @@ def _star(docs: DataFrame, clashes: frozenset[int], hot: np.ndarray, rank: np.nd
         return pa.concat_tables(
             [
                 _found(PAIR, pairs[:, 0], pairs[:, 1]),
-                _found(POSTING, np.ascontiguousarray(shared["token"]).view(np.int64), shared["k"], shared["n"]),
-                _found(CLASS, ks.astype(np.int64), ks.astype(np.int64), classes.column("n").to_numpy(), [_fold(np.frombuffer(x, _U), BITMAP).tobytes() for x in wide], wide),
+                _found(POSTING, np.ascontiguousarray(far["token"]).view(np.int64), far["k"], far["n"], far["room"]),
+                _found(CLASS, ks.astype(np.int64), ks.astype(np.int64), classes.column("n").to_numpy(), None, [_fold(np.frombuffer(x, _U), BITMAP).tobytes() for x in wide], wide),
             ]
         )
 
     dealt = docs.mapInArrow(spread, "bucket int, what int, rows binary, k bigint, n bigint")
-    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, n bigint, sig binary, wide binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "kind int, a bigint, b bigint, n bigint, room bigint, sig binary, wide binary")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, bitmap: str) -> DataFrame:
-    """Those pairs whose sizes and bitmaps (of one width, or the wider folded to the narrower) leave room for a link."""
-    side = lambda c: classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col(bitmap).alias(f"sig_{c}"))
-    sizes = pairs.join(classes.select("a", F.col("n").alias("n_a")), "a").join(classes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b")
-    src = sizes.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs whose bitmaps (the wider folded to the narrower) leave room for a link."""
+    side = lambda c: classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    src = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,16 +336,14 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(k, root): every node of ``edges`` (a, b) with the smallest node of its component.
 
-    Alternating large-star and small-star steps until nothing moves; the edge
-    table is staged after each, and its size and hash tell when it stands still.
+    Alternating large-star and small-star steps, the edge table staged after
+    each, until it holds stars alone: no node has two edges up, or edges both ways.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    state = None
     while True:
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        ends = e.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").first() is None:
             break
-        state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -348,25 +356,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("k"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("k"), F.col("v").alias("root"))).distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what ``labels`` has together and of more links."""
+    return labels if links.first() is None else stage(components(labels.select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(links)), "labels")
+
+
 class Tree:
-    """Signature tree over rows ordered by component and size; level 0 are the rows."""
+    """Signature tree over rows ordered by component and size, with the rooms of one token; level 0 are the rows."""
 
     FAN = 8
 
-    def __init__(self, comp: np.ndarray, n: np.ndarray, sig: np.ndarray):
-        self.levels = [(comp, n, n, sig, sig)]
+    def __init__(self, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, room: np.ndarray | None = None):
+        self.levels = [(comp, n, n, sig, sig, n if room is None else room)]
         while len(self.levels[-1][0]) > 1:
-            c, lo, hi, some, every = self.levels[-1]
+            c, lo, hi, some, every, room = self.levels[-1]
             at = np.arange(0, len(c), self.FAN)
             first, last = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
             self.levels.append(
-                (np.where(first == last, first, -1), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.bitwise_or.reduceat(some, at), np.bitwise_and.reduceat(every, at))
+                (np.where(first == last, first, -1), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.bitwise_or.reduceat(some, at), np.bitwise_and.reduceat(every, at), np.maximum.reduceat(room, at))
             )
 
     def survives(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Node pairs that may hold a link between components: sizes fit and the largest overlap reaches the least required."""
-        c, lo, hi, some, every = self.levels[level]
-        ok = ((c[x] != c[y]) | (c[x] == -1)) & (4 * hi[y] >= 3 * lo[x]) & (4 * hi[x] >= 3 * lo[y])
+        c, lo, hi, some, every, room = self.levels[level]
+        ok = ((c[x] != c[y]) | (c[x] == -1)) & (4 * hi[y] >= 3 * lo[x]) & (4 * hi[x] >= 3 * lo[y]) & (7 * np.minimum(room[x], room[y]) >= 3 * (lo[x] + lo[y]))
         x, y = x[ok], y[ok]
         ones = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
         most = np.minimum(hi[x] - ones(every[x] & ~some[y]), hi[y] - ones(every[y] & ~some[x]))
@@ -404,13 +417,13 @@ def _again(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     Each turn has other centres; a row per posting at most.
     """
     named = postings.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    centre = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("by"), "k", "root")).alias("c")
+    centre = F.min(F.struct(F.xxhash64("k", F.pmod("token", F.lit(CENTRES)), F.lit(turn)).alias("by"), "k", "root", "n", "room")).alias("c")
     centres = named.groupBy("token").agg(centre, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", "c")
-    pairs = named.join(centres, "token").where(F.col("root") != F.col("c.root"))
-    return pairs.select(F.greatest("k", F.col("c.k")).alias("a"), F.least("k", F.col("c.k")).alias("b")).distinct()
+    fits = (F.col("root") != F.col("c.root")) & (7 * F.least("room", "c.room") >= 3 * (F.col("n") + F.col("c.n")))
+    return named.join(centres, "token").where(fits).select(F.greatest("k", F.col("c.k")).alias("a"), F.least("k", F.col("c.k")).alias("b")).distinct()
 
 
-def _tree_pairs(postings: DataFrame, classes: DataFrame, labels: DataFrame | None, buckets: int) -> DataFrame:
+def _tree_pairs(postings: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(a, b): class pairs of different components that a signature tree of some shared prefix token can't rule out.
 
     Without ``labels`` every class is a component of its own.
@@ -419,7 +432,8 @@ def _tree_pairs(postings: DataFrame, classes: DataFrame, labels: DataFrame | Non
     roots = roots.withColumn("root", F.col("k")) if labels is None else roots.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = postings.join(roots.select("k", "root"), "k")
     spans = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rows = stage(named.join(spans.where("lo <> hi").select("token"), "token").select("token", "k").distinct(), "mixed-rows")
+    rows = stage(named.join(spans.where("lo <> hi").select("token"), "token").select("token", "k", "room"), "mixed-rows")
+    parts = max(64, rows.count() * ROW // PART)  # the fewer, the fewer pairs come from several
     count = rows.groupBy("token").count().select("token", F.ceil(F.col("count") / GROUP).cast("int").alias("g"))
     block = F.when(F.col("g") > 1, F.pmod(F.xxhash64("k"), F.col("g")).cast("int")).otherwise(0)
     dealt = (
@@ -428,21 +442,21 @@ def _tree_pairs(postings: DataFrame, classes: DataFrame, labels: DataFrame | Non
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .join(roots, "k")
         .select(
-            F.when(F.col("g") > 1, F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod("token", F.lit(buckets * 4))).alias("part"),
-            "token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "k", "root", "n", "sig",
+            F.when(F.col("g") > 1, F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.pmod("token", F.lit(parts))).alias("part"),
+            "token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "k", "root", "n", "sig", "room",
         )
     )
 
     def join_part(table: pa.Table) -> pa.Table:
         t = table.sort_by([("token", "ascending"), ("bi", "ascending"), ("bj", "ascending"), ("root", "ascending"), ("n", "ascending"), ("k", "ascending")])
-        token, bi, bj, k, root, n = (t.column(c).to_numpy() for c in ("token", "bi", "bj", "k", "root", "n"))
+        token, bi, bj, k, root, n, room = (t.column(c).to_numpy() for c in ("token", "bi", "bj", "k", "root", "n", "room"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), _U).reshape(-1, BITMAP)
         new = np.ones(len(k), bool)
         new[1:] = (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
         cuts = np.append(np.flatnonzero(new), len(k))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = Tree(np.unique(root[s:e], return_inverse=True)[1], n[s:e], sig[s:e]).pairs()
+            x, y = Tree(np.unique(root[s:e], return_inverse=True)[1], n[s:e], sig[s:e], room[s:e]).pairs()
             a.append(k[s:e][x])
             b.append(k[s:e][y])
         pairs = _distinct_pairs(np.concatenate(a), np.concatenate(b))
@@ -473,12 +487,14 @@ class _Parts:
         order = np.argsort(token)
         found = stage(_star(self.src.select("text"), self.clashes, token[order].copy(), df[order].copy(), self.buckets), "star")
         self.pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-        self.postings = found.where(F.col("kind") == POSTING).select(F.col("a").alias("token"), F.col("b").alias("k"))
+        self.postings = found.where(F.col("kind") == POSTING).select(F.col("a").alias("token"), F.col("b").alias("k"), "n", "room")
         self.classes = found.where(F.col("kind") == CLASS).select("a", "n", "sig", "wide")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of ``pairs`` that link."""
-        pairs = stage(_possible(pairs, self.classes, "wide"), f"{name}-possible")
+        pairs = stage(_possible(pairs, self.classes), f"{name}-possible")
+        if pairs.first() is None:
+            return pairs
         sets = stage(_sets(pairs, self.src, self.own, self.clashes), f"{name}-sets")
         out = stage(_linked(pairs, sets), name)
         discard(sets, pairs)
@@ -494,7 +510,7 @@ def near_links(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     no links; null ids, repeated rows and long texts as in ``near_duplicates``.
     """
     p = _Parts(docs, text_col, id_col)
-    links = p.verified(stage(_tree_pairs(p.postings, p.classes, None, p.buckets), "tree-pairs"), "all-links")
+    links = p.verified(stage(p.pairs.unionByName(_tree_pairs(p.postings, p.classes, None)).distinct(), "tree-pairs"), "all-links")
     classes = p.own.where("k <> 0").groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("k").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "k")
@@ -516,26 +532,24 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     ``id_col`` are read, so no other column's name matters.
     """
     p = _Parts(docs, text_col, id_col)
-    pairs = stage(_possible(p.pairs, p.classes, "sig"), "star-pairs")
-    links = p.verified(pairs, "links")
+    links = p.verified(p.pairs, "links")
+    had = links.count()
     labels = stage(components(links), "labels")
     turn = 0
-    while True:  # groups of near copies come together before their pairs are looked at; what does not is left to the trees
+    while p.postings.first() is not None:  # groups of near copies come together before their pairs are looked at; what does not is left to the trees
         turn += 1
-        found = p.verified(stage(_possible(_again(p.postings, labels, turn), p.classes, "sig"), "star-pairs"), "links")
+        found = p.verified(_again(p.postings, labels, turn), "links")
         more = found.count()
         if not more:
             break
-        had = links.count()
-        links = stage(links.unionByName(found).distinct(), "links")
-        labels = stage(components(links), "labels")
+        labels = _joined(labels, found)
         if more < 0.02 * had:
             break
-    rest = stage(_tree_pairs(p.postings, p.classes, labels, p.buckets).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
-    if rest.first() is not None:
-        late = p.verified(rest, "late-links")
-        if late.first() is not None:
-            labels = stage(components(links.unionByName(late)), "labels")
+        had += more
+    if turn:
+        rest = stage(_tree_pairs(p.postings, p.classes, labels), "tree-pairs")
+        if rest.first() is not None:
+            labels = _joined(labels, p.verified(rest, "late-links"))
     classes = p.own.select("k").distinct().join(labels, "k", "left").select("k", F.coalesce("root", "k").alias("root"))
     smallest = p.own.where("k <> 0").groupBy("k").agg(F.min("id").alias("low")).join(classes, "k").groupBy("root").agg(F.min("low").alias("component_id"))
     class_of = classes.join(smallest, "root").select("k", "component_id")
