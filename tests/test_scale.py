@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lineloom import registry
 from lineloom.config import Oven
 from lineloom.functions import series as S
-from lineloom.operators import oven, report, risk
+from lineloom.operators import detect, oven, report, risk
 
 
 def test_time_constants_shuffle_readings_not_candidates(spark):
@@ -112,3 +112,22 @@ def _frames(spark):
     line = "station bigint, vehicle bigint, supplier_lot bigint, variant string, operator string, cycle_time double, queue bigint, utilization double, manual_outcome string"
     flagged = "station bigint, vehicle bigint, supplier_lot bigint, z_discount double, z_quantity double, flags array<struct<severity:string>>"
     return spark.createDataFrame([], line), spark.createDataFrame([], flagged)
+
+
+def test_planning_of_alarms_derives_no_filters_from_their_columns(spark):
+    """What Spark derives from the columns of all rules once took nearly all of planning, and the driver's memory at any size of the tables."""
+    qe = registry.QUERIES["flags_since"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    qe.executedPlan()
+    rules, took = qe.tracker().rules().iterator(), {}
+    while rules.hasNext():
+        r = rules.next()
+        took[r._1().rpartition(".")[2]] = r._2().totalTimeNs()
+    assert sum(t for r, t in took.items() if r.startswith("InferFilters")) < 0.25 * sum(took.values())
+
+
+def test_rules_share_their_windows(spark):
+    """Two over scores for all rules but the EWMA, which has three more with its latches; each window copies every column."""
+    sc = registry.stage(registry._narrow(registry._scored(spark, "/root/testdata/sf0.001")), "scored")
+    windows = lambda *rules: detect.with_flags(sc, registry.T, rules, registry.P)._jdf.queryExecution().sparkPlan().toString().count("Window [")
+    assert windows("point", "trend", "cross_parameter") <= 3
+    assert windows(*detect.RULES, "cross_parameter") <= 6
