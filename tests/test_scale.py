@@ -131,3 +131,12 @@ def test_rules_share_their_windows(spark):
     windows = lambda *rules: detect.with_flags(sc, registry.T, rules, registry.P)._jdf.queryExecution().sparkPlan().toString().count("Window [")
     assert windows("point", "trend", "cross_parameter") <= 3
     assert windows(*detect.RULES, "cross_parameter") <= 6
+
+
+def test_exports_on_their_way_back_are_packed(spark):
+    """An export's text takes many times the disk of its input; read back, packed rows are the same."""
+    rows = registry.QUERIES["export_rows"](spark, "/root/testdata/sf0.001")
+    back = registry._csv(spark, rows, "packed")
+    assert all(f.endswith(".csv.gz") for f in back.inputFiles())
+    c = sorted(set(back.columns) & set(rows.columns))
+    assert back.count() == rows.count() and back.select("vehicle_id").exceptAll(rows.select("vehicle_id")).isEmpty() and len(c) == len(rows.columns)
